@@ -18,15 +18,23 @@ def _unwrap_once(text: Column) -> Column:
 
 
 def json_object_of(text: Column) -> Column:
-    """Parse JSON text to a VARIANT object.
+    """Parse JSON text to a VARIANT object, NULL when it holds none.
 
     Text that is itself a JSON string holding JSON is unwrapped up to three times;
-    NULL, scalars, arrays and broken text give an empty object.
+    scalars, arrays and broken text hold no object.
     """
-    for _ in range(3):
-        text = _unwrap_once(text)
-    parsed = F.when(F.ltrim(text).startswith("{"), F.try_parse_json(text))
-    return F.coalesce(parsed, F.parse_json(F.lit("{}")))
+    unwrapped = F.reduce(F.sequence(F.lit(1), F.lit(3)), text, lambda inner, _: _unwrap_once(inner))
+    plain = F.when(F.ltrim(text).startswith('"'), unwrapped).otherwise(text)
+    return F.when(F.ltrim(plain).startswith("{"), F.try_parse_json(plain))
+
+
+def json_fields(text: Column, texts: Sequence[str], values: Sequence[str] = ()) -> Column:
+    """Struct of top-level entries of `json_object_of(text)`: `texts` as text, `values` as VARIANT.
+
+    The text is parsed once and all entries are cut out in one step; absent ones are NULL.
+    """
+    fields = [f"{k}: string" for k in texts] + [f"{k}: variant" for k in values]
+    return F.try_variant_get(json_object_of(text), "$", f"struct<{', '.join(fields)}>")
 
 
 def json_text(obj: Column, key: str) -> Column:
@@ -34,18 +42,18 @@ def json_text(obj: Column, key: str) -> Column:
     return F.try_variant_get(obj, f"$.{key}", "string")
 
 
-def json_number(obj: Column, key: str) -> Column:
-    """Plain decimal text or number at `key`, else 0."""
-    return F.coalesce(_plain_number(json_text(obj, key)), F.lit(0).cast(COUNT_TYPE))
+def _plain_number(text: Column) -> Column:
+    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).cast(COUNT_TYPE))
 
 
-def json_bool(obj: Column, key: str) -> Column:
-    """JSON true, or one of the accepted texts."""
-    return F.coalesce(F.lower(F.trim(json_text(obj, key))).isin(*TRUE_TEXTS), F.lit(False))
+def number_of(text: Column) -> Column:
+    """Plain decimal text, else 0."""
+    return F.coalesce(_plain_number(text), F.lit(0).cast(COUNT_TYPE))
 
 
-def _plain_number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).cast(COUNT_TYPE))
+def bool_of(text: Column) -> Column:
+    """JSON true, or one of the accepted texts."""
+    return F.coalesce(F.lower(F.trim(text)).isin(*TRUE_TEXTS), F.lit(False))
 
 
 def _scalar_count(text: Column) -> Column:
@@ -66,18 +74,17 @@ def _value_count(value: Column) -> Column:
     )
 
 
-def json_count(obj: Column, keys: Sequence[str]) -> Column:
-    """First key that yields a positive count.
+def count_of(values: Sequence[Column]) -> Column:
+    """First of the VARIANT values that yields a positive count.
 
     An array counts its items, an object its count/total/length entry, a number itself and
-    any other non-blank value 1 (so JSON false counts 1). No hit gives 0.
-
-    The values present are gathered first and only those are examined, which keeps the
-    generated code small for long key lists.
+    any other non-blank value 1 (so JSON false counts 1). No hit gives 0. Only the values
+    present are examined.
     """
-    present = F.array_compact(F.array(*(F.try_variant_get(obj, f"$.{k}", "variant") for k in keys)))
+    present = F.array_compact(F.array(*values))
     counts = F.filter(F.transform(present, _value_count), lambda n: n > 0)
-    return F.coalesce(F.get(counts, F.lit(0)), F.lit(0).cast(COUNT_TYPE))
+    found = F.when(F.size(present) > 0, F.get(counts, F.lit(0)))
+    return F.coalesce(found, F.lit(0).cast(COUNT_TYPE))
 
 
 def json_set(text: Column, extra: dict[str, Column]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.dates import moment
-from ledgerlark.functions.json import json_bool, json_count, json_number, json_object_of, json_text
+from ledgerlark.functions.json import bool_of, count_of, json_fields, number_of
 from ledgerlark.functions.text import non_empty, provider_label
 from ledgerlark.operators.common import MONEY, first_per_key, for_org, money, total, wanted
 
@@ -106,37 +106,43 @@ def _category(token_providers: Sequence[str], action: Column) -> Column:
     return F.when(phone, "phones").when(F.col("provider").isin(*token_providers), "tokens").otherwise("b2b_data")
 
 
+META_TEXTS = (
+    "action", "provider_name", "effective_provider", "provider", "research_flow", "service", "operation", "company_id",
+    "research_run_id", "grounding_queries", "billable_units", "success",
+)
+META_VALUES = tuple(dict.fromkeys(EMAIL_KEYS + PEOPLE_KEYS + COMPANY_KEYS + GENERIC_KEYS + PHONE_KEYS))
+
+
 def _classified(usage: DataFrame) -> DataFrame:
     """Parse the metadata once and derive category, labels and the raw result counts."""
-    meta = F.col("meta")
-    text = lambda key: F.coalesce(json_text(meta, key), F.lit(""))
+    meta = lambda key: F.col(f"meta.{key}")
+    text = lambda key: F.coalesce(meta(key), F.lit(""))
+    count = lambda keys: count_of([meta(k) for k in keys])
     tokens_in, tokens_out = (F.coalesce(F.col(c), F.lit(0)) for c in ("input_tokens", "output_tokens"))
     parsed = (
         usage.filter(F.col("created_at").isNotNull())
-        .withColumn("meta", json_object_of(F.col("metadata")))
+        .withColumn("meta", json_fields(F.col("metadata"), META_TEXTS, META_VALUES))
         .withColumns(
             {
                 "action_key": F.lower(F.trim(text("action"))),
                 "raw_action": text("action"),
-                "provider_name": F.coalesce(non_empty(json_text(meta, "provider_name")), "provider", F.lit("")),
+                "provider_name": F.coalesce(non_empty(meta("provider_name")), "provider", F.lit("")),
                 "effective_provider": F.coalesce(
-                    *(non_empty(json_text(meta, k)) for k in ("effective_provider", "provider", "provider_name")),
-                    "provider",
-                    F.lit(""),
+                    *(non_empty(meta(k)) for k in ("effective_provider", "provider", "provider_name")), "provider", F.lit("")
                 ),
                 "research_flow": text("research_flow"),
                 "service_name": text("service"),
                 "operation_name": text("operation"),
                 "company_id": text("company_id"),
                 "metadata_research_run_id": text("research_run_id"),
-                "grounding": json_number(meta, "grounding_queries"),
-                "billable": json_number(meta, "billable_units"),
-                "success": json_bool(meta, "success"),
-                "emails_raw": json_count(meta, EMAIL_KEYS),
-                "people_raw": json_count(meta, PEOPLE_KEYS),
-                "companies_raw": json_count(meta, COMPANY_KEYS),
-                "generic_raw": json_count(meta, GENERIC_KEYS),
-                "phones_raw": json_count(meta, PHONE_KEYS),
+                "grounding": number_of(meta("grounding_queries")),
+                "billable": number_of(meta("billable_units")),
+                "success": bool_of(meta("success")),
+                "emails_raw": count(EMAIL_KEYS),
+                "people_raw": count(PEOPLE_KEYS),
+                "companies_raw": count(COMPANY_KEYS),
+                "generic_raw": count(GENERIC_KEYS),
+                "phones_raw": count(PHONE_KEYS),
                 "all_tokens": F.when(
                     F.coalesce(F.col("total_tokens"), F.lit(0)) > 0, F.col("total_tokens")
                 ).otherwise(tokens_in + tokens_out),
@@ -758,11 +764,11 @@ def reprice_missing(usage: DataFrame, as_of) -> DataFrame:
 
     Returns the whole ledger with `repriced` telling the changed rows.
     """
-    meta, provider = F.col("_meta"), F.col("provider")
+    provider = F.col("provider")
     kind = "decimal(38,6)"
 
     def units(key: str) -> Column:
-        text = json_text(meta, key)
+        text = F.col(f"_meta.{key}")
         return F.nullif(F.when(text.rlike(UNSIGNED_PATTERN), text.cast(kind)), F.lit(0).cast(kind))
 
     def stored_units(name: str) -> Column:
@@ -775,7 +781,7 @@ def reprice_missing(usage: DataFrame, as_of) -> DataFrame:
     )
     icy_units = F.coalesce(units("found_emails"), units("billable_units"), stored_units("output_tokens"), stored_units("api_calls"))
     ark = (provider == "ai_ark") & (
-        (F.col("model_name") == REPRICED["ai_ark"]["model"]) | (json_text(meta, "action") == "similar_companies")
+        (F.col("model_name") == REPRICED["ai_ark"]["model"]) | (F.col("_meta.action") == "similar_companies")
     )
     icy = (provider == "icypeas") & F.col("model_name").like("icypeas%")
     unpriced = (F.coalesce("list_cost", F.lit(0)) == 0) | (F.coalesce("billed_cost", F.lit(0)) == 0)
@@ -788,7 +794,7 @@ def reprice_missing(usage: DataFrame, as_of) -> DataFrame:
         return F.round(F.col("priced_units") * rate, 6).cast("decimal(12,6)")
 
     rows = (
-        usage.withColumn("_meta", json_object_of(F.col("metadata")))
+        usage.withColumn("_meta", json_fields(F.col("metadata"), ["action", "billable_units", "profiles_returned", "total_credits", "found_emails"]))
         .withColumn("repriced", hit)
         .withColumn("priced_units", F.when(F.col("repriced"), F.when(provider == "ai_ark", ark_units).otherwise(icy_units)))
         .drop("_meta")
