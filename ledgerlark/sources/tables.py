@@ -5,28 +5,27 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from ledgerlark.session import use_utc
 from ledgerlark.sources.adapters import ADAPTERS, BASE_TABLES, dependencies
 
 # declared layouts of the core facts, for callers that read their own files
 SCHEMAS = {
-    "usage": T.StructType.fromDDL(
+    "usage": (
         "id string, organization_id string, session_id string, provider string, model_name string, api_calls int,"
         " input_tokens int, output_tokens int, total_tokens int, run_id string, usage_context string,"
         " campaign_id string, user_id string, invoice_id string, list_cost decimal(12,6), billed_cost decimal(12,6),"
         " metadata string, created_at timestamp"
     ),
-    "email_reply_events": T.StructType.fromDDL(
+    "email_reply_events": (
         "organization_id string, dedup_key string, email_id string, account_id string, thread_id string,"
         " contact_id string, campaign_id string, received_at timestamp, classification string, relevance string"
     ),
-    "provider_event_log": T.StructType.fromDDL(
+    "provider_event_log": (
         "id string, organization_id string, dedup_key string, provider string, event_type string,"
         " raw_payload string, occurred_at timestamp, received_at timestamp"
     ),
-    "linkedin_action_log": T.StructType.fromDDL(
+    "linkedin_action_log": (
         "id string, organization_id string, account_id string, action_type string, success boolean,"
         " campaign_id string, payload string, created_at timestamp"
     ),
