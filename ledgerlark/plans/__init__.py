@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("usage",)
+FAMILIES = ("usage", "billing", "dashboard", "funnel")
 
 
 def load():

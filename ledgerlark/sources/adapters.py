@@ -266,7 +266,132 @@ SELECT event_id AS id, {_org('user_id')} AS organization_id, 's' || CAST(user_id
 FROM {{events}}
 """
 
+# ---------------------------------------------------------------- billing
+
+BILLING_INVOICES = f"""
+SELECT 'inv' || CAST(o_orderkey AS STRING) AS id, {_org('o_custkey')} AS organization_id,
+       CAST(o_totalprice AS DECIMAL(12,2)) AS total,
+       CASE o_orderkey % 6 WHEN 0 THEN 'paid' WHEN 1 THEN 'open' WHEN 2 THEN 'sent' WHEN 3 THEN 'draft' WHEN 4 THEN 'failed' ELSE 'void' END AS status,
+       CAST(o_orderdate AS TIMESTAMP) AS period_start, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '7' DAY AS period_end,
+       CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '8' DAY END AS created_at
+FROM {{orders}}
+"""
+
+BILLING_CUSTOMERS = """
+SELECT 'org_' || CAST(r_regionkey * 2 AS STRING) AS organization_id, CASE WHEN r_regionkey % 2 = 0 THEN 'active' ELSE 'past_due' END AS status,
+       r_regionkey <> 1 AS auto_charge_enabled, 'billing' || CAST(r_regionkey AS STRING) || '@example.com' AS billing_email,
+       'visa' AS card_brand, '42' || CAST(10 + r_regionkey AS STRING) AS card_last4, CAST(500 AS DECIMAL(10,2)) AS monthly_spend_limit
+FROM {region}
+"""
+
+DISCOUNT_CODES = """
+SELECT 'CODE' || CAST(n_nationkey AS STRING) AS code, CASE WHEN n_nationkey % 2 = 0 THEN 'percentage' ELSE 'fixed_amount' END AS discount_type,
+       CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_nationkey * 20 AS INT) END AS max_uses,
+       CASE WHEN n_nationkey % 4 = 0 THEN TIMESTAMP '1998-01-01 00:00:00' + n_nationkey * INTERVAL '30' DAY END AS expires_at
+FROM {nation}
+"""
+
+DISCOUNT_REDEMPTIONS = f"""
+SELECT 'r' || CAST(o_orderkey AS STRING) AS id, 'CODE' || CAST(o_custkey % 20 AS STRING) AS code, {_org('o_custkey')} AS organization_id,
+       CAST(o_totalprice / 100 AS DECIMAL(12,2)) AS amount_discounted, CAST(o_orderdate AS TIMESTAMP) AS redeemed_at
+FROM {{orders}}
+"""
+
+# ---------------------------------------------------------------- outreach facts
+
+TASKS = f"""
+SELECT 'tk' || CAST(o_orderkey AS STRING) AS id, {_org('o_custkey')} AS organization_id,
+       CASE WHEN o_orderkey % 41 = 0 THEN CAST(NULL AS STRING) ELSE 'ct' || CAST(o_custkey AS STRING) END AS contact_id,
+       CASE WHEN o_orderkey % 9 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 47 = 0 THEN 'camp_missing'
+            ELSE 'camp_' || CAST((o_custkey % 4) + 4 * (o_custkey % 6) AS STRING) END AS campaign_id,
+       CASE WHEN o_orderkey % 5 <> 0 THEN 'co' || CAST((o_custkey % 4) + 4 * (o_custkey % 23) AS STRING) END AS company_id,
+       CASE o_orderkey % 12 WHEN 0 THEN 'meeting' WHEN 1 THEN 'company_verification' WHEN 2 THEN 'email_generation_processing' WHEN 3 THEN 'review_reply'
+            WHEN 4 THEN CAST(NULL AS STRING) WHEN 5 THEN 'connect' ELSE 'review_draft' END AS task_type,
+       CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'scheduled' ELSE 'in_review' END
+            ELSE CASE o_orderkey % 7 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'rejected' WHEN 2 THEN 'failed' WHEN 3 THEN 'pending' ELSE 'completed' END END AS status,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'sent_success' WHEN o_orderkey % 3 = 1 THEN 'sent_failed' END AS send_status,
+       CASE WHEN o_orderkey % 4 = 3 THEN CAST(NULL AS TIMESTAMP) ELSE CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 24) * INTERVAL '1' HOUR END AS sent_at,
+       CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 20) * INTERVAL '1' DAY END AS due_date,
+       CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 3) * INTERVAL '1' DAY END AS completed_at,
+       CASE WHEN o_orderkey % 53 = 0 THEN CAST(NULL AS TIMESTAMP) ELSE CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 5) * INTERVAL '1' MINUTE END AS created_at,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'user_' || CAST(o_custkey % 100 AS STRING) END AS created_by_user_id,
+       CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 8 = 1 THEN CAST(NULL AS STRING) ELSE 'msg-' || CAST(o_orderkey - o_orderkey % 2 AS STRING) END AS email_id,
+       CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE 'thread-' || CAST(o_custkey AS STRING) END AS thread_id,
+       CASE WHEN o_orderkey % 11 = 3 THEN 'linkedin' WHEN o_orderkey % 11 = 4 THEN 'manual' ELSE 'email' END AS channel,
+       CASE WHEN o_orderkey % 10 = 0 THEN '' WHEN o_orderkey % 10 = 1 THEN CAST(NULL AS STRING) ELSE 'Body ' || o_orderpriority END AS body,
+       CASE o_orderkey % 8 WHEN 0 THEN '{{{{"email_type":"initial"}}}}' WHEN 1 THEN '{{{{"emailType":"Reply "}}}}' WHEN 2 THEN '{{{{"type":"timeslots"}}}}'
+            WHEN 3 THEN '{{{{"email_type":"initial","open_tracking":{{{{"first_opened_at":"1997-03-04 05:06:07"}}}}}}}}'
+            WHEN 4 THEN '{{{{"email_type":"","open_tracking":{{{{"first_opened_at":"","last_opened_at":"1998-05-06"}}}}}}}}'
+            WHEN 5 THEN '{{{{"email_type":"positive_follow_up_1","open_tracking":{{{{"first_opened_at":"soon"}}}}}}}}' END AS metadata
+FROM {{orders}}
+"""
+
+CAMPAIGN_EMAILS = f"""
+SELECT 'em' || CAST(o_orderkey AS STRING) AS id, {_org('o_custkey')} AS organization_id,
+       CASE WHEN o_orderkey % 59 = 0 THEN CAST(NULL AS STRING) ELSE 'camp_' || CAST((o_custkey % 4) + 4 * (o_custkey % 6) AS STRING) END AS campaign_id,
+       'ct' || CAST(o_custkey AS STRING) AS contact_id,
+       CASE o_orderkey % 9 WHEN 0 THEN 'draft' WHEN 1 THEN 'sent' WHEN 2 THEN 'delivered' WHEN 3 THEN 'opened' WHEN 4 THEN 'clicked' WHEN 5 THEN 'replied'
+            WHEN 6 THEN 'bounced' WHEN 7 THEN 'failed' ELSE 'scheduled' END AS status,
+       CASE WHEN o_orderkey % 6 = 0 THEN 'msg-' || CAST(o_orderkey AS STRING) WHEN o_orderkey % 6 = 1 THEN '' END AS message_id,
+       CASE WHEN o_orderkey % 7 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 7 = 1 THEN '' ELSE 'thread-' || CAST(o_custkey AS STRING) END AS thread_id,
+       CASE WHEN o_orderkey % 5 = 0 THEN CAST(NULL AS TIMESTAMP) ELSE CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 24) * INTERVAL '1' HOUR END AS sent_at,
+       CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' DAY END AS opened_at,
+       CASE WHEN o_orderkey % 8 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '3' DAY END AS replied_at,
+       CASE WHEN o_orderkey % 16 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '60' HOUR END AS reply_received_at,
+       CASE WHEN o_orderkey % 19 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' HOUR END AS bounced_at,
+       CASE o_orderkey % 10 WHEN 0 THEN '{{{{"email_type":"reply"}}}}' WHEN 1 THEN '{{{{"email_type":"initial"}}}}' WHEN 2 THEN '{{{{"replyType":" General_Response "}}}}'
+            WHEN 3 THEN '{{{{"email_type":null,"type":"inquiry_response"}}}}' END AS metadata,
+       CAST(o_orderdate AS TIMESTAMP) AS created_at
+FROM {{orders}}
+"""
+
+# the reply stream delivers every tenth event twice under one dedup key
+EMAIL_REPLY_EVENTS = f"""
+SELECT {_org('user_id')} AS organization_id, 'reply:' || CAST(CASE WHEN event_id % 10 = 1 THEN event_id - 1 ELSE event_id END AS STRING) AS dedup_key,
+       'msg-' || CAST(event_id AS STRING) AS email_id, 'acct_' || CAST(user_id % 9 AS STRING) AS account_id,
+       CASE WHEN event_id % 6 = 0 THEN '' WHEN event_id % 6 = 1 THEN CAST(NULL AS STRING) ELSE 'thread-' || CAST(user_id AS STRING) END AS thread_id,
+       CASE WHEN event_id % 4 <> 0 THEN 'ct' || CAST(user_id AS STRING) END AS contact_id,
+       CASE WHEN event_id % 7 = 0 THEN CAST(NULL AS STRING) ELSE 'camp_' || CAST((user_id % 4) + 4 * (user_id % 6) AS STRING) END AS campaign_id,
+       CAST(ts AS TIMESTAMP) AS received_at,
+       CASE event_id % 3 WHEN 0 THEN 'interested' WHEN 1 THEN 'question' ELSE 'other' END AS classification,
+       CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'low' END AS relevance
+FROM {{events}}
+"""
+
+SHORT_URLS = f"""
+SELECT 'url' || CAST(page_id AS STRING) AS id, {_org('page_id')} AS organization_id, url AS target_url,
+       CASE WHEN page_id % 3 = 0 THEN {_day('page_id % 60', 'DAY')} END AS expires_at, page_id % 5 <> 0 AS is_active
+FROM {{pages}}
+"""
+
+DOCUMENT_ACCESS_EVENTS = """
+SELECT 'a' || CAST(event_id AS STRING) AS id, 'url' || CAST(event_id % 200 AS STRING) AS short_url_id,
+       CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'view_end' ELSE event_type END AS event_type,
+       CAST(floor(value) AS INT) AS duration_seconds, CAST(ts AS TIMESTAMP) AS accessed_at
+FROM {events}
+"""
+
+LINKEDIN_ACTION_LOG = f"""
+SELECT 'la' || CAST(event_id AS STRING) AS id, {_org('user_id')} AS organization_id, 'acct_' || CAST(user_id % 9 AS STRING) AS account_id,
+       CASE event_type WHEN 'view' THEN 'profile_view' WHEN 'click' THEN 'connect' WHEN 'signup' THEN 'message' ELSE 'invite' END AS action_type,
+       CASE WHEN event_id % 9 = 0 THEN FALSE WHEN event_id % 31 = 0 THEN CAST(NULL AS BOOLEAN) ELSE TRUE END AS success,
+       CASE WHEN event_id % 4 = 0 THEN 'camp_' || CAST((user_id % 4) + 4 * (user_id % 6) AS STRING) END AS campaign_id,
+       CASE WHEN event_id % 3 <> 0 THEN '{{{{"task_id":"tk' || CAST(event_id AS STRING) || '"}}}}' END AS payload,
+       CAST(ts AS TIMESTAMP) AS created_at
+FROM {{events}}
+"""
+
 ADAPTERS = {
+    "billing_invoices": BILLING_INVOICES,
+    "billing_customers": BILLING_CUSTOMERS,
+    "discount_codes": DISCOUNT_CODES,
+    "discount_redemptions": DISCOUNT_REDEMPTIONS,
+    "tasks": TASKS,
+    "campaign_emails": CAMPAIGN_EMAILS,
+    "email_reply_events": EMAIL_REPLY_EVENTS,
+    "short_urls": SHORT_URLS,
+    "document_access_events": DOCUMENT_ACCESS_EVENTS,
+    "linkedin_action_log": LINKEDIN_ACTION_LOG,
     "agent_runs": AGENT_RUNS,
     "token_usage": TOKEN_USAGE,
     "organization": ORGANIZATION,
