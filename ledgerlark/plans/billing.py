@@ -71,8 +71,8 @@ def _modern(t):
 
 @query(
     "billing_invoice_numbers",
-    """WITH dated AS (SELECT *, coalesce(created_at, period_end) AS at FROM billing_invoices WHERE coalesce(created_at, period_end) >= TIMESTAMP '2000-01-01 00:00:00')
-    SELECT id, CAST(year(at) AS INT) AS invoice_year, 'INV-' || year(at) || '/' || lpad(CAST(100000 + row_number() OVER (PARTITION BY year(at) ORDER BY at, id) AS VARCHAR), 6, '0') AS invoice_number FROM dated""",
+    """WITH dated AS (SELECT *, coalesce(created_at, period_end) AS tm FROM billing_invoices WHERE coalesce(created_at, period_end) >= TIMESTAMP '2000-01-01 00:00:00')
+    SELECT id, CAST(year(tm) AS INT) AS invoice_year, 'INV-' || year(tm) || '/' || lpad(CAST(100000 + row_number() OVER (PARTITION BY year(tm) ORDER BY tm, id) AS VARCHAR), 6, '0') AS invoice_number FROM dated""",
 )
 def _numbers(t):
     return B.assign_invoice_numbers(_modern(t)).select("id", "invoice_year", "invoice_number")

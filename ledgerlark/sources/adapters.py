@@ -293,7 +293,7 @@ FROM {nation}
 
 DISCOUNT_REDEMPTIONS = f"""
 SELECT 'r' || CAST(o_orderkey AS STRING) AS id, 'CODE' || CAST(o_custkey % 20 AS STRING) AS code, {_org('o_custkey')} AS organization_id,
-       CAST(o_totalprice / 100 AS DECIMAL(12,2)) AS amount_discounted, CAST(o_orderdate AS TIMESTAMP) AS redeemed_at
+       CAST(CAST(floor(o_totalprice / 100) AS BIGINT) AS DECIMAL(12,2)) AS amount_discounted, CAST(o_orderdate AS TIMESTAMP) AS redeemed_at
 FROM {{orders}}
 """
 
