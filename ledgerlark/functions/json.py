@@ -87,15 +87,19 @@ def count_of(values: Sequence[Column]) -> Column:
     return F.coalesce(found, F.lit(0).cast(COUNT_TYPE))
 
 
-def json_set(text: Column, extra: dict[str, Column]) -> Column:
-    """Merge top-level text entries into a flat JSON object, replacing equal keys.
+def json_set(text: Column, strings: dict[str, Column], values: dict[str, Column] | None = None) -> Column:
+    """Merge top-level entries into a JSON object, replacing equal keys; the others keep their types.
 
-    Values are written as JSON strings; the object keeps its other entries as text.
+    `strings` are written as JSON strings, `values` are JSON texts. Text that holds no object
+    counts as an empty one.
     """
-    base = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(base, lambda k, _: ~k.isin(*extra))
-    added = F.create_map(*(c for k, v in extra.items() for c in (F.lit(k), v.cast("string"))))
-    return F.to_json(F.map_concat(kept, added))
+    added = {k: v.cast("variant") for k, v in strings.items()}
+    added.update({k: F.parse_json(v) for k, v in (values or {}).items()})
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    base = F.coalesce(F.try_variant_get(json_object_of(text), "$", "map<string,variant>"), empty)
+    kept = F.map_filter(base, lambda k, _: ~k.isin(*added))
+    extra = F.map_from_arrays(F.array(*(F.lit(k) for k in added)), F.array(*added.values()))
+    return F.to_json(F.map_concat(kept, extra))
 
 
 def json_contains(text: Column, wanted: dict[str, object]) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("usage", "billing", "dashboard", "funnel")
+FAMILIES = ("usage", "billing", "dashboard", "funnel", "outreach", "identity")
 
 
 def load():

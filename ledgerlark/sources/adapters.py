@@ -166,9 +166,9 @@ SELECT 'camp_' || CAST(n_nationkey AS STRING) AS id,
        '[{{{{"id":"co' || CAST(n_nationkey AS STRING) || '","selected":true}}}},{{{{"id":"co' || CAST(n_nationkey + 1 AS STRING)
             || '","selected":false}}}},{{{{"id":"co' || CAST(n_nationkey + 2 AS STRING) || '"}}}}]' AS curated_companies,
        CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_nationkey % 4 AS INT) END AS wizard_step,
-       CASE WHEN n_nationkey % 2 = 0 THEN TRUE END AS autosend_email_enabled,
-       CASE WHEN n_nationkey % 3 = 0 THEN 0.7 ELSE 0.4 END AS autosend_min_confidence,
-       CASE WHEN n_nationkey % 4 = 0 THEN 'interested,question' ELSE 'interested' END AS autosend_intents_text,
+       CASE WHEN n_nationkey % 2 = 0 THEN TRUE END AS autosend_email, n_nationkey % 3 <> 1 AS autosend_linkedin,
+       CAST(CASE WHEN n_nationkey % 3 = 0 THEN '0.70' ELSE '0.40' END AS DECIMAL(3,2)) AS autosend_min_confidence,
+       CASE WHEN n_nationkey % 4 = 0 THEN 'ooo,question' ELSE 'ooo' END AS autosend_intents_text,
        {_day('n_nationkey * 5')} AS created_at
 FROM {{nation}}
 """
@@ -306,7 +306,7 @@ SELECT 'tk' || CAST(o_orderkey AS STRING) AS id, {_org('o_custkey')} AS organiza
             ELSE 'camp_' || CAST((o_custkey % 4) + 4 * (o_custkey % 6) AS STRING) END AS campaign_id,
        CASE WHEN o_orderkey % 5 <> 0 THEN 'co' || CAST((o_custkey % 4) + 4 * (o_custkey % 23) AS STRING) END AS company_id,
        CASE o_orderkey % 12 WHEN 0 THEN 'meeting' WHEN 1 THEN 'company_verification' WHEN 2 THEN 'email_generation_processing' WHEN 3 THEN 'review_reply'
-            WHEN 4 THEN CAST(NULL AS STRING) WHEN 5 THEN 'connect' ELSE 'review_draft' END AS task_type,
+            WHEN 4 THEN CAST(NULL AS STRING) WHEN 5 THEN 'connect' WHEN 8 THEN CASE WHEN o_orderkey % 24 = 8 THEN 'manual_outreach' ELSE 'review_draft' END ELSE 'review_draft' END AS task_type,
        CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'scheduled' ELSE 'in_review' END
             ELSE CASE o_orderkey % 7 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'rejected' WHEN 2 THEN 'failed' WHEN 3 THEN 'pending' ELSE 'completed' END END AS status,
        CASE WHEN o_orderkey % 3 = 0 THEN 'sent_success' WHEN o_orderkey % 3 = 1 THEN 'sent_failed' END AS send_status,
@@ -316,13 +316,14 @@ SELECT 'tk' || CAST(o_orderkey AS STRING) AS id, {_org('o_custkey')} AS organiza
        CASE WHEN o_orderkey % 53 = 0 THEN CAST(NULL AS TIMESTAMP) ELSE CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 5) * INTERVAL '1' MINUTE END AS created_at,
        CASE WHEN o_orderkey % 5 = 0 THEN 'user_' || CAST(o_custkey % 100 AS STRING) END AS created_by_user_id,
        CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 8 = 1 THEN CAST(NULL AS STRING) ELSE 'msg-' || CAST(o_orderkey - o_orderkey % 2 AS STRING) END AS email_id,
-       CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE 'thread-' || CAST(o_custkey AS STRING) END AS thread_id,
+       CASE WHEN o_orderkey % 5 = 1 THEN '' WHEN o_orderkey % 5 = 2 THEN CAST(NULL AS STRING) ELSE 'thread-' || CAST(o_custkey AS STRING) END AS thread_id,
        CASE WHEN o_orderkey % 11 = 3 THEN 'linkedin' WHEN o_orderkey % 11 = 4 THEN 'manual' ELSE 'email' END AS channel,
        CASE WHEN o_orderkey % 10 = 0 THEN '' WHEN o_orderkey % 10 = 1 THEN CAST(NULL AS STRING) ELSE 'Body ' || o_orderpriority END AS body,
        CASE o_orderkey % 8 WHEN 0 THEN '{{{{"email_type":"initial"}}}}' WHEN 1 THEN '{{{{"emailType":"Reply "}}}}' WHEN 2 THEN '{{{{"type":"timeslots"}}}}'
             WHEN 3 THEN '{{{{"email_type":"initial","open_tracking":{{{{"first_opened_at":"1997-03-04 05:06:07"}}}}}}}}'
             WHEN 4 THEN '{{{{"email_type":"","open_tracking":{{{{"first_opened_at":"","last_opened_at":"1998-05-06"}}}}}}}}'
-            WHEN 5 THEN '{{{{"email_type":"positive_follow_up_1","open_tracking":{{{{"first_opened_at":"soon"}}}}}}}}' END AS metadata
+            WHEN 5 THEN '{{{{"email_type":"positive_follow_up_1","open_tracking":{{{{"first_opened_at":"soon"}}}}}}}}'
+            WHEN 6 THEN '{{{{"copy_claimed_at":"2002-01-0' || CAST(1 + o_orderkey % 9 AS STRING) || ' 10:00:00","n":3}}}}' WHEN 7 THEN '{{{{"channel":"linkedin"}}}}' END AS metadata
 FROM {{orders}}
 """
 
@@ -381,7 +382,110 @@ SELECT 'la' || CAST(event_id AS STRING) AS id, {_org('user_id')} AS organization
 FROM {{events}}
 """
 
+CAMPAIGN_CONTACTS = f"""
+SELECT 'jr' || CAST(c_custkey AS STRING) AS id, {_org('c_custkey')} AS organization_id,
+       'camp_' || CAST((c_custkey % 4) + 4 * (c_custkey % 6) AS STRING) AS campaign_id, 'ct' || CAST(c_custkey AS STRING) AS contact_id,
+       CASE WHEN c_custkey % 5 = 0 THEN 'removed' ELSE 'active' END AS status, 'manual' AS source_type,
+       CASE c_custkey % 9 WHEN 0 THEN 'pending' WHEN 1 THEN 'queued_invite' WHEN 2 THEN 'invited' WHEN 3 THEN 'accepted' WHEN 4 THEN 'replied' WHEN 5 THEN 'declined'
+            WHEN 6 THEN 'completed' WHEN 7 THEN 'messaged' ELSE 'cancelled' END AS journey_state,
+       CASE WHEN c_custkey % 4 <> 3 THEN {_day('c_custkey % 900')} END AS next_action_at, {_day('c_custkey % 800')} AS added_at
+FROM {{customer}} WHERE c_custkey % 8 <> 0
+"""
+
+SEQUENCE_ACTIONS = f"""
+SELECT 'sa' || CAST(o_orderkey AS STRING) AS id, {_org('o_custkey')} AS organization_id, 'jr' || CAST(o_custkey AS STRING) AS campaign_contact_id,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'email' ELSE 'linkedin' END AS channel, 'step_' || CAST(o_orderkey % 3 AS STRING) AS action_type,
+       CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'claimed' WHEN 2 THEN 'done' ELSE 'pending' END AS status,
+       CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS scheduled_at,
+       CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '100' DAY END AS retry_at,
+       CASE WHEN o_orderkey % 8 = 1 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY END AS lease_expires_at,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 AS INT) END AS attempts,
+       CASE WHEN o_orderkey % 3 <> 2 THEN 'tk' || CAST(o_orderkey AS STRING) END AS review_task_id
+FROM {{orders}}
+"""
+
+CAMPAIGN_ACTIVITIES = f"""
+SELECT 'ac' || CAST(event_id AS STRING) AS id, {_org('user_id')} AS organization_id, 'camp_' || CAST((user_id % 4) + 4 * (user_id % 6) AS STRING) AS campaign_id,
+       CASE event_type WHEN 'purchase' THEN 'meeting_booked' ELSE event_type END AS activity_type, CAST(ts AS TIMESTAMP) AS created_at
+FROM {{events}}
+"""
+
+EMAIL_STATUS_CHANGES = """
+SELECT id, organization_id, campaign_id, contact_id, status, message_id, thread_id, sent_at, opened_at, replied_at, bounced_at,
+       CASE WHEN opened_at IS NULL THEN sent_at END AS delivered_at,
+       CASE WHEN message_id IS NULL THEN 'Hello ' || contact_id END AS subject,
+       CASE WHEN thread_id IS NULL THEN CAST(NULL AS STRING) WHEN bounced_at IS NULL THEN 'scheduled' ELSE 'bounced' END AS old_status
+FROM {campaign_emails}
+"""
+
+# companies named by a list: by URL, by name in another case, by domain, or unknown
+OUTREACH_CANDIDATES = f"""
+SELECT 'cand' || CAST(p_partkey AS STRING) AS candidate_id, {_org('p_partkey')} AS organization_id,
+       CASE p_partkey % 5 WHEN 0 THEN 'https://www.linkedin.com/company/c-' || CAST(p_partkey % 90 AS STRING) || '/' WHEN 1 THEN '' END AS profile_url,
+       CASE p_partkey % 3 WHEN 0 THEN 'SUPPLIER#' || lpad(CAST(p_partkey % 150 AS STRING), 9, '0') WHEN 1 THEN 'acme' END AS name,
+       CASE WHEN p_partkey % 4 <> 3 THEN 'company' || CAST(p_partkey % 80 AS STRING) || '.example.com' END AS domain
+FROM {{part}}
+"""
+
+SUPPRESSIONS = f"""
+SELECT CASE WHEN c_custkey % 2 = 0 THEN 'Person' ELSE 'person' END || CAST(c_custkey % 700 AS STRING) || '@example.com' AS email,
+       CASE WHEN c_custkey % 9 <> 0 THEN {_org('c_custkey')} END AS organization_id,
+       CASE WHEN c_custkey % 2 = 0 THEN 'onboarding_lifecycle' ELSE 'marketing' END AS scope
+FROM {{customer}} WHERE c_custkey % 5 = 0
+"""
+
+REPLY_DRAFTS = f"""
+SELECT 'rd' || CAST(event_id AS STRING) AS id, {_org('user_id')} AS organization_id, 'camp_' || CAST((user_id % 4) + 4 * (user_id % 7) AS STRING) AS campaign_id,
+       CASE WHEN event_id % 3 = 0 THEN 'linkedin' ELSE 'email' END AS channel,
+       CASE event_id % 4 WHEN 0 THEN 'ooo' WHEN 1 THEN 'question' WHEN 2 THEN 'objection' END AS intent,
+       CASE WHEN event_id % 11 <> 0 THEN CAST('0.' || lpad(CAST(event_id % 100 AS STRING), 2, '0') AS DECIMAL(3,2)) END AS confidence
+FROM {{events}}
+"""
+
+RAW_UPDATES = f"""
+SELECT 'raw' || CAST(p_partkey AS STRING) AS record_id, {_org('p_partkey')} AS organization_id,
+       CASE WHEN p_partkey % 2 = 0 THEN 'co' || CAST(p_partkey % 100 AS STRING) END AS company_id,
+       CASE WHEN p_partkey % 3 = 0 THEN 'ct' || CAST(p_partkey % 100 AS STRING) END AS person_id
+FROM {{part}} WHERE p_size > 20
+"""
+
+CRM_RAW_RECORDS = f"""
+SELECT 'raw' || CAST(p_partkey AS STRING) AS id, {_org('p_partkey')} AS organization_id, p_name AS raw_name,
+       CASE WHEN p_partkey % 7 = 0 THEN 'co7' END AS extracted_company_id, CAST(NULL AS STRING) AS extracted_person_id
+FROM {{part}}
+"""
+
+CRM_LIST_MEMBERS = f"""
+SELECT {_org('o_custkey')} AS organization_id, 'list' || CAST(o_custkey % 10 AS STRING) AS list_id,
+       CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 50 = 1 THEN 'co' || CAST(o_custkey % 100 AS STRING) END AS company_id,
+       CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 40 <> 2 THEN 'ct' || CAST(o_custkey AS STRING) END AS contact_id, CAST(o_orderdate AS TIMESTAMP) AS created_at
+FROM {{orders}}
+"""
+
+# older drafts: some are tasks already, some name lost contacts, companies or campaigns
+EMAIL_COPY_DRAFTS = f"""
+SELECT 'tk' || CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 10000000 + o_orderkey END AS STRING) AS id, {_org('o_custkey')} AS organization_id,
+       'ct' || CAST(CASE WHEN o_orderkey % 13 = 0 THEN 900000000 ELSE o_custkey END AS STRING) AS contact_id,
+       CASE WHEN o_orderkey % 17 = 0 THEN 'co_missing' WHEN o_orderkey % 3 = 0 THEN 'co' || CAST(o_custkey % 4 AS STRING) END AS company_id,
+       CASE WHEN o_orderkey % 19 = 0 THEN 'camp_missing' WHEN o_orderkey % 4 <> 1 THEN 'camp_' || CAST(o_custkey % 4 AS STRING) END AS campaign_id,
+       CASE o_orderkey % 6 WHEN 0 THEN 'sent' WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' WHEN 3 THEN 'in_review' WHEN 4 THEN 'odd' ELSE 'pending' END AS status,
+       CASE WHEN o_orderkey % 5 <> 0 THEN 'Copy ' || CAST(o_orderkey AS STRING) END AS body, 'Subject ' || o_orderpriority AS subject, CAST(NULL AS STRING) AS thread_id,
+       CASE WHEN o_orderkey % 6 = 0 THEN 'sent_success' END AS send_status, CAST(NULL AS TIMESTAMP) AS sent_at, CAST(NULL AS STRING) AS metadata, CAST(o_orderdate AS TIMESTAMP) AS created_at
+FROM {{orders}}
+"""
+
 ADAPTERS = {
+    "campaign_contacts": CAMPAIGN_CONTACTS,
+    "sequence_actions": SEQUENCE_ACTIONS,
+    "campaign_activities": CAMPAIGN_ACTIVITIES,
+    "email_status_changes": EMAIL_STATUS_CHANGES,
+    "outreach_candidates": OUTREACH_CANDIDATES,
+    "suppressions": SUPPRESSIONS,
+    "reply_drafts": REPLY_DRAFTS,
+    "raw_updates": RAW_UPDATES,
+    "crm_raw_records": CRM_RAW_RECORDS,
+    "crm_list_members": CRM_LIST_MEMBERS,
+    "email_copy_drafts": EMAIL_COPY_DRAFTS,
     "billing_invoices": BILLING_INVOICES,
     "billing_customers": BILLING_CUSTOMERS,
     "discount_codes": DISCOUNT_CODES,
