@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("usage", "billing", "dashboard", "funnel", "outreach", "identity")
+FAMILIES = ("usage", "billing", "dashboard", "funnel", "outreach", "identity", "deals")
 
 
 def load():

@@ -122,7 +122,7 @@ SELECT 'co' || CAST(s_suppkey AS STRING) AS id,
        CASE WHEN s_suppkey % 3 = 0 THEN CAST(NULL AS STRING) WHEN s_suppkey % 3 = 1 THEN 'Software,Energy'
             ELSE 'Industry ' || CAST(s_nationkey AS STRING) END AS industry_text,
        CASE WHEN s_suppkey % 6 = 0 THEN CAST(NULL AS STRING)
-            ELSE '{{{{"score":' || CAST(s_suppkey % 100 AS STRING) || ',"is_blocked":' || CASE WHEN s_suppkey % 10 = 3 THEN 'true' ELSE 'false' END
+            ELSE '{{{{"score":' || CAST(s_suppkey % 100 AS STRING) || ',"blocked":' || CASE WHEN s_suppkey % 10 = 3 THEN 'true' ELSE 'false' END
                  || ',"failed_filters":["size' || CAST(s_suppkey % 3 AS STRING) || '","region"]}}}}' END AS icp_score,
        CASE WHEN s_suppkey % 10 = 3 OR s_suppkey % 10 = 6 THEN
             '{{{{"steps":[{{{{"step":"early_block_check","failed_filters":["industry"]}}}},{{{{"step":"icp_scoring","failed_filters":["size","country' || CAST(s_suppkey % 4 AS STRING) || '"]}}}},{{{{"step":"other"}}}}]}}}}' END AS processing_log,
@@ -134,7 +134,7 @@ SELECT 'co' || CAST(s_suppkey AS STRING) AS id,
        CASE WHEN s_suppkey % 12 = 0 THEN TRUE END AS is_competitor,
        CASE WHEN s_suppkey % 4 = 0 THEN TRUE WHEN s_suppkey % 4 = 1 THEN FALSE END AS used_for_outreach,
        CAST(s_suppkey % 3 AS INT) AS outreach_count,
-       CASE WHEN s_suppkey % 2 = 0 THEN 'user_' || CAST(s_suppkey % 100 AS STRING) END AS owner_user_id,
+       CASE WHEN s_suppkey % 14 = 0 THEN 'user_outsider' WHEN s_suppkey % 2 = 0 THEN 'user_' || CAST(s_suppkey % 100 AS STRING) END AS owner_user_id,
        CASE WHEN s_suppkey % 7 = 0 THEN 'f1,f2' WHEN s_suppkey % 7 = 1 THEN 'f3' END AS file_ids_text,
        {_day('s_suppkey % 900')} AS created_at
 FROM {{supplier}}
@@ -474,7 +474,93 @@ SELECT 'tk' || CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 10000000 +
 FROM {{orders}}
 """
 
+# ---------------------------------------------------------------- deals
+
+DEALS = f"""
+SELECT id, organization_id, company_id, primary_contact_id, stage_contact_id, source_campaign_id, owner_user_id, name, stage, amount, currency, creation_source,
+       nurture_enabled, snoozed_until, stage_updated_at, last_activity_at, CASE WHEN stage IN ('WON', 'LOST') THEN stage_updated_at END AS closed_at, created_at
+FROM (
+  SELECT 'dl' || CAST(s_suppkey AS STRING) AS id, {_org('s_suppkey')} AS organization_id, 'co' || CAST(s_suppkey AS STRING) AS company_id,
+         'ct' || CAST(s_suppkey AS STRING) AS primary_contact_id, CASE WHEN s_suppkey % 3 = 0 THEN 'ct' || CAST(s_suppkey AS STRING) END AS stage_contact_id,
+         CASE WHEN s_suppkey % 5 = 0 THEN 'camp_' || CAST(s_suppkey % 4 AS STRING) END AS source_campaign_id,
+         CASE WHEN s_suppkey % 3 = 1 THEN 'user_' || CAST(s_suppkey % 100 AS STRING) END AS owner_user_id, 'Deal ' || s_name AS name,
+         CASE s_suppkey % 8 WHEN 0 THEN 'LEAD' WHEN 1 THEN 'MEETING_REQUESTED' WHEN 2 THEN 'MEETING_BOOKED' WHEN 3 THEN 'PRESENTATION' WHEN 4 THEN 'NEGOTIATION'
+              WHEN 5 THEN 'AGREEMENT' WHEN 6 THEN 'WON' ELSE 'LOST' END AS stage,
+         CAST(1000 + s_suppkey AS DECIMAL(14,2)) AS amount, CASE WHEN s_suppkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
+         CASE WHEN s_suppkey % 4 = 2 THEN 'manual' ELSE 'automatic' END AS creation_source, s_suppkey % 7 <> 0 AS nurture_enabled,
+         CASE WHEN s_suppkey % 10 = 0 THEN {_day('s_suppkey % 90', 'DAY')} END AS snoozed_until, {_day('s_suppkey % 60', 'DAY')} AS stage_updated_at,
+         {_day('s_suppkey % 50', 'DAY')} AS last_activity_at, {_day('s_suppkey % 40')} AS created_at
+  FROM {{supplier}} WHERE s_suppkey % 9 <> 4
+  UNION ALL
+  SELECT 'dm' || CAST(s_suppkey AS STRING), {_org('s_suppkey')}, 'co' || CAST(s_suppkey AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING),
+         'Second ' || s_name, CASE WHEN s_suppkey % 24 = 1 THEN 'LEAD' ELSE 'LOST' END, CAST(NULL AS DECIMAL(14,2)), 'USD', 'manual', TRUE, CAST(NULL AS TIMESTAMP),
+         {_day('s_suppkey % 30', 'DAY')}, {_day('s_suppkey % 20', 'DAY')}, {_day('s_suppkey % 10')}
+  FROM {{supplier}} WHERE s_suppkey % 6 = 1
+) all_deals
+"""
+
+# the same deals one edit later; some are new, some gone
+DEALS_AFTER = """
+SELECT id, organization_id, company_id, primary_contact_id, stage_contact_id, source_campaign_id,
+       CASE WHEN k % 3 = 0 THEN 'user_' || CAST(k % 100 AS STRING) WHEN k % 12 = 1 THEN CAST(NULL AS STRING) ELSE owner_user_id END AS owner_user_id, name,
+       CASE WHEN k % 5 = 1 AND closed_at IS NULL THEN 'WON' WHEN k % 5 = 2 AND closed_at IS NULL THEN 'AGREEMENT' WHEN k % 5 = 3 THEN 'LEAD' ELSE stage END AS stage,
+       CASE WHEN k % 4 = 1 THEN amount + 5 WHEN k % 16 = 2 THEN CAST(NULL AS DECIMAL(14,2)) ELSE amount END AS amount, CASE WHEN k % 10 = 7 THEN 'GBP' ELSE currency END AS currency, creation_source,
+       CASE WHEN k % 11 = 3 THEN NOT nurture_enabled ELSE nurture_enabled END AS nurture_enabled, CASE WHEN k % 10 = 0 THEN CAST(NULL AS TIMESTAMP) WHEN k % 13 = 5 THEN TIMESTAMP '2024-08-01 00:00:00' ELSE snoozed_until END AS snoozed_until,
+       stage_updated_at, last_activity_at,
+       CASE WHEN k % 5 = 1 AND closed_at IS NULL THEN TIMESTAMP '2024-05-01 00:00:00' WHEN k % 5 = 3 THEN CAST(NULL AS TIMESTAMP) ELSE closed_at END AS closed_at, created_at
+FROM (SELECT *, CAST(substr(id, 3) AS BIGINT) AS k FROM {deals} WHERE id NOT LIKE 'dm%') numbered WHERE k % 17 <> 3
+UNION ALL
+SELECT 'dn' || CAST(s_suppkey AS STRING), 'org_' || CAST(s_suppkey % 4 AS STRING), 'co' || CAST(s_suppkey AS STRING), 'ct' || CAST(s_suppkey AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING),
+       CASE WHEN s_suppkey % 2 = 0 THEN 'user_' || CAST(s_suppkey % 100 AS STRING) END, 'New ' || s_name, 'MEETING_BOOKED', CAST(10 AS DECIMAL(14,2)), 'USD', 'automatic', TRUE, CAST(NULL AS TIMESTAMP),
+       TIMESTAMP '2024-04-01 00:00:00', TIMESTAMP '2024-04-01 00:00:00', CAST(NULL AS TIMESTAMP), TIMESTAMP '2024-04-01 00:00:00'
+FROM {supplier} WHERE s_suppkey % 9 = 4
+"""
+
+DEAL_TASKS = f"""
+SELECT 'dt' || CAST(o_orderkey AS STRING) AS id, {_org('o_custkey')} AS organization_id, CASE WHEN o_orderkey % 6 <> 0 THEN 'dl' || CAST((o_custkey % 4) + 4 * (o_orderkey % 20) AS STRING) END AS deal_id,
+       'ct' || CAST(o_custkey AS STRING) AS contact_id,
+       CASE WHEN o_orderkey % 250 = 0 THEN 'nurture_reminder' WHEN o_orderkey % 250 = 1 THEN 'linkedin_connect' WHEN o_orderkey % 5 = 2 THEN 'manual_outreach' ELSE 'meeting' END AS task_type,
+       CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'in_progress' ELSE 'cancelled' END END AS status,
+       CASE WHEN o_orderkey % 4 = 0 THEN '{{{{"channel":"email","n":1}}}}' END AS metadata, 'user_' || CAST(o_custkey AS STRING) AS assigned_to_user_id,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'user_' || CAST(o_custkey AS STRING) WHEN o_orderkey % 3 = 1 THEN 'api' END AS created_by_user_id,
+       CASE WHEN o_orderkey % 3 = 1 THEN 'user_' || CAST(o_custkey AS STRING) END AS completed_by_user_id,
+       CAST(o_orderdate AS TIMESTAMP) AS due_date, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '400' DAY END AS completed_at, CAST(o_orderdate AS TIMESTAMP) AS created_at
+FROM {{orders}}
+"""
+
+DEAL_ACTIVITIES = f"""
+SELECT 'da' || CAST(event_id AS STRING) AS id, 'dl' || CAST((user_id % 4) + 4 * (event_id % 22) AS STRING) AS deal_id, {_org('user_id')} AS organization_id,
+       CASE event_type WHEN 'view' THEN 'email_in' WHEN 'click' THEN 'email_out' WHEN 'signup' THEN 'note' ELSE 'linkedin_in' END AS activity_type,
+       event_type <> 'signup' AS bumps_last_activity, CASE WHEN event_id % 2 = 0 THEN 'ev:' || CAST(event_id AS STRING) END AS source_event_key, CAST(ts AS TIMESTAMP) AS created_at
+FROM {{events}}
+"""
+
+# mail and network events; every fifth is delivered twice, every second key is stored already
+CONTACT_EVENTS = f"""
+SELECT {_org('user_id')} AS organization_id, 'ct' || CAST(user_id AS STRING) AS contact_id,
+       CASE user_id % 4 WHEN 0 THEN 'email_in' WHEN 1 THEN 'email_out' WHEN 2 THEN 'linkedin_in' ELSE 'linkedin_out' END AS activity_type,
+       CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'Event ' || event_type END AS title, ' ev:' || CAST(event_id AS STRING) || ' ' AS source_event_key,
+       CASE WHEN event_id % 3 = 0 THEN 'user' ELSE 'system' END AS actor, 'user_' || CAST(user_id AS STRING) AS actor_user_id, CAST(ts AS TIMESTAMP) AS occurred_at
+FROM {{events}}
+UNION ALL
+SELECT {_org('user_id')}, 'ct' || CAST(user_id AS STRING), CASE user_id % 4 WHEN 0 THEN 'email_in' WHEN 1 THEN 'email_out' WHEN 2 THEN 'linkedin_in' ELSE 'linkedin_out' END,
+       'Event again', 'ev:' || CAST(event_id AS STRING), 'system', CAST(NULL AS STRING), CAST(ts AS TIMESTAMP) + INTERVAL '1' HOUR
+FROM {{events}} WHERE event_id % 5 = 0
+"""
+
+PROJECTION_FAILURES = f"""
+SELECT 'pf' || CAST(c_custkey AS STRING) AS id, {_org('c_custkey')} AS organization_id, 'ct' || CAST(c_custkey AS STRING) AS contact_id,
+       CASE WHEN c_custkey % 10 = 0 THEN {_day('c_custkey % 30', 'DAY')} END AS resolved_at
+FROM {{customer}} WHERE c_custkey % 2 = 0
+"""
+
 ADAPTERS = {
+    "deals": DEALS,
+    "deals_after": DEALS_AFTER,
+    "deal_tasks": DEAL_TASKS,
+    "deal_activities": DEAL_ACTIVITIES,
+    "contact_events": CONTACT_EVENTS,
+    "projection_failures": PROJECTION_FAILURES,
     "campaign_contacts": CAMPAIGN_CONTACTS,
     "sequence_actions": SEQUENCE_ACTIONS,
     "campaign_activities": CAMPAIGN_ACTIVITIES,
