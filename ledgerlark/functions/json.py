@@ -102,6 +102,12 @@ def json_set(text: Column, strings: dict[str, Column], values: dict[str, Column]
     return F.to_json(F.map_concat(kept, extra))
 
 
+def json_remove(text: Column, keys: Sequence[str]) -> Column:
+    """Drop top-level entries of a JSON object; the others keep their types."""
+    entries = F.try_variant_get(json_object_of(text), "$", "map<string,variant>")
+    return F.to_json(F.map_filter(entries, lambda k, _: ~k.isin(*keys)))
+
+
 def json_contains(text: Column, wanted: dict[str, object]) -> Column:
     """True when every wanted top-level key holds the wanted value."""
     out = F.lit(True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.json import json_remove
 from ledgerlark.functions.text import choose
 from ledgerlark.operators.common import count_where, first_per_key, percent
 
@@ -175,16 +176,25 @@ def contacts_of(links: DataFrame, contacts: DataFrame, campaign_id: str | None =
     ).orderBy("campaign_id", F.desc_nulls_first("added_at"))
 
 
+# fixed values: statuses and steps of a finished wizard
+STARTED = ("active", "paused", "completed")
+WIZARD_STEPS = ("campaign-details", "icp-settings", "lead-source", "curate-leads", "review-launch")
+
+
 def normalize(campaigns: DataFrame) -> DataFrame:
-    """Wizard flag, start time from the metadata or the creation, and defaults for missing values."""
-    begun = F.coalesce(F.get_json_object("metadata", "$.startedAt"), F.get_json_object("metadata", "$.started_at"))
-    draft = F.coalesce(F.col("status"), F.lit("draft")) == "draft"
+    """Wizard flag, start time (launch time in the metadata, else the creation), defaults for missing values."""
+    status = F.col("status")
+    steps = F.from_json(F.get_json_object("metadata", "$.completed_steps"), "array<string>")
+    all_done = (status == "draft") & (F.size(F.array_intersect(steps, F.array(*(F.lit(s) for s in WIZARD_STEPS)))) == len(WIZARD_STEPS))
+    done = F.coalesce(status.isin(*STARTED, "cancelled") | all_done, F.lit(False))
+    launched = F.get_json_object("metadata", "$.launched_at")
+    started = F.when(F.col("started_at").isNull() & status.isin(*STARTED), F.coalesce(launched.try_cast("timestamp"), F.col("created_at"))).otherwise(F.col("started_at"))
     return campaigns.withColumns(
         {
-            "wizard_completed": ~draft | (F.coalesce(F.col("wizard_step"), F.lit(0)) >= 4),
-            "started_at": F.when(~draft, F.coalesce(begun.try_cast("timestamp"), F.col("created_at"))),
-            "status": F.coalesce("status", F.lit("draft")),
-            "metadata": F.coalesce("metadata", F.lit("{}")),
+            "wizard_completed": F.when(done, True).otherwise(F.col("wizard_completed")),
+            "started_at": started,
+            "metadata": F.when(launched.isNotNull(), json_remove(F.col("metadata"), ["launched_at"])).otherwise(F.coalesce("metadata", F.lit("{}"))),
+            "emails_sent": F.coalesce("emails_sent", F.lit(0)),
         }
     )
 

@@ -119,11 +119,12 @@ def _contacts_of(t):
 
 @query(
     "campaign_normalize",
-    """SELECT id, coalesce(status, 'draft') AS status, coalesce(metadata, '{}') AS metadata, (status IS NOT NULL AND status <> 'draft') OR coalesce(wizard_step, 0) >= 4 AS wizard_completed,
-      CASE WHEN coalesce(status, 'draft') <> 'draft' THEN coalesce(TRY_CAST(metadata ->> '$.startedAt' AS TIMESTAMP), created_at) END AS started_at FROM campaigns""",
+    """SELECT id, CASE WHEN status IN ('active','paused','completed','cancelled') OR (status = 'draft' AND json_array_length(metadata -> '$.completed_steps') = 5) THEN TRUE ELSE wizard_completed END AS wizard_completed,
+      CASE WHEN started_at IS NULL AND status IN ('active','paused','completed') THEN coalesce(TRY_CAST(metadata ->> '$.launched_at' AS TIMESTAMP), created_at) ELSE started_at END AS started_at,
+      coalesce(emails_sent, 0) AS emails_sent, CASE WHEN metadata IS NULL THEN '{}' WHEN metadata ->> '$.launched_at' IS NOT NULL THEN '{"n":1}' ELSE metadata END AS metadata FROM campaigns""",
 )
 def _normalize(t):
-    return C.normalize(t.campaigns).select("id", "status", "metadata", "wizard_completed", "started_at")
+    return C.normalize(t.campaigns).select("id", "wizard_completed", "started_at", "emails_sent", "metadata")
 
 
 # ---------------------------------------------------------------- follow-up

@@ -103,6 +103,8 @@ SELECT 'ct' || CAST(c_custkey AS STRING) AS id,
        'Title ' || c_mktsegment AS job_title,
        CASE WHEN c_custkey % 3 = 1 THEN '{{{{"score":' || CAST(c_custkey % 100 AS STRING) || ',"reason":"fit"}}}}' END AS lead_score,
        CASE WHEN c_custkey % 3 = 2 THEN '{{{{"summary":"S' || CAST(c_custkey % 10 AS STRING) || '","key_findings":["a","b' || CAST(c_custkey % 5 AS STRING) || '"]}}}}' END AS research,
+       CASE WHEN c_custkey % 4 <> 1 THEN '{{{{"openness":' || CAST(c_custkey % 90 AS STRING) || ',"emotionalStability":"0.' || CAST(c_custkey % 9 AS STRING) || '"}}}}' END AS ocean_traits,
+       CASE WHEN c_custkey % 5 <> 1 THEN '{{{{"dominance":' || CAST(c_custkey % 80 AS STRING) || '}}}}' END AS disc_traits,
        CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 100 AS DOUBLE) END AS fit_score,
        CASE WHEN c_custkey % 6 <> 0 THEN CAST(c_custkey % 100 AS DOUBLE) END AS social_score,
        {_day('c_custkey % 700')} AS created_at
@@ -123,9 +125,13 @@ SELECT 'co' || CAST(s_suppkey AS STRING) AS id,
             ELSE 'Industry ' || CAST(s_nationkey AS STRING) END AS industry_text,
        CASE WHEN s_suppkey % 6 = 0 THEN CAST(NULL AS STRING)
             ELSE '{{{{"score":' || CAST(s_suppkey % 100 AS STRING) || ',"blocked":' || CASE WHEN s_suppkey % 10 = 3 THEN 'true' ELSE 'false' END
-                 || ',"failed_filters":["size' || CAST(s_suppkey % 3 AS STRING) || '","region"]}}}}' END AS icp_score,
+                 || CASE s_suppkey % 4 WHEN 0 THEN ',"llm_analysis":{{{{"blocked":' || CASE WHEN s_suppkey % 8 = 0 THEN 'true' ELSE 'false' END || ',"failed_filters":["size' || CAST(s_suppkey % 3 AS STRING) || '","region"]}}}}'
+                      WHEN 1 THEN ',"reasoning":{{{{"failed_hard_filters":["country","size' || CAST(s_suppkey % 2 AS STRING) || '"]}}}}'
+                      WHEN 2 THEN ',"reasoning":{{{{"hard_filter_failed":"industry"}}}}' ELSE '' END || '}}}}' END AS icp_score,
        CASE WHEN s_suppkey % 10 = 3 OR s_suppkey % 10 = 6 THEN
-            '{{{{"steps":[{{{{"step":"early_block_check","failed_filters":["industry"]}}}},{{{{"step":"icp_scoring","failed_filters":["size","country' || CAST(s_suppkey % 4 AS STRING) || '"]}}}},{{{{"step":"other"}}}}]}}}}' END AS processing_log,
+            '{{{{"final_status":"blocked","steps":[{{{{"step":"early_block_check","data":{{{{"failed_filters":["industry"]}}}}}}}},{{{{"step":"icp_scoring","data":{{{{"failed_filters":["size","country' || CAST(s_suppkey % 4 AS STRING) || '"]}}}}}}}},{{{{"step":"other","data":{{{{"failed_filters":["never"]}}}}}}}}]}}}}' END AS processing_log,
+       CASE WHEN s_suppkey % 5 <> 0 THEN '{{{{"industry_fit":' || CAST(s_suppkey % 10 AS STRING) || '.5,"strategic_value":"' || CAST(s_suppkey % 7 AS STRING) || '"}}}}' END AS icp_component_scores,
+       CASE WHEN s_suppkey % 3 <> 0 THEN '{{{{"company_overview":{{{{"summary":"S' || CAST(s_suppkey % 6 AS STRING) || '","key_findings":["k1","k' || CAST(s_suppkey % 4 AS STRING) || '"]}}}},"growth_signals":{{{{"summary":"G"}}}}}}}}' END AS research_modules,
        CASE s_suppkey % 8 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'processing' WHEN 2 THEN 'pending' WHEN 3 THEN 'processed'
             WHEN 4 THEN 'approved' WHEN 5 THEN 'declined' WHEN 6 THEN 'failed' END AS processing_status,
        CASE WHEN s_suppkey % 16 = 6 THEN 'timeout' WHEN s_suppkey % 16 = 14 AND s_suppkey % 3 = 0 THEN 'no_website' END AS failure_reason,
@@ -161,11 +167,15 @@ SELECT 'camp_' || CAST(n_nationkey AS STRING) AS id,
        'user_' || CAST(n_nationkey AS STRING) AS user_id,
        'Campaign ' || n_name AS name,
        CASE n_nationkey % 6 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' WHEN 2 THEN 'cancelled' WHEN 3 THEN 'completed'
-            WHEN 4 THEN 'active' END AS status,
-       CASE WHEN n_nationkey % 5 = 0 THEN '{{{{"startedAt":"2024-01-0' || CAST(1 + n_nationkey % 9 AS STRING) || 'T10:00:00"}}}}' END AS metadata,
+            WHEN 4 THEN 'active' ELSE 'draft' END AS status,
+       CASE WHEN n_nationkey % 5 = 0 THEN '{{{{"launched_at":"2024-01-0' || CAST(1 + n_nationkey % 9 AS STRING) || ' 10:00:00","n":1}}}}'
+            WHEN n_nationkey % 5 = 1 THEN '{{{{"completed_steps":["campaign-details","icp-settings","lead-source","curate-leads","review-launch"]}}}}'
+            WHEN n_nationkey % 5 = 2 THEN '{{{{"completed_steps":["campaign-details"]}}}}' END AS metadata,
+       CASE WHEN n_nationkey % 4 = 1 THEN TRUE WHEN n_nationkey % 4 = 2 THEN FALSE END AS wizard_completed,
+       CASE WHEN n_nationkey % 8 = 0 THEN TIMESTAMP '2023-12-24 08:00:00' END AS started_at,
        '[{{{{"id":"co' || CAST(n_nationkey AS STRING) || '","selected":true}}}},{{{{"id":"co' || CAST(n_nationkey + 1 AS STRING)
             || '","selected":false}}}},{{{{"id":"co' || CAST(n_nationkey + 2 AS STRING) || '"}}}}]' AS curated_companies,
-       CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_nationkey % 4 AS INT) END AS wizard_step,
+       CASE WHEN n_nationkey % 3 = 0 THEN CAST(n_nationkey AS INT) END AS emails_sent,
        CASE WHEN n_nationkey % 2 = 0 THEN TRUE END AS autosend_email, n_nationkey % 3 <> 1 AS autosend_linkedin,
        CAST(CASE WHEN n_nationkey % 3 = 0 THEN '0.70' ELSE '0.40' END AS DECIMAL(3,2)) AS autosend_min_confidence,
        CASE WHEN n_nationkey % 4 = 0 THEN 'ooo,question' ELSE 'ooo' END AS autosend_intents_text,
@@ -554,7 +564,145 @@ SELECT 'pf' || CAST(c_custkey AS STRING) AS id, {_org('c_custkey')} AS organizat
 FROM {{customer}} WHERE c_custkey % 2 = 0
 """
 
+# ---------------------------------------------------------------- onboarding
+
+WORKSPACES = f"""
+SELECT 'w' || CAST(c_custkey AS STRING) AS id, c_name AS name, c_custkey % 21 = 0 AS deleted,
+       CASE c_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'researched' WHEN 2 THEN 'approved' ELSE 'launched' END AS onboarding_status,
+       CASE WHEN c_custkey % 6 = 0 THEN {_day('c_custkey % 500')} END AS activated_at, c_custkey % 10 = 1 AS card_on_file,
+       CASE WHEN c_custkey % 3 <> 0 THEN 'https://w' || CAST(c_custkey AS STRING) || '.example.com' END AS company_website, {_day('c_custkey % 700')} AS created_at
+FROM {{customer}}
+"""
+
+ONBOARDING_EVENTS = """
+SELECT 'fe' || CAST(event_id AS STRING) AS id, 'w' || CAST(user_id AS STRING) AS organization_id, 'user_' || CAST(user_id AS STRING) AS user_id,
+       'user' || CAST(user_id AS STRING) || '@example.com' AS user_email,
+       CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'researched' WHEN 'signup' THEN 'approved' WHEN 'purchase' THEN 'launched' ELSE 'kb_built' END AS to_status,
+       CAST(ts AS TIMESTAMP) AS occurred_at
+FROM {events}
+"""
+
+REENGAGEMENT_SENDS = f"""
+SELECT 'rs' || CAST(c_custkey AS STRING) AS id, 'w' || CAST(c_custkey AS STRING) AS organization_id, 'step_' || CAST(c_custkey % 5 AS STRING) AS sequence_step,
+       {_day('c_custkey % 600')} AS sent_at, CASE WHEN c_custkey % 2 = 0 THEN {_day('c_custkey % 600 + 2')} END AS opened_at,
+       CASE WHEN c_custkey % 4 = 0 THEN {_day('c_custkey % 600 + 3')} END AS clicked_at, CASE WHEN c_custkey % 9 = 0 THEN {_day('c_custkey % 600 + 30')} END AS converted_at
+FROM {{customer}}
+"""
+
+BROADCASTS = """SELECT 'bc' || CAST(n_nationkey AS STRING) AS id, 'Broadcast ' || n_name AS title FROM {nation}"""
+
+BROADCAST_SENDS = """
+SELECT 'bs' || CAST(event_id AS STRING) AS id, 'bc' || CAST(event_id % 23 AS STRING) AS broadcast_id,
+       CASE event_type WHEN 'view' THEN 'sent' WHEN 'click' THEN 'pending' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'suppressed' ELSE 'sent' END AS status, CAST(ts AS TIMESTAMP) AS sent_at
+FROM {events}
+"""
+
+EVENT_PAGES = f"""
+SELECT 'ev' || CAST(n_nationkey AS STRING) AS id, {_org('n_nationkey')} AS organization_id, 'Event ' || n_name AS title, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_nationkey * 2 AS INT) END AS capacity FROM {{nation}}
+"""
+
+EVENT_REGISTRATIONS = f"""
+SELECT 'er' || CAST(o_orderkey AS STRING) AS id, 'ev' || CAST(o_custkey % 24 AS STRING) AS event_id, {_org('o_custkey')} AS organization_id,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'Person' ELSE 'person' END || CAST(o_custkey % 700 AS STRING) || '@example.com' AS email,
+       CASE o_orderkey % 4 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'attended' ELSE 'registered' END AS status, CAST(o_orderdate AS TIMESTAMP) AS registered_at
+FROM {{orders}}
+"""
+
+UNMATCHED_REPLIES = f"""
+SELECT 'ur' || CAST(event_id AS STRING) AS id, {_org('user_id')} AS organization_id, CASE WHEN event_id % 10 <> 0 THEN 'mail-' || CAST(event_id - event_id % 3 AS STRING) END AS email_id,
+       CASE event_id % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'ignored' ELSE 'unmatched' END AS resolution_status, CAST(ts AS TIMESTAMP) AS received_at
+FROM {{events}}
+"""
+
+PROVIDER_EVENT_LOG = f"""
+SELECT 'pe' || CAST(event_id AS STRING) AS id, {_org('user_id')} AS organization_id, 'provider:' || CAST(event_id - event_id % 4 AS STRING) AS dedup_key, 'mail' AS provider, event_type, props AS raw_payload,
+       CAST(ts AS TIMESTAMP) AS occurred_at, CAST(ts AS TIMESTAMP) - (event_id % 120) * INTERVAL '1' DAY AS received_at
+FROM {{events}}
+"""
+
+# ---------------------------------------------------------------- inbox and search
+
+LINKEDIN_MESSAGES = f"""
+SELECT 'm' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS id, {_org('conv_id')} AS organization_id, 'chat' || CAST(conv_id AS STRING) AS chat_id,
+       CASE WHEN role = 'user' OR turn % 4 = 3 THEN 'inbound' ELSE 'outbound' END AS direction, text AS body,
+       TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL '1' MINUTE + turn * INTERVAL '1' HOUR AS sent_at
+FROM {{conversations}}
+"""
+
+LINKEDIN_THREADS = f"""
+SELECT 'th' || CAST(c_custkey AS STRING) AS id, {_org('c_custkey')} AS organization_id, CASE WHEN c_custkey % 3 <> 0 THEN 'ct' || CAST(c_custkey AS STRING) END AS contact_id,
+       CASE c_custkey % 4 WHEN 0 THEN 'outbound' WHEN 1 THEN 'campaign_inbound' WHEN 2 THEN 'unrelated_inbound' END AS thread_origin,
+       CASE WHEN c_custkey % 7 = 0 THEN 'archived' ELSE 'active' END AS thread_status, {_day('c_custkey % 800')} AS last_message_at
+FROM {{customer}}
+"""
+
+CHUNKS = f"""
+SELECT 'ch' || CAST(doc_id AS STRING) AS id, {_org('doc_id')} AS organization_id, 'file' || CAST(doc_id % 20 AS STRING) AS file_id, 'https://example.com/' || CAST(doc_id AS STRING) AS url, text AS chunk_text, embedding
+FROM {{documents}} LEFT JOIN {{embeddings}} ON doc_id = vec_id
+"""
+
+# ---------------------------------------------------------------- settings, style, files
+
+ICP_SETTINGS = """
+SELECT 'w' || CAST(c_custkey AS STRING) AS organization_id,
+       CASE c_custkey % 6
+         WHEN 0 THEN '{{"company_criteria":{{"company_size":{{"min_employees":' || CAST(c_custkey % 50 AS STRING) || ',"max_employees":900}},"sales_process":["inbound"]}},"industries":{{"Software":1,"Energy":2}},"geography":{{"primary_regions":["EU"],"focus_areas":["DACH"]}}}}'
+         WHEN 1 THEN '{{"industries":["Retail","Retail2"],"preferred_job_titles":["CEO","CTO"],"pain_points":["cost"],"current_customers":["https://linkedin.com/company/a' || CAST(c_custkey % 9 AS STRING) || '","https://linkedin.com/in/b"]}}'
+         WHEN 2 THEN '{{"company_criteria":{{"company_size":{{"max_employees":50}}}},"ideal_customers":["https://linkedin.com/company/x","https://linkedin.com/company/x"],"ideal_persons":["https://linkedin.com/in/p' || CAST(c_custkey % 5 AS STRING) || '"],"exclusion_list":["https://linkedin.com/company/z"]}}'
+         WHEN 3 THEN '{{"ideal_clients":["https://linkedin.com/company/q","https://linkedin.com/in/r","https://example.com"],"industries":"none"}}'
+         WHEN 4 THEN '{{"geography":{{"secondary_regions":["US","UK"]}}}}' END AS icp_settings
+FROM {customer}
+"""
+
+STYLE_GUIDELINES = """
+SELECT 'st' || CAST(p_partkey AS STRING) AS id,
+       CASE p_partkey % 4 WHEN 0 THEN '{{"farm_agrarian":["soil"],"natural_environment":["green' || CAST(p_partkey % 5 AS STRING) || '"],"brand_identity":["own"]}}'
+         WHEN 1 THEN '{{"activity_fun":["play"],"social_leisure":["club"],"custom_words":["x"]}}' WHEN 2 THEN '{{"value_proposition":["save","save"],"business_growth":["grow"]}}' END AS lexical_fields,
+       CASE p_partkey % 3 WHEN 0 THEN '[{{"term":"A","category":"Product Features"}},{{"term":"B","category":"My product words"}},{{"term":"C","category":"avoid"}}]'
+         WHEN 1 THEN '[{{"term":"D","category":"Industry jargon"}},{{"term":"E","category":"negative"}},{{"term":"F","category":"Technology"}}]' END AS dictionary,
+       CASE WHEN p_partkey % 2 = 0 THEN 'warm,calm' END AS emotions_text, CASE WHEN p_partkey % 5 <> 0 THEN 'calm,bold' END AS traits_text
+FROM {part}
+"""
+
+STORED_FILES = f"""
+SELECT 'f' || CAST(r_regionkey AS STRING) AS id, {_org('r_regionkey')} AS organization_id FROM {{region}} WHERE r_regionkey <> 2
+"""
+
+FILE_LINKS = f"""
+SELECT 'fl' || CAST(p_partkey AS STRING) AS id, {_org('p_partkey')} AS organization_id, 'f' || CAST(p_partkey % 6 AS STRING) AS file_id FROM {{part}}
+"""
+
+OBJECTS_BEFORE = """
+SELECT 'documents' AS bucket_id, 'page/' || CAST(page_id AS STRING) AS name, 'v1' AS version, CAST(length(html) AS BIGINT) AS size, 'e' || CAST(page_id AS STRING) AS etag, 'text/html' AS mimetype,
+       CAST(NULL AS STRING) AS cache_control, CASE WHEN page_id % 4 = 0 THEN '{{"a":1}}' END AS user_metadata
+FROM {pages} WHERE page_id % 10 <> 9
+"""
+
+OBJECTS_AFTER = """
+SELECT 'documents' AS bucket_id, 'page/' || CAST(page_id AS STRING) AS name, CASE WHEN page_id % 8 = 1 THEN 'v2' ELSE 'v1' END AS version, CAST(length(html) + page_id % 2 AS BIGINT) AS size, 'e' || CAST(page_id AS STRING) AS etag,
+       'text/html' AS mimetype, CASE WHEN page_id % 6 = 2 THEN '' END AS cache_control, CASE WHEN page_id % 4 = 0 THEN '{{"a":1}}' WHEN page_id % 4 = 2 THEN '{{}}' END AS user_metadata
+FROM {pages} WHERE page_id % 10 <> 3
+"""
+
 ADAPTERS = {
+    "workspaces": WORKSPACES,
+    "onboarding_events": ONBOARDING_EVENTS,
+    "reengagement_sends": REENGAGEMENT_SENDS,
+    "broadcasts": BROADCASTS,
+    "broadcast_sends": BROADCAST_SENDS,
+    "event_pages": EVENT_PAGES,
+    "event_registrations": EVENT_REGISTRATIONS,
+    "unmatched_replies": UNMATCHED_REPLIES,
+    "provider_event_log": PROVIDER_EVENT_LOG,
+    "linkedin_messages": LINKEDIN_MESSAGES,
+    "linkedin_threads": LINKEDIN_THREADS,
+    "chunks": CHUNKS,
+    "icp_settings_rows": ICP_SETTINGS,
+    "style_guidelines": STYLE_GUIDELINES,
+    "stored_files": STORED_FILES,
+    "file_links": FILE_LINKS,
+    "objects_before": OBJECTS_BEFORE,
+    "objects_after": OBJECTS_AFTER,
     "deals": DEALS,
     "deals_after": DEALS_AFTER,
     "deal_tasks": DEAL_TASKS,
