@@ -434,7 +434,12 @@ def build_signed(contributions: DataFrame, sign: int) -> DataFrame:
 
 def merge_projection(projection: DataFrame, deltas: DataFrame) -> DataFrame:
     columns = [*PROJECTION_KEY, *MEASURES, "usage_row_count"]
-    merged = _projection_sums(projection.select(*columns).unionByName(deltas.select(*columns)), F.sum("usage_row_count"))
+    return merge_deltas(projection.select(*columns).unionByName(deltas.select(*columns)))
+
+
+def merge_deltas(deltas: DataFrame) -> DataFrame:
+    """Sum signed rows per group; empty groups vanish and a negative one fails the job."""
+    merged = _projection_sums(deltas, F.sum("usage_row_count"))
     count = F.col("usage_row_count")
     fail = F.raise_error(F.lit("usage projection subtraction has no matching aggregate")).cast("boolean")
     return merged.filter(F.when(count < 0, fail).otherwise(count > 0))

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("usage", "billing", "dashboard", "funnel", "outreach", "identity", "deals")
+FAMILIES = ("usage", "billing", "dashboard", "funnel", "outreach", "identity", "deals", "onboarding", "directory", "quality", "streams")
 
 
 def load():

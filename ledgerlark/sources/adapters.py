@@ -454,7 +454,7 @@ FROM {{events}}
 
 RAW_UPDATES = f"""
 SELECT 'raw' || CAST(p_partkey AS STRING) AS record_id, {_org('p_partkey')} AS organization_id,
-       CASE WHEN p_partkey % 2 = 0 THEN 'co' || CAST(p_partkey % 100 AS STRING) END AS company_id,
+       CASE WHEN p_partkey % 2 = 0 THEN 'co' || CAST(p_partkey % 100 + CASE WHEN p_partkey % 14 = 0 THEN 1 ELSE 0 END AS STRING) END AS company_id,
        CASE WHEN p_partkey % 3 = 0 THEN 'ct' || CAST(p_partkey % 100 AS STRING) END AS person_id
 FROM {{part}} WHERE p_size > 20
 """
