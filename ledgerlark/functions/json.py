@@ -17,29 +17,25 @@ def _unwrap_once(text: Column) -> Column:
     return F.when(F.ltrim(text).startswith('"'), inner).otherwise(text)
 
 
-def json_object_of(text: Column) -> Column:
-    """Parse JSON text to a VARIANT object, NULL when it holds none.
-
-    Text that is itself a JSON string holding JSON is unwrapped up to three times;
-    scalars, arrays and broken text hold no object.
-    """
+def plain_json(text: Column) -> Column:
+    """JSON text with up to three layers of string quoting removed."""
     unwrapped = F.reduce(F.sequence(F.lit(1), F.lit(3)), text, lambda inner, _: _unwrap_once(inner))
-    plain = F.when(F.ltrim(text).startswith('"'), unwrapped).otherwise(text)
-    return F.when(F.ltrim(plain).startswith("{"), F.try_parse_json(plain))
+    return F.when(F.ltrim(text).startswith('"'), unwrapped).otherwise(text)
 
 
-def json_fields(text: Column, texts: Sequence[str], values: Sequence[str] = ()) -> Column:
-    """Struct of top-level entries of `json_object_of(text)`: `texts` as text, `values` as VARIANT.
+def json_object_of(text: Column) -> Column:
+    """Parse JSON text to a VARIANT object, NULL when it holds none.
 
-    The text is parsed once and all entries are cut out in one step; absent ones are NULL.
+    Text that is itself a JSON string holding JSON is unwrapped first; scalars, arrays and
+    broken text hold no object.
     """
-    fields = [f"{k}: string" for k in texts] + [f"{k}: variant" for k in values]
-    return F.try_variant_get(json_object_of(text), "$", f"struct<{', '.join(fields)}>")
+    plain = plain_json(text)
+    return F.when(F.ltrim(plain).startswith("{"), F.try_parse_json(plain))
 
 
-def json_text(obj: Column, key: str) -> Column:
-    """Text of a top-level value of a VARIANT object, NULL when absent or JSON null."""
-    return F.try_variant_get(obj, f"$.{key}", "string")
+def json_fields(plain: Column, keys: Sequence[str]) -> Column:
+    """Struct of top-level entries of a `plain_json` object as text, from one parse; absent ones are NULL."""
+    return F.when(F.ltrim(plain).startswith("{"), F.from_json(plain, ", ".join(f"`{k}` string" for k in keys)))
 
 
 def _plain_number(text: Column) -> Column:
@@ -58,33 +54,38 @@ def bool_of(text: Column) -> Column:
 
 def _scalar_count(text: Column) -> Column:
     """Positive number, or 1 for any other non-blank text; NULL sends the caller to the next key."""
-    number = _plain_number(text)
-    return F.when(number.isNotNull(), F.when(number > 0, number)).when(F.trim(text) != "", F.lit(1).cast(COUNT_TYPE))
+    zero = F.lit(0).cast(COUNT_TYPE)
+    positive = F.nullif(F.greatest(F.trim(text).cast(COUNT_TYPE), zero), zero)
+    return F.when(text.rlike(NUMBER_PATTERN), positive).when(F.trim(text) != "", F.lit(1).cast(COUNT_TYPE))
 
 
-def _value_count(value: Column) -> Column:
-    """Count told by one JSON value; NULL or not positive means no answer."""
-    text = F.try_variant_get(value, "$", "string")
-    kind = F.schema_of_variant(value)
-    inner = [F.try_variant_get(value, f"$.{k}", "string") for k in ("count", "total", "length")]
-    return (
-        F.when(kind.startswith("ARRAY"), F.size(F.try_variant_get(value, "$", "array<variant>")).cast(COUNT_TYPE))
-        .when(kind.startswith("OBJECT"), F.coalesce(*(_scalar_count(t) for t in inner)))
-        .otherwise(_scalar_count(text))
-    )
+def _value_count(plain: Column, key: Column, text: Column) -> Column:
+    """Count told by one entry, NULL when it tells none."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(plain), F.concat(F.lit("$."), key), "variant"))
+    size = F.nullif(F.json_array_length(text), F.lit(0)).cast(COUNT_TYPE)
+    inner = [F.get_json_object(text, f"$.{k}") for k in ("count", "total", "length")]
+    # text that looks structured may still be a JSON string: the kind decides
+    structured = F.when(kind.startswith("ARRAY"), size).when(kind.startswith("OBJECT"), F.coalesce(*(_scalar_count(t) for t in inner)))
+    return F.when(F.substring(text, 1, 1).isin("[", "{") & ~kind.startswith("STRING"), structured).otherwise(_scalar_count(text))
 
 
-def count_of(values: Sequence[Column]) -> Column:
-    """First of the VARIANT values that yields a positive count.
+def count_of(plain: Column, entries: dict[str, Column]) -> Column:
+    """First of the entries (key -> text, in order of preference) that yields a positive count.
 
     An array counts its items, an object its count/total/length entry, a number itself and
-    any other non-blank value 1 (so JSON false counts 1). No hit gives 0. Only the values
-    present are examined.
+    any other non-blank value 1 (so JSON false counts 1). No hit gives 0.
+
+    Nearly every row has at most one of the entries: that one is examined by generated code.
+    Rows with several take the general path over the entries present.
     """
-    present = F.array_compact(F.array(*values))
-    counts = F.filter(F.transform(present, _value_count), lambda n: n > 0)
-    found = F.when(F.size(present) > 0, F.get(counts, F.lit(0)))
-    return F.coalesce(found, F.lit(0).cast(COUNT_TYPE))
+    texts = list(entries.values())
+    named = [F.when(text.isNotNull(), F.lit(key)) for key, text in entries.items()]
+    present = sum((text.isNotNull().cast("int") for text in texts[1:]), texts[0].isNotNull().cast("int"))
+    one = _value_count(plain, F.coalesce(*named), F.coalesce(*texts))
+    pairs = F.array(*(F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), text.alias("text"))) for key, text in entries.items()))
+    counts = F.transform(F.array_compact(pairs), lambda e: _value_count(plain, e["key"], e["text"]))
+    several = F.get(F.filter(counts, lambda n: n > 0), F.lit(0))
+    return F.coalesce(F.when(present == 1, one).when(present > 1, several), F.lit(0).cast(COUNT_TYPE))
 
 
 def json_set(text: Column, strings: dict[str, Column], values: dict[str, Column] | None = None) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import PandasUDFType
 
 from ledgerlark.operators.common import for_org
 
@@ -29,7 +28,7 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
     q = np.asarray(query, dtype=np.float64)
     norm = float(np.sqrt(q @ q))
 
-    def similarity(vectors):
+    def similarity(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in vectors:
             rows = batch.to_numpy()
             ok = np.fromiter((v is not None and len(v) == len(q) for v in rows), bool, len(rows))
@@ -40,7 +39,7 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
                 out[ok] = np.divide(m @ q, length, out=np.full(len(m), np.nan), where=length > 0)
             yield pd.Series(out)
 
-    score = F.pandas_udf(similarity, T.DoubleType(), PandasUDFType.SCALAR_ITER)(vector)
+    score = F.pandas_udf(similarity, T.DoubleType())(vector)
     return F.nanvl(score, F.lit(None).cast("double"))
 
 

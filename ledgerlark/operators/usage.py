@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.dates import moment
-from ledgerlark.functions.json import bool_of, count_of, json_fields, number_of
+from ledgerlark.functions.json import bool_of, count_of, json_fields, number_of, plain_json
 from ledgerlark.functions.text import non_empty, provider_label
 from ledgerlark.operators.common import MONEY, first_per_key, for_org, money, total, wanted
 
@@ -117,11 +117,12 @@ def _classified(usage: DataFrame) -> DataFrame:
     """Parse the metadata once and derive category, labels and the raw result counts."""
     meta = lambda key: F.col(f"meta.{key}")
     text = lambda key: F.coalesce(meta(key), F.lit(""))
-    count = lambda keys: count_of([meta(k) for k in keys])
+    count = lambda keys: count_of(F.col("plain"), {k: meta(k) for k in keys})
     tokens_in, tokens_out = (F.coalesce(F.col(c), F.lit(0)) for c in ("input_tokens", "output_tokens"))
     parsed = (
         usage.filter(F.col("created_at").isNotNull())
-        .withColumn("meta", json_fields(F.col("metadata"), META_TEXTS, META_VALUES))
+        .withColumn("plain", plain_json(F.col("metadata")))
+        .withColumn("meta", json_fields(F.col("plain"), META_TEXTS + META_VALUES))
         .withColumns(
             {
                 "action_key": F.lower(F.trim(text("action"))),
@@ -148,7 +149,7 @@ def _classified(usage: DataFrame) -> DataFrame:
                 ).otherwise(tokens_in + tokens_out),
             }
         )
-        .drop("meta", "metadata", "total_tokens")
+        .drop("meta", "plain", "metadata", "total_tokens")
         .withColumnRenamed("all_tokens", "total_tokens")
     )
     labelled = parsed.withColumn("category", _category(TOKEN_PROVIDERS, F.col("raw_action")))
@@ -799,7 +800,7 @@ def reprice_missing(usage: DataFrame, as_of) -> DataFrame:
         return F.round(F.col("priced_units") * rate, 6).cast("decimal(12,6)")
 
     rows = (
-        usage.withColumn("_meta", json_fields(F.col("metadata"), ["action", "billable_units", "profiles_returned", "total_credits", "found_emails"]))
+        usage.withColumn("_meta", json_fields(plain_json(F.col("metadata")), ["action", "billable_units", "profiles_returned", "total_credits", "found_emails"]))
         .withColumn("repriced", hit)
         .withColumn("priced_units", F.when(F.col("repriced"), F.when(provider == "ai_ark", ark_units).otherwise(icy_units)))
         .drop("_meta")
