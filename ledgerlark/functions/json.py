@@ -59,14 +59,24 @@ def _scalar_count(text: Column) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), positive).when(F.trim(text) != "", F.lit(1).cast(COUNT_TYPE))
 
 
+def _is_structured(plain: Column, key: Column, text: Column) -> Column:
+    """Whether an entry's text is a JSON array or object and not a string that looks like one.
+
+    A string shows in the source between quotes; only then, or where the source uses escapes that
+    hide it, is the entry's kind looked up.
+    """
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    doubtful = F.contains(plain, quoted) | plain.contains("\\u") | plain.contains("\\/")
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(plain), F.concat(F.lit("$."), key), "variant"))
+    return F.substring(text, 1, 1).isin("[", "{") & (~doubtful | ~kind.startswith("STRING"))
+
+
 def _value_count(plain: Column, key: Column, text: Column) -> Column:
     """Count told by one entry, NULL when it tells none."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(plain), F.concat(F.lit("$."), key), "variant"))
     size = F.nullif(F.json_array_length(text), F.lit(0)).cast(COUNT_TYPE)
-    inner = [F.get_json_object(text, f"$.{k}") for k in ("count", "total", "length")]
-    # text that looks structured may still be a JSON string: the kind decides
-    structured = F.when(kind.startswith("ARRAY"), size).when(kind.startswith("OBJECT"), F.coalesce(*(_scalar_count(t) for t in inner)))
-    return F.when(F.substring(text, 1, 1).isin("[", "{") & ~kind.startswith("STRING"), structured).otherwise(_scalar_count(text))
+    inner = F.from_json(text, "count string, total string, length string")
+    nested = F.coalesce(*(_scalar_count(inner[k]) for k in ("count", "total", "length")))
+    return F.when(_is_structured(plain, key, text), F.when(text.startswith("["), size).otherwise(nested)).otherwise(_scalar_count(text))
 
 
 def count_of(plain: Column, entries: dict[str, Column]) -> Column:

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # methods beyond this size are not compiled by the JVM; wide projections then run as split methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
