@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ORG = "organization_id"
 
@@ -44,17 +43,17 @@ def unique(df: DataFrame, keys: Sequence[str], where: Column | None = None) -> D
 
 
 def table_contract(tables: Mapping[str, DataFrame], primary_keys: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Hash of (column, type, nullability) in order per table and whether a key is declared. Metadata only."""
+    """Per table: hash of (column, type, nullability) in order, whether a key is declared, and its size in rows."""
     keys = primary_keys or {}
-    spark = next(iter(tables.values())).sparkSession
-    rows = [
-        (name, "|".join(f"{f.name}:{f.dataType.simpleString()}:{str(not f.nullable).lower()}" for f in df.schema.fields), name in keys, len(df.schema.fields))
-        for name, df in tables.items()
-    ]
-    schema = T.StructType(
-        [T.StructField("table_name", T.StringType()), T.StructField("contract", T.StringType()), T.StructField("has_primary_key", T.BooleanType()), T.StructField("columns", T.IntegerType())]
-    )
-    return spark.createDataFrame(rows, schema).withColumn("column_contract_hash", F.md5("contract")).drop("contract")
+    out = None
+    for name, df in tables.items():
+        contract = "|".join(f"{f.name}:{f.dataType.simpleString()}:{str(not f.nullable).lower()}" for f in df.schema.fields)
+        row = df.agg(F.count("*").alias("rows")).select(
+            F.lit(name).alias("table_name"), F.md5(F.lit(contract)).alias("column_contract_hash"), F.lit(name in keys).alias("has_primary_key"),
+            F.lit(len(df.schema.fields)).alias("columns"), "rows",
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _fingerprint() -> Column:

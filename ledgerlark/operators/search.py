@@ -39,7 +39,8 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
                 out[ok] = np.divide(m @ q, length, out=np.full(len(m), np.nan), where=length > 0)
             yield pd.Series(out)
 
-    score = F.pandas_udf(similarity, T.DoubleType())(vector)
+    # not to be copied into a pushed-down filter, which would compute it twice
+    score = F.pandas_udf(similarity, T.DoubleType()).asNondeterministic()(vector)
     return F.nanvl(score, F.lit(None).cast("double"))
 
 
@@ -72,9 +73,13 @@ def content(pages: DataFrame, query: Sequence[float], threshold: float = 0.7, k:
 # ---- text ---------------------------------------------------------------------------------
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of the whole text."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def words_of(text: Column, terms: Sequence[str]) -> Column:
+    """Lower-case words of the whole text, NULL for texts that do not even contain the terms as substrings."""
+    low = F.lower(text)
+    likely = F.lit(bool(terms))
+    for term in terms:
+        likely = likely & F.contains(low, F.lit(term))
+    return F.when(likely, F.split(low, r"[^\p{L}\p{N}]+"))
 
 
 def query_terms(text: str) -> list[str]:
@@ -84,10 +89,10 @@ def query_terms(text: str) -> list[str]:
 
 def text_match(words: Column, terms: Sequence[str]) -> Column:
     """All query terms occur; a query without terms matches nothing."""
-    out = F.lit(bool(terms))
+    out = F.lit(bool(terms)) & words.isNotNull()
     for term in terms:
         out = out & F.array_contains(words, term)
-    return out
+    return F.coalesce(out, F.lit(False))
 
 
 def text_rank(words: Column, terms: Sequence[str]) -> Column:
@@ -120,7 +125,7 @@ def hybrid(
     """Weighted sum of text rank and similarity. Both scores belong to the same chunk, so one scan
     replaces the outer join of two searches."""
     terms = query_terms(text)
-    rows = for_org(chunks, org_id).withColumn("_words", tokens(F.col("chunk_text")))
+    rows = for_org(chunks, org_id).withColumn("_words", words_of(F.col("chunk_text"), terms))
     rows = rows.withColumns(
         {
             "text_rank": text_rank(F.col("_words"), terms) if terms else F.lit(0.0),
@@ -134,7 +139,7 @@ def hybrid(
 def search_text(df: DataFrame, column: str, text: str, k: int | None = None) -> DataFrame:
     """Rows whose text holds all query terms, best rank first."""
     terms = query_terms(text)
-    rows = df.withColumn("_words", tokens(F.col(column))).filter(text_match(F.col("_words"), terms))
+    rows = df.withColumn("_words", words_of(F.col(column), terms)).filter(text_match(F.col("_words"), terms))
     rows = rows.withColumn("text_rank", text_rank(F.col("_words"), terms) if terms else F.lit(0.0)).drop("_words").orderBy(F.desc("text_rank"), "id")
     return rows if k is None else rows.limit(k)
 

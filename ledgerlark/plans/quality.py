@@ -41,9 +41,16 @@ def _unique(t):
     return Q.unique(t.deals, ["organization_id", "company_id"], F.col("closed_at").isNull())
 
 
-@query("quality_table_contract")
+@query(
+    "quality_table_contract",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, {str(k).upper()} AS has_primary_key, (SELECT count(*) FROM {n}) AS rows"
+        for n, k in (("usage", True), ("contacts", False), ("companies", False), ("tasks", False), ("deals", True))
+    ),
+)
 def _contract(t):
-    return Q.table_contract({n: getattr(t, n) for n in ("usage", "contacts", "companies", "tasks", "deals")}, {"usage": ["id"], "deals": ["id"]})
+    names = ("usage", "contacts", "companies", "tasks", "deals")
+    return Q.table_contract({n: getattr(t, n) for n in names}, {"usage": ["id"], "deals": ["id"]}).select("table_name", "has_primary_key", "rows")
 
 
 _FP = "version AS v, coalesce(size, 0) AS s, nullif(etag, '') AS e, nullif(mimetype, '') AS m, nullif(cache_control, '') AS c, coalesce(user_metadata, '{}') AS u"
