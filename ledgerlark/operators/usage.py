@@ -314,17 +314,13 @@ def _projection_sums(df: DataFrame, count: Column) -> DataFrame:
 def build_projection(contributions: DataFrame) -> DataFrame:
     """Hour and day aggregates over the full dimension key.
 
-    Days are summed from the hour rows, so the ledger is read and shuffled once.
+    A contribution is computed once, then counted for both grains in one aggregation: one scan
+    and one shuffle of partial sums.
     """
-    hours = _projection_sums(
-        contributions.withColumns({"bucket_granularity": F.lit("hour"), "bucket_start": F.date_trunc("hour", "occurred_at")}),
-        F.count("*"),
-    )
-    days = _projection_sums(
-        hours.withColumns({"bucket_granularity": F.lit("day"), "bucket_start": F.date_trunc("day", "bucket_start")}),
-        F.sum("usage_row_count"),
-    )
-    return hours.unionByName(days)
+    grain = F.col("bucket_granularity")
+    rows = contributions.withColumn("bucket_granularity", F.explode(F.array(F.lit("hour"), F.lit("day"))))
+    start = F.when(grain == "hour", F.date_trunc("hour", "occurred_at")).otherwise(F.date_trunc("day", "occurred_at"))
+    return _projection_sums(rows.withColumn("bucket_start", start), F.count("*"))
 
 
 def _as_utc(value) -> datetime:
