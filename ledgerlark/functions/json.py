@@ -52,50 +52,55 @@ def bool_of(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin(*TRUE_TEXTS), F.lit(False))
 
 
-def _scalar_count(text: Column) -> Column:
+# The count rules are SQL text: they expand to many nodes, which is far quicker to hand to the
+# JVM as one expression than node by node.
+_ZERO, _ONE = f"CAST(0 AS {COUNT_TYPE})", f"CAST(1 AS {COUNT_TYPE})"
+
+
+def _scalar_count(text: str) -> str:
     """Positive number, or 1 for any other non-blank text; NULL sends the caller to the next key."""
-    zero = F.lit(0).cast(COUNT_TYPE)
-    positive = F.nullif(F.greatest(F.trim(text).cast(COUNT_TYPE), zero), zero)
-    return F.when(text.rlike(NUMBER_PATTERN), positive).when(F.trim(text) != "", F.lit(1).cast(COUNT_TYPE))
+    positive = f"nullif(greatest(CAST(trim({text}) AS {COUNT_TYPE}), {_ZERO}), {_ZERO})"
+    return f"CASE WHEN {text} RLIKE r'{NUMBER_PATTERN}' THEN {positive} WHEN trim({text}) <> '' THEN {_ONE} END"
 
 
-def _is_structured(plain: Column, key: Column, text: Column) -> Column:
+def _is_structured(plain: str, key: str, text: str) -> str:
     """Whether an entry's text is a JSON array or object and not a string that looks like one.
 
     A string shows in the source between quotes; only then, or where the source uses escapes that
     hide it, is the entry's kind looked up.
     """
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    doubtful = F.contains(plain, quoted) | plain.contains("\\u") | plain.contains("\\/")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(plain), F.concat(F.lit("$."), key), "variant"))
-    return F.substring(text, 1, 1).isin("[", "{") & (~doubtful | ~kind.startswith("STRING"))
+    slash = "char(92)"
+    escaped = f"replace(replace({text}, {slash}, {slash} || {slash}), '\"', {slash} || '\"')"
+    doubtful = f"(contains({plain}, '\"' || {escaped} || '\"') OR contains({plain}, {slash} || 'u') OR contains({plain}, {slash} || '/'))"
+    kind = f"schema_of_variant(try_variant_get(try_parse_json({plain}), '$.' || {key}, 'variant'))"
+    return f"substring({text}, 1, 1) IN ('[', '{{') AND (NOT {doubtful} OR NOT startswith({kind}, 'STRING'))"
 
 
-def _value_count(plain: Column, key: Column, text: Column) -> Column:
+def _value_count(plain: str, key: str, text: str) -> str:
     """Count told by one entry, NULL when it tells none."""
-    size = F.nullif(F.json_array_length(text), F.lit(0)).cast(COUNT_TYPE)
-    inner = F.from_json(text, "count string, total string, length string")
-    nested = F.coalesce(*(_scalar_count(inner[k]) for k in ("count", "total", "length")))
-    return F.when(_is_structured(plain, key, text), F.when(text.startswith("["), size).otherwise(nested)).otherwise(_scalar_count(text))
+    size = f"CAST(nullif(json_array_length({text}), 0) AS {COUNT_TYPE})"
+    inner = ", ".join(_scalar_count(f"get_json_object({text}, '$.{k}')") for k in ("count", "total", "length"))
+    nested = f"CASE WHEN startswith({text}, '[') THEN {size} ELSE coalesce({inner}) END"
+    return f"CASE WHEN {_is_structured(plain, key, text)} THEN {nested} ELSE {_scalar_count(text)} END"
 
 
-def count_of(plain: Column, entries: dict[str, Column]) -> Column:
-    """First of the entries (key -> text, in order of preference) that yields a positive count.
+def count_of(plain: str, fields: str, keys: Sequence[str]) -> Column:
+    """First of the entries `keys` of the struct column `fields` that yields a positive count.
 
     An array counts its items, an object its count/total/length entry, a number itself and
-    any other non-blank value 1 (so JSON false counts 1). No hit gives 0.
+    any other non-blank value 1 (so JSON false counts 1). No hit gives 0. `plain` names the
+    column the struct was parsed from.
 
     Nearly every row has at most one of the entries: that one is examined by generated code.
     Rows with several take the general path over the entries present.
     """
-    texts = list(entries.values())
-    named = [F.when(text.isNotNull(), F.lit(key)) for key, text in entries.items()]
-    present = sum((text.isNotNull().cast("int") for text in texts[1:]), texts[0].isNotNull().cast("int"))
-    one = _value_count(plain, F.coalesce(*named), F.coalesce(*texts))
-    pairs = F.array(*(F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), text.alias("text"))) for key, text in entries.items()))
-    counts = F.transform(F.array_compact(pairs), lambda e: _value_count(plain, e["key"], e["text"]))
-    several = F.get(F.filter(counts, lambda n: n > 0), F.lit(0))
-    return F.coalesce(F.when(present == 1, one).when(present > 1, several), F.lit(0).cast(COUNT_TYPE))
+    texts = [f"{fields}.`{k}`" for k in keys]
+    present = " + ".join(f"CAST({t} IS NOT NULL AS INT)" for t in texts)
+    key = "CASE " + " ".join(f"WHEN {t} IS NOT NULL THEN '{k}'" for k, t in zip(keys, texts)) + " END"
+    one = _value_count(plain, f"({key})", f"coalesce({', '.join(texts)})")
+    pairs = ", ".join(f"CASE WHEN {t} IS NOT NULL THEN named_struct('key', '{k}', 'text', {t}) END" for k, t in zip(keys, texts))
+    several = f"get(filter(transform(array_compact(array({pairs})), e -> {_value_count(plain, 'e.key', 'e.text')}), n -> n > 0), 0)"
+    return F.expr(f"coalesce(CASE WHEN {present} = 1 THEN {one} WHEN {present} > 1 THEN {several} END, {_ZERO})")
 
 
 def json_set(text: Column, strings: dict[str, Column], values: dict[str, Column] | None = None) -> Column:

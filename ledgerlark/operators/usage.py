@@ -117,7 +117,7 @@ def _classified(usage: DataFrame) -> DataFrame:
     """Parse the metadata once and derive category, labels and the raw result counts."""
     meta = lambda key: F.col(f"meta.{key}")
     text = lambda key: F.coalesce(meta(key), F.lit(""))
-    count = lambda keys: count_of(F.col("plain"), {k: meta(k) for k in keys})
+    count = lambda keys: count_of("plain", "meta", keys)
     tokens_in, tokens_out = (F.coalesce(F.col(c), F.lit(0)) for c in ("input_tokens", "output_tokens"))
     parsed = (
         usage.filter(F.col("created_at").isNotNull())

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlark.session import use_utc
+from ledgerlark.session import prepare
 from ledgerlark.sources.adapters import ADAPTERS, BASE_TABLES, dependencies
 
 # declared layouts of the core facts, for callers that read their own files
@@ -39,7 +39,7 @@ def read_tables(spark: SparkSession, folder: str, names=None) -> dict[str, DataF
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    reader = use_utc(spark).read
+    reader = prepare(spark).read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     return reader.parquet(os.path.join(folder, f"{name}.parquet"))
@@ -49,7 +49,7 @@ class Tables:
     """Lazy access to the driver tables and to the CRM-shaped tables derived from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = use_utc(spark)
+        self.spark = prepare(spark)
         self.folder = folder
         self._cache: dict[str, DataFrame] = {}
 
