@@ -21,13 +21,19 @@ def differs(column: str) -> Column:
 def change_feed(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """INSERT, UPDATE and DELETE rows with both states as JSON and the changed columns.
 
-    `changes` maps a column to its new value as text (NULL when it became NULL).
+    `changes` maps a column of an UPDATE to its old and new value as text. Rows without a change
+    do not appear.
     """
     columns = [c for c in new.columns if c not in key]
     rows = joined_states(old, new, key, columns)
     kind = F.when(F.col("old").isNull(), "INSERT").when(F.col("new").isNull(), "DELETE").otherwise("UPDATE")
-    entry = lambda c: F.when(differs(c), F.struct(F.lit(c).alias("key"), F.col(f"new.{c}").cast("string").alias("value")))
+
+    def entry(c: str) -> Column:
+        values = F.struct(F.col(f"old.{c}").cast("string").alias("old"), F.col(f"new.{c}").cast("string").alias("new"))
+        return F.when(differs(c), F.struct(F.lit(c).alias("key"), values.alias("value")))
+
     changes = F.map_from_entries(F.array_compact(F.array(*(entry(c) for c in columns))))
     rows = rows.withColumn("event_type", kind).withColumn("changes", F.when(F.col("event_type") == "UPDATE", changes))
     rows = rows.filter((F.col("event_type") != "UPDATE") | (F.size("changes") > 0))
-    return rows.select(*key, "event_type", F.to_json("old").alias("old"), F.to_json("new").alias("new"), "changes")
+    state = lambda side: F.when(F.col(side).isNotNull(), F.to_json(F.struct(*key, f"{side}.*"))).alias(side)
+    return rows.select(*key, "event_type", state("old"), state("new"), "changes")

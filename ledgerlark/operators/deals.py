@@ -287,7 +287,7 @@ def _json(**entries: Column) -> Column:
 
 
 def _pair(column: str) -> dict[str, Column]:
-    return {"from": F.col(f"old.{column}").cast("string"), "to": F.col(f"new.{column}").cast("string")}
+    return {"from": F.col(f"old.{column}"), "to": F.col(f"new.{column}")}
 
 
 def audit(old: DataFrame, new: DataFrame, actor: str = "system", actor_user_id: str | None = None) -> DataFrame:
@@ -296,7 +296,7 @@ def audit(old: DataFrame, new: DataFrame, actor: str = "system", actor_user_id:
     stage_contact = F.lit(None).cast("string") if actor == "user" else F.col("new.stage_contact_id")
     none = F.lit(None).cast("string")
     snooze_title = F.when(F.col("new.snoozed_until").isNull(), "Deal snooze cleared").otherwise("Deal snoozed")
-    value = {f"{side}_{c}": F.col(f"{'old' if side == 'from' else 'new'}.{c}").cast("string") for c in ("amount", "currency") for side in ("from", "to")}
+    value = {f"{side}_{c}": F.col(f"{'old' if side == 'from' else 'new'}.{c}") for c in ("amount", "currency") for side in ("from", "to")}
     rules = [
         (created, "deal_created", F.lit("Deal created"), _json(stage=F.col("new.stage"), creation_source=F.col("new.creation_source")), False, F.col("new.primary_contact_id")),
         (updated & differs("stage"), "stage_change", F.lit("Deal stage changed"), _json(**_pair("stage")), True, stage_contact),

@@ -151,22 +151,29 @@ _CHANGED = "j AS (SELECT n.*, o.id AS old_id, o.stage AS o_stage, o.amount AS o_
     UNION ALL SELECT id, 'snooze_change', CASE WHEN snoozed_until IS NULL THEN 'Deal snooze cleared' ELSE 'Deal snoozed' END, FALSE, NULL, CAST(snoozed_until AS VARCHAR) FROM j WHERE old_id IS NOT NULL AND snoozed_until IS DISTINCT FROM o_snooze""",
 )
 def _audit(t):
-    value = F.coalesce(*(F.get_json_object("metadata", f"$.{k}") for k in ("to", "to_amount", "enabled", "stage")))
+    at = lambda key: F.get_json_object("metadata", f"$.{key}")
+    value = F.coalesce(at("to"), at("to_amount").cast("decimal(14,2)").cast("string"), at("enabled"), at("stage"))
     return D.audit(t.deals, t.deals_after).select("deal_id", "activity_type", "title", "bumps_last_activity", "contact_id", value.alias("to_value"))
 
 
 @query(
     "deals_change_feed",
-    """SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'INSERT' WHEN n.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS event_type,
+    """SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'INSERT' WHEN n.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS event_type, o.stage AS old_stage, n.stage AS new_stage,
       CASE WHEN o.id IS NOT NULL AND n.id IS NOT NULL THEN concat_ws(',', CASE WHEN n.amount IS DISTINCT FROM o.amount THEN 'amount' END, CASE WHEN n.owner_user_id IS DISTINCT FROM o.owner_user_id THEN 'owner_user_id' END,
-        CASE WHEN n.stage IS DISTINCT FROM o.stage THEN 'stage' END) END AS changed
+        CASE WHEN n.stage IS DISTINCT FROM o.stage THEN 'stage' END) END AS changed,
+      CASE WHEN o.id IS NOT NULL AND n.id IS NOT NULL AND n.owner_user_id IS DISTINCT FROM o.owner_user_id THEN coalesce(o.owner_user_id, '-') || '>' || coalesce(n.owner_user_id, '-') END AS owner_change
     FROM (SELECT id, organization_id, stage, amount, owner_user_id FROM deals) o FULL JOIN (SELECT id, organization_id, stage, amount, owner_user_id FROM deals_after) n ON n.id = o.id AND n.organization_id = o.organization_id
     WHERE o.id IS NULL OR n.id IS NULL OR n.amount IS DISTINCT FROM o.amount OR n.owner_user_id IS DISTINCT FROM o.owner_user_id OR n.stage IS DISTINCT FROM o.stage""",
 )
 def _feed(t):
     pick = lambda df: df.select("id", "organization_id", "stage", "amount", "owner_user_id")
     feed = cdc.change_feed(pick(t.deals), pick(t.deals_after), ["id", "organization_id"])
-    return feed.select("id", "event_type", F.array_join(F.array_sort(F.map_keys("changes")), ",").alias("changed"))
+    owner = F.col("changes")["owner_user_id"]
+    shown = F.when(owner.isNotNull(), F.concat(F.coalesce(owner["old"], F.lit("-")), F.lit(">"), F.coalesce(owner["new"], F.lit("-"))))
+    return feed.select(
+        "id", "event_type", F.get_json_object("old", "$.stage").alias("old_stage"), F.get_json_object("new", "$.stage").alias("new_stage"),
+        F.array_join(F.array_sort(F.map_keys("changes")), ",").alias("changed"), shown.alias("owner_change"),
+    )
 
 
 _PLACED = """r AS (SELECT *, trim(source_event_key) AS k, coalesce(nullif(trim(title), ''), 'Deal activity') AS ttl FROM contact_events),
