@@ -148,7 +148,7 @@ _CHANGED = "j AS (SELECT n.*, o.id AS old_id, o.stage AS o_stage, o.amount AS o_
     UNION ALL SELECT id, 'amount_change', 'Deal value changed', FALSE, NULL, CAST(amount AS VARCHAR) FROM j WHERE old_id IS NOT NULL AND (amount IS DISTINCT FROM o_amount OR currency IS DISTINCT FROM o_currency)
     UNION ALL SELECT id, 'owner_change', 'Deal owner changed', FALSE, NULL, owner_user_id FROM j WHERE old_id IS NOT NULL AND owner_user_id IS DISTINCT FROM o_owner
     UNION ALL SELECT id, 'nurture_change', 'Deal nurture setting changed', FALSE, NULL, CAST(nurture_enabled AS VARCHAR) FROM j WHERE old_id IS NOT NULL AND nurture_enabled IS DISTINCT FROM o_nurture
-    UNION ALL SELECT id, 'snooze_change', CASE WHEN snoozed_until IS NULL THEN 'Deal snooze cleared' ELSE 'Deal snoozed' END, FALSE, NULL, CAST(snoozed_until AS VARCHAR) FROM j WHERE old_id IS NOT NULL AND snoozed_until IS DISTINCT FROM o_snooze""",
+    UNION ALL SELECT id, 'snooze_change', CASE WHEN snoozed_until IS NULL THEN 'Deal snooze cleared' ELSE 'Deal snoozed' END, FALSE, NULL, strftime(snoozed_until, '%Y-%m-%dT%H:%M:%S.000Z') FROM j WHERE old_id IS NOT NULL AND snoozed_until IS DISTINCT FROM o_snooze""",
 )
 def _audit(t):
     at = lambda key: F.get_json_object("metadata", f"$.{key}")
