@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import mixing, quality_rules, secrets, urls
-from ledgerlark.llm.common import table
+from ledgerlark.llm import decontam, language, mixing, ngram_join, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, urls
+from ledgerlark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,16 +30,57 @@ def op1(spark, sf_dir):
     return judged.select("doc_id", "_quality.*")
 
 
+@query("op2_ngram_join")
+def op2(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+@query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality_classifier.classify(docs, labels, fold_of(5) != 0)
+    return scored.select("doc_id", (fold_of(5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query("op4_secret_scan")
 def op4(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, docs.filter(fold_of(3) != 1))
+    return found.select("doc_id", (fold_of(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op6_substring_dedup")
+def op6(spark, sf_dir):
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op7_mixing", mixing.ORACLE)
 def op7(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", F.col("size"), "source_size", "target", "taken")
 
 
+@query("op8_decontamination", decontam.ORACLE)
+def op8(spark, sf_dir):
+    marked = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = F.col("_hit")
+    return marked.select(
+        "doc_id", hit["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"), hit["n_items"].alias("n_items"),
+        F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"), (hit["n_hit"] > 0).alias("contaminated"),
+    )
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, labels, fold_of(4) != 2)
+    return scored.select("doc_id", (fold_of(4) == 2).alias("held_out"), "score", "predicted")
+
+
 @query("op10_url_filter")
 def op10(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
