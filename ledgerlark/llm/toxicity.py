@@ -7,7 +7,8 @@ letters under the channel and the character model. The score of the restored tex
 units, whole words and their first letters, that the labelled texts show to be toxic.
 
 Copies and near copies among the labelled texts would make any of their words look toxic, so
-units are counted in families: texts that agree in the least hash of their 3-word runs.
+units are counted in families: texts that agree in the least hash of their 3-word runs. The weights
+of the evidence come from families that had no part in choosing the units.
 """
 
 from __future__ import annotations
@@ -44,7 +45,9 @@ for _b in range(256):
 #: the labelled sample: about so many rows, chosen by a hash of the id
 SAMPLE_ROWS = 20_000
 #: units kept: in at least so many toxic families, so much more often than elsewhere, at most so many
-LEAST_FAMILIES, LEAST_LIFT, MOST_UNITS = 4, 2.0, 50_000
+LEAST_FAMILIES, LEAST_LIFT, MOST_UNITS = 2, 1.5, 50_000
+#: one family in so many has no part in the units and calibrates their weights
+CALIBRATE = 4
 PREFIXES = (4, 5)
 LIMIT = 0.3
 
@@ -165,14 +168,15 @@ def _learn(sample: DataFrame, model: list) -> tuple[dict[str, float], np.ndarray
             )
 
     rows = stored(sample.select("text", "y").mapInArrow(run, "family long, words array<string>, y int"), "toxic_sample")
-    sizes = rows.groupBy("y").agg(F.count_distinct("family").alias("n")).collect()
+    calibrates = F.pmod(F.xxhash64("family"), F.lit(CALIBRATE)) == 0
+    sizes = rows.filter(~calibrates).groupBy("y").agg(F.count_distinct("family").alias("n")).collect()
     number = {r["y"]: r["n"] for r in sizes}
     if len(number) < 2:
         return {}, np.array([math.log((number.get(1, 0) + 0.5) / (number.get(0, 0) + 0.5)), 0.0, 0.0])
     each = F.array_distinct(F.flatten(F.transform("words", lambda w: F.concat(
         F.array(w), *[F.when(F.length(w) >= n, F.array(F.concat(F.substring(w, 1, n), F.lit("~")))).otherwise(F.array().cast("array<string>")) for n in PREFIXES]))))
-    seen = rows.select("family", "y", F.explode(each).alias("unit")).distinct().groupBy("unit").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("f"))
-    lift = F.log((F.col("t") + 0.1) / (number[1] + 0.2)) - F.log((F.col("f") + 0.1) / (number[0] + 0.2))
+    seen = rows.filter(~calibrates).select("family", "y", F.explode(each).alias("unit")).distinct().groupBy("unit").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("f"))
+    lift = F.log((F.col("t") + 1) / (number[1] + 2)) - F.log((F.col("f") + 1) / (number[0] + 2))
     kept = seen.filter(F.col("t") >= LEAST_FAMILIES).withColumn("w", lift).filter(F.col("w") >= LEAST_LIFT)
     weights = {r["unit"]: r["w"] for r in kept.orderBy(F.col("t").desc(), "unit").limit(MOST_UNITS).collect()}
 
@@ -181,7 +185,7 @@ def _learn(sample: DataFrame, model: list) -> tuple[dict[str, float], np.ndarray
             pairs = [evidence(Counter(w), weights) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.float64()), pa.array([p[1] for p in pairs], pa.float64()), batch.column(1)], ["a", "b", "y"])
 
-    table = rows.select("words", "y").mapInArrow(weigh, "a double, b double, y int").toPandas()  # about SAMPLE_ROWS rows
+    table = rows.filter(calibrates).select("words", "y").mapInArrow(weigh, "a double, b double, y int").toPandas()  # at most about SAMPLE_ROWS rows
     x = np.column_stack([np.ones(len(table)), table["a"], table["b"]])
     y = table["y"].to_numpy(float)
     beta = np.zeros(3)
