@@ -125,12 +125,39 @@ def json_remove(text: Column, keys: Sequence[str]) -> Column:
 
 
 def json_contains(text: Column, wanted: dict[str, object]) -> Column:
-    """True when every wanted top-level key holds the wanted value."""
-    out = F.lit(True)
-    for key, value in wanted.items():
-        literal = str(value).lower() if isinstance(value, bool) else str(value)
-        out = out & (F.get_json_object(text, f"$.{key}") == F.lit(literal))
-    return out
+    """Whether the JSON object holds every wanted entry, by type and value.
+
+    Objects hold objects entry by entry, arrays hold arrays whose items each are in one of theirs.
+    """
+    return F.coalesce(_holds(F.try_parse_json(text), wanted), F.lit(False))
+
+
+def _holds(value: Column, wanted) -> Column:
+    kind = F.schema_of_variant(value)
+    if isinstance(wanted, dict):
+        entries = F.try_variant_get(value, "$", "map<string,variant>")
+        out = kind.startswith("OBJECT")
+        for key, inner in wanted.items():
+            out = out & F.coalesce(_holds(F.try_element_at(entries, F.lit(key)), inner), F.lit(False))
+        return out
+    if isinstance(wanted, (list, tuple)):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        out = kind.startswith("ARRAY")
+        for inner in wanted:
+            out = out & F.exists(items, _item_test(inner))
+        return out
+    if wanted is None:
+        return F.is_variant_null(value)
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(wanted))
+    if isinstance(wanted, str):
+        return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(wanted))
+    number = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT")
+    return number & (F.try_variant_get(value, "$", "double") == F.lit(float(wanted)))
+
+
+def _item_test(wanted):
+    return lambda item: F.coalesce(_holds(item, wanted), F.lit(False))
 
 
 def json_strings(text: Column) -> Column:

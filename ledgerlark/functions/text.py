@@ -41,7 +41,13 @@ def provider_label(provider: Column) -> Column:
     """Known display name, 'Unknown' for blank, else separators to spaces and title case."""
     name = F.trim(F.coalesce(provider, F.lit("")))
     spaced = F.regexp_replace(name, r"[_\s-]+", " ")
-    return choose(name, PROVIDER_NAMES, F.when(name == "", F.lit("Unknown")).otherwise(F.initcap(spaced)))
+    return choose(name, PROVIDER_NAMES, F.when(name == "", F.lit("Unknown")).otherwise(title_case(spaced)))
+
+
+def title_case(text: Column) -> Column:
+    """Letters after anything that is neither letter nor digit in upper case, all others in lower case."""
+    parts = F.split(F.lower(text), r"(?<=[^\p{L}\p{N}])")
+    return F.array_join(F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
 
 
 def normalize_profile_url(url: Column) -> Column:

@@ -109,10 +109,10 @@ def selected_companies(campaigns: DataFrame) -> DataFrame:
 
 
 def select_all_curated(companies_json: Column) -> Column:
-    """Mark every company of a curated JSON array as selected."""
-    entries = F.from_json(companies_json, "array<map<string,string>>")
-    marked = F.transform(entries, lambda m: F.map_concat(F.map_filter(m, lambda k, _: k != "selected"), F.create_map(F.lit("selected"), F.lit("true"))))
-    return F.to_json(marked)
+    """Mark every company of a curated JSON array as selected; all other entries keep their types."""
+    entries = F.try_variant_get(F.try_parse_json(companies_json), "$", "array<map<string,variant>>")
+    yes = F.create_map(F.lit("selected"), F.lit(True).cast("variant"))
+    return F.to_json(F.transform(entries, lambda m: F.map_concat(F.map_filter(m, lambda k, _: k != "selected"), yes)))
 
 
 def link_contacts(contacts: DataFrame, emails: DataFrame, links: DataFrame) -> DataFrame:

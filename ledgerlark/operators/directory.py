@@ -89,16 +89,17 @@ def export_template(contacts: DataFrame, company_contacts: DataFrame, companies:
     """One row per contact with the export columns; the best company exists, has a name and the newest link."""
     firms = companies.select(
         ORG, F.col("id").alias("company_id"), F.col("name").alias("company_name"), F.col("website").alias("company_website"),
-        F.col("profile_url").alias("company_profile"), F.col("location").alias("company_location"), F.lit(True).alias("known"),
+        F.col("profile_url").alias("company_profile"), F.col("location").alias("company_location"),
+        F.col("phone").alias("company_phone"), F.col("specialities").alias("company_specialities"), F.lit(True).alias("known"),
     )
     linked = company_contacts.join(firms, [ORG, "company_id"], "left")
     named = non_empty(F.col("company_name")).isNotNull()
     best = first_per_key(
         linked, [ORG, "contact_id"], [F.desc(F.coalesce("known", F.lit(False))), F.desc(named), F.desc_nulls_last("created_at"), F.asc("company_id")]
-    ).select(ORG, F.col("contact_id").alias("id"), "company_name", "company_website", "company_profile", "company_location")
+    ).select(ORG, F.col("contact_id").alias("id"), "company_name", "company_website", "company_profile", "company_location", "company_phone", "company_specialities")
     text = lambda c: F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit(""))
     place = F.coalesce(*(F.get_json_object("location", f"$.{k}") for k in ("city", "default", "country")))
-    tools = F.coalesce(json_strings(F.col("skills")), F.when(F.size(json_strings(F.col("specialities"))) > 0, json_strings(F.col("specialities"))))
+    tools = F.coalesce(json_strings(F.col("skills")), json_strings(F.col("company_specialities")))
     return (
         for_org(contacts, org_id)
         .join(best, [ORG, "id"], "left")
@@ -108,7 +109,7 @@ def export_template(contacts: DataFrame, company_contacts: DataFrame, companies:
             F.coalesce(F.col("last_name"), last_name_of(F.col("name")), F.lit("")).alias("last_name"),
             text("job_title").alias("title"), text("company_name").alias("company_name"), text("company_website").alias("company_website"),
             text("profile_url").alias("personal_profile"), text("company_profile").alias("company_profile"), F.lit("").alias("company_email"),
-            text("email").alias("personal_email"), text(place).alias("person_location"), text("company_location").alias("company_location"),
+            text("email").alias("personal_email"), text("phone").alias("mobile_number"), text("company_phone").alias("company_number"), text(place).alias("person_location"), text("company_location").alias("company_location"),
             F.coalesce("pipeline_stage", F.lit("PROSPECT")).alias("stage"), text(F.array_join(tools, ", ")).alias("technologies"),
         )
     )

@@ -56,8 +56,9 @@ def sequence_audience(steps: Sequence[SequenceStep], events: DataFrame, workspac
     if len(steps) > MAX_STEPS:
         raise ValueError(f"at most {MAX_STEPS} steps")
     active = [s for s in steps if s.is_active]
-    # last time per status: the statuses are few, so the map per workspace stays small
-    seen = events.groupBy(ORG, "to_status").agg(F.max("occurred_at").alias("at"))
+    # last time per status that a step names, so the map per workspace is as small as the steps
+    named = {s for step in active for s in (step.from_status, *step.excluded)}
+    seen = events.filter(F.col("to_status").isin(*named)).groupBy(ORG, "to_status").agg(F.max("occurred_at").alias("at"))
     seen = seen.groupBy(F.col(ORG).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("to_status", "at"))).alias("last"))
     alive = workspaces.filter(~F.col("deleted").eqNullSafe(True)).join(seen, "id", "left")
 
@@ -91,14 +92,19 @@ def funnel(events: DataFrame) -> DataFrame:
 def transitions(events: DataFrame) -> DataFrame:
     """Moves between consecutive first entries: count, mean and median seconds.
 
-    The window runs over first entries, at most one per status and workspace. The median is
-    Spark's bounded-size percentile sketch.
+    The window runs over first entries, at most one per status and workspace. The median is the
+    least duration that half of the moves do not exceed, found on counts per duration.
     """
     order = Window.partitionBy(ORG).orderBy("entered_at", "to_status")
     first = _first_entries(events).withColumns({"from_status": F.lag("to_status").over(order), "left_at": F.lag("entered_at").over(order)})
     moves = first.filter(F.col("from_status").isNotNull()).withColumn("seconds", F.unix_seconds("entered_at") - F.unix_seconds("left_at"))
-    return moves.groupBy("from_status", "to_status").agg(
-        F.count("*").alias("moves"), F.sum("seconds").alias("total_seconds"), F.percentile_approx("seconds", 0.5, 10000).alias("median_seconds")
+    pair = ["from_status", "to_status"]
+    by_time = moves.groupBy(*pair, "seconds").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*pair).orderBy("seconds"))
+    of_all = F.sum("n").over(Window.partitionBy(*pair))
+    return by_time.withColumns({"upto": upto, "all": of_all}).groupBy(*pair).agg(
+        F.sum("n").alias("moves"), F.sum(F.col("n") * F.col("seconds")).alias("total_seconds"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("seconds"))).alias("median_seconds"),
     )
 
 

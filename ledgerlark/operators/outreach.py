@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlark.functions.dates import moment
 from ledgerlark.functions.json import json_set
 from ledgerlark.functions.text import non_blank, non_empty
-from ledgerlark.operators.common import count_where, for_org
+from ledgerlark.operators.common import count_where, for_org, stored
 
 ORG = "organization_id"
 
@@ -117,8 +117,12 @@ def due_actions(actions: DataFrame, as_of, lease_expires_at, batch: int) -> Data
     )
 
 
+#: the rows that one request of the service claims at most
+MANUAL_BATCH = 500
+
+
 def due_manual_tasks(tasks: DataFrame, as_of, limit: int | None, claim_token: str, org_id: str | None = None) -> DataFrame:
-    """Due manual outreach without text and without a fresh claim, claimed; limit is kept in 1..500."""
+    """The first `limit` rows of due manual outreach without text and without a fresh claim, claimed; MANUAL_BATCH without a limit."""
     if not claim_token.strip():
         raise ValueError("a claim token is required")
     now = moment(as_of)
@@ -128,7 +132,7 @@ def due_manual_tasks(tasks: DataFrame, as_of, limit: int | None, claim_token: st
         for_org(tasks, org_id)
         .filter((F.col("task_type") == "manual_outreach") & (F.col("status") == "pending") & (F.col("due_date") <= now) & non_blank(F.col("body")).isNull() & free)
         .orderBy("due_date", F.asc_nulls_last("created_at"), "id")
-        .limit(min(max(limit or 1, 1), 500))
+        .limit(MANUAL_BATCH if limit is None else max(limit, 1))
         .withColumn("metadata", json_set(F.col("metadata"), {"copy_claim_token": F.lit(claim_token.strip()), "copy_claimed_at": F.lit(str(as_of))}))
     )
 
@@ -176,18 +180,57 @@ def filter_companies(companies: DataFrame, candidates: DataFrame) -> DataFrame:
     return match_companies(companies, candidates).withColumn("is_already_used", F.coalesce("company_used", F.lit(False))).drop("company_used")
 
 
+def _creators(unknown: DataFrame) -> DataFrame:
+    """Of candidates that no company matches, those that create one: taken in order of their ids,
+    a candidate creates a company unless an earlier creator has one of its keys.
+
+    In each round the candidates that are first under all of their keys create, and the others
+    that have one of these keys are settled with them.
+    """
+    keyed = stored(unknown.select(ORG, "candidate_id", "keys"), "unknown")
+    made = stored(keyed.filter(F.size("keys") == 0).select(ORG, "candidate_id"), "created")
+    left = stored(keyed.select(ORG, "candidate_id", F.explode("keys").alias("key")), "undecided")
+    while not left.isEmpty():
+        first = left.groupBy(ORG, "key").agg(F.min("candidate_id").alias("first"))
+        own = left.join(first, [ORG, "key"]).groupBy(ORG, "candidate_id").agg(F.bool_and(F.col("first") == F.col("candidate_id")).alias("sure"))
+        sure = stored(own.filter("sure").select(ORG, "candidate_id"), "created")
+        taken = left.join(sure, [ORG, "candidate_id"], "left_semi").select(ORG, "key").distinct()
+        settled = left.join(taken, [ORG, "key"], "left_semi").select(ORG, "candidate_id").distinct()
+        left = stored(left.join(settled, [ORG, "candidate_id"], "left_anti"), "undecided")
+        made = made.union(sure)
+    return made
+
+
 def mark_companies(companies: DataFrame, candidates: DataFrame, campaign_name: str, as_of) -> tuple[DataFrame, DataFrame]:
     """Mark matched companies as used by a campaign and create the unknown ones.
 
-    Returns (companies, result per candidate). Each candidate is matched alone; unknown
-    candidates with the same best key become one new company.
+    Returns (companies, result per candidate). Candidates count in the order of their ids: a later
+    one sees the companies that earlier ones created or marked.
     """
     now = moment(as_of)
+    keys = _match_keys(F.col("profile_url"), F.col("name"), F.col("domain"))
     matched = match_companies(companies, candidates)
-    hits = matched.filter(F.col("company_id").isNotNull()).groupBy(ORG, F.col("company_id").alias("id")).agg(F.count("*").alias("hits"))
+    unknown = matched.filter(F.col("company_id").isNull()).withColumn("keys", F.transform(keys, lambda k: k["key"]))
+    makers = stored(candidates.join(_creators(unknown), [ORG, "candidate_id"], "left_semi"), "makers")
+    # a key has one maker at most; who comes after it may match it under a better key than an old company
+    offered = makers.select(ORG, F.col("candidate_id").alias("maker"), F.explode(keys).alias("k")).select(ORG, "maker", F.col("k.key").alias("key"))
+    asked = candidates.select(ORG, "candidate_id", F.explode(keys).alias("k")).select(ORG, "candidate_id", "k.rank", "k.key")
+    fresh = asked.join(offered, [ORG, "key"]).filter(F.col("maker") <= F.col("candidate_id")).groupBy(ORG, "candidate_id").agg(F.min(F.struct("rank", "maker")).alias("fresh"))
+    owned = companies.select(ORG, F.explode(keys).alias("k")).select(ORG, F.col("k.key").alias("key")).distinct()
+    old_rank = asked.join(owned, [ORG, "key"], "left_semi").groupBy(ORG, "candidate_id").agg(F.min("rank").alias("old_rank"))
+    lone = makers.select(ORG, "candidate_id", F.lit(True).alias("made"))
+    new_id = lambda c: F.concat(F.lit("new:"), c)
+    better = F.col("fresh").isNotNull() & (F.col("old_rank").isNull() | (F.col("fresh.rank") < F.col("old_rank")))
+    settled = matched.join(fresh, [ORG, "candidate_id"], "left").join(old_rank, [ORG, "candidate_id"], "left").join(lone, [ORG, "candidate_id"], "left")
+    settled = settled.select(
+        ORG, "candidate_id", F.when(F.col("made"), new_id(F.col("candidate_id"))).when(better, new_id(F.col("fresh.maker"))).otherwise(F.col("company_id")).alias("company_id"),
+        F.when(F.col("made") | better, F.lit(False)).otherwise(F.coalesce("company_used", F.lit(False))).alias("company_used"),
+    )
+    settled = stored(settled, "marked")
+    per_company = settled.groupBy(ORG, F.col("company_id").alias("id")).agg(F.count("*").alias("hits"), F.min("candidate_id").alias("first"))
     hit = F.col("hits").isNotNull()
     known = F.coalesce("outreach_campaigns", F.array().cast("array<string>"))
-    old = companies.join(hits, [ORG, "id"], "left").withColumns(
+    old = companies.join(per_company.drop("first"), [ORG, "id"], "left").withColumns(
         {
             "used_for_outreach": F.when(hit, True).otherwise(F.col("used_for_outreach")),
             "first_outreach_date": F.when(hit, F.coalesce("first_outreach_date", now)).otherwise(F.col("first_outreach_date")),
@@ -196,15 +239,15 @@ def mark_companies(companies: DataFrame, candidates: DataFrame, campaign_name: s
             "outreach_campaigns": F.when(hit, F.array_union(known, F.array(F.lit(campaign_name)))).otherwise(F.col("outreach_campaigns")),
         }
     ).drop("hits")
-    best_key = F.coalesce(F.get(_match_keys(F.col("profile_url"), F.col("name"), F.col("domain")), F.lit(0))["key"], F.concat(F.lit("c:"), F.col("candidate_id")))
-    unknown = matched.filter(F.col("company_id").isNull()).withColumn("best_key", best_key)
-    new = unknown.groupBy(ORG, "best_key").agg(F.min(F.struct("candidate_id", "name", "domain", "profile_url")).alias("c"), F.count("*").cast("int").alias("outreach_count"))
-    new = new.select(
-        F.concat(F.lit("new:"), F.col("c.candidate_id")).alias("id"), ORG, F.coalesce("c.name", F.lit("Unknown Company")).alias("name"), F.col("c.domain").alias("domain"),
-        F.col("c.profile_url").alias("profile_url"), F.lit(True).alias("used_for_outreach"), now.alias("first_outreach_date"), now.alias("last_outreach_date"),
-        "outreach_count", F.array(F.lit(campaign_name)).alias("outreach_campaigns"), now.alias("created_at"),
+    new = makers.withColumn("id", new_id(F.col("candidate_id"))).join(per_company, [ORG, "id"]).select(
+        "id", ORG, F.coalesce("name", F.lit("Unknown Company")).alias("name"), "domain", "profile_url", F.lit(True).alias("used_for_outreach"),
+        now.alias("first_outreach_date"), now.alias("last_outreach_date"), F.col("hits").cast("int").alias("outreach_count"),
+        F.array(F.lit(campaign_name)).alias("outreach_campaigns"), now.alias("created_at"),
+    )
+    # the first candidate of a company sees its state before the batch, the others see it marked
+    result = settled.join(per_company.withColumnRenamed("id", "company_id"), [ORG, "company_id"]).select(
+        ORG, "candidate_id", "company_id", (F.col("company_used") | (F.col("first") != F.col("candidate_id"))).alias("was_already_used"), F.lit(True).alias("marked_successfully")
     )
-    result = matched.select(ORG, "candidate_id", "company_id", F.coalesce("company_used", F.lit(False)).alias("was_already_used"), F.lit(True).alias("marked_successfully"))
     return old.unionByName(new, allowMissingColumns=True), result
 
 

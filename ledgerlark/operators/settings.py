@@ -59,12 +59,12 @@ def split_profile_urls(settings: DataFrame) -> DataFrame:
     is_company = lambda u: u.contains("/company/")
     clients = _list("$.ideal_clients")
     has = lambda k: F.get_json_object("icp_settings", f"$.{k}").isNotNull()
+    entries = F.try_variant_get(F.try_parse_json("icp_settings"), "$", "map<string,variant>")
     firms = _json_array(F.filter(clients, is_company))
     people = _json_array(F.filter(clients, lambda u: ~is_company(u) & u.contains("/in/")))
-    keep = lambda k: F.coalesce(F.get_json_object("icp_settings", f"$.{k}"), F.lit("[]"))
-    # a text value must be written as JSON again
-    industries = F.when(has("industries") & ~keep("industries").rlike(r"^[\[{]"), F.concat(F.lit('"'), keep("industries"), F.lit('"'))).otherwise(keep("industries"))
-    split = json_set(F.col("icp_settings"), {}, {"ideal_customers": firms, "ideal_persons": people, "industries": industries, "preferred_job_titles": keep("preferred_job_titles")})
+    # as JSON, whatever the value's type
+    keep = lambda k: F.coalesce(F.to_json(F.try_element_at(entries, F.lit(k))), F.lit("[]"))
+    split = json_set(F.col("icp_settings"), {}, {"ideal_customers": firms, "ideal_persons": people, "industries": keep("industries"), "preferred_job_titles": keep("preferred_job_titles")})
     customers = _json_array(F.filter(_list("$.current_customers"), is_company))
     cleaned = json_set(F.col("icp_settings"), {}, {"current_customers": customers})
     rows = settings.withColumn("icp_settings", F.when(has("ideal_clients"), split).otherwise(F.col("icp_settings")))

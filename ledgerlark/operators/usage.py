@@ -117,7 +117,9 @@ def _classified(usage: DataFrame) -> DataFrame:
     """Parse the metadata once and derive category, labels and the raw result counts."""
     meta = lambda key: F.col(f"meta.{key}")
     text = lambda key: F.coalesce(meta(key), F.lit(""))
-    count = lambda keys: count_of("plain", "meta", keys)
+    zero = F.lit(0).cast(MONEY)
+    # entries are examined only in the rows whose category uses the count
+    count = lambda category, keys: F.when(F.col("category") == category, count_of("plain", "meta", keys)).otherwise(zero)
     tokens_in, tokens_out = (F.coalesce(F.col(c), F.lit(0)) for c in ("input_tokens", "output_tokens"))
     parsed = (
         usage.filter(F.col("created_at").isNotNull())
@@ -139,26 +141,26 @@ def _classified(usage: DataFrame) -> DataFrame:
                 "grounding": number_of(meta("grounding_queries")),
                 "billable": number_of(meta("billable_units")),
                 "success": bool_of(meta("success")),
-                "emails_raw": count(EMAIL_KEYS),
-                "people_raw": count(PEOPLE_KEYS),
-                "companies_raw": count(COMPANY_KEYS),
-                "generic_raw": count(GENERIC_KEYS),
-                "phones_raw": count(PHONE_KEYS),
                 "all_tokens": F.when(
                     F.coalesce(F.col("total_tokens"), F.lit(0)) > 0, F.col("total_tokens")
                 ).otherwise(tokens_in + tokens_out),
             }
         )
-        .drop("meta", "plain", "metadata", "total_tokens")
+        .drop("metadata", "total_tokens")
         .withColumnRenamed("all_tokens", "total_tokens")
     )
     labelled = parsed.withColumn("category", _category(TOKEN_PROVIDERS, F.col("raw_action")))
     return labelled.withColumns(
         {
+            "emails_raw": count("b2b_data", EMAIL_KEYS),
+            "people_raw": count("b2b_data", PEOPLE_KEYS),
+            "companies_raw": count("b2b_data", COMPANY_KEYS),
+            "generic_raw": count("b2b_data", GENERIC_KEYS),
+            "phones_raw": count("phones", PHONE_KEYS),
             "task_label": _task_label(),
             "model_label": F.when(F.col("category") == "tokens", F.col("model_name")),
         }
-    )
+    ).drop("meta", "plain")
 
 
 def _measured(classified: DataFrame) -> DataFrame:
@@ -331,7 +333,7 @@ def _as_utc(value) -> datetime:
 
 def rollup_from_projection(
     projection: DataFrame, contributions: DataFrame, start, end, bucket: str = "day",
-    org_id: str | None = None, ready: bool = True, **filters,
+    org_id: str | None = None, *, ready: bool, **filters,
 ) -> DataFrame:
     """`rollup` answered from whole projection buckets plus the contributions at the two ragged edges.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import stages as G
 from ledgerlark.functions import text as X
+from ledgerlark.functions.json import json_contains
 from ledgerlark.operators import directory as D
 from ledgerlark.operators import icp as I
 from ledgerlark.operators import query as Q
@@ -26,11 +27,25 @@ def _where(t):
     return Q.where(t.contacts, rules).select("id", "organization_id", "name")
 
 
-@query("query_json_contains", "SELECT id FROM usage WHERE TRY_CAST(metadata AS JSON) ->> '$.service' = 'company_research' AND TRY_CAST(metadata AS JSON) ->> '$.success' = 'true'")
+@query("query_json_contains", """WITH j AS (SELECT id, TRY_CAST(metadata AS JSON) AS m FROM usage)
+  SELECT id FROM j WHERE json_type(m -> '$.service') = 'VARCHAR' AND m ->> '$.service' = 'company_research' AND json_type(m -> '$.success') = 'BOOLEAN' AND m ->> '$.success' = 'true'""")
 def _contains(t):
     return Q.where(t.usage, {"metadata": ("cs", {"service": "company_research", "success": True})}).select("id")
 
 
+@query(
+    "query_json_contains_typed",
+    """WITH d AS (SELECT id, CAST(doc AS JSON) AS j FROM typed_documents),
+    t AS (SELECT id, j, json_type(j -> '$.k') AS k, json_type(j -> '$.n.z') AS z, json_type(j -> '$.tags') AS tags FROM d)
+    SELECT id, coalesce(k = 'VARCHAR' AND j ->> '$.k' = '1', FALSE) AS text_one, coalesce(k IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(j ->> '$.k' AS DOUBLE) = 1, FALSE) AS number_one,
+      coalesce(j ->> '$."a.b"' = 'x', FALSE) AS dotted, coalesce(z IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(j ->> '$.n.z' AS DOUBLE) = 1, FALSE) AS nested,
+      coalesce(tags = 'ARRAY' AND list_contains(CAST(from_json(j -> '$.tags', '["JSON"]') AS VARCHAR[]), '"crm"'), FALSE) AS item, coalesce(k = 'NULL', FALSE) AS none FROM t""",
+)
+def _contains_typed(t):
+    asked = {"text_one": {"k": "1"}, "number_one": {"k": 1}, "dotted": {"a.b": "x"}, "nested": {"n": {"z": 1}}, "item": {"tags": ["crm"]}, "none": {"k": None}}
+    return t.typed_documents.select("id", *[json_contains(F.col("doc"), w).alias(n) for n, w in asked.items()])
+
+
 @query("query_array_contains", "SELECT id FROM companies WHERE list_contains(string_split(industry_text, ','), 'Energy')")
 def _array(t):
     return Q.where(t.companies.withColumn("industries", F.split("industry_text", ",")), {"industries": ("cs", ["Energy"])}).select("id")
@@ -97,12 +112,13 @@ def _domains(t):
 
 @query(
     "contacts_export_template",
-    """WITH b AS (SELECT l.organization_id, l.contact_id, f.name, f.website, f.profile_url, f.location FROM company_contacts l LEFT JOIN companies f ON f.id = l.company_id AND f.organization_id = l.organization_id
+    """WITH b AS (SELECT l.organization_id, l.contact_id, f.name, f.website, f.profile_url, f.location, f.phone, f.specialities FROM company_contacts l LEFT JOIN companies f ON f.id = l.company_id AND f.organization_id = l.organization_id
       QUALIFY row_number() OVER (PARTITION BY l.organization_id, l.contact_id ORDER BY CASE WHEN f.id IS NULL THEN 1 ELSE 0 END, CASE WHEN f.name <> '' THEN 0 ELSE 1 END, l.created_at DESC NULLS LAST, l.company_id) = 1)
     SELECT c.id, c.organization_id, coalesce(first_name, split_part(c.name, ' ', 1), '') AS first_name, coalesce(last_name, array_to_string(string_split(c.name, ' ')[2:], ' '), '') AS last_name, coalesce(job_title, '') AS title,
       coalesce(b.name, '') AS company_name, coalesce(b.website, '') AS company_website, coalesce(c.profile_url, '') AS personal_profile, coalesce(b.profile_url, '') AS company_profile, '' AS company_email, coalesce(email, '') AS personal_email,
+      coalesce(c.phone, '') AS mobile_number, coalesce(b.phone, '') AS company_number,
       coalesce(TRY_CAST(c.location AS JSON) ->> '$.city', TRY_CAST(c.location AS JSON) ->> '$.default', TRY_CAST(c.location AS JSON) ->> '$.country', '') AS person_location, coalesce(b.location, '') AS company_location, coalesce(pipeline_stage, 'PROSPECT') AS stage,
-      coalesce(array_to_string(from_json(skills, '["VARCHAR"]'), ', '), array_to_string(from_json(specialities, '["VARCHAR"]'), ', '), '') AS technologies
+      coalesce(array_to_string(from_json(skills, '["VARCHAR"]'), ', '), array_to_string(from_json(b.specialities, '["VARCHAR"]'), ', '), '') AS technologies
     FROM contacts c LEFT JOIN b ON b.contact_id = c.id AND b.organization_id = c.organization_id""",
 )
 def _export(t):
@@ -252,7 +268,7 @@ def _urls(t):
     f"""WITH {_JSON}, f AS (SELECT organization_id, s, json_type(s -> '$.ideal_clients') AS has FROM j)
     SELECT organization_id, CASE WHEN has IS NOT NULL THEN array_to_string(list_filter(from_json(s -> '$.ideal_clients', '["VARCHAR"]'), lambda u: contains(u, '/company/')), ',') ELSE array_to_string(from_json(s -> '$.ideal_customers', '["VARCHAR"]'), ',') END AS ideal_customers,
       CASE WHEN has IS NOT NULL THEN array_to_string(list_filter(from_json(s -> '$.ideal_clients', '["VARCHAR"]'), lambda u: contains(u, '/in/') AND NOT contains(u, '/company/')), ',') ELSE array_to_string(from_json(s -> '$.ideal_persons', '["VARCHAR"]'), ',') END AS ideal_persons,
-      array_to_string(list_filter(from_json(s -> '$.current_customers', '["VARCHAR"]'), lambda u: contains(u, '/company/')), ',') AS current_customers, CASE WHEN has IS NOT NULL THEN 'none' ELSE CASE WHEN json_type(s -> '$.industries') = 'VARCHAR' THEN s ->> '$.industries' END END AS text_industries
+      array_to_string(list_filter(from_json(s -> '$.current_customers', '["VARCHAR"]'), lambda u: contains(u, '/company/')), ',') AS current_customers, CASE WHEN json_type(s -> '$.industries') IN ('ARRAY', 'OBJECT') THEN NULL ELSE s ->> '$.industries' END AS text_industries
     FROM f""",
 )
 def _split(t):

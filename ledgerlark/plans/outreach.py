@@ -68,6 +68,16 @@ def _selected(t):
     return C.selected_companies(t.campaigns).select("id", F.array_join("selected_company_ids", ",").alias("selected_ids"))
 
 
+@query(
+    "campaign_select_all",
+    """SELECT id, array_to_string(list_transform(from_json(curated_companies, '[{"id":"VARCHAR"}]'), lambda c: c.id), ',') AS selected_ids,
+      len(from_json(curated_companies, '["JSON"]')) AS n FROM campaigns""",
+)
+def _select_all(t):
+    marked = t.campaigns.withColumn("curated_companies", C.select_all_curated(F.col("curated_companies")))
+    return C.selected_companies(marked).select("id", F.array_join("selected_company_ids", ",").alias("selected_ids"), F.json_array_length("curated_companies").cast("bigint").alias("n"))
+
+
 @query(
     "campaign_link_contacts",
     """WITH named AS (SELECT organization_id, 'camp_' || CAST(CAST(substr(organization_id, 5) AS INT) AS VARCHAR) AS campaign_id, id AS contact_id, created_at FROM contacts WHERE skills IS NOT NULL
@@ -191,7 +201,7 @@ def _due_actions(t):
 @query(
     "outreach_due_manual_tasks",
     """SELECT id, due_date, 'token-1' AS token FROM tasks WHERE task_type = 'manual_outreach' AND status = 'pending' AND due_date <= TIMESTAMP '2002-01-05' AND coalesce(trim(body), '') = ''
-      AND (coalesce(metadata ->> '$.copy_claimed_at', '') = '' OR CAST(metadata ->> '$.copy_claimed_at' AS TIMESTAMP) < TIMESTAMP '2002-01-05' - INTERVAL 15 MINUTE) ORDER BY due_date, created_at, id LIMIT 500""",
+      AND (coalesce(metadata ->> '$.copy_claimed_at', '') = '' OR CAST(metadata ->> '$.copy_claimed_at' AS TIMESTAMP) < TIMESTAMP '2002-01-05' - INTERVAL 15 MINUTE) ORDER BY due_date, created_at, id LIMIT 5000""",
 )
 def _due_manual(t):
     rows = O.due_manual_tasks(t.tasks, "2002-01-05", 5000, "token-1")
@@ -239,21 +249,46 @@ def _filter_companies(t):
     return O.filter_companies(_firms(t), t.outreach_candidates)
 
 
+# candidates one after the other: who has none of the keys taken so far makes a company
+_MARKED = f"""WITH RECURSIVE {_FIRMS},
+    asked AS (SELECT organization_id, candidate_id, company_id, list_filter(['u:' || nullif(profile_url, ''), 'n:' || lower(nullif(name, '')), 'd:' || nullif(domain, '')], lambda k: k IS NOT NULL) AS ks FROM matched),
+    queue AS (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY candidate_id) AS i FROM asked WHERE company_id IS NULL),
+    walk AS (SELECT DISTINCT organization_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS maker, CAST([] AS VARCHAR[]) AS mk FROM queue
+      UNION ALL SELECT q.organization_id, q.i, CASE WHEN list_has_any(taken, ks) THEN taken ELSE list_concat(taken, ks) END, CASE WHEN NOT list_has_any(taken, ks) THEN candidate_id END, ks
+      FROM walk w JOIN queue q ON q.organization_id = w.organization_id AND q.i = w.i + 1),
+    offered AS (SELECT organization_id, maker, unnest(mk) AS k FROM walk WHERE maker IS NOT NULL),
+    options AS (
+      SELECT c.organization_id, candidate_id, 'new:' || maker AS cid, strpos('und', k[1]) AS r FROM (SELECT organization_id, candidate_id, unnest(ks) AS k FROM asked) c JOIN offered USING (organization_id, k) WHERE maker <= candidate_id
+      UNION ALL SELECT c.organization_id, candidate_id, f.id, 1 FROM outreach_candidates c JOIN f ON f.organization_id = c.organization_id AND c.profile_url <> '' AND f.profile_url = c.profile_url
+      UNION ALL SELECT c.organization_id, candidate_id, f.id, 2 FROM outreach_candidates c JOIN f ON f.organization_id = c.organization_id AND c.name <> '' AND lower(f.name) = lower(c.name)
+      UNION ALL SELECT c.organization_id, candidate_id, f.id, 3 FROM outreach_candidates c JOIN f ON f.organization_id = c.organization_id AND c.domain <> '' AND f.domain = c.domain
+      UNION ALL SELECT organization_id, maker, 'new:' || maker, 9 FROM walk WHERE maker IS NOT NULL),
+    final AS (SELECT organization_id, candidate_id, min_by(cid, (r, cid)) AS company_id FROM options GROUP BY 1, 2)"""
+
+
 @query(
     "outreach_mark_companies",
-    f"""WITH {_FIRMS},
-    hits AS (SELECT organization_id, company_id AS id, count(*) AS n FROM matched WHERE company_id IS NOT NULL GROUP BY 1, 2),
-    new AS (SELECT organization_id, coalesce('u:' || nullif(profile_url, ''), 'n:' || lower(nullif(name, '')), 'd:' || nullif(domain, ''), 'c:' || candidate_id) AS k, min(candidate_id) AS cid, count(*) AS n FROM matched WHERE company_id IS NULL GROUP BY 1, 2)
+    f"""{_MARKED}, hits AS (SELECT organization_id, company_id AS id, count(*) AS n FROM final GROUP BY 1, 2)
     SELECT f.id, f.organization_id, CASE WHEN n IS NOT NULL THEN TRUE ELSE used_for_outreach END AS used_for_outreach, CAST(outreach_count + coalesce(n, 0) AS INT) AS outreach_count,
       CASE WHEN n IS NULL THEN CASE WHEN outreach_count > 0 THEN 'Spring' END WHEN outreach_count > 0 THEN 'Spring,Autumn' ELSE 'Autumn' END AS campaigns
     FROM f LEFT JOIN hits USING (organization_id, id)
-    UNION ALL SELECT 'new:' || cid, organization_id, TRUE, CAST(n AS INT), 'Autumn' FROM new""",
+    UNION ALL SELECT id, organization_id, TRUE, CAST(n AS INT), 'Autumn' FROM hits WHERE id LIKE 'new:%'""",
 )
 def _mark(t):
     companies, _ = O.mark_companies(_firms(t), t.outreach_candidates, "Autumn", "2024-06-01")
     return companies.select("id", "organization_id", "used_for_outreach", "outreach_count", F.array_join("outreach_campaigns", ",").alias("campaigns"))
 
 
+@query(
+    "outreach_mark_results",
+    f"""{_MARKED} SELECT x.organization_id, x.candidate_id, x.company_id,
+      coalesce(used_for_outreach, FALSE) OR row_number() OVER (PARTITION BY x.organization_id, x.company_id ORDER BY x.candidate_id) > 1 AS was_already_used
+    FROM final x LEFT JOIN f ON f.id = x.company_id AND f.organization_id = x.organization_id""",
+)
+def _mark_results(t):
+    return O.mark_companies(_firms(t), t.outreach_candidates, "Autumn", "2024-06-01")[1].drop("marked_successfully")
+
+
 @query("outreach_unused_companies", "SELECT id, organization_id, created_at FROM companies WHERE used_for_outreach IS NOT TRUE ORDER BY created_at DESC, id LIMIT 100")
 def _unused(t):
     return O.unused_companies(t.companies, 100).select("id", "organization_id", "created_at")

@@ -19,9 +19,8 @@ def oracle(sql: str) -> str:
     words = set(re.findall(r"[a-z_0-9]+", sql))
     parts = [f"{n} AS ({t.strip()})" for n, t in cte_chain(n for n in ADAPTERS if n in words)]
     body = sql.strip()
-    if re.match(r"with\b", body, re.I):
-        inner = body[4:].lstrip()
-        return "WITH " + ",\n".join([*parts, inner])
+    if head := re.match(r"with\s+(recursive\s+)?", body, re.I):
+        return head[0] + ",\n".join([*parts, body[head.end() :]])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

@@ -98,6 +98,7 @@ SELECT 'ct' || CAST(c_custkey AS STRING) AS id,
             ELSE '{{{{"city":"City ' || CAST(n_nationkey AS STRING) || '","country":"' || n_name || '"}}}}' END AS location,
        CASE WHEN c_custkey % 8 = 0 THEN '["sales","crm"]' WHEN c_custkey % 8 = 1 THEN '[]' END AS skills,
        CASE WHEN c_custkey % 3 = 0 THEN '["strategy"]' END AS specialities,
+       CASE WHEN c_custkey % 4 <> 2 THEN 'c-phone-' || CAST(c_custkey AS STRING) END AS phone,
        CASE WHEN c_custkey % 4 = 1 THEN 'user_' || CAST(c_custkey % 100 AS STRING) END AS assigned_to_user_id,
        CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' END AS processing_status,
        'Title ' || c_mktsegment AS job_title,
@@ -138,6 +139,8 @@ SELECT 'co' || CAST(s_suppkey AS STRING) AS id,
        CASE WHEN s_suppkey % 10 IN (3, 6) THEN TRUE WHEN s_suppkey % 10 = 4 THEN FALSE END AS blocked_by_icp,
        CASE WHEN s_suppkey % 20 = 3 THEN TRUE ELSE FALSE END AS manually_unblocked,
        CASE WHEN s_suppkey % 12 = 0 THEN TRUE END AS is_competitor,
+       CASE WHEN s_suppkey % 5 <> 1 THEN 's-phone-' || CAST(s_suppkey AS STRING) END AS phone,
+       CASE s_suppkey % 3 WHEN 0 THEN '["cloud","erp ' || CAST(s_suppkey % 8 AS STRING) || '"]' WHEN 1 THEN '[]' END AS specialities,
        CASE WHEN s_suppkey % 4 = 0 THEN TRUE WHEN s_suppkey % 4 = 1 THEN FALSE END AS used_for_outreach,
        CAST(s_suppkey % 3 AS INT) AS outreach_count,
        CASE WHEN s_suppkey % 14 = 0 THEN 'user_outsider' WHEN s_suppkey % 2 = 0 THEN 'user_' || CAST(s_suppkey % 100 AS STRING) END AS owner_user_id,
@@ -428,6 +431,15 @@ SELECT id, organization_id, campaign_id, contact_id, status, message_id, thread_
 FROM {campaign_emails}
 """
 
+# JSON values of all types under plain, dotted and nested keys
+TYPED_DOCUMENTS = """
+SELECT 'td' || CAST(p_partkey AS STRING) AS id,
+       CASE p_partkey % 6 WHEN 0 THEN '{{"k":1,"a.b":"x","n":{{"z":1}}}}' WHEN 1 THEN '{{"k":"1","a":{{"b":"x"}},"n":{{"z":"1","y":1}}}}'
+            WHEN 2 THEN '{{"k":1.0,"n":{{"z":1,"y":2}},"tags":["crm","sales"]}}' WHEN 3 THEN '{{"k":null,"tags":"crm"}}'
+            WHEN 4 THEN '{{"k":true,"a.b":"y","tags":[["crm"],"x"],"n":[1]}}' ELSE '{{"tags":["sales' || CAST(p_partkey % 3 AS STRING) || '"],"n":{{}}}}' END AS doc
+FROM {part}
+"""
+
 # companies named by a list: by URL, by name in another case, by domain, or unknown
 OUTREACH_CANDIDATES = f"""
 SELECT 'cand' || CAST(p_partkey AS STRING) AS candidate_id, {_org('p_partkey')} AS organization_id,
@@ -649,7 +661,7 @@ SELECT 'w' || CAST(c_custkey AS STRING) AS organization_id,
          WHEN 0 THEN '{{"company_criteria":{{"company_size":{{"min_employees":' || CAST(c_custkey % 50 AS STRING) || ',"max_employees":900}},"sales_process":["inbound"]}},"industries":{{"Software":1,"Energy":2}},"geography":{{"primary_regions":["EU"],"focus_areas":["DACH"]}}}}'
          WHEN 1 THEN '{{"industries":["Retail","Retail2"],"preferred_job_titles":["CEO","CTO"],"pain_points":["cost"],"current_customers":["https://linkedin.com/company/a' || CAST(c_custkey % 9 AS STRING) || '","https://linkedin.com/in/b"]}}'
          WHEN 2 THEN '{{"company_criteria":{{"company_size":{{"max_employees":50}}}},"ideal_customers":["https://linkedin.com/company/x","https://linkedin.com/company/x"],"ideal_persons":["https://linkedin.com/in/p' || CAST(c_custkey % 5 AS STRING) || '"],"exclusion_list":["https://linkedin.com/company/z"]}}'
-         WHEN 3 THEN '{{"ideal_clients":["https://linkedin.com/company/q","https://linkedin.com/in/r","https://example.com"],"industries":"none"}}'
+         WHEN 3 THEN '{{"ideal_clients":["https://linkedin.com/company/q","https://linkedin.com/in/r","https://example.com"],"industries":' || CASE c_custkey % 4 WHEN 1 THEN replace('"a ~"b~" c"', '~', chr(92)) WHEN 3 THEN '17' ELSE '"none"' END || '}}'
          WHEN 4 THEN '{{"geography":{{"secondary_regions":["US","UK"]}}}}' END AS icp_settings
 FROM {customer}
 """
@@ -713,6 +725,7 @@ ADAPTERS = {
     "sequence_actions": SEQUENCE_ACTIONS,
     "campaign_activities": CAMPAIGN_ACTIVITIES,
     "email_status_changes": EMAIL_STATUS_CHANGES,
+    "typed_documents": TYPED_DOCUMENTS,
     "outreach_candidates": OUTREACH_CANDIDATES,
     "suppressions": SUPPRESSIONS,
     "reply_drafts": REPLY_DRAFTS,

@@ -42,9 +42,12 @@ def raw_records(df: DataFrame, list_id: str) -> DataFrame:
     )
 
 
-def import_csv_records(spark: SparkSession, path: str, list_id: str) -> DataFrame:
-    """CSV rows (quoted, multi-line fields allowed) -> raw records; every column stays text."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def import_csv_records(spark: SparkSession, path: str, list_id: str, multi_line: bool = False) -> DataFrame:
+    """CSV rows -> raw records; every column stays text.
+
+    Files are split over tasks; with `multi_line`, quoted fields may hold line breaks and a task reads a whole file.
+    """
+    rows = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return raw_records(rows, list_id)
 
 

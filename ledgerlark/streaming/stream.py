@@ -82,12 +82,17 @@ def run_and_read(stream: DataFrame, label: str, output_mode: str, store: str | N
 # ---- jobs -----------------------------------------------------------------------------------
 
 
-def usage_buckets(events: DataFrame, grain: str = "hour", lateness: str = "2 days") -> DataFrame:
+def _bounded(events: DataFrame, time_column: str, lateness: str | None) -> DataFrame:
+    """With a lateness, later rows are dropped and state is forgotten; without, nothing is."""
+    return events if lateness is None else events.withWatermark(time_column, lateness)
+
+
+def usage_buckets(events: DataFrame, grain: str = "hour", lateness: str | None = None) -> DataFrame:
     """Hour or day aggregates of the usage stream over the full dimension key, in update mode.
 
-    Rows later than the watermark are dropped; `usage_changes` is the exact form without a bound.
+    The state is as large as the aggregates; rows count however late they come, unless `lateness` is given.
     """
-    rows = usage.contribution(events).withWatermark("occurred_at", lateness)
+    rows = _bounded(usage.contribution(events), "occurred_at", lateness)
     return (
         rows.groupBy(F.window("occurred_at", f"1 {grain}").alias("w"), *usage.DIMENSIONS)
         .agg(
@@ -100,9 +105,11 @@ def usage_buckets(events: DataFrame, grain: str = "hour", lateness: str = "2 day
     )
 
 
-def dedup_events(events: DataFrame, time_column: str = "received_at", lateness: str = "2 days") -> DataFrame:
-    """One row per workspace and dedup key; the key is remembered for the lateness bound."""
-    return events.withWatermark(time_column, lateness).dropDuplicatesWithinWatermark([ORG, "dedup_key"])
+def dedup_events(events: DataFrame, time_column: str = "received_at", lateness: str | None = None) -> DataFrame:
+    """One row per workspace and dedup key; keys are remembered for ever, or for `lateness` if given."""
+    if lateness is None:
+        return events.dropDuplicates([ORG, "dedup_key"])
+    return _bounded(events, time_column, lateness).dropDuplicatesWithinWatermark([ORG, "dedup_key"])
 
 
 def first_replies(emails: DataFrame, replies: DataFrame) -> DataFrame:
@@ -116,10 +123,10 @@ def funnel_state(events: DataFrame) -> DataFrame:
     return events.groupBy(ORG).agg(last.alias("last")).select(ORG, F.col("last.to_status").alias("status"), F.col("last.occurred_at").alias("since"))
 
 
-def daily_action_counts(log: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Actions and failures per account, type and day."""
+def daily_action_counts(log: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Actions and failures per account, type and day, however late they come unless `lateness` is given."""
     return (
-        log.withWatermark("created_at", lateness)
+        _bounded(log, "created_at", lateness)
         .groupBy(F.window("created_at", "1 day").alias("w"), ORG, "account_id", "action_type")
         .agg(F.count("*").alias("actions"), F.count_if(F.col("success") == F.lit(False)).alias("failures"))
         .withColumn("day", F.to_date("w.start"))

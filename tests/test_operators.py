@@ -134,7 +134,7 @@ def test_csv_round_trip(spark, tmp_path):
     rows = [("Ann", "a@x.com", 'line one\nline "two"'), ("", "", ""), ("Bob", None, None)]
     df = spark.createDataFrame(rows, "`First Name` string, `E-Mail` string, note string")
     io.write_contact_export(df, str(tmp_path / "out"))
-    back = io.import_csv_records(spark, str(tmp_path / "out"), "l1")
+    back = io.import_csv_records(spark, str(tmp_path / "out"), "l1", multi_line=True)
     assert sorted(r.record_type for r in back.collect()) == ["person", "person", "unknown"]
     assert any('line one\\nline \\"two\\"' in r.raw_data for r in back.collect())
     firms = spark.createDataFrame([("Acme", None), (" ", "https://linkedin.com/in/x"), (" ", None)], "company_name string, linkedin_url string")
