@@ -57,21 +57,21 @@ def workspace_rollup(
             F.max(F.coalesce("created_at", "period_end", "period_start")).alias("last_invoice_at"),
         )
     )
-    live = organizations.filter(~F.col("deleted").eqNullSafe(True)).select(F.col("id").alias("organization_id"))
-    ids = live
-    for source in (customers, used, billed):
-        ids = ids.union(source.select("organization_id").filter(F.col("organization_id").isNotNull()))
     orgs = organizations.select(
-        F.col("id").alias("organization_id"), F.col("name").alias("org_name"), "work_access_mode", "work_access_reason", "work_access_until", "dispatch_suspended"
+        F.col("id").alias("organization_id"), F.col("name").alias("org_name"), "work_access_mode", "work_access_reason", "work_access_until", "dispatch_suspended",
+        (~F.col("deleted").eqNullSafe(True)).alias("_live"),
     )
-    access = customers.select(
-        "organization_id", F.col("status").alias("billing_status"), "auto_charge_enabled", "billing_email", "card_brand", "card_last4", "monthly_spend_limit"
+    access = customers.filter(F.col("organization_id").isNotNull()).select(
+        "organization_id", F.col("status").alias("billing_status"), "auto_charge_enabled", "billing_email", "card_brand", "card_last4", "monthly_spend_limit", F.lit(True).alias("_customer")
     )
     counters = ["total_tokens", "api_calls", "usage_rows", "user_count", "invoice_count", "paid_invoice_count", "open_invoice_count", "failed_invoice_count"]
     amounts = ["total_list_cost", "total_billed_cost", "uninvoiced_billed_cost", "invoice_total"]
-    out = ids.distinct()
-    for side in (orgs, access, used, billed):
-        out = out.join(side, "organization_id", "left")
+    out = orgs
+    for side in (access, used, billed):
+        out = out.join(side, "organization_id", "full_outer")
+    # a deleted workspace shows only with a customer, usage or invoices
+    shown = F.col("_live") | F.col("_customer") | F.col("usage_rows").isNotNull() | F.col("invoice_count").isNotNull()
+    out = out.filter(F.col("organization_id").isNotNull() & F.coalesce(shown, F.lit(False))).drop("_live", "_customer")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast(MONEY if c != "invoice_total" else "decimal(38,2)") for c in amounts})
     name = F.col("org_name")
     return (

@@ -1,5 +1,7 @@
 """Registered billing queries and their oracles."""
 
+from pyspark.sql import functions as F
+
 from ledgerlark.operators import billing as B
 from ledgerlark.plans.registry import query
 
@@ -20,20 +22,23 @@ def _uninvoiced(t):
 
 @query(
     "billing_workspace_rollup",
-    """WITH u AS (SELECT organization_id, sum(coalesce(list_cost, 0)) AS lc, sum(coalesce(billed_cost, 0)) AS bc, sum(coalesce(total_tokens, 0)) AS tt, sum(coalesce(api_calls, 0)) AS ac,
-        count(*) AS n, count(DISTINCT user_id) AS users, sum(coalesce(billed_cost, 0)) FILTER (WHERE invoice_id IS NULL) AS ub, max(created_at) AS last_usage_at
-      FROM usage WHERE created_at >= TIMESTAMP '1997-01-01 00:00:00' AND created_at < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1),
-    i AS (SELECT organization_id, sum(coalesce(total, 0)) AS it, count(*) AS n, count(*) FILTER (WHERE status = 'paid') AS paid, count(*) FILTER (WHERE status IN ('open', 'sent', 'draft')) AS opened,
-        count(*) FILTER (WHERE status = 'failed') AS failed, max(coalesce(created_at, period_end, period_start)) AS last_invoice_at
-      FROM billing_invoices WHERE period_end >= TIMESTAMP '1997-01-01 00:00:00' AND period_end < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1),
-    ids AS (SELECT id AS organization_id FROM organization WHERE deleted IS DISTINCT FROM TRUE UNION SELECT organization_id FROM billing_customers UNION SELECT organization_id FROM u UNION SELECT organization_id FROM i)
-    SELECT ids.organization_id, coalesce(o.name, '') AS org_name, CAST(coalesce(lc, 0) AS DECIMAL(38,6)) AS total_list_cost, CAST(coalesce(bc, 0) AS DECIMAL(38,6)) AS total_billed_cost,
-      CAST(coalesce(tt, 0) AS BIGINT) AS total_tokens, CAST(coalesce(ac, 0) AS BIGINT) AS api_calls, coalesce(u.n, 0) AS usage_rows, coalesce(users, 0) AS user_count,
-      CAST(coalesce(ub, 0) AS DECIMAL(38,6)) AS uninvoiced_billed_cost, CAST(coalesce(it, 0) AS DECIMAL(38,2)) AS invoice_total, coalesce(i.n, 0) AS invoice_count, coalesce(paid, 0) AS paid_invoice_count,
-      coalesce(opened, 0) AS open_invoice_count, coalesce(failed, 0) AS failed_invoice_count, last_usage_at, last_invoice_at, c.status AS billing_status, auto_charge_enabled, billing_email,
-      card_brand, card_last4, monthly_spend_limit, work_access_mode, work_access_reason, work_access_until, coalesce(dispatch_suspended, FALSE) AS dispatch_suspended
-    FROM ids LEFT JOIN organization o ON o.id = ids.organization_id LEFT JOIN billing_customers c ON c.organization_id = ids.organization_id
-      LEFT JOIN u ON u.organization_id = ids.organization_id LEFT JOIN i ON i.organization_id = ids.organization_id""",
+    """WITH facts AS (
+      SELECT organization_id, 'usage' AS kind, list_cost AS a, billed_cost AS b, total_tokens AS tokens, api_calls AS calls, user_id AS who, invoice_id AS state, created_at AS tm FROM usage
+        WHERE created_at BETWEEN TIMESTAMP '1997-01-01 00:00:00' AND TIMESTAMP '2024-01-19 23:59:59.999999'
+      UNION ALL SELECT organization_id, 'invoice', total, NULL, NULL, NULL, NULL, status, coalesce(created_at, period_end, period_start) FROM billing_invoices
+        WHERE period_end BETWEEN TIMESTAMP '1997-01-01 00:00:00' AND TIMESTAMP '2024-01-19 23:59:59.999999'
+      UNION ALL SELECT organization_id, 'customer', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM billing_customers
+      UNION ALL SELECT id, 'workspace', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM organization WHERE NOT coalesce(deleted, FALSE)),
+    folded AS (
+      SELECT organization_id, coalesce(sum(a) FILTER (WHERE kind = 'usage'), 0) AS listed, coalesce(sum(b), 0) AS billed, coalesce(sum(tokens), 0) AS tokens, coalesce(sum(calls), 0) AS calls, count(*) FILTER (WHERE kind = 'usage') AS uses,
+        count(DISTINCT who) AS people, coalesce(sum(b) FILTER (WHERE kind = 'usage' AND state IS NULL), 0) AS unbilled, coalesce(sum(a) FILTER (WHERE kind = 'invoice'), 0) AS invoiced, count(*) FILTER (WHERE kind = 'invoice') AS invoices,
+        count(*) FILTER (WHERE kind = 'invoice' AND state = 'paid') AS paid, count(*) FILTER (WHERE kind = 'invoice' AND list_contains(['open', 'sent', 'draft'], state)) AS opened, count(*) FILTER (WHERE kind = 'invoice' AND state = 'failed') AS failed, max(tm) FILTER (WHERE kind = 'usage') AS used_last, max(tm) FILTER (WHERE kind = 'invoice') AS invoiced_last
+      FROM facts WHERE organization_id IS NOT NULL GROUP BY organization_id)
+    SELECT x.organization_id, coalesce(o.name, '') AS org_name, CAST(listed AS DECIMAL(38,6)) AS total_list_cost, CAST(billed AS DECIMAL(38,6)) AS total_billed_cost, CAST(tokens AS BIGINT) AS total_tokens,
+      CAST(calls AS BIGINT) AS api_calls, uses AS usage_rows, people AS user_count, CAST(unbilled AS DECIMAL(38,6)) AS uninvoiced_billed_cost, CAST(invoiced AS DECIMAL(38,2)) AS invoice_total, invoices AS invoice_count,
+      paid AS paid_invoice_count, opened AS open_invoice_count, failed AS failed_invoice_count, used_last AS last_usage_at, invoiced_last AS last_invoice_at, c.status AS billing_status, auto_charge_enabled, billing_email,
+      card_brand, card_last4, monthly_spend_limit, work_access_mode, work_access_reason, work_access_until, dispatch_suspended IS TRUE AS dispatch_suspended
+    FROM folded x LEFT JOIN organization o ON o.id = x.organization_id LEFT JOIN billing_customers c USING (organization_id)""",
 )
 def _workspace(t):
     return B.workspace_rollup(t.organization, t.billing_customers, t.usage, t.billing_invoices, "1997-01-01", "2024-01-20")
@@ -63,19 +68,15 @@ def _invoice_lines(t):
     return B.invoice_lines(t.usage, "2024-01-08", "2024-01-15")
 
 
-def _modern(t):
-    from pyspark.sql import functions as F
-
-    return t.billing_invoices.filter(F.coalesce("created_at", "period_end") >= F.lit("2000-01-01").cast("timestamp"))
-
-
 @query(
     "billing_invoice_numbers",
-    """WITH dated AS (SELECT *, coalesce(created_at, period_end) AS tm FROM billing_invoices WHERE coalesce(created_at, period_end) >= TIMESTAMP '2000-01-01 00:00:00')
+    """WITH dated AS (SELECT *, coalesce(created_at, period_end) + INTERVAL 20 YEAR AS tm FROM billing_invoices)
     SELECT id, CAST(year(tm) AS INT) AS invoice_year, 'INV-' || year(tm) || '/' || lpad(CAST(100000 + row_number() OVER (PARTITION BY year(tm) ORDER BY tm, id) AS VARCHAR), 6, '0') AS invoice_number FROM dated""",
 )
 def _numbers(t):
-    return B.assign_invoice_numbers(_modern(t)).select("id", "invoice_year", "invoice_number")
+    """All invoices, dated twenty years later, as numbers begin with the year 2000."""
+    later = {c: F.col(c) + F.expr("INTERVAL 20 YEARS") for c in ("created_at", "period_end")}
+    return B.assign_invoice_numbers(t.billing_invoices.withColumns(later)).select("id", "invoice_year", "invoice_number")
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,6 +23,9 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+#: where a local session without a checkpoint folder keeps its own
+OWN_FOLDER = "spark.ledgerlark.workFolder"
+
 
 def build_session(app: str = "ledgerlark", master: str | None = None, **conf: str) -> SparkSession:
     """Create or reuse a session. On a cluster leave `master` to spark-submit."""
@@ -48,12 +53,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for checkpoints and written tables.
 
     It lies under the folder the cluster names in `spark.checkpoint.dir`. Only a local
-    session without that setting may fall back to a temporary folder, since executors
-    on other machines could not read it.
+    session without that setting gets a temporary folder of its own, which goes when the
+    process ends, since executors on other machines could not read it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="ledgerlark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set(OWN_FOLDER, base)
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")

@@ -450,10 +450,10 @@ FROM {{part}}
 """
 
 SUPPRESSIONS = f"""
-SELECT CASE WHEN c_custkey % 2 = 0 THEN 'Person' ELSE 'person' END || CAST(c_custkey % 700 AS STRING) || '@example.com' AS email,
+SELECT CASE WHEN c_custkey % 5 > 0 THEN 'nobody' WHEN c_custkey % 2 = 0 THEN 'Person' ELSE 'person' END || CAST(c_custkey % 700 AS STRING) || '@example.com' AS email,
        CASE WHEN c_custkey % 9 <> 0 THEN {_org('c_custkey')} END AS organization_id,
        CASE WHEN c_custkey % 2 = 0 THEN 'onboarding_lifecycle' ELSE 'marketing' END AS scope
-FROM {{customer}} WHERE c_custkey % 5 = 0
+FROM {{customer}}
 """
 
 REPLY_DRAFTS = f"""
@@ -468,7 +468,7 @@ RAW_UPDATES = f"""
 SELECT 'raw' || CAST(p_partkey AS STRING) AS record_id, {_org('p_partkey')} AS organization_id,
        CASE WHEN p_partkey % 2 = 0 THEN 'co' || CAST(p_partkey % 100 + CASE WHEN p_partkey % 14 = 0 THEN 1 ELSE 0 END AS STRING) END AS company_id,
        CASE WHEN p_partkey % 3 = 0 THEN 'ct' || CAST(p_partkey % 100 AS STRING) END AS person_id
-FROM {{part}} WHERE p_size > 20
+FROM {{part}}
 """
 
 CRM_RAW_RECORDS = f"""
@@ -557,7 +557,7 @@ SELECT 'da' || CAST(event_id AS STRING) AS id, 'dl' || CAST((user_id % 4) + 4 *
 FROM {{events}}
 """
 
-# mail and network events; every fifth is delivered twice, every second key is stored already
+# mail and network events, each delivered twice; every second key is stored already
 CONTACT_EVENTS = f"""
 SELECT {_org('user_id')} AS organization_id, 'ct' || CAST(user_id AS STRING) AS contact_id,
        CASE user_id % 4 WHEN 0 THEN 'email_in' WHEN 1 THEN 'email_out' WHEN 2 THEN 'linkedin_in' ELSE 'linkedin_out' END AS activity_type,
@@ -567,13 +567,13 @@ FROM {{events}}
 UNION ALL
 SELECT {_org('user_id')}, 'ct' || CAST(user_id AS STRING), CASE user_id % 4 WHEN 0 THEN 'email_in' WHEN 1 THEN 'email_out' WHEN 2 THEN 'linkedin_in' ELSE 'linkedin_out' END,
        'Event again', 'ev:' || CAST(event_id AS STRING), 'system', CAST(NULL AS STRING), CAST(ts AS TIMESTAMP) + INTERVAL '1' HOUR
-FROM {{events}} WHERE event_id % 5 = 0
+FROM {{events}}
 """
 
 PROJECTION_FAILURES = f"""
-SELECT 'pf' || CAST(c_custkey AS STRING) AS id, {_org('c_custkey')} AS organization_id, 'ct' || CAST(c_custkey AS STRING) AS contact_id,
+SELECT 'pf' || CAST(c_custkey AS STRING) AS id, {_org('c_custkey')} AS organization_id, CASE WHEN c_custkey % 2 = 0 THEN 'ct' ELSE 'gone' END || CAST(c_custkey AS STRING) AS contact_id,
        CASE WHEN c_custkey % 10 = 0 THEN {_day('c_custkey % 30', 'DAY')} END AS resolved_at
-FROM {{customer}} WHERE c_custkey % 2 = 0
+FROM {{customer}}
 """
 
 # ---------------------------------------------------------------- onboarding

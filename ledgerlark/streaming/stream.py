@@ -10,6 +10,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import inbox, usage
@@ -54,9 +55,10 @@ def run_to_store(stream: DataFrame, store: str, output_mode: str, per_batch: Cal
 
 
 def store_exists(spark: SparkSession, store: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(path) and any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(path))
+    try:
+        return bool(read_store(spark, store).columns)
+    except AnalysisException:  # no batch yet
+        return False
 
 
 def read_store(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
