@@ -436,9 +436,14 @@ def merge_projection(projection: DataFrame, deltas: DataFrame) -> DataFrame:
     return merge_deltas(projection.select(*columns).unionByName(deltas.select(*columns)))
 
 
+def sum_deltas(deltas: DataFrame) -> DataFrame:
+    """Signed rows summed per group."""
+    return _projection_sums(deltas, F.sum("usage_row_count"))
+
+
 def merge_deltas(deltas: DataFrame) -> DataFrame:
     """Sum signed rows per group; empty groups vanish and a negative one fails the job."""
-    merged = _projection_sums(deltas, F.sum("usage_row_count"))
+    merged = sum_deltas(deltas)
     count = F.col("usage_row_count")
     fail = F.raise_error(F.lit("usage projection subtraction has no matching aggregate")).cast("boolean")
     return merged.filter(F.when(count < 0, fail).otherwise(count > 0))

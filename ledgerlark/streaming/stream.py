@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import inbox, usage
@@ -37,12 +38,11 @@ def _batch_path(store: str, batch_id: int) -> str:
     return os.path.join(store, f"batch={batch_id}")
 
 
-def run_to_store(stream: DataFrame, store: str, output_mode: str, per_batch: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+def run_to_store(stream: DataFrame, store: str, output_mode: str) -> None:
     """Process all input there is and stop. Batch n is written to `batch=n`, replaced when retried."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = per_batch(batch, batch_id) if per_batch else batch
-        out.write.mode("overwrite").parquet(_batch_path(store, batch_id))
+        batch.write.mode("overwrite").parquet(_batch_path(store, batch_id))
 
     job = (
         stream.writeStream.outputMode(output_mode)
@@ -61,10 +61,9 @@ def store_exists(spark: SparkSession, store: str) -> bool:
         return False
 
 
-def read_store(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
-    """All batches of a store, or those before one batch (what that batch may build on)."""
-    rows = spark.read.option("basePath", store).option("pathGlobFilter", "*.parquet").parquet(os.path.join(store, "batch=*"))
-    return rows if before is None else rows.filter(F.col("batch") < before)
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """All batches of a store."""
+    return spark.read.option("basePath", store).option("pathGlobFilter", "*.parquet").parquet(os.path.join(store, "batch=*"))
 
 
 def latest_rows(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -136,27 +135,68 @@ def daily_action_counts(log: DataFrame, lateness: str | None = None) -> DataFram
     )
 
 
+class FoldedLog:
+    """A log of batches that is folded into a snapshot after every FOLD batches.
+
+    Batch n reads one snapshot and fewer than FOLD batches, however long the log is. A batch and the
+    snapshot behind it are replaced when retried. Batches count from 0 without gaps, as Spark counts them.
+    """
+
+    FOLD = 10
+
+    def __init__(self, spark: SparkSession, folder: str, fold: Callable[[DataFrame], DataFrame]):
+        self.spark, self.folder, self.fold = spark, folder, fold
+
+    def append(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(_batch_path(self.folder, batch_id))
+        if (batch_id + 1) % self.FOLD == 0:
+            self.fold(self.before(batch_id + 1, whole=True)).drop("batch").write.mode("overwrite").parquet(self._snapshot(batch_id + 1))
+
+    def _snapshot(self, batch_id: int) -> str:
+        return os.path.join(self.folder, f"snapshot={batch_id}")
+
+    def before(self, batch_id: int, whole: bool = False) -> DataFrame | None:
+        """Rows of the batches before one, with their `batch`; those of a snapshot have the number before its first batch.
+
+        whole: batches that a snapshot is being made of, so read without it.
+        """
+        if not batch_id:
+            return None
+        first = (batch_id - 1 if whole else batch_id) // self.FOLD * self.FOLD
+        parts = [self.spark.read.parquet(_batch_path(self.folder, n)).withColumn("batch", F.lit(n)) for n in range(first, batch_id)]
+        if first:
+            parts.insert(0, self.spark.read.parquet(self._snapshot(first)).withColumn("batch", F.lit(first - 1)))
+        return reduce(DataFrame.unionByName, parts)
+
+    def all(self) -> DataFrame | None:
+        if not store_exists(self.spark, self.folder):
+            return None
+        return self.before(read_store(self.spark, self.folder).agg(F.max("batch")).first()[0] + 1)
+
+
 class UsageChanges:
     """Exact projection from a stream of usage changes, without a lateness bound.
 
-    Two append-only logs: signed projection deltas, and the contribution versions of each changed
-    usage row. A batch reads only earlier batches and replaces its own folders, so a retry is
+    Two folded logs: signed projection deltas, and the contribution versions of each changed usage
+    row. A batch reads only what came before it and replaces its own folders, so a retry is
     harmless; state is the sum of the deltas.
     """
 
     def __init__(self, spark: SparkSession, store: str):
-        self.spark, self.deltas, self.versions = spark, os.path.join(store, "deltas"), os.path.join(store, "versions")
+        self.deltas = FoldedLog(spark, os.path.join(store, "deltas"), usage.sum_deltas)
+        self.versions = FoldedLog(spark, os.path.join(store, "versions"), self._live_versions)
 
-    def _current(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame | None:
-        """Live contributions; with `touched` only those rows, matched before anything is shuffled."""
-        if not store_exists(self.spark, self.versions):
-            return None
-        rows = read_store(self.spark, self.versions, before)
-        if touched is not None:
-            rows = rows.join(touched, "usage_id", "left_semi")
+    @staticmethod
+    def _live_versions(rows: DataFrame) -> DataFrame:
         rest = [c for c in rows.columns if c not in ("usage_id", "batch")]
         newest = rows.groupBy("usage_id").agg(F.max_by(F.struct(*rest), "batch").alias("v"))
-        return newest.select("usage_id", "v.*").filter(F.col("deleted") == F.lit(False)).drop("deleted")
+        return newest.select("usage_id", "v.*").filter(F.col("deleted") == F.lit(False))
+
+    def _live(self, rows: DataFrame | None, touched: DataFrame | None = None) -> DataFrame | None:
+        """Live contributions; with `touched` only those rows, matched before anything is shuffled."""
+        if rows is not None and touched is not None:
+            rows = rows.join(touched, "usage_id", "left_semi")
+        return None if rows is None else self._live_versions(rows).drop("deleted")
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
         """Fold one micro-batch (usage rows plus `op` and `seq`)."""
@@ -166,13 +206,13 @@ class UsageChanges:
             new = usage.contribution(latest.filter(F.col("op") != "delete").drop("op", "seq"))
             touched = latest.select(F.col("id").alias("usage_id"))
             signed = usage.build_signed(new, 1)
-            old = self._current(batch_id, touched)
+            old = self._live(self.versions.before(batch_id), touched)
             if old is not None:
                 signed = signed.unionByName(usage.build_signed(old, -1))
             # a row that is gone keeps a tombstone version
             versions = touched.join(new.withColumn("deleted", F.lit(False)), "usage_id", "left").withColumn("deleted", F.coalesce("deleted", F.lit(True)))
-            signed.write.mode("overwrite").parquet(_batch_path(self.deltas, batch_id))
-            versions.write.mode("overwrite").parquet(_batch_path(self.versions, batch_id))
+            self.deltas.append(signed, batch_id)
+            self.versions.append(versions, batch_id)
         finally:
             latest.unpersist()
 
@@ -181,30 +221,33 @@ class UsageChanges:
         job.awaitTermination()
 
     def projection(self) -> DataFrame:
-        return usage.merge_deltas(read_store(self.spark, self.deltas))
+        return usage.merge_deltas(self.deltas.all())
 
     def contributions(self) -> DataFrame | None:
-        return self._current()
+        return self._live(self.versions.all())
 
 
 class ThreadSummary:
-    """Per-chat summary kept as an append-only log of touched chats.
+    """Per-chat summary kept as a folded log of touched chats.
 
-    A batch is summarised as a whole, then merged with the stored state: an outbound message
-    resets the unread count, inbound ones add to it. Messages are taken in batch order, as the
-    message webhook does; inside a batch by their time.
+    A batch is summarised as a whole, then merged with the stored state of its chats: an outbound
+    message resets the unread count, inbound ones add to it. Messages are taken in batch order, as
+    the message webhook does; inside a batch by their time.
     """
 
     KEY = [ORG, "chat_id"]
 
     def __init__(self, spark: SparkSession, store: str):
         self.spark, self.store = spark, store
+        self.log = FoldedLog(spark, os.path.join(store, "chats"), lambda rows: latest_rows(rows, self.KEY))
 
     def merge(self, messages: DataFrame, batch_id: int) -> DataFrame:
         fresh = inbox.thread_summary(messages)
-        if not store_exists(self.spark, self.store):
+        past = self.log.before(batch_id)
+        if past is None:
             return fresh
-        stored = latest_rows(read_store(self.spark, self.store, batch_id), self.KEY)
+        # only the chats of this batch, before anything is shuffled
+        stored = latest_rows(past.join(messages.select(*self.KEY).distinct(), self.KEY, "left_semi"), self.KEY)
         old = stored.select(*self.KEY, F.struct(*[c for c in stored.columns if c not in self.KEY]).alias("old"))
         joined = fresh.join(old, self.KEY, "left")
         newer = F.col("old").isNull() | (F.col("last_message_at") >= F.col("old.last_message_at"))
@@ -215,8 +258,12 @@ class ThreadSummary:
             F.greatest("last_outbound_at", "old.last_outbound_at").alias("last_outbound_at"), unread.alias("unread_count"),
         )
 
+    def apply(self, messages: DataFrame, batch_id: int) -> None:
+        self.log.append(self.merge(messages, batch_id), batch_id)
+
     def run(self, messages: DataFrame) -> None:
-        run_to_store(messages, self.store, "append", self.merge)
+        job = messages.writeStream.option("checkpointLocation", os.path.join(self.store, "_checkpoint")).trigger(availableNow=True).foreachBatch(self.apply).start()
+        job.awaitTermination()
 
     def state(self) -> DataFrame:
-        return latest_rows(read_store(self.spark, self.store), self.KEY)
+        return latest_rows(self.log.all(), self.KEY)

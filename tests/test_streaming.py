@@ -20,7 +20,7 @@ def ledger_files(spark, tables, tmp_path_factory):
 
 def test_usage_buckets(spark, tables, ledger_files):
     events = S.read_events(spark, ledger_files, SCHEMAS["usage"], max_files=1)
-    rows = S.run_and_read(S.usage_buckets(events, lateness="60 days"), "t-buckets", "update")
+    rows = S.run_and_read(S.usage_buckets(events), "t-buckets", "update")
     assert rows.select("batch").distinct().count() >= 5
     got = S.latest_rows(rows, list(usage.PROJECTION_KEY))
     want = usage.build_projection(usage.contribution(tables.usage)).filter("bucket_granularity = 'hour'")
@@ -37,6 +37,30 @@ def test_dedup_over_batches(spark, tmp_path):
     assert len(rows_of(rows, "organization_id", "dedup_key")) == 5
 
 
+def test_nothing_is_too_late(spark, tmp_path):
+    schema = "organization_id string, dedup_key string, received_at timestamp"
+    for n, (key, day) in enumerate((("k", 28), ("new", 1), ("k", 27), ("later", 28), ("new", 2))):
+        spark.createDataFrame([("a", key, datetime(2026, 7 - n % 2 * 3, day))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: S.read_events(spark, str(tmp_path / "in"), schema, max_files=1)
+    assert rows_of(S.run_and_read(S.dedup_events(read()), "t-late", "append"), "dedup_key") == [("k",), ("later",), ("new",)]
+    bounded = S.run_and_read(S.dedup_events(read(), lateness="2 days"), "t-bound", "append")
+    assert bounded.count() < 5  # asked for, the bound holds
+
+
+def test_a_batch_reads_a_bounded_number_of_files(spark, tables, tmp_path):
+    job = S.UsageChanges(spark, str(tmp_path / "store"))
+    rows = tables.usage.limit(30).withColumns({"op": F.lit("update"), "seq": F.lit(1)}).coalesce(1).cache()
+    folders = []
+    for n in range(23):
+        job.apply(rows.filter(F.crc32("id") % 3 == n % 3), n)
+        past = job.versions.before(n + 1)
+        folders.append(len({f.rsplit("/", 2)[1] for f in past.inputFiles()}))
+    assert max(folders[10:]) <= S.FoldedLog.FOLD and folders[19] == folders[9] == 1
+    want = usage.build_projection(usage.contribution(rows.drop("op", "seq")))
+    assert rows_of(job.projection().select(want.columns)) == rows_of(want)
+    assert job.contributions().count() == rows.filter("created_at IS NOT NULL").count()
+
+
 def test_funnel_state_keeps_the_latest(spark, tmp_path):
     schema = "id string, organization_id string, to_status string, occurred_at timestamp"
     for n, status in ((2, "approved"), (1, "pending"), (3, "launched")):
@@ -72,6 +96,6 @@ def test_thread_summary_over_batches(spark, tables, tmp_path):
     for n, day in enumerate(("sent_at < '2024-01-01 02:00:00'", "sent_at >= '2024-01-01 02:00:00' AND sent_at < '2024-01-01 04:00:00'", "sent_at >= '2024-01-01 04:00:00'")):
         batch = messages.filter(day)
         for _ in range(2):  # the second run is the retry
-            store.merge(batch, n).write.mode("overwrite").parquet(S._batch_path(store.store, n))
+            store.apply(batch, n)
     want = inbox.thread_summary(messages)
     assert rows_of(store.state().select(want.columns)) == rows_of(want)

@@ -61,12 +61,12 @@ def test_readiness_gate(ledger, contributions):
 
 def test_stated_rollups(contributions):
     projection = U.build_projection(contributions)
-    day = U.rollup_from_projection(projection, contributions, "2026-07-01", "2026-07-04", "day", org_id="a")
+    day = U.rollup_from_projection(projection, contributions, "2026-07-01", "2026-07-04", "day", org_id="a", ready=True)
     emails = day.filter("category = 'b2b_data'").head()
     assert (emails.bucket_start, emails.emails_found, emails.billed_cost) == (at("2026-07-02 00:00:00"), 2, 2)
-    hour = U.rollup_from_projection(projection, contributions, "2026-07-02 12:00:00", "2026-07-02 13:00:00", "hour", org_id="a").head()
+    hour = U.rollup_from_projection(projection, contributions, "2026-07-02 12:00:00", "2026-07-02 13:00:00", "hour", org_id="a", ready=True).head()
     assert (hour.phones_found, hour.units) == (1, 1)
-    total = lambda org: U.rollup_from_projection(projection, contributions, "2026-07-01", "2026-07-04", "day", org_id=org).agg(F.sum("billed_cost")).head()[0]
+    total = lambda org: U.rollup_from_projection(projection, contributions, "2026-07-01", "2026-07-04", "day", org_id=org, ready=True).agg(F.sum("billed_cost")).head()[0]
     assert total("a") == Decimal("6.5") and total("b") == 99
 
 
@@ -125,7 +125,7 @@ def test_projection_equals_ledger_on_random_ranges(tables):
         if rng.random() < 0.4:
             start = start.replace(hour=0, minute=0, second=0)
         direct = U.rollup(ledger, start, end, bucket)
-        projected = U.rollup_from_projection(projection, contributions, start, end, bucket)
+        projected = U.rollup_from_projection(projection, contributions, start, end, bucket, ready=True)
         assert regrouped(direct) == regrouped(projected), (bucket, start, end)
 
 
