@@ -210,10 +210,14 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(anchors: DataFrame, hot: int) -> DataFrame:
-    """Anchors that more than one text has. Rows arrive sorted by anchor; at most `hot` wait for a group's end."""
+    """The low 32 bits of anchors that more than one text has; inside one text that is enough to know them again.
+
+    Rows arrive sorted by anchor; at most `hot` wait for a group's end.
+    """
 
     def out(rows: np.ndarray, over) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in (1, 2, 0)), pa.array(np.broadcast_to(over, len(rows)))], ["_t1", "_t2", "anchor", "hot"])
+        short = [(rows[:, i] & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for i in (2, 0)]
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), *map(pa.array, short), pa.array(np.broadcast_to(over, len(rows)))], ["_t1", "_t2", "anchor", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, over = np.empty((0, 3), np.int64), None  # the group at hand; its anchor, once it is hot
@@ -237,7 +241,7 @@ def _shared(anchors: DataFrame, hot: int) -> DataFrame:
         if len(held) > 1:
             yield out(held, False)
 
-    return anchors.mapInArrow(run, "_t1 long, _t2 long, anchor long, hot boolean")
+    return anchors.mapInArrow(run, "_t1 long, _t2 int, anchor int, hot boolean")
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -246,21 +250,26 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def _name_of(text, size: int) -> tuple:
+    """_t1, _t2: 96 hash bits of a text."""
+    return F.xxhash64(text).alias("_t1"), F.shiftright(F.xxhash64(F.lit(size), text), 32).cast("int").alias("_t2")
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, anchor: int = ANCHOR, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """_t1, _t2, _doc, _text, _at, _windows: one row for each distinct text that has something.
+    """_t1, _t2, _doc, _text, _gone: one row for each distinct text.
 
-    _t1, _t2 name the text, _doc is its least id; the windows to go begin at _at[i] and are
-    _windows[i] in number, both in bytes.
+    _t1, _t2 name the text, _doc is its least id; the windows to go are _gone: `windows` of them
+    from each byte in `at` on; null where nothing goes.
     """
     texts = (
         docs.select(
             F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_doc"), text_of(text).cast("binary").alias("_text"),
         )
-        .select(F.xxhash64("_text").alias("_t1"), F.xxhash64(F.lit(size), "_text").alias("_t2"), "_doc", "_text")
+        .select(*_name_of(F.col("_text"), size), "_doc", "_text")
         .groupBy("_t1", "_t2").agg(F.min("_doc").alias("_doc"), F.first("_text").alias("_text"))
     )
 
@@ -273,23 +282,24 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
                 ["anchor", "_t1", "_t2"],
             )
 
-    sent = texts.mapInArrow(send, "anchor long, _t1 long, _t2 long").repartition("anchor").sortWithinPartitions("anchor", "_t1", "_t2")
-    shared = _shared(sent, hot).groupBy("_t1", "_t2").agg(F.collect_list("anchor").alias("_anchors"), F.collect_list("hot").alias("_hot"))
+    sent = texts.mapInArrow(send, "anchor long, _t1 long, _t2 int").repartition("anchor").sortWithinPartitions("anchor", "_t1", "_t2")
+    shared = _shared(sent, hot).groupBy("_t1", "_t2").agg(F.collect_list("anchor").alias("_anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("_hot"))
+
+    def cut_text(data: bytes, wanted: np.ndarray, hot: np.ndarray) -> dict[tuple[int, bytes], list[int]]:
+        """The distinct segments whose anchor is wanted, as (anchor's place, bytes), and their first windows.
 
-    def cut_text(data: bytes, wanted: np.ndarray, is_hot: np.ndarray):
-        """First window, anchor's place, key and bytes of the segments whose anchor is wanted."""
+        A hot anchor's windows go one by one, with the place -1.
+        """
         first, count, place, hashes = segments(data, size, anchor)
-        hashes = _signed(hashes)
-        keep = np.isin(hashes, wanted)
-        first, count, place, hashes = first[keep], count[keep], place[keep] - first[keep], hashes[keep]
-        warm = np.isin(hashes, wanted[is_hot])
-        if warm.any():  # window by window, under the window's own hash
-            lone = np.concatenate([np.arange(f, f + c) for f, c in zip(first[warm], count[warm], strict=True)])
-            whole = np.frombuffer(data, np.uint8)
-            own = _signed(np.concatenate([run_hashes(whole[f : f + c + size - 1], size) for f, c in zip(first[warm], count[warm], strict=True)]))
-            none = np.zeros(len(lone), np.int64)
-            first, count, place, hashes = (np.concatenate([x[~warm], y]) for x, y in ((first, lone), (count, none + 1), (place, none), (hashes, own)))
-        return first, place, hashes, [data[f : f + c + size - 1] for f, c in zip(first.tolist(), count.tolist(), strict=True)]
+        low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        warm, found = np.isin(low, hot), {}
+        for f, c, p, lone in zip(*(x[np.isin(low, wanted)].tolist() for x in (first, count, place, warm)), strict=True):
+            if lone:
+                for at in range(f, f + c):
+                    found.setdefault((-1, data[at : at + size]), []).append(at)
+            else:
+                found.setdefault((p - f, data[f : f + c + size - 1]), []).append(f)
+        return found
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -297,25 +307,37 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
                 cut_text(t.as_py(), a.values.to_numpy(), h.values.to_numpy(zero_copy_only=False))
                 for t, a, h in zip(*(batch.column(c) for c in ("_text", "_anchors", "_hot")), strict=True)
             ]
-            many = np.array([len(x[0]) for x in found])
-            first, place, hashes = (np.concatenate([x[i] for x in found]) for i in range(3))
+            many = np.array([len(x) for x in found])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(hashes), *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("_doc", "_t1", "_t2")),
-                    pa.array(first), pa.array(place.astype(np.int32)), pa.array([p for x in found for p in x[3]], pa.binary()),
+                    *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("_doc", "_t1", "_t2")),
+                    pa.array([x for f in found for x in f.values()], pa.list_(pa.int32())),
+                    pa.array([x[0] for f in found for x in f], pa.int32()), pa.array([x[1] for f in found for x in f], pa.binary()),
                 ],
-                ["key", "doc", "_t1", "_t2", "first", "place", "piece"],
+                ["doc", "_t1", "_t2", "first", "place", "piece"],
             )
 
     marked = texts.join(shared, ["_t1", "_t2"]).select("_t1", "_t2", "_doc", "_text", "_anchors", "_hot")
-    pieces = marked.mapInArrow(cut, "key long, doc long, _t1 long, _t2 long, first long, place int, piece binary").repartition("key").sortWithinPartitions("key", "doc")
-
-    def settle(rows: pa.Table) -> pa.RecordBatch:
-        part = {c: rows.column(c).to_numpy() for c in ("key", "doc", "_t1", "_t2", "first", "place")}
-        flags = owners(rows.column("piece").to_pylist(), part["doc"], part["place"].astype(np.int64), part["key"], size)
-        found = [(i, s, e) for i, f in enumerate(flags) if f.any() for s, e in zip(*runs_of(f), strict=True)]
-        row, start, end = np.array(found, np.int64).reshape(-1, 3).T
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (part["_t1"][row], part["_t2"][row], part["first"][row] + start, end - start)], ["_t1", "_t2", "at", "windows"])
+    # the key, the anchor's bytes or else the window, is not sent beside the bytes that hold it
+    key = F.when(F.col("place") < 0, F.col("piece")).otherwise(F.substring(F.col("piece"), F.col("place") + 1, F.lit(anchor)))
+    pieces = marked.mapInArrow(cut, "doc long, _t1 long, _t2 int, first array<int>, place int, piece binary").repartition(key).sortWithinPartitions(key, "doc")
+
+    def keys_of(rows: pa.Table) -> np.ndarray:
+        """Numbers of the keys, equal for equal keys."""
+        seen: dict[bytes, int] = {}
+        pairs = zip(rows.column("place").to_pylist(), rows.column("piece").to_pylist(), strict=True)
+        return np.array([seen.setdefault(x if p < 0 else x[p : p + anchor], len(seen)) for p, x in pairs], np.int64)
+
+    def settle(rows: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+        doc, t1, t2, place = (rows.column(c).to_numpy() for c in ("doc", "_t1", "_t2", "place"))
+        flags = owners(rows.column("piece").to_pylist(), doc, np.maximum(place, 0).astype(np.int64), keys, size)
+        found = [(i, s, e - s) for i, f in enumerate(flags) if f.any() for s, e in zip(*runs_of(f), strict=True)]
+        row = np.array([x[0] for x in found], np.int64)
+        firsts = rows.column("first").take(pa.array(row)).to_pylist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(t1[row]), pa.array(t2[row]), pa.array([[f + x[1] for f in fs] for fs, x in zip(firsts, found, strict=True)], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.int32())],
+            ["_t1", "_t2", "at", "windows"],
+        )
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -326,23 +348,23 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
             if amount < block:
                 continue
             rows = pa.concat_tables(held)
-            keys = rows.column("key").to_numpy()
+            keys = keys_of(rows)
             last = int(np.searchsorted(keys, keys[-1]))  # this key may go on
             if last:
-                yield settle(rows.slice(0, last))
+                yield settle(rows.slice(0, last), keys[:last])
             rest = rows.slice(last).combine_chunks()
             if rest.nbytes > block:
                 # rows come by rising document: what comes later only needs the first of equal segments
-                yield settle(rest)
+                yield settle(rest, keys[last:])
                 firsts: dict = {}
                 for i, x in enumerate(zip(rest.column("place").to_pylist(), rest.column("piece").to_pylist(), strict=True)):
                     firsts.setdefault(x, i)
                 rest = rest.take(list(firsts.values()))
             held, amount = [rest], 0
         if held and (rows := pa.concat_tables(held)).num_rows:
-            yield settle(rows)
+            yield settle(rows, keys_of(rows))
 
-    gone = pieces.mapInArrow(resolve, "_t1 long, _t2 long, at long, windows long")
+    gone = pieces.mapInArrow(resolve, "_t1 long, _t2 int, at array<int>, windows int")
     lists = gone.groupBy("_t1", "_t2").agg(F.collect_list(F.struct("at", "windows")).alias("_gone"))
     return texts.join(lists, ["_t1", "_t2"], "left").select("_t1", "_t2", "_doc", "_text", "_gone")
 
@@ -350,9 +372,10 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 def removed_runs(length: int, gone: list[dict], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that the windows cover."""
     edge = np.zeros(length + 1, np.int64)
-    at = np.array([g["at"] for g in gone], np.int64)
+    at = np.array([a for g in gone for a in g["at"]], np.int64)
+    many = np.array([len(g["at"]) for g in gone], np.int64)
     np.add.at(edge, at, 1)
-    np.add.at(edge, at + np.array([g["windows"] for g in gone], np.int64) + size - 1, -1)
+    np.add.at(edge, at + np.repeat(np.array([g["windows"] for g in gone], np.int64), many) + size - 1, -1)
     return runs_of(np.cumsum(edge[:-1]) > 0)
 
 
@@ -383,13 +406,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
             )
 
     first = stored(
-        spans(docs, doc_id, text, size, anchor, hot, block).mapInArrow(digest, "_t1 long, _t2 long, _doc long, n_removed long, n_spans long, kept_sha256 string"),
+        spans(docs, doc_id, text, size, anchor, hot, block).mapInArrow(digest, "_t1 long, _t2 int, _doc long, n_removed long, n_spans long, kept_sha256 string"),
         "substrings",
     )
     plain = text_of(text).cast("binary")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_id"),
-        F.xxhash64(plain).alias("_t1"), F.xxhash64(F.lit(size), plain).alias("_t2"), F.octet_length(plain).cast("long").alias("n_bytes"),
+        *_name_of(plain, size), F.octet_length(plain).cast("long").alias("n_bytes"),
     )
     copy = (F.col("_id") > F.col("_doc")) & (F.col("n_bytes") >= size)
     return rows.join(first, ["_t1", "_t2"]).select(
