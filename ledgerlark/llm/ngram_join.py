@@ -2,13 +2,15 @@
 
 1. Texts with the same set of 5-word shingles are one node, under the least id. Every node gets a
    MinHash signature; bands of ROWS hashes are chosen for the target recall at the threshold.
-2. Nodes meet in the buckets of their band hashes. A bucket's pairs are never listed as a whole:
-   in a round each bucket has a leader, its member with the largest buckets, and each member of
-   another class is verified against it on the full shingle sets. Verified pairs are links, and
-   connected nodes become one class. In the next round a member of a class that has not led the
-   bucket yet leads it, until the pairs of different classes that are left in the buckets are few
-   or every class has led; what is left is verified pair by pair. So no link between different classes is lost,
-   and the work for a group of near copies grows with its size and not with its square.
+2. Nodes meet in the buckets of their band hashes. A bucket is shuffled to a task, which compares
+   the full shingle sets of its members: the sizes of all their intersections are one product of
+   a member-by-shingle matrix. No pair leaves the task; for each member it returns the least
+   member it is connected with and the number of its links. Connected nodes become one class.
+3. A bucket of more than BLOCK members is thinned first: each member is verified against one
+   leader, the member with the largest buckets. Members linked to it, directly or not, are one
+   class and need not be compared with each other; the outsiders are compared with each other and
+   with that class, in blocks of about BLOCK members. So memory is bounded, no link between
+   classes is lost, and the work grows with the bucket's size times the number of its outsiders.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import gram_hashes, mix, text_of, word_hashes
+from ledgerlark.llm.common import aside, gram_hashes, mix, text_of, word_hashes
 from ledgerlark.operators.common import stored
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
 MOST_HASHES = 100
 SEED = 7
-#: pairs of different classes left for each node, under which they are verified one by one
-FEW = 0.25
+#: members of a bucket that a task compares with each other
+BLOCK = 2048
+_COLUMNS = 4096
 LAST = 2**63 - 1
 IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 
@@ -112,6 +115,90 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a binary, b binary")
 
 
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Which of the sets (rows) are similar enough to which others (columns); right None: to each other."""
+    sets = left + (right or [])
+    sizes = np.array([len(x) for x in sets], np.float32)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[gram] > 1
+    owner, gram = owner[shared], np.unique(gram[shared], return_inverse=True)[1]
+    order = np.argsort(gram, kind="stable")
+    owner, gram = owner[order], gram[order]
+    n = len(left)
+    both = np.zeros((n, len(sets) - n if right is not None else n), np.float32)
+    for first in range(0, int(gram[-1]) + 1 if len(gram) else 0, _COLUMNS):
+        at = slice(*np.searchsorted(gram, (first, first + _COLUMNS)))
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[owner[at], gram[at] - first] = 1
+        both += has[:n] @ (has[n:] if right is not None else has).T
+    other = sizes[n:] if right is not None else sizes
+    return both >= threshold * (sizes[:n, None] + other[None, :] - both) - 1e-4
+
+
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n members the least member it is connected with by the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        fresh = label.copy()
+        np.minimum.at(fresh, a, label[b])
+        np.minimum.at(fresh, b, label[a])
+        fresh = np.minimum(fresh, fresh[fresh])
+        if (fresh == label).all():
+            return label
+        label = fresh
+
+
+def _compared(members: DataFrame, size: int, threshold: float) -> DataFrame:
+    """node, root, n: for each member of a group that has links, the least node it is connected with there and their number.
+
+    members: band, x, y, side, node, bands, _text; a group is (band, x, y). If x and y differ, the
+    members of side 0 meet those of side 1, else all meet all. A pair counts in the first of the
+    bands that it shares.
+    """
+    names = ["band", "x", "y", "side", "node", "bands", "_text"]
+
+    def settle(rows: list) -> pa.RecordBatch:
+        across = rows[0][1] != rows[0][2]
+        parts = [[r for r in rows if r[3] == 0], [r for r in rows if r[3] == 1]] if across else [rows, []]
+        rows = parts[0] + parts[1]
+        sets = [r[6] for r in rows]
+        n = len(parts[0])
+        if across and parts[0] and parts[1]:
+            a, b = np.nonzero(linked(sets[:n], sets[n:], threshold))
+            b = b + n
+        elif across:
+            a = b = np.empty(0, np.int64)
+        else:
+            a, b = np.nonzero(np.triu(linked(sets, None, threshold), 1))
+        bands = np.array([r[5] for r in rows])
+        first = bands[a, (bands[a] == bands[b]).argmax(1)] == rows[0][0] if len(a) else np.empty(0, bool)
+        root = roots(a, b, len(rows))
+        number = np.bincount(np.concatenate([a[first], b[first]]), minlength=len(rows))
+        named = [r[4] for r in rows]
+        least: dict[int, bytes] = {}
+        for i, r in enumerate(root.tolist()):
+            least[r] = min(least.get(r, named[i]), named[i])
+        has = np.unique(np.concatenate([a, b]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([named[i] for i in has], pa.binary()), pa.array([least[int(root[i])] for i in has], pa.binary()), pa.array(number[has].astype(np.int64))], ["node", "root", "n"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    if len(group) > 1:
+                        yield settle(group)
+                    group = []
+                group.append((*row[:6], shingles(row[6], size)))
+        if len(group) > 1:
+            yield settle(group)
+
+    return members.select(*names).repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(run, "node binary, root binary, n long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, class: the least node of each node's component. Least labels spread over links, and along labels."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -120,62 +207,61 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("node").alias("b"), "class"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("_near"))
         spread = label.join(near, "node").select("node", F.least("class", "_near").alias("class"), F.col("class").alias("_old"))
         spread = stored(spread, "labels")
-        far = spread.select(F.col("node").alias("class"), F.col("class").alias("_far"))
         if spread.filter(F.col("class") != F.col("_old")).isEmpty():
             return spread.select("node", "class")
+        far = spread.select(F.col("node").alias("class"), F.col("class").alias("_far"))
         label = stored(spread.join(far, "class").select("node", F.least("class", "_far").alias("class")), "labels")
 
 
-def _join(nodes: DataFrame, texts_of, size: int, threshold: float, few: float) -> tuple[DataFrame, DataFrame]:
-    """Links between nodes, and the classes of the nodes that have links. texts_of: (nodes) -> node, _text."""
-    spark = nodes.sparkSession
+def _thinned(large: DataFrame, texts: DataFrame, size: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Groups in which the members of large buckets still have to meet, and the links (a, b) to the leaders.
+
+    large: band, n, node.
+    """
+    degree = large.groupBy("node").agg(F.sum("n").alias("degree"))
+    leaders = large.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("_l")).select("band", F.col("_l.node").alias("_leader"))
+    led = stored(large.join(leaders, "band").select("band", "node", "_leader"), "led")
+    stars = stored(verified(led.filter("node <> _leader").select(F.col("node").alias("a"), F.col("_leader").alias("b")).distinct(), texts, size, threshold), "stars")
+    classes = stored(components(stars), "star_classes")
+    of = lambda node, name: classes.select(F.col("node").alias(node), F.col("class").alias(name))
+    placed = led.join(of("node", "_own"), "node", "left").join(of("_leader", "_main"), "_leader", "left")
+    inside = (F.col("node") == F.col("_leader")) | F.coalesce(F.col("_own") == F.col("_main"), F.lit(False))
+    placed = stored(placed.select("band", "node", inside.alias("inside")), "placed")
+    counts = placed.groupBy("band").agg(F.count_if("inside").alias("_in"), F.count_if(~F.col("inside")).alias("_out")).filter("_out > 0")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    rows = placed.join(counts, "band").select("band", "node", "inside", blocks("_in").alias("_in"), blocks("_out").alias("_out"))
+    # outsiders' blocks are 0, 1, ..., those of the leader's class -1, -2, ...
+    own = F.when(F.col("inside"), -1 - F.pmod(F.xxhash64("node"), F.col("_in"))).otherwise(F.pmod(F.xxhash64("node"), F.col("_out"))).cast("int")
+    others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("_out") - 1)).otherwise(F.sequence(-F.col("_in"), F.col("_out") - 1))
+    rows = rows.withColumn("own", own).select("band", "node", "own", F.explode(others).alias("other"))
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    return rows.select("band", "node", x.alias("x"), y.alias("y"), F.when(F.col("own") == x, 0).otherwise(1).alias("side")), stars
+
+
+def _join(nodes: DataFrame, texts_of, size: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """node, class of the nodes that have links; node, n_links. texts_of: (nodes) -> node, bands, _text."""
     met = nodes.select("node", F.explode("bands").alias("band"))
     full = met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     meetings = stored(met.join(full, "band"), "meetings")
-    degree = stored(meetings.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
-    texts = stored(texts_of(degree.select("node")), "texts")
-    total = nodes.count()
-    empty = spark.createDataFrame([], "a binary, b binary")
-    links = checked = empty
-    classes = degree.select("node", F.col("node").alias("class"))
-    led = spark.createDataFrame([], "band long, node binary")
-    last = False
-    while not last:
-        members = stored(meetings.select("band", "node").join(classes, "node").join(degree, "node"), "members")
-        # pairs of different classes: all pairs of a bucket less those inside its classes
-        inside = members.groupBy("band", "class").agg(F.count("*").alias("n"))
-        cross = inside.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s")).filter("n * n > s")
-        left = cross.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0)).alias("n")).first()["n"]
-        if not left:
-            break
-        open_ = members.join(cross.select("band"), "band")
-        past = led.join(classes, "node").select("band", "class").distinct()
-        leaders = open_.join(past, ["band", "class"], "left_anti").groupBy("band").agg(F.max(F.struct("degree", "node", "class")).alias("_l"))
-        leaders = stored(leaders.select("band", F.col("_l.node").alias("_leader"), F.col("_l.class").alias("_other")), "leaders")
-        last = left <= few * total or leaders.isEmpty()
-        if last:
-            other = open_.select("band", F.col("node").alias("b"), F.col("class").alias("_other"))
-            pairs = open_.select("band", F.col("node").alias("a"), "class").join(other, "band").filter("a < b and class <> _other")
-        else:
-            led = led.union(leaders.select("band", "_leader"))
-            pairs = open_.join(leaders, "band").filter("class <> _other").select(F.least("node", "_leader").alias("a"), F.greatest("node", "_leader").alias("b"))
-        pairs = stored(pairs.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        checked = checked.union(pairs)
-        links = links.union(stored(verified(pairs, texts, size, threshold), "links"))
-        classes = _with_own(degree, components(links))
-    return links, classes
-
-
-def _with_own(degree: DataFrame, found: DataFrame) -> DataFrame:
-    return stored(degree.select("node").join(found, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "classes")
-
-
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, few: float = FEW) -> DataFrame:
+    texts = stored(texts_of(meetings.select("node").distinct()), "texts")
+    zero = F.lit(0)
+    groups = meetings.filter(F.col("n") <= block).select("band", "node", zero.alias("x"), zero.alias("y"), zero.alias("side"))
+    large, stars = meetings.filter(F.col("n") > block), None
+    if not large.isEmpty():
+        more, stars = _thinned(large, texts, size, threshold, block)
+        groups = groups.unionByName(more)
+    found = stored(_compared(groups.join(texts, "node"), size, threshold), "linked")
+    edges = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+    number = found.groupBy("node").agg(F.sum("n").alias("n_links"))
+    return components(edges.union(stars) if stars is not None else edges), number
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, _t, class_id, n_links, n_copies, first for every row of docs.
 
-    class_id: the least id in the row's class. n_links: the texts with another shingle set to which
-    the row's text was found linked (every class is connected by its links; links inside a class
-    that the rounds did not need are not listed). n_copies: rows with the same shingle set, itself
+    class_id: the least id in the row's class. n_links: the other shingle sets that were found
+    similar enough to the row's; of a member of buckets above `block`, at least one if there are
+    any, since members of one class are not compared there. n_copies: rows with the same shingle set, itself
     included. first: whether the row, by id and text, is the one that stands for its class.
 
     Null, empty and wordless texts have no shingles: each is a class of its own by its id, without
@@ -189,16 +275,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     )
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        reps = stored(nodes.join(wanted, "node").select("node", "rep.*"), "reps")
-        return keyed(docs, doc_id, text).join(reps, ["_d", "_t"]).groupBy("node").agg(F.first("_text").alias("_text"))
+        reps = stored(nodes.join(wanted, "node").select("node", "bands", "rep.*"), "reps")
+        return keyed(docs, doc_id, text).join(reps, ["_d", "_t"]).dropDuplicates(["node"]).select("node", "bands", "_text")
 
-    links, classes = _join(nodes, texts_of, size, threshold, few)
-    number = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    classes, number = _join(nodes, texts_of, size, threshold, block)
     found = nodes.select("node", "rep", "n_copies").join(classes, "node", "left").join(number, "node", "left")
     found = found.select("node", "rep", "n_copies", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     found = stored(found, "found")
-    heads = found.groupBy("class").agg(F.min("rep").alias("head"))
-    known = stored(found.join(heads, "class").select("node", "n_copies", "n_links", "head"), "known")
+    heads = found.groupBy("class").agg(F.min("rep").alias("head"), F.count("*").alias("_nodes"))
+    known = found.join(heads, "class").select("node", "n_copies", F.greatest("n_links", (F.col("_nodes") > 1).cast("long")).alias("n_links"), "head")
+    known = stored(known, "known")
     rows = signed.select("_d", "_t", "node").join(known, "node", "left")
     own = F.struct("_d", "_t")
     rows = rows.withColumn("head", F.coalesce("head", own))
@@ -214,7 +300,9 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
 
     Of repeated rows that stand for a class, the first by their other columns stays.
     """
-    found = stored(join(docs, doc_id, text, **options).filter("first").select(F.coalesce("doc_id", F.lit(LAST)).alias("_jd"), F.col("_t").alias("_jt")).distinct(), "firsts")
-    mark = docs.withColumns({"_jd": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_jt": F.xxhash64(text_of(text).cast("binary"))})
-    order = Window.partitionBy("_jd", "_jt").orderBy(*[F.col(c).cast("string") for c in docs.columns if c != text])
-    return mark.join(found, ["_jd", "_jt"]).withColumn("_jn", F.row_number().over(order)).filter("_jn = 1").select(*docs.columns)
+    inner, names, back = aside(docs)
+    found = join(docs, doc_id, text, **options).filter("first").select(F.coalesce("doc_id", F.lit(LAST)).alias("_d"), "_t").distinct()
+    found = stored(found, "firsts")
+    marked = inner.withColumns({"_d": F.coalesce(F.col(names[doc_id]).cast("long"), F.lit(LAST)), "_t": F.xxhash64(text_of(names[text]).cast("binary"))})
+    order = Window.partitionBy("_d", "_t").orderBy(*[F.col(n).cast("string") for c, n in names.items() if c != text])
+    return back(marked.join(found, ["_d", "_t"]).withColumn("_n", F.row_number().over(order)).filter("_n = 1"))
