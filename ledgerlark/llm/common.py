@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: a word: a run of characters that are not white space
 WORD = r"[^\x20\x09-\x0D]+"
-NO_ID = -(2**63)
 
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
@@ -97,11 +98,10 @@ def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def batches_of(batch, limit: int = 4 << 20):
-    """Slices of an Arrow batch whose binary column `text` has about `limit` bytes each."""
-    sizes = np.array([len(x) if x is not None else 0 for x in (v.as_buffer() if v.is_valid else None for v in batch.column("text"))], np.int64)
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), limit)))
-        yield batch.slice(at, end - at)
-        at = end
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """docs under column names that no operator uses, their names by the old ones, and the way back.
+
+    So further columns of docs may have any name.
+    """
+    names = {c: f"_in{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names, lambda rows: rows.select(*[F.col(inner).alias(c) for c, inner in names.items()])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import text_of, word_hashes
+from ledgerlark.llm.common import aside, text_of, word_hashes
 from ledgerlark.operators.common import stored
 
 SIZE = 10
@@ -158,7 +158,7 @@ def _frequency(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mark(docs: DataFrame, windows: Windows, index: Index, key: list[str]) -> DataFrame:
+def _mark(docs: DataFrame, windows: Windows, index: Index) -> DataFrame:
     """Add a block's hits to `_spans`, `_items` and `_n_words`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +178,8 @@ def _mark(docs: DataFrame, windows: Windows, index: Index, key: list[str]) -> Da
     return docs.mapInArrow(run, docs.schema)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with the struct `_hit`: n_words, n_hit, n_items, items (ids as sorted strings), spans (word positions).
-
-    Null and empty texts have no words and are never hit; items without words have no window. An
-    item without id goes by the id `null`; repeated items count once. Repeated documents are
-    marked alike. With an empty benchmark nothing is hit.
-    """
+def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, size: int, block_words: int) -> DataFrame:
+    """docs with `_text`, `_n_words`, `_spans` and `_items`."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("words"))
     amount = items.agg(F.sum(F.length("words")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-amount // (6 * block_words)))
@@ -196,18 +191,36 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         part = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
         windows = windows_of([tuple(r) for r in part.collect()], size)
         index = index_of(windows, _frequency(rows, windows.vocabulary))
-        rows = _mark(rows, windows, index, docs.columns)
+        rows = _mark(rows, windows, index)
         if b + 1 < blocks:
             rows = stored(rows, "marked")
-    n_hit = F.aggregate(
-        F.sequence(F.lit(0), F.size("_spans") - 2, F.lit(2)), F.lit(0).cast("long"),
-        lambda acc, i: acc + F.col("_spans")[(i + 1).cast("int")] - F.col("_spans")[i.cast("int")],
+    return rows
+
+
+def scan(
+    docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (ids as sorted strings), spans (start and end of the hit runs of words, one after the other).
+
+    Null and empty texts have no words and are never hit; items without words have no window. An
+    item without id goes by the id `null`; repeated items count once. Repeated documents are
+    marked alike. With an empty benchmark nothing is hit; no documents give no rows. Other columns
+    are ignored and long texts are read whole.
+    """
+    rows = _scanned(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), benchmark, "text", item_id, item_text, size, block_words)
+    total = lambda first: F.aggregate(
+        F.filter("_spans", lambda _, i: i % 2 == first), F.lit(0).cast("long"), lambda acc, x: acc + x
     )
-    return rows.select(*[rows[c] for c in docs.columns], F.struct(
-        F.col("_n_words").alias("n_words"),
-        F.when(F.size("_spans") > 0, n_hit).otherwise(F.lit(0).cast("long")).alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), F.col("_spans").alias("spans"),
-    ).alias("_hit"))
+    return rows.select(
+        "doc_id", F.col("_n_words").alias("n_words"), (total(1) - total(0)).alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.col("_items").alias("items"), F.col("_spans").alias("spans"),
+    )
+
+
+def drop(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SIZE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs in which no window of an item occurs, all columns as they are."""
+    inner, names, back = aside(docs)
+    return back(_scanned(inner, benchmark, names[text], item_id, item_text, size, block_words).filter(F.size("_items") == 0))
 
 
 ORACLE = r"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import WORD, text_of
+from ledgerlark.llm.common import WORD, aside, text_of
 from ledgerlark.operators.common import number_rows, stored
 
 WEIGHTS = (5, 2, 1)
@@ -112,14 +112,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, copies: str = "copies") -> DataFrame:
     """The rows of docs that the mix takes, with the number of repetitions in `copies`.
 
-    The plan has one row per source; Spark broadcasts it while it is small.
+    The plan has one row per source; Spark broadcasts it while it is small. A column of that name
+    in docs gives way; all others stay as they are.
     """
-    sized = stored(docs.select(F.col(source).cast("string").alias("source"), size_of(text).alias("size"), place_of(doc_id, text, seed).alias("place")), "sized")
-    aims = stored(plan(sized, weights, max_epochs), "mix").select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut"))
-    joined = docs.join(aims, docs[source].cast("string").eqNullSafe(aims["_mix_source"]))
-    times = F.col("_mix_whole") + (place_of(doc_id, text, seed) <= F.col("_mix_cut")).cast("long")
-    kept = [docs[c] for c in docs.columns if c != copies]
-    return joined.select(*kept, times.alias(copies)).filter(F.col(copies) > 0)
+    inner, names, _ = aside(docs)
+    where = place_of(names[doc_id], names[text], seed)
+    sized = stored(inner.select(F.col(names[source]).cast("string").alias("source"), size_of(names[text]).alias("size"), where.alias("place")), "sized")
+    aims = stored(plan(sized, weights, max_epochs), "mix").select(F.col("source").alias("_source"), "whole", "cut")
+    joined = inner.join(aims, F.col(names[source]).cast("string").eqNullSafe(F.col("_source")))
+    times = F.col("whole") + (where <= F.col("cut")).cast("long")
+    kept = [F.col(n).alias(c) for c, n in names.items() if c != copies]
+    return joined.filter(times > 0).select(*kept, times.alias(copies))
 
 
 ORACLE = """

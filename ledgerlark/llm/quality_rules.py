@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.common import WORD, text_of
+from ledgerlark.llm.common import WORD, aside, text_of
 from ledgerlark.operators.common import stored
 
 #: a third of all rows may be copies of one text; they are not furniture
@@ -102,13 +102,8 @@ def furniture(docs: DataFrame, text: str = "text", host: str = "source", share:
     return stored(common.groupBy(seen["_host"]).agg(F.collect_list("h").alias("_furniture")), "furniture")
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
-    """docs with the struct `_quality`: the counts, base_failed, removed_words, kept.
-
-    Null text counts as empty: no words, so base_failed. Documents without host form one host.
-    Repeated rows count as documents of their own and are judged alike. An empty table gives an
-    empty result. Long texts are judged whole.
-    """
+def _judged(docs: DataFrame, text: str, host: str, share: float, least: int, left: float) -> DataFrame:
+    """docs with the struct `_quality`: the counts, base_failed, removed_words, kept."""
     found = furniture(docs.select(text, host), text, host, share, least)
     rows = counts(docs, text)
     rows = rows.join(found, rows[host].eqNullSafe(found["_host"]), "left")
@@ -118,13 +113,29 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", share: floa
         F.aggregate(c["by_line"]["lines"], F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.array_contains(known, x["h"]), x["n"]).otherwise(F.lit(0).cast("long")))
     )
     failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-    rows = rows.withColumn("_quality", F.struct(
+    return rows.withColumn("_quality", F.struct(
         c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"),
         c["by_line"]["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"), removed.alias("removed_words"),
         (~failed & (c["n_words"] - removed >= c["n_words"] * left)).alias("kept"),
     ))
-    return rows.select(*[docs[x] for x in docs.columns], "_quality")
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept for every row of docs.
+
+    Null text counts as empty: no words, so base_failed. Documents without host form one host.
+    Repeated rows count as documents of their own and are judged alike. An empty table gives an
+    empty result; other columns are ignored. Long texts are judged whole.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
+    return _judged(rows, "text", "host", share, least, left).select("doc_id", "_quality.*")
+
+
+def keep(docs: DataFrame, text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
+    """The rows of docs that `judge` keeps, all columns as they are."""
+    inner, names, back = aside(docs)
+    return back(_judged(inner, names[text], names[host], share, least, left).filter("_quality.kept"))
 
 
 ORACLE = r"""

@@ -26,8 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_quality_rules", quality_rules.ORACLE)
 def op1(spark, sf_dir):
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return judged.select("doc_id", "_quality.*")
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 @query("op2_ngram_join")
@@ -66,12 +65,9 @@ def op7(spark, sf_dir):
 
 @query("op8_decontamination", decontam.ORACLE)
 def op8(spark, sf_dir):
-    marked = decontam.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = F.col("_hit")
-    return marked.select(
-        "doc_id", hit["n_words"].alias("n_words"), hit["n_hit"].alias("n_hit"), hit["n_items"].alias("n_items"),
-        F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"), (hit["n_hit"] > 0).alias("contaminated"),
-    )
+    marked = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", digest, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @query("op9_toxicity")

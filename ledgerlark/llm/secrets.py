@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.automata import Dfa, compile_rules
+from ledgerlark.llm.common import aside
 
 
 class Rule(NamedTuple):
@@ -148,13 +149,20 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tup
     )
 
 
-def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, by: str = MASK) -> DataFrame:
-    """docs with every span in the text masked; null stays null, all other columns stay."""
+def redact(docs: DataFrame, text: str = "text", n_chars: str | None = None, rules: tuple[Rule, ...] = RULES, by: str = MASK) -> DataFrame:
+    """docs with every span in the text masked; null stays null, all other columns stay.
+
+    n_chars: a column that holds the length of the text, set anew where a text was changed.
+    """
+    inner, names, back = aside(docs)
+    at, size = names[text], names[n_chars] if n_chars else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            fresh = [None if t is None else mask(t, find(t, rules), by) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(fresh, batch.schema.field(at).type))
+            old = batch.column(at).to_pylist()
+            fresh = {at: [None if t is None else mask(t, find(t, rules), by) for t in old]}
+            if size:
+                fresh[size] = [len(new) if new != t else n for new, t, n in zip(fresh[at], old, batch.column(size).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(fresh[f.name], f.type) if f.name in fresh else batch.column(f.name) for f in batch.schema], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return back(inner.mapInArrow(run, inner.schema))

@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +52,39 @@ PREFIXES = (4, 5)
 LIMIT = 0.3
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SIGNS = "".join(re.escape(c) for c in LEET)
-_ODD = re.compile(
-    rf"(?<![^\W_])(?:[^\W_][ .\-_*]){{3,}}[^\W_](?![^\W_])"  # spaced letters
-    rf"|[^\W\d_{_SIGNS}]*(?:(?<=[^\W\d_])[{_SIGNS}]+(?=[^\W\d_])|(?<![^\W_{_SIGNS}])[{_SIGNS}]+(?=[^\W\d_]{{2}}))[^\s]*"  # signs among letters
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*",  # repeated letters
-    re.IGNORECASE,
-)
 _GAPS = " .-_"
+_LETTER = np.array([chr(b).isalpha() for b in range(256)])
+_SIGN = np.array([chr(b) in LEET for b in range(256)])
+_GAP = np.array([chr(b) in _GAPS + "*" for b in range(256)])
+_BLANKS = bytes(b if _LETTER[b] else 32 for b in range(256))
+
+
+def odd_pieces(data: np.ndarray) -> list[tuple[int, int]]:
+    """Where a text (Latin-1 bytes) looks disguised: signs among letters, a letter three times, spaced letters."""
+    if len(data) < 3:
+        return []
+    letter, sign = _LETTER[data], _SIGN[data]
+    starts = np.flatnonzero(np.diff(sign.astype(np.int8), prepend=0) == 1)
+    ends = np.flatnonzero(np.diff(sign.astype(np.int8), append=0) == -1) + 1
+    after = np.zeros(len(data) + 2, bool)
+    after[: len(data)] = letter
+    inner = after[ends] & ((starts > 0) & letter[starts - 1] | after[ends + 1] & (data[starts] != 33))
+    thrice = np.flatnonzero(letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]))
+    found = []
+    shown = letter | sign
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], shown, [False]]).astype(np.int8)))
+    hits = np.concatenate([starts[inner], thrice])
+    if len(hits):
+        run = np.unique(np.searchsorted(edges[0::2], hits, side="right") - 1)
+        found += list(zip(edges[0::2][run].tolist(), edges[1::2][run].tolist(), strict=True))
+    # single characters two apart with a gap between: at least four in a row
+    alone = shown & ~np.concatenate([[False], shown[:-1]]) & ~np.concatenate([shown[1:], [False]])
+    hop = np.flatnonzero(alone[:-2] & _GAP[data[1:-1]] & alone[2:])
+    if len(hop) > 2:
+        fresh = np.flatnonzero(np.concatenate([[True], np.diff(hop) != 2]))
+        last = np.append(fresh[1:], len(hop)) - 1
+        found += [(int(hop[f]), int(hop[t]) + 3) for f, t in zip(fresh, last, strict=True) if t - f >= 2]
+    return found
 
 
 def character_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -127,14 +152,14 @@ class Restorer:
     def __init__(self, model: list) -> None:
         self.decode = lru_cache(maxsize=100_000)(lambda piece: decode(piece, model))
 
-    def words(self, text: str | None) -> Counter:
+    def words(self, text: str | None) -> set[str]:
         """The lower-case words of the whole text and of its restored pieces."""
         text = (text or "").lower()
-        found = Counter(_WORD.findall(text))
-        for m in _ODD.finditer(text):
-            # pieces are decoded in runs of at most 200 characters, so that keys stay short
-            for i in range(0, len(m[0]), 200):
-                found.update(_WORD.findall(self.decode(m[0][i : i + 200])))
+        data = text.encode("latin-1", "replace")
+        found = set(data.translate(_BLANKS).decode("latin-1").split()) if len(data) == len(text) and data.decode("latin-1") == text else set(_WORD.findall(text))
+        for start, end in odd_pieces(np.frombuffer(data, np.uint8)):
+            for i in range(start, end, 200):  # pieces are decoded in runs of at most 200 characters
+                found.update(_WORD.findall(self.decode(text[i : min(i + 200, end)])))
         return found
 
 
@@ -149,9 +174,22 @@ def family(text: str | None) -> int:
     return min(xxhash.xxh64_intdigest(r) for r in runs) - 2**63
 
 
-def evidence(words: Counter, weights: dict[str, float]) -> tuple[float, float]:
+class Weights(dict):
+    """The weight of a word: the largest of its units'. Words seen are kept, up to a number."""
+
+    def __init__(self, of_units: dict[str, float], most: int = 200_000) -> None:
+        self.of_units, self.most = of_units, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = weight = max(self.of_units.get(u, 0.0) for u in units(word))
+        return weight
+
+
+def evidence(words: set[str], weights: Weights) -> tuple[float, float]:
     """The strongest word's weight, and the sum of the three strongest distinct words."""
-    found = sorted((max((weights.get(u, 0.0) for u in units(w)), default=0.0) for w in words), reverse=True)[:3]
+    found = nlargest(3, map(weights.__getitem__, words))
     return (found[0], sum(found)) if found else (0.0, 0.0)
 
 
@@ -181,8 +219,9 @@ def _learn(sample: DataFrame, model: list) -> tuple[dict[str, float], np.ndarray
     weights = {r["unit"]: r["w"] for r in kept.orderBy(F.col("t").desc(), "unit").limit(MOST_UNITS).collect()}
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Weights(weights)
         for batch in batches:
-            pairs = [evidence(Counter(w), weights) for w in batch.column(0).to_pylist()]
+            pairs = [evidence(w, known) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.float64()), pa.array([p[1] for p in pairs], pa.float64()), batch.column(1)], ["a", "b", "y"])
 
     table = rows.filter(calibrates).select("words", "y").mapInArrow(weigh, "a double, b double, y int").toPandas()  # at most about SAMPLE_ROWS rows
@@ -213,9 +252,9 @@ def score(docs: DataFrame, labels: DataFrame, learn, doc_id: str = "doc_id", tex
     weights, beta = _learn(rows.join(stored(chosen, "toxic_labels"), "doc_id").select("text", "y"), model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
+        restorer, known = Restorer(model), Weights(weights)
         for batch in batches:
-            pairs = np.array([evidence(restorer.words(t), weights) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
+            pairs = np.array([evidence(restorer.words(t), known) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
             chance = 1 / (1 + np.exp(-np.clip(beta[0] + pairs @ beta[1:], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance, pa.float64())], ["doc_id", "score"])
 
