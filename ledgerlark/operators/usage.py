@@ -270,19 +270,14 @@ def _scope_filters(df: DataFrame, model_column: str, **f) -> DataFrame:
     return df
 
 
-def _rolled_up(df: DataFrame, bucket_start: Column) -> DataFrame:
+def _rolled_up(df: DataFrame, bucket_start: Column, one_workspace: bool) -> DataFrame:
+    """Sums per bucket and label; only the result for one workspace is sorted, as the service returns it."""
     sums = [_whole(F.sum(m)).alias(m) for m in COUNTERS]
     sums += [F.sum(m).cast(MONEY).alias(m) for m in FOUND]
     sums += [F.round(F.sum(m), 6).cast(MONEY).alias(m) for m in COSTS]
-    return (
-        df.withColumn("bucket_start", bucket_start)
-        .groupBy(*ROLLUP_KEY)
-        .agg(*sums)
-        .orderBy(
-            "organization_id", F.asc_nulls_last("bucket_start"), F.desc_nulls_first("billed_cost"),
-            "category", "task_label", F.asc_nulls_last("model_label"),
-        )
-    )
+    rows = df.withColumn("bucket_start", bucket_start).groupBy(*ROLLUP_KEY).agg(*sums)
+    order = [F.asc_nulls_last("bucket_start"), F.desc_nulls_first("billed_cost"), "category", "task_label", F.asc_nulls_last("model_label")]
+    return rows.orderBy(*order) if one_workspace else rows
 
 
 def rollup(usage: DataFrame, start, end, bucket: str = "day", org_id: str | None = None, **filters) -> DataFrame:
@@ -299,7 +294,7 @@ def rollup(usage: DataFrame, start, end, bucket: str = "day", org_id: str | None
     rows = _scope_filters(rows, "model_name", **early)
     late = {k: v for k, v in filters.items() if k not in early}
     rows = _scope_filters(_classified(rows), "model_name", **late)
-    return _rolled_up(_measured(rows), _bucket(F.col("created_at"), bucket, start))
+    return _rolled_up(_measured(rows), _bucket(F.col("created_at"), bucket, start), org_id is not None)
 
 
 # ---- projection ---------------------------------------------------------------------------
@@ -360,7 +355,7 @@ def rollup_from_projection(
     rows = whole.select(*columns).unionByName(edges.withColumn("bucket_start", F.date_trunc(grain, at)).select(*columns))
     rows = _scope_filters(rows, "raw_model_name", **filters)
     rows = rows.withColumns({d: non_empty(F.col(d)) for d in ("campaign_id", "user_id", "model_label")})
-    return _rolled_up(rows, F.col("bucket_start") if bucket != "total" else _bucket(at, bucket, start))
+    return _rolled_up(rows, F.col("bucket_start") if bucket != "total" else _bucket(at, bucket, start), org_id is not None)
 
 
 def missing_contributions(usage: DataFrame, contributions: DataFrame) -> DataFrame:
@@ -609,7 +604,12 @@ def cost(usage: DataFrame, grain: str | None = "daily", by: str | None = None, o
             rows = rows.withColumn("usage_month", F.trunc("usage_date", "month"))
         keys.append("usage_date" if grain == "daily" else "usage_month")
     names = {"provider": "unique_providers", "model_name": "unique_models", "session_id": "unique_sessions", "campaign_id": "unique_campaigns"}
-    return rows.groupBy(*keys).agg(*_ledger_sums(), *(F.countDistinct(c).alias(names[c]) for c in distinct))
+    # several distinct counts multiply their input, so the ledger is summed first
+    summed = rows.groupBy(*keys, *distinct).agg(*_ledger_sums())
+    sums = [F.sum(c).alias(c) for c in ("total_input_tokens", "total_output_tokens", "total_tokens", "total_api_calls", "total_records")]
+    sums += [F.sum(c).cast(MONEY).alias(c) for c in ("total_list_cost", "total_billed_cost")]
+    sums += [F.min("first_usage_at").alias("first_usage_at"), F.max("last_usage_at").alias("last_usage_at")]
+    return summed.groupBy(*keys).agg(*sums, *(F.countDistinct(c).alias(names[c]) for c in distinct))
 
 
 def daily_stats(usage: DataFrame) -> DataFrame:
