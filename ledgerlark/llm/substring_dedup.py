@@ -23,10 +23,12 @@ hash instead; so blocks are bounded, whatever a passage's frequency.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def _segments(data: np.ndarray, offset: int, size: int, anchor: int):
 
 
 class Block:
-    """Segments laid side by side with their prefix hashes."""
+    """Segments laid side by side with their prefix hashes, and the eight bytes at each place as a number."""
 
     def __init__(self, pieces: list[bytes]) -> None:
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -96,6 +98,10 @@ class Block:
         self.powers = powers(len(self.data) + 1)
         self.prefix = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * self.powers[:-1], out=self.prefix[1:])
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        self.eight = np.zeros(len(self.data), np.uint64)
+        for i in range(8):
+            self.eight = (self.eight << np.uint64(8)) | padded[i : i + len(self.data)]
 
     def same(self, a: np.ndarray, b: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Whether the n bytes that begin `low` after a and after b have equal hashes."""
@@ -116,10 +122,16 @@ class Block:
         return low
 
     def before(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-        """-1, 0 or 1 as the first `size` bytes at a are less than, equal to or more than those at b."""
-        n = self.common(a, b, size)
-        x, y = self.data[np.minimum(a + n, len(self.data) - 1)].astype(np.int16), self.data[np.minimum(b + n, len(self.data) - 1)]
-        return np.where(n >= size, 0, np.sign(x - y))
+        """-1, 0 or 1 as the first `size` bytes (8 at least) at a are less than, equal to or more than those at b."""
+        x, y = self.eight[a], self.eight[b]
+        sign = (x > y).astype(np.int8) - (x < y)
+        tie = np.flatnonzero(sign == 0)
+        if len(tie):
+            a, b = a[tie], b[tie]
+            n = self.common(a, b, size)
+            x, y = self.data[np.minimum(a + n, len(self.data) - 1)].astype(np.int16), self.data[np.minimum(b + n, len(self.data) - 1)]
+            sign[tie] = np.where(n >= size, 0, np.sign(x - y))
+        return sign
 
     def sort(self, at: np.ndarray, group: np.ndarray, size: int) -> np.ndarray:
         """Order of the suffixes at `at` by their first `size` bytes, within groups that lie side by side.
@@ -180,9 +192,12 @@ def owners(pieces: list[bytes], docs: np.ndarray, anchors: np.ndarray, key: np.n
     keys = np.array([k for k, _, _ in seen], np.int64)[of]
     distance = np.array([a for _, a, _ in seen], np.int64)[of] - inside
     lay = np.lexsort((distance, keys))
-    at, of_lay, keys, distance = at[lay], of[lay], keys[lay], distance[lay]
-    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (distance[1:] != distance[:-1])])
-    group = np.cumsum(fresh)
+    fresh = np.concatenate([[True], (keys[lay][1:] != keys[lay][:-1]) | (distance[lay][1:] != distance[lay][:-1])])
+    group = np.cumsum(fresh) - 1
+    many = np.bincount(group)[group] > 1  # a window alone in its group has no equal
+    lay, group = lay[many], group[many]
+    first = least[of]
+    at, of_lay = at[lay], of[lay]
     order = block.sort(at, group, size)
     at, of_lay, group = at[order], of_lay[order], group[order]
     alike = np.flatnonzero((group[1:] == group[:-1]) & (block.before(at[:-1], at[1:], size) == 0)) if len(at) > 1 else np.empty(0, np.int64)
@@ -196,9 +211,9 @@ def owners(pieces: list[bytes], docs: np.ndarray, anchors: np.ndarray, key: np.n
     new = np.ones(len(at), bool)
     new[alike + 1] = False
     head = np.flatnonzero(new)
-    owner = np.minimum.reduceat(least[of_lay], head)
-    first = np.empty(len(at), np.int64)
-    first[lay[order]] = np.repeat(owner, np.diff(np.append(head, len(at))))
+    if len(head):
+        owner = np.minimum.reduceat(least[of_lay], head)
+        first[lay[order]] = np.repeat(owner, np.diff(np.append(head, len(at))))
     offset = np.cumsum(counts) - counts
     return [first[offset[m] : offset[m] + counts[m]] < d for m, d in zip(member.tolist(), docs.tolist(), strict=True)]
 
@@ -255,6 +270,28 @@ def _name_of(text, size: int) -> tuple:
     return F.xxhash64(text).alias("_t1"), F.shiftright(F.xxhash64(F.lit(size), text), 32).cast("int").alias("_t2")
 
 
+def _bundle(place: int, piece: bytes, name: bytes, at: list[int], anchor: int) -> bytes:
+    """A segment as one value: anchor, its place, length of the segment, its other bytes, name of the text, first windows.
+
+    A lone window (place -1) stands whole at the beginning.
+    """
+    tail = name + struct.pack(f"<{len(at)}i", *at)
+    if place < 0:
+        return piece + tail
+    return piece[place : place + anchor] + bytes((place, len(piece))) + piece[:place] + piece[place + anchor :] + tail
+
+
+def _unbundle(row: bytes, hot: bool, size: int, anchor: int) -> tuple[int, bytes, tuple[int, int], tuple[int, ...]]:
+    """Place of the anchor, bytes, name of the text and first windows."""
+    if hot:
+        place, piece, end = 0, row[:size], size
+    else:
+        place, length = row[anchor], row[anchor + 1]
+        body, end = row[anchor + 2 : length + 2], length + 2
+        piece = body[:place] + row[:anchor] + body[place:]
+    return place, piece, struct.unpack_from("<qi", row, end), struct.unpack_from(f"<{(len(row) - end - 12) // 4}i", row, end + 12)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -262,20 +299,24 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, anchor: int = ANCHOR, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """_t1, _t2, _doc, _text, _gone: one row for each distinct text.
 
-    _t1, _t2 name the text, _doc is its least id; the windows to go are _gone: `windows` of them
-    from each byte in `at` on; null where nothing goes.
+    _t1, _t2 name the text, _doc is its least id, _text is its bytes compressed (see `unpacked`).
+    _gone lists runs of windows to go, as the first byte times 256 plus their number; null if none go.
     """
-    texts = (
-        docs.select(
-            F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_doc"), text_of(text).cast("binary").alias("_text"),
-        )
-        .select(*_name_of(F.col("_text"), size), "_doc", "_text")
-        .groupBy("_t1", "_t2").agg(F.min("_doc").alias("_doc"), F.first("_text").alias("_text"))
-    )
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_doc"), text_of(text).cast("binary").alias("_text"))
+    rows = rows.select(*_name_of(F.col("_text"), size), "_doc", "_text")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            at = batch.schema.get_field_index("_text")
+            yield batch.set_column(at, "_text", pa.array([squeeze(t.as_py()) for t in batch.column(at)], pa.binary()))
+
+    # one row for each distinct text, found before and after the shuffle; texts travel compressed
+    texts = rows.mapInArrow(pack, rows.schema).groupBy("_t1", "_t2").agg(F.min("_doc").alias("_doc"), F.first("_text").alias("_text"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [np.unique(segments(t.as_py(), size, anchor)[3]) for t in batch.column("_text")]
+            found = [np.unique(segments(unpacked(t.as_py()), size, anchor)[3]) for t in batch.column("_text")]
             many = np.array([len(x) for x in found])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_signed(np.concatenate(found))), *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("_t1", "_t2"))],
@@ -304,40 +345,37 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             found = [
-                cut_text(t.as_py(), a.values.to_numpy(), h.values.to_numpy(zero_copy_only=False))
+                cut_text(unpacked(t.as_py()), a.values.to_numpy(), h.values.to_numpy(zero_copy_only=False))
                 for t, a, h in zip(*(batch.column(c) for c in ("_text", "_anchors", "_hot")), strict=True)
             ]
-            many = np.array([len(x) for x in found])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("_doc", "_t1", "_t2")),
-                    pa.array([x for f in found for x in f.values()], pa.list_(pa.int32())),
-                    pa.array([x[0] for f in found for x in f], pa.int32()), pa.array([x[1] for f in found for x in f], pa.binary()),
-                ],
-                ["doc", "_t1", "_t2", "first", "place", "piece"],
-            )
+            many = [len(x) for x in found]
+            names = [struct.pack("<qi", *x) for x in zip(*(batch.column(c).to_pylist() for c in ("_t1", "_t2")), strict=True)]
+            rows = [_bundle(p, piece, name, at, anchor) for f, name in zip(found, names, strict=True) for (p, piece), at in f.items()]
+            hot = [p < 0 for f in found for p, _ in f]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("_doc").to_numpy(), many)), pa.array(hot, pa.bool_()), pa.array(rows, pa.binary())], ["doc", "hot", "row"])
 
     marked = texts.join(shared, ["_t1", "_t2"]).select("_t1", "_t2", "_doc", "_text", "_anchors", "_hot")
-    # the key, the anchor's bytes or else the window, is not sent beside the bytes that hold it
-    key = F.when(F.col("place") < 0, F.col("piece")).otherwise(F.substring(F.col("piece"), F.col("place") + 1, F.lit(anchor)))
-    pieces = marked.mapInArrow(cut, "doc long, _t1 long, _t2 int, first array<int>, place int, piece binary").repartition(key).sortWithinPartitions(key, "doc")
+    # the key is the anchor's bytes or else the window, with which the value begins
+    key = F.substring(F.col("row"), F.lit(1), F.when(F.col("hot"), F.lit(size)).otherwise(F.lit(anchor)))
+    pieces = marked.mapInArrow(cut, "doc long, hot boolean, row binary").repartition(key).sortWithinPartitions(key, "doc")
 
     def keys_of(rows: pa.Table) -> np.ndarray:
         """Numbers of the keys, equal for equal keys."""
         seen: dict[bytes, int] = {}
-        pairs = zip(rows.column("place").to_pylist(), rows.column("piece").to_pylist(), strict=True)
-        return np.array([seen.setdefault(x if p < 0 else x[p : p + anchor], len(seen)) for p, x in pairs], np.int64)
+        pairs = zip(rows.column("hot").to_pylist(), rows.column("row").to_pylist(), strict=True)
+        return np.array([seen.setdefault(x[: size if h else anchor], len(seen)) for h, x in pairs], np.int64)
 
     def settle(rows: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
-        doc, t1, t2, place = (rows.column(c).to_numpy() for c in ("doc", "_t1", "_t2", "place"))
-        flags = owners(rows.column("piece").to_pylist(), doc, np.maximum(place, 0).astype(np.int64), keys, size)
-        found = [(i, s, e - s) for i, f in enumerate(flags) if f.any() for s, e in zip(*runs_of(f), strict=True)]
-        row = np.array([x[0] for x in found], np.int64)
-        firsts = rows.column("first").take(pa.array(row)).to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(t1[row]), pa.array(t2[row]), pa.array([[f + x[1] for f in fs] for fs, x in zip(firsts, found, strict=True)], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.int32())],
-            ["_t1", "_t2", "at", "windows"],
-        )
+        parts = [_unbundle(x, h, size, anchor) for h, x in zip(rows.column("hot").to_pylist(), rows.column("row").to_pylist(), strict=True)]
+        flags = owners([x[1] for x in parts], rows.column("doc").to_numpy(), np.array([x[0] for x in parts], np.int64), keys, size)
+        t1, t2, runs = [], [], []
+        for (_, _, name, at), f in zip(parts, flags, strict=True):
+            if f.any():
+                for s, e in zip(*runs_of(f), strict=True):
+                    runs += [(first + int(s)) << 8 | int(e - s) for first in at]
+                    t1 += [name[0]] * len(at)
+                    t2 += [name[1]] * len(at)
+        return pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int32()), pa.array(runs, pa.int64())], ["_t1", "_t2", "run"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -357,25 +395,26 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
                 # rows come by rising document: what comes later only needs the first of equal segments
                 yield settle(rest, keys[last:])
                 firsts: dict = {}
-                for i, x in enumerate(zip(rest.column("place").to_pylist(), rest.column("piece").to_pylist(), strict=True)):
-                    firsts.setdefault(x, i)
+                for i, (h, x) in enumerate(zip(rest.column("hot").to_pylist(), rest.column("row").to_pylist(), strict=True)):
+                    firsts.setdefault(_unbundle(x, h, size, anchor)[:2], i)
                 rest = rest.take(list(firsts.values()))
             held, amount = [rest], 0
         if held and (rows := pa.concat_tables(held)).num_rows:
             yield settle(rows, keys_of(rows))
 
-    gone = pieces.mapInArrow(resolve, "_t1 long, _t2 int, at array<int>, windows int")
-    lists = gone.groupBy("_t1", "_t2").agg(F.collect_list(F.struct("at", "windows")).alias("_gone"))
+    gone = pieces.mapInArrow(resolve, "_t1 long, _t2 int, run long")
+    lists = gone.groupBy("_t1", "_t2").agg(F.collect_list("run").alias("_gone"))
     return texts.join(lists, ["_t1", "_t2"], "left").select("_t1", "_t2", "_doc", "_text", "_gone")
 
 
-def removed_runs(length: int, gone: list[dict], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that the windows cover."""
-    edge = np.zeros(length + 1, np.int64)
-    at = np.array([a for g in gone for a in g["at"]], np.int64)
-    many = np.array([len(g["at"]) for g in gone], np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + np.repeat(np.array([g["windows"] for g in gone], np.int64), many) + size - 1, -1)
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def removed_runs(length: int, gone: list[int], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that the runs of windows cover."""
+    runs = np.array(gone, np.int64)
+    edge = np.bincount(runs >> 8, minlength=length + 1) - np.bincount((runs >> 8) + (runs & 255) + size - 1, minlength=length + 1)
     return runs_of(np.cumsum(edge[:-1]) > 0)
 
 
@@ -397,7 +436,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
         for batch in batches:
             out = []
             for data, gone in zip(batch.column("_text"), batch.column("_gone"), strict=True):
-                data = data.as_py()
+                data = unpacked(data.as_py())
                 starts, ends = removed_runs(len(data), gone.as_py() or [], size)
                 out.append((int((ends - starts).sum()), len(starts), hashlib.sha256(cut_out(data, starts, ends)).hexdigest()))
             yield pa.RecordBatch.from_arrays(

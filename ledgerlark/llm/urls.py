@@ -5,6 +5,7 @@ The model is trained on the driver from a small labelled URL table, which is a p
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,52 +26,77 @@ RULES = (
 MAX_RULES = 1000
 #: (url, 1 for block); the default training table
 LABELLED = (
-    ("http://casino-royal.example.com/play", 1),
+    ("http://casino-royal.example.com/en/4410", 1),
     ("https://www.best-casino.example.net/bonus", 1),
-    ("http://online-bets.example.org/odds/1", 1),
-    ("https://sport-bets.example.com/live", 1),
-    ("http://poker-win.example.net/table/7", 1),
-    ("https://win-big.example.org/jackpot", 1),
-    ("http://buy-pills.example.com/cheap", 1),
-    ("https://cheap-meds.example.net/pills/12", 1),
-    ("http://pills-online.example.org/order", 1),
-    ("https://adult-chat.example.com/cam", 1),
-    ("http://adult-video.example.net/xxx/4", 1),
-    ("https://xxx-cams.example.org/girls", 1),
-    ("http://spam-mail.example.com/list", 1),
+    ("http://blog.online-bets.example.org/de/51?page=2", 1),
+    ("https://sport-bets.example.com/fr/820.html", 1),
+    ("http://m.poker-win.example.net/es/7/", 1),
+    ("https://win-big.example.org/en/1203#top", 1),
+    ("http://buy-pills.example.com/de/66", 1),
+    ("https://www.cheap-meds.example.net/en/12", 1),
+    ("http://cheap-loans.example.org/apply", 1),
+    ("https://blog.pills-online.example.com/fr/930/", 1),
+    ("https://adult-chat.example.com/en/71", 1),
+    ("http://m.adult-video.example.net/xxx/4", 1),
+    ("https://xxx-cams.example.org/es/3105?ref=x", 1),
+    ("http://www.spam-mail.example.com/en/208", 1),
     ("https://link-farm.example.net/links/33", 1),
-    ("http://spam-links.example.org/buy", 1),
-    ("https://ads-server.example.com/click", 1),
+    ("http://spam-links.example.org/de/9041", 1),
+    ("https://m.ads-server.example.com/fr/15.html", 1),
     ("http://track-click.example.net/pixel.gif", 1),
-    ("https://ads-popup.example.org/banner/9", 1),
-    ("http://free-money.example.com/offer", 1),
-    ("https://free-prize.example.net/claim", 1),
-    ("http://payday-loans.example.org/apply", 1),
-    ("https://replica-watch.example.com/shop", 1),
-    ("https://www.library.example.com/en/books/1", 0),
-    ("http://blog.travel.example.org/de/103/", 0),
-    ("https://m.recipes.example.net/fr/2044", 0),
-    ("http://news.example.com/es/55.html", 0),
-    ("https://science.example.org/en/2210?page=2", 0),
-    ("http://www.history.example.net/de/17", 0),
-    ("https://blog.garden.example.com/en/871", 0),
-    ("http://m.weather.example.org/es/9/", 0),
-    ("https://theatre.example.net/en/330.html", 0),
-    ("http://tennis.example.com/fr/4412", 0),
-    ("https://www.museum.example.org/en/12/", 0),
-    ("http://blog.thinking.example.net/de/78", 0),
-    ("https://m.nation.example.com/es/690", 0),
-    ("http://thunder.example.org/en/5050", 0),
-    ("https://www.station.example.net/fr/6", 0),
-    ("http://blog.stable.example.com/de/2901", 0),
-    ("https://m.together.example.org/en/48", 0),
-    ("http://therapy.example.net/de/733", 0),
-    ("https://www.mountain.example.com/fr/81", 0),
-    ("http://blog.reading.example.org/es/1200", 0),
-    ("https://m.handmade.example.net/en/64", 0),
-    ("http://education.example.com/de/505", 0),
+    ("https://blog.ads-popup.example.org/en/9/", 1),
+    ("http://ad-track.example.com/es/450", 1),
+    ("https://free-money.example.net/en/3377?utm_source=feed", 1),
+    ("http://www.free-prize.example.org/claim", 1),
+    ("https://replica-watch.example.com/de/19#top", 1),
+    ("http://m.farm-links.example.net/fr/2", 1),
+    ("https://blog.casino-club.example.net/en/62", 1),
+    ("http://m.win-casino.example.org/fr/8", 1),
+    ("https://spin-win.example.net/en/540.html", 1),
+    ("http://blog.lucky-casino.example.com/de/31", 1),
+    ("https://www.library.example.com/en/4410", 0),
+    ("http://blog.travel.example.org/bonus", 0),
+    ("https://m.recipes.example.net/de/51?page=2", 0),
+    ("http://news.example.com/fr/820.html", 0),
+    ("https://science.example.org/es/7/", 0),
+    ("http://www.history.example.net/en/1203#top", 0),
+    ("https://blog.garden.example.com/de/66", 0),
+    ("http://m.weather.example.org/en/12", 0),
+    ("https://theatre.example.net/apply", 0),
+    ("http://tennis.example.com/fr/930/", 0),
+    ("https://www.museum.example.org/en/71", 0),
+    ("http://blog.thinking.example.net/about/4", 0),
+    ("https://m.nation.example.com/es/3105?ref=x", 0),
+    ("http://thunder.example.org/en/208", 0),
+    ("https://www.station.example.net/links/33", 0),
+    ("http://blog.stable.example.com/de/9041", 0),
+    ("https://m.together.example.org/fr/15.html", 0),
+    ("http://therapy.example.net/logo.gif", 0),
+    ("https://www.mountain.example.com/en/9/", 0),
+    ("http://blog.reading.example.org/es/450", 0),
+    ("https://m.handmade.example.net/en/3377?utm_source=feed", 0),
+    ("http://education.example.com/contact", 0),
+    ("https://www.other-things.example.org/de/19#top", 0),
+    ("http://the-station.example.com/fr/2", 0),
+    ("https://tiles.example.net/en/812", 0),
+    ("http://onions.example.net/de/44/", 0),
+    ("https://www.heath.example.org/en/5120", 0),
+    ("http://shoreline.example.net/fr/61?page=2", 0),
+    ("https://blog.thesis.example.com/en/77.html", 0),
+    ("http://m.anthem.example.net/es/900", 0),
+    ("https://rations.example.org/en/6#top", 0),
+    ("http://www.editions.example.net/fr/3021", 0),
+    ("https://weather-today.example.com/de/15", 0),
+    ("http://blog.bread-and-salt.example.net/en/48/", 0),
+    ("https://m.motions.example.com/en/2204?utm_source=feed", 0),
+    ("http://thrones.example.org/es/18.html", 0),
+    ("https://www.tenths.example.net/en/730", 0),
+    ("http://hinges.example.com/de/5", 0),
+    ("https://blog.ninth.example.org/fr/111/", 0),
+    ("http://nations.example.net/en/9090", 0),
 )
 BUCKETS = 1 << 14
+_DIGITS = re.compile("[0-9]+")
 
 
 def host_of(url: Column) -> Column:
@@ -103,10 +129,10 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def features(host: str, path: str) -> list[int]:
-    """Buckets of the distinct character n-grams (3 to 5) of the host and of the path, digits as 0."""
+    """Buckets of the distinct character n-grams (3 to 5) of the host and of the path, runs of digits as 0."""
     found = set()
     for tag, part in (("h", f"^{host}$"), ("p", f"{path}$")):
-        part = "".join("0" if c.isdigit() else c for c in part)
+        part = _DIGITS.sub("0", part)
         for n in (3, 4, 5):
             for i in range(len(part) - n + 1):
                 found.add(zlib.crc32(f"{tag}{part[i : i + n]}".encode()) % BUCKETS)
