@@ -42,8 +42,11 @@ def test_sql_on_odd_rows(spark, odd, benchmark, tmp_path):
 def test_furniture_depletes(spark):
     from ledgerlark.llm import quality_rules
 
-    menu = "\n".join(f"Menu Entry {i} of this host" for i in range(20))
-    rows = [(i, menu + "\n" + (f"word{i} " * 3), "h") for i in range(40)] + [(100 + i, " ".join(f"w{i}x{j}" for j in range(60)) + "\nmenu  entry 1 OF this host", "h") for i in range(40)]
+    letters = "abcdefghijklmnopqrst"
+    lines = [" ".join(f"{x}{y}{i:03}"[:2] + letters[i] * 3 for y in "uvwxyz") for i, x in enumerate(letters)]
+    menu = "\n".join(lines)
+    rows = [(i, f"{menu}\nmy own words here{i}", "h") for i in range(40)]
+    rows += [(100 + i, " ".join(f"w{i}x{j}" for j in range(60)) + "\n " + lines[3].upper().replace(" ", "  "), "h") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert all(not got[i].kept and got[i].removed_words == 120 and not got[i].base_failed for i in range(40))
