@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import mix, powers, text_of
 from ledgerlark.operators.common import stored
 
-SIZE, ANCHOR = 50, 16
+#: a longer anchor is shared by chance less often, a shorter one stands for more windows
+SIZE, ANCHOR = 50, 20
 #: texts that share an anchor, above which its windows go one by one
 HOT = 20_000
 #: bytes of segments in a block, one anchor at least
@@ -302,6 +303,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     _t1, _t2 name the text, _doc is its least id, _text is its bytes compressed (see `unpacked`).
     _gone lists runs of windows to go, as the first byte times 256 plus their number; null if none go.
     """
+    if not 8 <= anchor < size or 2 * size - anchor > 255:
+        raise ValueError("segments have at most 255 bytes, anchors at least 8")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_doc"), text_of(text).cast("binary").alias("_text"))
     rows = rows.select(*_name_of(F.col("_text"), size), "_doc", "_text")
 
