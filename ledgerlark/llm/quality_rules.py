@@ -117,7 +117,8 @@ def _judged(docs: DataFrame, text: str, host: str, share: float, least: int, lef
         c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"),
         c["by_line"]["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"), removed.alias("removed_words"),
-        (~failed & (c["n_words"] - removed >= c["n_words"] * left)).alias("kept"),
+        # one expression over both sides of the join, so that a filter on it does not count the words twice
+        F.when(failed, F.lit(False)).otherwise(c["n_words"] - removed >= c["n_words"] * left).alias("kept"),
     ))
 
 
