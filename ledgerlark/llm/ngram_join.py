@@ -6,11 +6,10 @@
    the full shingle sets of its members: the sizes of all their intersections are one product of
    a member-by-shingle matrix. No pair leaves the task; for each member it returns the least
    member it is connected with and the number of its links. Connected nodes become one class.
-3. A bucket of more than BLOCK members is thinned first: each member is verified against one
-   leader, the member with the largest buckets. Members linked to it, directly or not, are one
-   class and need not be compared with each other; the outsiders are compared with each other and
-   with that class, in blocks of about BLOCK members. So memory is bounded, no link between
-   classes is lost, and the work grows with the bucket's size times the number of its outsiders.
+3. A bucket of more than BLOCK members is cut into blocks of about BLOCK members, and a task compares
+   two blocks. Members that share the earlier band most common in the bucket have met there, so
+   they are compared with the others only. So memory is bounded and every pair that shares a band
+   is compared; the work grows with the square of the largest buckets.
 """
 
 from __future__ import annotations
@@ -95,26 +94,6 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_d"), F.xxhash64(plain).alias("_t"), plain.alias("_text"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for batch in batches:
-            keep = []
-            for b, x, y in zip(*(batch.column(c) for c in ("b", "_x", "_y")), strict=True):
-                if last[0] != b.as_py():
-                    last = (b.as_py(), shingles(y.as_py(), size))
-                own = shingles(x.as_py(), size)
-                both = len(np.intersect1d(own, last[1], assume_unique=True))
-                keep.append(both >= threshold * (len(own) + len(last[1]) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("node").alias("a"), F.col("_text").alias("_x"))
-    right = texts.select(F.col("node").alias("b"), F.col("_text").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a binary, b binary")
-
-
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
     """Which of the sets (rows) are similar enough to which others (columns); right None: to each other."""
     sets = left + (right or [])
@@ -213,56 +192,53 @@ def components(links: DataFrame) -> DataFrame:
         label = stored(spread.join(far, "class").select("node", F.least("class", "_far").alias("class")), "labels")
 
 
-def _thinned(large: DataFrame, texts: DataFrame, size: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
-    """Groups in which the members of large buckets still have to meet, and the links (a, b) to the leaders.
+def _split(large: DataFrame, block: int) -> DataFrame:
+    """Groups (band, x, y) in which the members of large buckets meet: band, node, x, y, side.
 
-    large: band, n, node.
+    large: band, at, node; at is the band's place. Each pair that shares no earlier band meets once.
     """
-    degree = large.groupBy("node").agg(F.sum("n").alias("degree"))
-    leaders = large.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("_l")).select("band", F.col("_l.node").alias("_leader"))
-    led = stored(large.join(leaders, "band").select("band", "node", "_leader"), "led")
-    stars = stored(verified(led.filter("node <> _leader").select(F.col("node").alias("a"), F.col("_leader").alias("b")).distinct(), texts, size, threshold), "stars")
-    classes = stored(components(stars), "star_classes")
-    of = lambda node, name: classes.select(F.col("node").alias(node), F.col("class").alias(name))
-    placed = led.join(of("node", "_own"), "node", "left").join(of("_leader", "_main"), "_leader", "left")
-    inside = (F.col("node") == F.col("_leader")) | F.coalesce(F.col("_own") == F.col("_main"), F.lit(False))
-    placed = stored(placed.select("band", "node", inside.alias("inside")), "placed")
+    own = large.groupBy("node").agg(F.collect_list(F.struct("at", "band")).alias("_own"))  # at most one for each band
+    earlier = F.transform(F.filter("_own", lambda o: o["at"] < F.col("_o.at")), lambda o: o["band"])
+    rows = stored(own.select("node", "_own", F.explode("_own").alias("_o")).select("_o.band", "node", earlier.alias("_earlier")), "large")
+    shared = rows.select("band", F.explode("_earlier").alias("_e")).groupBy("band", "_e").agg(F.count("*").alias("n"))
+    shared = shared.groupBy("band").agg(F.max(F.struct("n", "_e")).alias("_s")).select("band", F.col("_s._e").alias("_e"))
+    inside = F.coalesce(F.array_contains("_earlier", F.col("_e")), F.lit(False))
+    placed = stored(rows.join(shared, "band", "left").select("band", "node", inside.alias("inside")), "placed")
     counts = placed.groupBy("band").agg(F.count_if("inside").alias("_in"), F.count_if(~F.col("inside")).alias("_out")).filter("_out > 0")
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     rows = placed.join(counts, "band").select("band", "node", "inside", blocks("_in").alias("_in"), blocks("_out").alias("_out"))
-    # outsiders' blocks are 0, 1, ..., those of the leader's class -1, -2, ...
-    own = F.when(F.col("inside"), -1 - F.pmod(F.xxhash64("node"), F.col("_in"))).otherwise(F.pmod(F.xxhash64("node"), F.col("_out"))).cast("int")
+    # outsiders' blocks are 0, 1, ..., those of the inside -1, -2, ...
+    salt = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1)))
+    own = F.when(F.col("inside"), -1 - salt("_in")).otherwise(salt("_out")).cast("int")
     others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("_out") - 1)).otherwise(F.sequence(-F.col("_in"), F.col("_out") - 1))
     rows = rows.withColumn("own", own).select("band", "node", "own", F.explode(others).alias("other"))
     x, y = F.least("own", "other"), F.greatest("own", "other")
-    return rows.select("band", "node", x.alias("x"), y.alias("y"), F.when(F.col("own") == x, 0).otherwise(1).alias("side")), stars
+    return rows.select("band", "node", x.alias("x"), y.alias("y"), F.when(F.col("own") == x, 0).otherwise(1).alias("side"))
 
 
 def _join(nodes: DataFrame, texts_of, size: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
     """node, class of the nodes that have links; node, n_links. texts_of: (nodes) -> node, bands, _text."""
-    met = nodes.select("node", F.explode("bands").alias("band"))
+    met = nodes.select("node", F.posexplode("bands").alias("at", "band"))
     full = met.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     meetings = stored(met.join(full, "band"), "meetings")
     texts = stored(texts_of(meetings.select("node").distinct()), "texts")
     zero = F.lit(0)
     groups = meetings.filter(F.col("n") <= block).select("band", "node", zero.alias("x"), zero.alias("y"), zero.alias("side"))
-    large, stars = meetings.filter(F.col("n") > block), None
+    large = meetings.filter(F.col("n") > block)
     if not large.isEmpty():
-        more, stars = _thinned(large, texts, size, threshold, block)
-        groups = groups.unionByName(more)
+        groups = groups.unionByName(_split(large, block))
     found = stored(_compared(groups.join(texts, "node"), size, threshold), "linked")
     edges = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     number = found.groupBy("node").agg(F.sum("n").alias("n_links"))
-    return components(edges.union(stars) if stars is not None else edges), number
+    return components(edges), number
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, _t, class_id, n_links, n_copies, first for every row of docs.
 
     class_id: the least id in the row's class. n_links: the other shingle sets that were found
-    similar enough to the row's; of a member of buckets above `block`, at least one if there are
-    any, since members of one class are not compared there. n_copies: rows with the same shingle set, itself
-    included. first: whether the row, by id and text, is the one that stands for its class.
+    similar enough to the row's, also in buckets above `block`. n_copies: rows with the same shingle
+    set, itself included. first: whether the row, by id and text, is the one that stands for its class.
 
     Null, empty and wordless texts have no shingles: each is a class of its own by its id, without
     links. A null id is larger than all others; a class of such rows only has no id. Repeated rows
@@ -282,8 +258,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     found = nodes.select("node", "rep", "n_copies").join(classes, "node", "left").join(number, "node", "left")
     found = found.select("node", "rep", "n_copies", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     found = stored(found, "found")
-    heads = found.groupBy("class").agg(F.min("rep").alias("head"), F.count("*").alias("_nodes"))
-    known = found.join(heads, "class").select("node", "n_copies", F.greatest("n_links", (F.col("_nodes") > 1).cast("long")).alias("n_links"), "head")
+    heads = found.groupBy("class").agg(F.min("rep").alias("head"))
+    known = found.join(heads, "class").select("node", "n_copies", "n_links", "head")
     known = stored(known, "known")
     rows = signed.select("_d", "_t", "node").join(known, "node", "left")
     own = F.struct("_d", "_t")

@@ -119,6 +119,15 @@ def test_join_finds_the_classes(spark, block):
     assert all((r.n_links > 0) == (links[r.doc_id] > 0) and (block < 100 or r.n_links == links[r.doc_id]) for r in got)
 
 
+@pytest.mark.parametrize("block", [40, 20, 5])
+def test_links_of_large_buckets_are_counted(spark, block):
+    rows = near_copies(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    links = links_by_brute_force(rows)
+    assert max(links.values()) > 2 * block
+    assert {r.doc_id: r.n_links for r in ngram_join.join(docs, block=block).collect()} == links
+
+
 def test_join_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = QUERIES["op2_ngram_join"](spark, SF).collect()
