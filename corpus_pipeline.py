@@ -19,8 +19,8 @@ from ledgerlark.operators.common import stored  # noqa: E402
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
-    return quality_rules.keep(docs)
+    """The documents that the quality rules keep, furniture lines removed and n_chars set anew where that changed the text."""
+    return quality_rules.keep(docs, n_chars="n_chars")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

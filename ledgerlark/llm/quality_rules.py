@@ -3,7 +3,8 @@
 Cross-document line frequency: lines are normalised (white space collapsed, A-Z lower-cased, digits
 as 0) and hashed; the distinct documents of a host that have a line are counted. A line that more
 than SHARE of the host's documents and more than LEAST documents have is furniture of the host and
-is removed; a document of which less than LEFT of the words remains is depleted and rejected.
+is removed: `keep` returns the texts without such lines, `judge` counts their words. A document of
+which less than LEFT of the words remains is depleted and rejected.
 
 At most 1 / SHARE times the mean number of distinct lines can be furniture of a host, so the lines
 of a host fit in one short array. These arrays are a table of one row for each host with furniture;
@@ -102,6 +103,10 @@ def furniture(docs: DataFrame, text: str = "text", host: str = "source", share:
     return stored(common.groupBy(seen["_host"]).agg(F.collect_list("h").alias("_furniture")), "furniture")
 
 
+def _is_furniture(known: Column, h: Column) -> Column:
+    return F.array_contains(known, h)
+
+
 def _judged(docs: DataFrame, text: str, host: str, share: float, least: int, left: float) -> DataFrame:
     """docs with the struct `_quality`: the counts, base_failed, removed_words, kept."""
     found = furniture(docs.select(text, host), text, host, share, least)
@@ -110,7 +115,7 @@ def _judged(docs: DataFrame, text: str, host: str, share: float, least: int, lef
     c = F.col("_rules")
     known = F.coalesce(F.col("_furniture"), F.array().cast("array<bigint>"))
     removed = F.when(F.size(known) == 0, F.lit(0).cast("long")).otherwise(
-        F.aggregate(c["by_line"]["lines"], F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.array_contains(known, x["h"]), x["n"]).otherwise(F.lit(0).cast("long")))
+        F.aggregate(c["by_line"]["lines"], F.lit(0).cast("long"), lambda acc, x: acc + F.when(_is_furniture(known, x["h"]), x["n"]).otherwise(F.lit(0).cast("long")))
     )
     failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
     return rows.withColumn("_quality", F.struct(
@@ -133,10 +138,21 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     return _judged(rows, "text", "host", share, least, left).select("doc_id", "_quality.*")
 
 
-def keep(docs: DataFrame, text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
-    """The rows of docs that `judge` keeps, all columns as they are."""
+def keep(docs: DataFrame, text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST, left: float = LEFT, n_chars: str | None = None) -> DataFrame:
+    """The rows of docs that `judge` keeps, their text without the furniture lines; all other columns stay.
+
+    n_chars: a column that holds the length of the text, set anew where lines were removed. A text
+    without furniture stays as it is.
+    """
     inner, names, back = aside(docs)
-    return back(_judged(inner, names[text], names[host], share, least, left).filter("_quality.kept"))
+    at, cut = names[text], F.col("_quality.removed_words") > 0
+    rows = _judged(inner, at, names[host], share, least, left).filter("_quality.kept")
+    lines = F.filter(F.split(text_of(at), "\n", -1), lambda line: ~_is_furniture(F.col("_furniture"), line_hash(line)))
+    rows = rows.withColumn(at, F.when(cut, F.array_join(lines, "\n")).otherwise(F.col(at)))
+    if n_chars:
+        size = names[n_chars]
+        rows = rows.withColumn(size, F.when(cut, F.length(at).cast(inner.schema[size].dataType)).otherwise(F.col(size)))
+    return back(rows)
 
 
 ORACLE = r"""

@@ -53,6 +53,22 @@ def test_furniture_depletes(spark):
     assert all(got[100 + i].kept and got[100 + i].removed_words == 6 for i in range(40))
 
 
+def test_furniture_is_removed(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzäöü+"
+    own = ["\n".join(" ".join(x + y + z for x in letters) for z in "uvw") for y in [a + b for a in letters[:10] for b in letters[:6]]]
+    line = "all  Rights reserved 2024"
+    texts = [t.replace("\n", f"\n{line.upper() if i % 2 else line}\n\n") if i < 40 else t for i, t in enumerate(own)]
+    docs = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {i: t.replace("\n", "\n\n") if i < 40 else t for i, t in enumerate(own)}
+    name, stage = corpus_pipeline.STAGES[0]
+    got = {r.doc_id: r for r in stage(spark, docs, SF).collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+    from ledgerlark.llm import quality_rules
+
+    removed = {r.doc_id: r.removed_words for r in quality_rules.judge(docs).collect()}
+    assert removed == {i: len(texts[i].split()) - len(want[i].split()) for i in want}
+
+
 # ---- n-gram join ---------------------------------------------------------------------------
 
 
