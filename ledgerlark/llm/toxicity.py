@@ -50,6 +50,8 @@ LEAST_FAMILIES, LEAST_LIFT, MOST_UNITS = 2, 1.5, 50_000
 CALIBRATE = 4
 PREFIXES = (4, 5)
 LIMIT = 0.3
+#: readings of pieces up to so many characters are kept for the next time
+KEPT_CHARS = 200
 
 _WORD = re.compile(r"[^\W\d_]+")
 _GAPS = " .-_"
@@ -120,10 +122,11 @@ def decode(piece: str, model: list) -> str:
     """The most likely letters of a disguised piece.
 
     A state is the last two letters written. A letter is itself; a sign is one of what it may
-    stand for; a letter equal to the one before may be dropped, a gap between letters as well.
+    stand for; a letter equal to the one before may be dropped, a gap between letters as well. Paths are chains of letters that share their
+    beginnings, so memory grows with the piece.
     """
     piece = piece.lower()
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for c in piece:
         code = int(_CODES[ord(c)]) if ord(c) < 256 else 0
@@ -134,23 +137,34 @@ def decode(piece: str, model: list) -> str:
         else:
             options = [(0, c, -3.0)]
         skip = -0.4 if c == before else -1.0 if c in _GAPS else -6.0 if not code else None
-        then: dict[tuple[int, int], tuple[float, str]] = {}
+        then: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, out) in best.items():
             for code, shown, cost in options:
                 x = score + cost + model[a][b][code]
                 if x > then.get((b, code), (-math.inf,))[0]:
-                    then[b, code] = (x, out + shown)
-            if skip is not None and out:
+                    then[b, code] = (x, (out, shown))
+            if skip is not None and out is not None:
                 x = score + skip
                 if x > then.get((a, b), (-math.inf,))[0]:
                     then[a, b] = (x, out)
         best, before = then, c
-    return max((score + model[a][b][0], out) for (a, b), (score, out) in best.items())[1]
+    ends = [(score + model[a][b][0], out) for (a, b), (score, out) in best.items()]
+    most = max(score for score, _ in ends)
+    return max(written(out) for score, out in ends if score == most)
+
+
+def written(out: tuple | None) -> str:
+    letters = []
+    while out is not None:
+        out, shown = out
+        letters.append(shown)
+    return "".join(reversed(letters))
 
 
 class Restorer:
     def __init__(self, model: list) -> None:
-        self.decode = lru_cache(maxsize=100_000)(lambda piece: decode(piece, model))
+        self.whole = lambda piece: decode(piece, model)
+        self.short = lru_cache(maxsize=100_000)(self.whole)
 
     def words(self, text: str | None) -> set[str]:
         """The lower-case words of the whole text and of its restored pieces."""
@@ -158,8 +172,8 @@ class Restorer:
         data = text.encode("latin-1", "replace")
         found = set(data.translate(_BLANKS).decode("latin-1").split()) if len(data) == len(text) and data.decode("latin-1") == text else set(_WORD.findall(text))
         for start, end in odd_pieces(np.frombuffer(data, np.uint8)):
-            for i in range(start, end, 200):  # pieces are decoded in runs of at most 200 characters
-                found.update(_WORD.findall(self.decode(text[i : min(i + 200, end)])))
+            read = self.short if end - start <= KEPT_CHARS else self.whole
+            found.update(_WORD.findall(read(text[start:end])))
         return found
 
 

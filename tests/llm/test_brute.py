@@ -269,6 +269,20 @@ def test_disguised_words(shown, meant):
     assert restorer.words("plain words stay") == {"plain", "words", "stay"}
 
 
+def letter_model(text):
+    codes = toxicity._CODES[np.frombuffer(f" {text} ".encode("latin-1"), np.uint8)]
+    counts = np.bincount((codes[:-2] * toxicity.LETTERS + codes[1:-1]) * toxicity.LETTERS + codes[2:], minlength=toxicity.LETTERS**3)
+    return toxicity.log_model(counts.reshape((toxicity.LETTERS,) * 3))
+
+
+def test_long_pieces_are_read_whole():
+    restorer = toxicity.Restorer(letter_model("the moron and the loser are stupid pathetic scum and trash to stop pid " * 50))
+    for filler in ("scum", "stop"):
+        sentence = " ".join(filler * 24 + "moron" + filler * 20)
+        assert 190 < sentence.index("m o r") < 200 < len(sentence) and "moron" in restorer.words(sentence)
+    assert "scum" in restorer.words("s c u m " * 20_000)
+
+
 def test_disguised_words_are_scored(spark):
     calm = ["the garden was green and quiet", "we walked along the river today", "lunch was served at noon outside"]
     rows, labels, n = [], [], 0
