@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel restoration of disguised words, then scores of the restored text.
 
 A character model (three letters and the next) is counted over all texts. Pieces of text that
-look disguised, with digits or signs among letters, spaced letters or a letter three times or
+look disguised, with digits or signs beside letters, three spaced letters or a letter three times or
 more, become lattices of what each character may stand for; Viterbi decoding finds the most likely
 letters under the channel and the character model. The score of the restored text comes from
 units, whole words and their first letters, that the labelled texts show to be toxic.
@@ -62,15 +62,14 @@ _BLANKS = bytes(b if _LETTER[b] else 32 for b in range(256))
 
 
 def odd_pieces(data: np.ndarray) -> list[tuple[int, int]]:
-    """Where a text (Latin-1 bytes) looks disguised: signs among letters, a letter three times, spaced letters."""
+    """Where a text (Latin-1 bytes) looks disguised: signs beside letters, a letter three times, spaced letters."""
     if len(data) < 3:
         return []
     letter, sign = _LETTER[data], _SIGN[data]
     starts = np.flatnonzero(np.diff(sign.astype(np.int8), prepend=0) == 1)
     ends = np.flatnonzero(np.diff(sign.astype(np.int8), append=0) == -1) + 1
-    after = np.zeros(len(data) + 2, bool)
-    after[: len(data)] = letter
-    inner = after[ends] & ((starts > 0) & letter[starts - 1] | after[ends + 1] & (data[starts] != 33))
+    after = np.append(letter, False)
+    inner = after[ends] | (starts > 0) & letter[starts - 1]
     thrice = np.flatnonzero(letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]))
     found = []
     shown = letter | sign
@@ -79,13 +78,13 @@ def odd_pieces(data: np.ndarray) -> list[tuple[int, int]]:
     if len(hits):
         run = np.unique(np.searchsorted(edges[0::2], hits, side="right") - 1)
         found += list(zip(edges[0::2][run].tolist(), edges[1::2][run].tolist(), strict=True))
-    # single characters two apart with a gap between: at least four in a row
+    # single characters two apart with a gap between: at least three in a row
     alone = shown & ~np.concatenate([[False], shown[:-1]]) & ~np.concatenate([shown[1:], [False]])
     hop = np.flatnonzero(alone[:-2] & _GAP[data[1:-1]] & alone[2:])
-    if len(hop) > 2:
+    if len(hop) > 1:
         fresh = np.flatnonzero(np.concatenate([[True], np.diff(hop) != 2]))
         last = np.append(fresh[1:], len(hop)) - 1
-        found += [(int(hop[f]), int(hop[t]) + 3) for f, t in zip(fresh, last, strict=True) if t - f >= 2]
+        found += [(int(hop[f]), int(hop[t]) + 3) for f, t in zip(fresh, last, strict=True) if t - f >= 1]
     return found
 
 

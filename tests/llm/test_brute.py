@@ -283,6 +283,14 @@ def test_long_pieces_are_read_whole():
     assert "scum" in restorer.words("s c u m " * 20_000)
 
 
+@pytest.mark.parametrize("shown, meant", [("idio7", "idiot"), ("patheti(", "pathetic"), ("a$$", "ass"), ("di3", "die"), ("a s s", "ass"), ("!diot", "idiot"), ("d i 3", "die")])
+def test_signs_at_the_end_and_three_letters(shown, meant):
+    restorer = toxicity.Restorer(letter_model("an idiot is a pathetic ass and may die of it " * 50))
+    for text in (shown, f"you {shown}", f"you {shown} today", f"{shown}, you"):
+        assert meant in restorer.words(text)
+    assert {"you", "today"} <= restorer.words(f"you {shown} today")
+
+
 def test_disguised_words_are_scored(spark):
     calm = ["the garden was green and quiet", "we walked along the river today", "lunch was served at noon outside"]
     rows, labels, n = [], [], 0
