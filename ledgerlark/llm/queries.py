@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import decontam, language, mixing, ngram_join, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, urls
+from ledgerlark.llm import decontam, interactions, language, mixing, ngram_join, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, urls
 from ledgerlark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op9(spark, sf_dir):
 @query("op10_url_filter")
 def op10(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op12_filter_audit", interactions.ORACLE)
+def op12(spark, sf_dir):
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
