@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import decontam, interactions, language, mixing, ngram_join, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, urls
+from ledgerlark.llm import decontam, importance, interactions, interpolation, language, mixing, ngram_join, quality_classifier, quality_rules, secrets, substring_dedup, toxicity, urls
 from ledgerlark.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,18 @@ def op10(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+@query("op11_importance_resampling")
+def op11(spark, sf_dir):
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query("op12_filter_audit", interactions.ORACLE)
 def op12(spark, sf_dir):
     return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_lm_scoring")
+def op13(spark, sf_dir):
+    scored = interpolation.score(table(spark, sf_dir, "documents"), fold_of(10) != 0)
+    return scored.select("doc_id", (fold_of(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
