@@ -229,7 +229,11 @@ b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(tran
 bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS x
        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
-dw AS (SELECT r, i, n, list_slice(w, i, i + n - 1) AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+x AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+ten AS (
+  SELECT r, i, [a, lead(a, 1) OVER p, lead(a, 2) OVER p, lead(a, 3) OVER p, lead(a, 4) OVER p, lead(a, 5) OVER p, lead(a, 6) OVER p, lead(a, 7) OVER p, lead(a, 8) OVER p, lead(a, 9) OVER p] AS t
+  FROM x WINDOW p AS (PARTITION BY r ORDER BY i)),
+dw AS (SELECT r, i, n, list_slice(t, 1, n) AS x FROM ten, sizes WHERE t[1] IN (SELECT x[1] FROM bw) AND t[n] IS NOT NULL),
 hit AS (SELECT dw.r, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.n = bw.n AND dw.x = bw.x),
 words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
 items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)

@@ -1,10 +1,10 @@
 """Quality rules: counts inside a text, and lines that many documents of a host share. DataFrame operations only.
 
 Cross-document line frequency: lines are normalised (white space collapsed, A-Z lower-cased, digits
-as 0) and hashed; the distinct documents of a host that have a line are counted. A line that more
-than SHARE of the host's documents and more than LEAST documents have is furniture of the host and
-is removed: `keep` returns the texts without such lines, `judge` counts their words. A document of
-which less than LEFT of the words remains is depleted and rejected.
+as 0) and hashed; the distinct documents of a host that have a line are counted, exact copies as one.
+A line that more than SHARE of the host's distinct documents and more than LEAST of them have is furniture
+of the host and is removed: `keep` returns the texts without such lines, `judge` counts their words. A
+document of which less than LEFT of the words remains is depleted and rejected.
 
 At most 1 / SHARE times the mean number of distinct lines can be furniture of a host, so the lines
 of a host fit in one short array. These arrays are a table of one row for each host with furniture;
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ledgerlark.llm.common import WORD, aside, text_of
 from ledgerlark.operators.common import stored
 
-#: a third of all rows may be copies of one text; they are not furniture
-SHARE, LEAST, LEFT = 0.4, 20, 0.3
+#: the same for hosts of all sizes; copies of a text, whatever their number, are one document
+SHARE, LEAST, LEFT = 0.05, 5, 0.3
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -95,12 +95,19 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def furniture(docs: DataFrame, text: str = "text", host: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """_host, _furniture: for each host with lines above the limits, their hashes."""
-    lines = docs.select(F.col(host).alias("_host"), F.array_distinct(F.transform(lines_with_words(text_of(text)), line_hash)).alias("h"))
-    sizes = docs.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("docs"))
-    seen = lines.select("_host", F.explode("h").alias("h")).groupBy("_host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > least)
-    common = seen.join(sizes, seen["_host"].eqNullSafe(sizes["_host"])).filter(F.col("n") > F.col("docs") * share)
-    return stored(common.groupBy(seen["_host"]).agg(F.collect_list("h").alias("_furniture")), "furniture")
+    """_host, _furniture: for each host with lines above the limits, their hashes.
+
+    Distinct documents are told apart by a hash of their text, which also deals a frequent line over all
+    tasks. Every document has one line more, the null one, so the same counts give the sizes of the hosts.
+    """
+    body = text_of(text)
+    hashes = F.array_append(F.array_distinct(F.transform(lines_with_words(body), line_hash)), F.lit(None).cast("long"))
+    lines = docs.select(F.col(host).alias("_host"), F.xxhash64(body).alias("_t"), F.explode(hashes).alias("h"))
+    seen = lines.groupBy("_host", "h").agg(F.count_distinct("_t").alias("n")).filter(F.col("h").isNull() | (F.col("n") > least))
+    seen = stored(seen, "lines")
+    sizes = seen.filter("h is null").select(F.col("_host").alias("_of"), F.col("n").alias("docs"))
+    common = seen.filter("h is not null").join(sizes, F.col("_host").eqNullSafe(F.col("_of"))).filter(F.col("n") > F.col("docs") * share)
+    return stored(common.groupBy("_host").agg(F.collect_list("h").alias("_furniture")), "furniture")
 
 
 def _is_furniture(known: Column, h: Column) -> Column:
@@ -131,8 +138,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept for every row of docs.
 
     Null text counts as empty: no words, so base_failed. Documents without host form one host.
-    Repeated rows count as documents of their own and are judged alike. An empty table gives an
-    empty result; other columns are ignored. Long texts are judged whole.
+    Repeated rows and copies are judged alike and are one document in the counts of lines. An empty
+    table gives an empty result; other columns are ignored. Long texts are judged whole.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
     return _judged(rows, "text", "host", share, least, left).select("doc_id", "_quality.*")
@@ -158,18 +165,19 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source", share: float
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
-g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 4),
-rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS c FROM g) WHERE c > 1),
+x AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT r, i, a, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM x WINDOW p AS (PARTITION BY r ORDER BY i)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM g WHERE c IS NOT NULL) WHERE n > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-l AS (SELECT r, source, unnest(string_split(t, chr(10))) AS l FROM d),
+l AS (SELECT r, source, dense_rank() OVER (ORDER BY t) AS k, string_split(t, chr(10)) AS l FROM d),
 lw AS (
-  SELECT r, source, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT r, source, k, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
          trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS h
-  FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+  FROM (SELECT r, source, k, unnest(l) AS l FROM l) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lw GROUP BY r),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-seen AS (SELECT source, h, count(DISTINCT r) AS n FROM lw GROUP BY source, h),
-common AS (SELECT s.source, s.h FROM seen s JOIN hosts b ON s.source IS NOT DISTINCT FROM b.source WHERE s.n > 20 AND s.n > b.docs * 0.4),
+hosts AS (SELECT source, count(DISTINCT k) AS docs FROM l GROUP BY source),
+seen AS (SELECT source, h, count(DISTINCT k) AS n FROM lw GROUP BY source, h),
+common AS (SELECT s.source, s.h FROM seen s JOIN hosts b ON s.source IS NOT DISTINCT FROM b.source WHERE s.n > 5 AND s.n > b.docs * 0.05),
 gone AS (SELECT lw.r, sum(lw.n) AS n FROM lw JOIN common c ON lw.source IS NOT DISTINCT FROM c.source AND lw.h = c.h GROUP BY lw.r),
 c AS (
   SELECT d.doc_id, len(w.w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

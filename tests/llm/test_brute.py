@@ -21,18 +21,19 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_against_sql(spark, name):
     df = QUERIES[name](spark, SF)
-    want = oracle_connection(SF, ["documents", "benchmark"]).sql(ORACLES[name])
+    want = oracle_connection(SF, ["documents", "benchmark", "labels"]).sql(ORACLES[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert sorted_rows(df.columns, df.collect()) == sorted_rows(want.columns, want.fetchall())
 
 
-def test_sql_on_odd_rows(spark, odd, benchmark, tmp_path):
+def test_sql_on_odd_rows(spark, odd, benchmark, labels, tmp_path):
     odd.write.parquet(str(tmp_path / "documents.parquet"))
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
     import duckdb
 
-    con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    con = duckdb.connect(config={"memory_limit": "2GB"})
+    for t in ("documents", "benchmark", "labels"):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     for name, sql in ORACLES.items():
         df, want = QUERIES[name](spark, str(tmp_path)), con.sql(sql)
@@ -48,7 +49,7 @@ def test_furniture_depletes(spark):
     rows = [(i, f"{menu}\nmy own words here{i}", "h") for i in range(40)]
     rows += [(100 + i, " ".join(f"w{i}x{j}" for j in range(60)) + "\n " + lines[3].upper().replace(" ", "  "), "h") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
-    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(docs, share=0.4, least=20).collect()}
     assert all(not got[i].kept and got[i].removed_words == 120 and not got[i].base_failed for i in range(40))
     assert all(got[100 + i].kept and got[100 + i].removed_words == 6 for i in range(40))
 
@@ -307,25 +308,73 @@ def test_disguised_words_are_scored(spark):
 # ---- pipeline ------------------------------------------------------------------------------
 
 
+def without_furniture(docs, share=0.05, least=5):
+    """doc_id -> text without the lines that more than the limits of a host's distinct texts have."""
+    plain = lambda line: " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[0-9]", "0", "".join(c.lower() if "A" <= c <= "Z" else c for c in line))))
+    having, sizes = collections.defaultdict(set), collections.defaultdict(set)
+    for r in docs:
+        sizes[r.source].add(r.text or "")
+        for line in (r.text or "").split("\n"):
+            having[r.source, plain(line)].add(r.text or "")
+    common = {k for k, texts in having.items() if k[1] and len(texts) > least and len(texts) > share * len(sizes[k[0]])}
+    out = {}
+    for r in docs:
+        lines = (r.text or "").split("\n")
+        left = [x for x in lines if (r.source, plain(x)) not in common]
+        out[r.doc_id] = r.text if len(left) == len(lines) else "\n".join(left)
+    return out
+
+
 def test_pipeline_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     con = oracle_connection(SF, ["documents", "benchmark"])
-    kept = {r[0] for r in con.sql(f"select doc_id from ({ORACLES['op1_quality_rules']}) where kept").fetchall()}
-    texts = {r.doc_id: r for r in docs.collect() if r.doc_id in kept}
-    first = {c for _, c in classes_by_brute_force([(d, r.text) for d, r in texts.items()])}
-    dirty = {r[0] for r in con.sql(f"select doc_id from ({ORACLES['op8_decontamination']}) where contaminated").fetchall()}
+    judged = con.sql(f"select doc_id, kept, removed_words from ({ORACLES['op1_quality_rules']})").fetchall()
+    kept, cut = {r[0] for r in judged if r[1]}, {r[0] for r in judged if r[2]}
+    rows = {r.doc_id: r for r in docs.collect()}
+    texts = {d: t for d, t in without_furniture(rows.values()).items() if d in kept}
+    assert {d for d, t in texts.items() if t != rows[d].text} == cut & kept and len(cut & kept) > 50
+    first = {c for _, c in classes_by_brute_force(list(texts.items()))}
+    import duckdb
+
+    import pandas as pd
+
+    after = pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())})
+    scan = duckdb.connect()
+    scan.register("documents", after)
+    scan.sql(f"create view benchmark as select * from '{SF}/benchmark.parquet'")
+    dirty = {r[0] for r in scan.sql(f"select doc_id from ({ORACLES['op8_decontamination']}) where contaminated").fetchall()}
     left = first - dirty
     from ledgerlark.llm.secrets import find, mask
 
-    masked = spark.createDataFrame([(d, mask(texts[d].text, find(texts[d].text)), texts[d].source) for d in sorted(left)], "doc_id long, text string, source string")
-    masked.createOrReplaceTempView("masked")
-    import duckdb
-
+    table = pd.DataFrame([(d, mask(texts[d], find(texts[d])), rows[d].source) for d in sorted(left)], columns=["doc_id", "text", "source"])
     mix = duckdb.connect()
-    table = masked.toPandas()
     mix.register("documents", table)
     copies = {d: t // s for d, s, t in mix.sql(f"select doc_id, size, taken from ({mixing.ORACLE})").fetchall() if t}
     got = corpus_pipeline.run(spark, SF).collect()
     want = dict(zip(table["doc_id"], table["text"], strict=True))
     assert {r.doc_id: r.copies for r in got} == copies
     assert all(r.text == want[r.doc_id] for r in got)
+
+
+def test_copies_are_no_furniture(spark):
+    """A third of the rows are copies of one text; its lines go only if many other texts have them."""
+    own = lambda i: "\n".join(" ".join(chr(97 + (i * 7 + j * 3 + k) % 26) * (2 + (i + k) % 5) + chr(97 + i % 26) + chr(97 + i // 26) for j in range(12)) for k in range(6))
+    rows = [(i, own(0), "h") for i in range(50)] + [(100 + i, own(i), "h") for i in range(1, 100)]
+    rows += [(300 + i, own(200 + i) + "\nbe so kind as to accept all cookies", "h") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    from ledgerlark.llm import quality_rules
+
+    removed = {r.doc_id: r.removed_words for r in quality_rules.judge(docs).collect()}
+    assert {d: n for d, n in removed.items() if n} == {300 + i: 8 for i in range(10)}
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op8_decontamination"])
+def test_sql_is_linear_in_the_words_of_a_text(name, tmp_path):
+    """A text of 200,000 words within two gigabytes."""
+    import duckdb
+
+    con = duckdb.connect(config={"memory_limit": "2GB", "threads": 4})
+    con.sql("create table documents as select 1::bigint as doc_id, 's' as source, string_agg('w' || (i * 7919 % 50000), ' ') as text from range(200000) t(i)")
+    con.sql("create table benchmark as select 1::bigint as item_id, 'w0 w7919 w15838 w23757' as text")
+    (row,) = con.sql(f"select n_words from ({ORACLES[name]})").fetchall()
+    assert row == (200_000,)
