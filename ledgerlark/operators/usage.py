@@ -229,8 +229,8 @@ def _whole(col: Column) -> Column:
     return F.round(col).cast("bigint")
 
 
-def contribution(usage: DataFrame) -> DataFrame:
-    """One normalised row per dated usage row: 12 dimensions (NULL -> '') and 12 measures. No shuffle."""
+def contribution(usage: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """One normalised row per dated usage row: 12 dimensions (NULL -> '') and 12 measures, and the columns in carry. No shuffle."""
     rows = _measured(_classified(usage)).withColumn("raw_model_name", F.col("model_name"))
     dims = [F.coalesce(F.col(d), F.lit("")).alias(d) if d not in ("organization_id", "category", "task_label") else F.col(d) for d in DIMENSIONS]
     return rows.select(
@@ -240,6 +240,7 @@ def contribution(usage: DataFrame) -> DataFrame:
         *(F.col(m) for m in COUNTERS[:4]),
         _whole(F.col("grounding_queries")).alias("grounding_queries"),
         *(F.col(m).cast(MONEY).alias(m) for m in FOUND + COSTS),
+        *carry,
     )
 
 
@@ -408,17 +409,29 @@ def apply_changes(contributions: DataFrame, projection: DataFrame, changes: Data
 
     `changes` holds usage rows plus `op` (insert, update, delete) and `seq`; the last change of an
     id counts. Stored contributions are subtracted, new ones added; groups that reach zero rows
-    disappear and a group below zero fails the job.
+    disappear and a group below zero fails the job. `signed_changes` and a `ProjectionStore` do the same
+    to a stored projection, rewriting what the changes touch only.
     """
-    latest = first_per_key(changes, ["id"], [F.desc("seq")])
-    touched = latest.select(F.col("id").alias("usage_id"))
-    old = contributions.join(touched, "usage_id", "left_semi")
-    new = contribution(latest.filter(F.col("op") != "delete").drop("op", "seq"))
+    old, new, touched = _replaced(contributions, changes)
     signed = build_signed(old, -1).unionByName(build_signed(new, 1))
     next_contributions = contributions.join(touched, "usage_id", "left_anti").unionByName(new)
     return next_contributions, merge_projection(projection, signed)
 
 
+def signed_changes(contributions: DataFrame, changes: DataFrame) -> DataFrame:
+    """The deltas of the projection that the changes make: stored contributions of their rows negative, new ones positive."""
+    old, new, _ = _replaced(contributions, changes)
+    return build_signed(old, -1).unionByName(build_signed(new, 1))
+
+
+def _replaced(contributions: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored and new contributions of the changed rows, and their ids."""
+    latest = first_per_key(changes, ["id"], [F.desc("seq")])
+    touched = latest.select(F.col("id").alias("usage_id"))
+    old = contributions.join(touched, "usage_id", "left_semi")
+    return old, contribution(latest.filter(F.col("op") != "delete").drop("op", "seq")), touched
+
+
 def build_signed(contributions: DataFrame, sign: int) -> DataFrame:
     """Hour and day deltas of a set of contributions."""
     return build_projection(contributions).withColumns(

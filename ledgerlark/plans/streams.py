@@ -13,16 +13,19 @@ from ledgerlark.streaming import stream as S
 
 
 def _late_stream(t, name, at, key):
-    """The derived table in four files, latest rows first, so that most rows come months late; the last file repeats rows under `key`."""
+    """The derived table in four slices, latest rows first, so that most rows come months late; the last slice repeats rows under `key`."""
     folder = work_dir(t.spark, name)
     rows = getattr(t, name)
     old, new = rows.agg(F.min(F.unix_seconds(at)), F.max(F.unix_seconds(at))).first()
     part = F.least(F.lit(2), F.floor((new - F.unix_seconds(at)) * 3 / (new - old + 1)))
+    # the fifth of the keys that the source sends twice
     repeats = rows.filter(F.crc32(key) % 5 == 0) if key else rows.limit(0)
     for n in range(3):
-        rows.filter(F.coalesce(part, F.lit(2)) == n).coalesce(1).write.mode("append").parquet(folder)
-    repeats.coalesce(1).write.mode("append").parquet(folder)
-    return S.read_events(t.spark, folder, rows.schema, max_files=1)
+        rows.filter(F.coalesce(part, F.lit(2)) == n).write.mode("append").parquet(folder)
+    repeats.write.mode("append").parquet(folder)
+    files = len(t.spark.read.parquet(folder).inputFiles())
+    # files are taken by their time of writing, so about a slice at once
+    return S.read_events(t.spark, folder, rows.schema, max_files=max(1, files // 4))
 
 
 def _stream(t, name):
@@ -60,12 +63,11 @@ def _replies(t):
 
 @query("stream_usage_changes", usage_plans.CHANGED_PROJECTION)
 def _changes(t):
-    """The ledger arrives as a stream of inserts, then a batch of edits is applied."""
-    store = work_dir(t.spark, "usage-changes")
-    job = S.UsageChanges(t.spark, store)
-    inserts = _stream(t, "usage").withColumns({"op": F.lit("insert"), "seq": F.lit(0)})
-    job.run(inserts, f"{store}/_checkpoint")
-    job.apply(usage_plans._changes(t), 1)
+    """The ledger arrives as a stream of inserts; stopped, the stream is run again over a batch of edits."""
+    folder, job = work_dir(t.spark, "ledger"), S.UsageChanges(t.spark, work_dir(t.spark, "usage-changes"))
+    for rows in (t.usage.withColumns({"op": F.lit("insert"), "seq": F.lit(0)}), usage_plans._changes(t)):
+        rows.write.mode("append").parquet(folder)
+        job.run(S.read_events(t.spark, folder, t.spark.read.parquet(folder).schema))
     return job.projection()
 
 

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # methods beyond this size are not compiled by the JVM; wide projections then run as split methods
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # streams keep what they remember of keys on disk, not in executor memory
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # no call-site capture per expression: large expressions are built twice as fast
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -64,3 +66,9 @@ def work_dir(spark: SparkSession, label: str) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set(OWN_FOLDER, base)
     return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

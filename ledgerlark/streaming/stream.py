@@ -7,23 +7,22 @@ checkpoint and its output under the shared work folder and can be restarted ther
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
-from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import inbox, usage
+from ledgerlark.operators import usage
 from ledgerlark.operators.dashboard import _reply_candidates
-from ledgerlark.session import work_dir
+from ledgerlark.operators.projection_store import ProjectionStore
+from ledgerlark.session import drop_folder, prepare, work_dir
+from ledgerlark.streaming import keyed
 
 ORG = "organization_id"
 
 
 def read_events(spark: SparkSession, folder: str, schema, file_format: str = "parquet", glob: str | None = None, max_files: int | None = None) -> DataFrame:
     """Append-only events of a folder as a stream; the schema is declared, never inferred."""
-    reader = spark.readStream.schema(schema).format(file_format)
+    reader = prepare(spark).readStream.schema(schema).format(file_format)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files:
@@ -54,13 +53,6 @@ def run_to_store(stream: DataFrame, store: str, output_mode: str) -> None:
     job.awaitTermination()
 
 
-def store_exists(spark: SparkSession, store: str) -> bool:
-    try:
-        return bool(read_store(spark, store).columns)
-    except AnalysisException:  # no batch yet
-        return False
-
-
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """All batches of a store."""
     return spark.read.option("basePath", store).option("pathGlobFilter", "*.parquet").parquet(os.path.join(store, "batch=*"))
@@ -107,7 +99,10 @@ def usage_buckets(events: DataFrame, grain: str = "hour", lateness: str | None =
 
 
 def dedup_events(events: DataFrame, time_column: str = "received_at", lateness: str | None = None) -> DataFrame:
-    """One row per workspace and dedup key; keys are remembered for ever, or for `lateness` if given."""
+    """One row per workspace and dedup key; keys are remembered for ever, or for `lateness` if given.
+
+    The keys lie in RocksDB, on disk; a batch looks up its own.
+    """
     if lateness is None:
         return events.dropDuplicates([ORG, "dedup_key"])
     return _bounded(events, time_column, lateness).dropDuplicatesWithinWatermark([ORG, "dedup_key"])
@@ -135,135 +130,73 @@ def daily_action_counts(log: DataFrame, lateness: str | None = None) -> DataFram
     )
 
 
-class FoldedLog:
-    """A log of batches that is folded into a snapshot after every FOLD batches.
-
-    Batch n reads one snapshot and fewer than FOLD batches, however long the log is. A batch and the
-    snapshot behind it are replaced when retried. Batches count from 0 without gaps, as Spark counts them.
-    """
-
-    FOLD = 10
-
-    def __init__(self, spark: SparkSession, folder: str, fold: Callable[[DataFrame], DataFrame]):
-        self.spark, self.folder, self.fold = spark, folder, fold
-
-    def append(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(_batch_path(self.folder, batch_id))
-        if (batch_id + 1) % self.FOLD == 0:
-            self.fold(self.before(batch_id + 1, whole=True)).drop("batch").write.mode("overwrite").parquet(self._snapshot(batch_id + 1))
-
-    def _snapshot(self, batch_id: int) -> str:
-        return os.path.join(self.folder, f"snapshot={batch_id}")
-
-    def before(self, batch_id: int, whole: bool = False) -> DataFrame | None:
-        """Rows of the batches before one, with their `batch`; those of a snapshot have the number before its first batch.
-
-        whole: batches that a snapshot is being made of, so read without it.
-        """
-        if not batch_id:
-            return None
-        first = (batch_id - 1 if whole else batch_id) // self.FOLD * self.FOLD
-        parts = [self.spark.read.parquet(_batch_path(self.folder, n)).withColumn("batch", F.lit(n)) for n in range(first, batch_id)]
-        if first:
-            parts.insert(0, self.spark.read.parquet(self._snapshot(first)).withColumn("batch", F.lit(first - 1)))
-        return reduce(DataFrame.unionByName, parts)
-
-    def all(self) -> DataFrame | None:
-        if not store_exists(self.spark, self.folder):
-            return None
-        return self.before(read_store(self.spark, self.folder).agg(F.max("batch")).first()[0] + 1)
-
-
 class UsageChanges:
-    """Exact projection from a stream of usage changes, without a lateness bound.
+    """Exact contributions and projection from a stream of usage changes, without a lateness bound.
 
-    Two folded logs: signed projection deltas, and the contribution versions of each changed usage
-    row. A batch reads only what came before it and replaces its own folders, so a retry is
-    harmless; state is the sum of the deltas.
+    The last contribution of each usage row is keyed state, so a batch looks up and replaces those of its own
+    rows; the differences go to the stored projection, of which a batch rewrites the partitions it touches.
+    Both take a batch that is run again from what was there before it.
     """
 
     def __init__(self, spark: SparkSession, store: str):
-        self.deltas = FoldedLog(spark, os.path.join(store, "deltas"), usage.sum_deltas)
-        self.versions = FoldedLog(spark, os.path.join(store, "versions"), self._live_versions)
+        self.spark, self.checkpoint = spark, os.path.join(store, "_checkpoint")
+        self.changes = os.path.join(store, "changes")
+        self.table = ProjectionStore(spark, os.path.join(store, "projection"))
 
     @staticmethod
-    def _live_versions(rows: DataFrame) -> DataFrame:
-        rest = [c for c in rows.columns if c not in ("usage_id", "batch")]
-        newest = rows.groupBy("usage_id").agg(F.max_by(F.struct(*rest), "batch").alias("v"))
-        return newest.select("usage_id", "v.*").filter(F.col("deleted") == F.lit(False))
-
-    def _live(self, rows: DataFrame | None, touched: DataFrame | None = None) -> DataFrame | None:
-        """Live contributions; with `touched` only those rows, matched before anything is shuffled."""
-        if rows is not None and touched is not None:
-            rows = rows.join(touched, "usage_id", "left_semi")
-        return None if rows is None else self._live_versions(rows).drop("deleted")
-
-    def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """Fold one micro-batch (usage rows plus `op` and `seq`)."""
-        latest = usage.first_per_key(changes, ["id"], [F.desc("seq")])
-        latest = latest.persist()
-        try:
-            new = usage.contribution(latest.filter(F.col("op") != "delete").drop("op", "seq"))
-            touched = latest.select(F.col("id").alias("usage_id"))
-            signed = usage.build_signed(new, 1)
-            old = self._live(self.versions.before(batch_id), touched)
-            if old is not None:
-                signed = signed.unionByName(usage.build_signed(old, -1))
-            # a row that is gone keeps a tombstone version
-            versions = touched.join(new.withColumn("deleted", F.lit(False)), "usage_id", "left").withColumn("deleted", F.coalesce("deleted", F.lit(True)))
-            self.deltas.append(signed, batch_id)
-            self.versions.append(versions, batch_id)
-        finally:
-            latest.unpersist()
-
-    def run(self, changes: DataFrame, checkpoint: str) -> None:
-        job = changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(self.apply).start()
-        job.awaitTermination()
+    def _payload(contributions: DataFrame) -> Column:
+        """A contribution as text; times in microseconds, so that it reads back as it was."""
+        columns = [F.unix_micros(c).alias(c) if c == "occurred_at" else F.col(c) for c in contributions.columns if c != "seq"]
+        return F.to_json(F.struct(*columns))
+
+    @staticmethod
+    def _read_back(payload: Column) -> list[Column]:
+        kinds = {"usage_id": "string", "occurred_at": "bigint", **dict.fromkeys(usage.DIMENSIONS, "string"), **dict.fromkeys(usage.COUNTERS, "bigint")}
+        kinds |= dict.fromkeys(usage.FOUND + usage.COSTS, usage.MONEY)
+        row = F.from_json(payload, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+        return [F.timestamp_micros(row[c]).alias(c) if c == "occurred_at" else row[c].alias(c) for c in kinds]
+
+    def versions(self, changes: DataFrame) -> DataFrame:
+        """key, old, new for the stream of usage rows with `op` and `seq`; deleted and undated rows have no contribution."""
+        live = (F.col("op") != "delete") & F.col("created_at").isNotNull()
+        new = usage.contribution(changes.filter(live), carry=("seq",))
+        new = new.select(F.col("usage_id").alias("key"), F.col("seq").cast("bigint").alias("seq"), self._payload(new).alias("payload"))
+        gone = changes.filter(~live).select(F.col("id").alias("key"), F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast("string").alias("payload"))
+        return keyed.changed_versions(new.unionByName(gone))
+
+    def fold(self, versions: DataFrame, batch_id: int) -> None:
+        """Add the differences of a batch to the stored projection."""
+        path = _batch_path(self.changes, batch_id)
+        versions.write.mode("overwrite").parquet(path)  # read twice below, computed once
+        rows = self.spark.read.schema("key string, old string, new string").parquet(path)
+        signed = [usage.build_signed(rows.filter(F.col(c).isNotNull()).select(*self._read_back(F.col(c))), sign) for c, sign in (("old", -1), ("new", 1))]
+        self.table.apply(signed[0].unionByName(signed[1]), batch_id)
+        if batch_id:
+            drop_folder(self.spark, _batch_path(self.changes, batch_id - 1))
+
+    def run(self, changes: DataFrame) -> None:
+        """Process all input there is and stop; run again, it goes on where it stopped."""
+        stream = self.versions(changes).writeStream.outputMode("update").option("checkpointLocation", self.checkpoint)
+        stream.trigger(availableNow=True).foreachBatch(self.fold).start().awaitTermination()
 
     def projection(self) -> DataFrame:
-        return usage.merge_deltas(self.deltas.all())
+        return self.table.read()
 
-    def contributions(self) -> DataFrame | None:
-        return self._live(self.versions.all())
+    def contributions(self) -> DataFrame:
+        return keyed.read_state(self.spark, self.checkpoint, "last").select(*self._read_back(F.col("value.payload")))
 
 
 class ThreadSummary:
-    """Per-chat summary kept as a folded log of touched chats.
-
-    A batch is summarised as a whole, then merged with the stored state of its chats: an outbound
-    message resets the unread count, inbound ones add to it. Messages are taken in batch order, as
-    the message webhook does; inside a batch by their time.
-    """
-
-    KEY = [ORG, "chat_id"]
+    """Per-chat summaries as keyed state; each batch also writes the summaries that it changed."""
 
     def __init__(self, spark: SparkSession, store: str):
         self.spark, self.store = spark, store
-        self.log = FoldedLog(spark, os.path.join(store, "chats"), lambda rows: latest_rows(rows, self.KEY))
-
-    def merge(self, messages: DataFrame, batch_id: int) -> DataFrame:
-        fresh = inbox.thread_summary(messages)
-        past = self.log.before(batch_id)
-        if past is None:
-            return fresh
-        # only the chats of this batch, before anything is shuffled
-        stored = latest_rows(past.join(messages.select(*self.KEY).distinct(), self.KEY, "left_semi"), self.KEY)
-        old = stored.select(*self.KEY, F.struct(*[c for c in stored.columns if c not in self.KEY]).alias("old"))
-        joined = fresh.join(old, self.KEY, "left")
-        newer = F.col("old").isNull() | (F.col("last_message_at") >= F.col("old.last_message_at"))
-        pick = lambda c: F.when(newer, F.col(c)).otherwise(F.col(f"old.{c}")).alias(c)
-        unread = F.when(F.col("last_outbound_at").isNotNull(), F.col("unread_count")).otherwise(F.col("unread_count") + F.coalesce("old.unread_count", F.lit(0)))
-        return joined.select(
-            *self.KEY, pick("last_message_at"), pick("last_message_preview"), pick("last_direction"),
-            F.greatest("last_outbound_at", "old.last_outbound_at").alias("last_outbound_at"), unread.alias("unread_count"),
-        )
-
-    def apply(self, messages: DataFrame, batch_id: int) -> None:
-        self.log.append(self.merge(messages, batch_id), batch_id)
 
     def run(self, messages: DataFrame) -> None:
-        job = messages.writeStream.option("checkpointLocation", os.path.join(self.store, "_checkpoint")).trigger(availableNow=True).foreachBatch(self.apply).start()
-        job.awaitTermination()
+        run_to_store(keyed.thread_summary(messages), self.store, "update")
+
+    def changed(self) -> DataFrame:
+        return read_store(self.spark, self.store)
 
     def state(self) -> DataFrame:
-        return latest_rows(self.log.all(), self.KEY)
+        return keyed.thread_summaries(self.spark, os.path.join(self.store, "_checkpoint"))

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
-from ledgerlark.operators import inbox, usage
+from ledgerlark.operators import inbox, projection_store, usage
+from ledgerlark.operators.projection_store import ProjectionStore
 from ledgerlark.sources.tables import SCHEMAS
+from ledgerlark.streaming import keyed
 from ledgerlark.streaming import stream as S
 
 
@@ -47,20 +49,6 @@ def test_nothing_is_too_late(spark, tmp_path):
     assert bounded.count() < 5  # asked for, the bound holds
 
 
-def test_a_batch_reads_a_bounded_number_of_files(spark, tables, tmp_path):
-    job = S.UsageChanges(spark, str(tmp_path / "store"))
-    rows = tables.usage.limit(30).withColumns({"op": F.lit("update"), "seq": F.lit(1)}).coalesce(1).cache()
-    folders = []
-    for n in range(23):
-        job.apply(rows.filter(F.crc32("id") % 3 == n % 3), n)
-        past = job.versions.before(n + 1)
-        folders.append(len({f.rsplit("/", 2)[1] for f in past.inputFiles()}))
-    assert max(folders[10:]) <= S.FoldedLog.FOLD and folders[19] == folders[9] == 1
-    want = usage.build_projection(usage.contribution(rows.drop("op", "seq")))
-    assert rows_of(job.projection().select(want.columns)) == rows_of(want)
-    assert job.contributions().count() == rows.filter("created_at IS NOT NULL").count()
-
-
 def test_funnel_state_keeps_the_latest(spark, tmp_path):
     schema = "id string, organization_id string, to_status string, occurred_at timestamp"
     for n, status in ((2, "approved"), (1, "pending"), (3, "launched")):
@@ -70,32 +58,118 @@ def test_funnel_state_keeps_the_latest(spark, tmp_path):
     assert rows_of(state, "status") == [("launched",)]
 
 
-def changes(tables, op, seq):
-    return tables.usage.withColumns({"op": F.lit(op), "seq": F.lit(seq)})
-
-
-def test_usage_changes_are_exact_and_retries_harmless(spark, tables, tmp_path):
-    job = S.UsageChanges(spark, str(tmp_path / "store"))
-    job.apply(changes(tables, "insert", 0), 0)
-    want = usage.build_projection(usage.contribution(tables.usage))
-    assert rows_of(job.projection().select(want.columns)) == rows_of(want)
-    some = changes(tables, "delete", 1).filter("run_id IS NULL")
-    job.apply(some, 1)
-    job.apply(some, 1)
-    left = usage.build_projection(usage.contribution(tables.usage.filter("run_id IS NOT NULL")))
-    assert rows_of(job.projection().select(left.columns)) == rows_of(left)
-    assert job.contributions().count() == tables.usage.filter("run_id IS NOT NULL AND created_at IS NOT NULL").count()
-    # rows come back
-    job.apply(changes(tables, "insert", 2).filter("run_id IS NULL"), 2)
-    assert rows_of(job.projection().select(want.columns)) == rows_of(want)
-
-
-def test_thread_summary_over_batches(spark, tables, tmp_path):
-    messages = tables.linkedin_messages
-    store = S.ThreadSummary(spark, str(tmp_path / "threads"))
-    for n, day in enumerate(("sent_at < '2024-01-01 02:00:00'", "sent_at >= '2024-01-01 02:00:00' AND sent_at < '2024-01-01 04:00:00'", "sent_at >= '2024-01-01 04:00:00'")):
-        batch = messages.filter(day)
-        for _ in range(2):  # the second run is the retry
-            store.apply(batch, n)
+# ---- keyed state -----------------------------------------------------------------------------
+
+
+def undo_last_batch(checkpoint):
+    """As if the stream had stopped before it could note its last batch as done."""
+    commits = sorted((p for p in checkpoint.joinpath("commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    for crc in checkpoint.joinpath("commits").glob(f".{commits[-1].name}.crc"):
+        crc.unlink()
+
+
+def wanted_projection(rows):
+    return usage.build_projection(usage.contribution(rows))
+
+
+def test_usage_changes_are_exact_and_restart(spark, tables, tmp_path):
+    folder, job = str(tmp_path / "in"), S.UsageChanges(spark, str(tmp_path / "store"))
+    rows = tables.usage.limit(400).cache()
+    send = lambda df, op, seq: df.withColumns({"op": F.lit(op), "seq": F.lit(seq)}).coalesce(1).write.mode("append").parquet(folder)
+    schema = rows.withColumns({"op": F.lit(""), "seq": F.lit(0)}).schema
+    run = lambda job: job.run(S.read_events(spark, folder, schema, max_files=1))
+
+    def check(job, left):
+        want = wanted_projection(left)
+        assert rows_of(job.projection().select(want.columns)) == rows_of(want)
+        held = usage.contribution(left)
+        assert rows_of(job.contributions().select(held.columns)) == rows_of(held)
+
+    send(rows.filter("run_id IS NULL"), "insert", 0)
+    send(rows.filter("run_id IS NOT NULL"), "insert", 0)
+    run(job)
+    check(job, rows)
+    # deleted, undated and repriced rows, several changes of a row in one batch, after a restart
+    priced = rows.filter("run_id IS NOT NULL").withColumn("billed_cost", (F.col("billed_cost") + 1).cast("decimal(12,6)"))
+    send(rows.filter("run_id IS NULL").withColumn("created_at", F.lit(None).cast("timestamp")), "update", 1)
+    both = rows.filter("run_id IS NOT NULL").withColumns({"op": F.lit("delete"), "seq": F.lit(2)}).unionByName(priced.withColumns({"op": F.lit("update"), "seq": F.lit(3)}))
+    both.coalesce(1).write.mode("append").parquet(folder)
+    again = S.UsageChanges(spark, str(tmp_path / "store"))
+    run(again)
+    check(again, priced)
+    # the last batch runs once more
+    undo_last_batch(tmp_path / "store" / "_checkpoint")
+    run(S.UsageChanges(spark, str(tmp_path / "store")))
+    check(again, priced)
+    # rows come back, the others are sent unchanged
+    send(rows.filter("run_id IS NULL").unionByName(priced), "update", 4)
+    run(again)
+    check(again, rows.filter("run_id IS NULL").unionByName(priced))
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)) for p in folder.rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_touched_partitions_only(spark, tables, tmp_path):
+    rows = tables.usage.limit(500).cache()
+    store, folder = ProjectionStore(spark, str(tmp_path / "p")), tmp_path / "p"
+    held = usage.contribution(rows)
+    store.apply(usage.build_signed(held, 1), 0)
+    before = files_of(folder)
+    org, day = held.select("organization_id", F.to_date("occurred_at")).orderBy("usage_id").first()
+    hit = rows.filter((F.col("organization_id") == org) & (F.to_date("created_at") == F.lit(day)))
+    changes = hit.withColumns({"op": F.lit("delete"), "seq": F.lit(1)})
+    signed = usage.signed_changes(held, changes).cache()
+    want = wanted_projection(rows.join(hit.select("id"), "id", "left_anti"))
+    for _ in range(3):  # runs of the same batch
+        store.apply(signed, 1)
+        assert rows_of(store.read().select(want.columns)) == rows_of(want)
+    fresh = files_of(folder) - before
+    assert before <= files_of(folder) and all(f"day={day}" in f and "version=1" in f for f in fresh) and {f.split("/")[1] for f in fresh} == {"grain=hour", "grain=day"}
+    assert store.vacuum() == 2 and len(before - files_of(folder)) == 2
+    assert rows_of(store.read().select(want.columns)) == rows_of(want)
+    assert rows_of(store.read(org).select(want.columns)) == rows_of(want.filter(F.col("organization_id") == org))
+    with pytest.raises(Exception, match="no matching aggregate"):
+        store.apply(signed, 2)
+    # many partitions are matched by a join
+    listed, projection_store.MOST_LISTED = projection_store.MOST_LISTED, 1
+    try:
+        store.apply(usage.build_signed(usage.contribution(rows), 1), 3)
+    finally:
+        projection_store.MOST_LISTED = listed
+    assert store.read().agg(F.sum("usage_row_count")).first()[0] == 2 * (held.count() + rows.join(hit.select("id"), "id", "left_anti").filter("created_at IS NOT NULL").count())
+
+
+def test_thread_summary_in_any_order_and_after_a_restart(spark, tables, tmp_path):
+    messages, folder = tables.linkedin_messages, str(tmp_path / "in")
+    read = lambda: S.read_events(spark, folder, messages.schema, max_files=1)
+    late = [F.col("sent_at") >= "2024-01-01 04:00:00", F.col("sent_at") < "2024-01-01 02:00:00", F.col("sent_at").between("2024-01-01 02:00:00", "2024-01-01 03:59:59.999999")]
+    for n, part in enumerate(late):
+        messages.filter(part).coalesce(1).write.mode("append").parquet(folder)
+        S.ThreadSummary(spark, str(tmp_path / "out")).run(read())  # a new object each time: all it knows is in the checkpoint
+        if n == 1:
+            undo_last_batch(tmp_path / "out" / "_checkpoint")
     want = inbox.thread_summary(messages)
-    assert rows_of(store.state().select(want.columns)) == rows_of(want)
+    job = S.ThreadSummary(spark, str(tmp_path / "out"))
+    assert rows_of(job.state().select(want.columns)) == rows_of(want)
+    assert rows_of(S.latest_rows(job.changed(), keyed.CHAT).select(want.columns)) == rows_of(want)
+
+
+def test_only_touched_chats_are_handled(spark, tmp_path):
+    schema = "id string, organization_id string, chat_id string, direction string, body string, sent_at timestamp"
+    folder = str(tmp_path / "in")
+    at = lambda d: datetime(2026, 5, d)
+    batches = [
+        [("1", "o", "a", "inbound", "x" * 300, at(1)), ("2", "o", "a", "inbound", "hi", at(3)), ("3", "o", "b", "outbound", "yo", at(2)), ("4", "o", "b", "inbound", None, None)],
+        [("5", "o", "a", "outbound", "re", at(2))],
+        [("6", "o", "b", "inbound", "late", at(1)), ("7", "o", "b", "inbound", "new", at(4)), ("7", "o", "b", "inbound", "new", at(4))],
+    ]
+    job = S.ThreadSummary(spark, str(tmp_path / "out"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        job.run(S.read_events(spark, folder, schema, max_files=1))
+    assert rows_of(job.changed(), "batch", "chat_id", "unread_count") == [(0, "a", 2), (0, "b", 0), (1, "a", 1), (2, "b", 2)]
+    want = inbox.thread_summary(spark.createDataFrame([r for b in batches for r in b], schema))
+    assert rows_of(job.state().select(want.columns)) == rows_of(want)
