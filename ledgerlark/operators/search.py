@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlark.functions.stem import STOP_WORDS, common_start, stem, stems_of
 from ledgerlark.operators.common import for_org
 
-# fixed values: words left out of text queries
-STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "if", "in", "into", "is", "it", "no", "not",
-    "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
-)
-
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     """Cosine similarity to a literal query, in Arrow batches; NULL for an empty or zero vector.
@@ -73,49 +69,62 @@ def content(pages: DataFrame, query: Sequence[float], threshold: float = 0.7, k:
 # ---- text ---------------------------------------------------------------------------------
 
 
-def words_of(text: Column, terms: Sequence[str]) -> Column:
-    """Lower-case words of the whole text, NULL for texts that do not even contain the terms as substrings."""
-    low = F.lower(text)
-    likely = F.lit(bool(terms))
-    for term in terms:
-        likely = likely & F.contains(low, F.lit(term))
-    return F.when(likely, F.split(low, r"[^\p{L}\p{N}]+"))
-
-
-def query_terms(text: str) -> list[str]:
+def query_terms(spark: SparkSession, text: str) -> list[str]:
+    """The stems of the words of a query that are no stop words, each once."""
     words = "".join(c.lower() if c.isalnum() else " " for c in text).split()
-    return list(dict.fromkeys(w for w in words if w not in STOP_WORDS))
-
-
-def text_match(words: Column, terms: Sequence[str]) -> Column:
-    """All query terms occur; a query without terms matches nothing."""
-    out = F.lit(bool(terms)) & words.isNotNull()
-    for term in terms:
-        out = out & F.array_contains(words, term)
-    return F.coalesce(out, F.lit(False))
+    return list(dict.fromkeys(stems_of(spark, [w for w in words if w not in STOP_WORDS])))
 
 
-def text_rank(words: Column, terms: Sequence[str]) -> Column:
-    """Cover density: every minimal span that holds all terms adds 1 / its length in words.
+def term_places(text: Column, terms: Sequence[str]) -> Column:
+    """Where in a text's words forms of the terms stand, as structs of `at` and `term`, in order; NULL if not all terms occur.
 
-    One pass over the words keeps the last position of each term; a span is minimal when its
+    Words begin like their stem, so texts without the beginnings are left out before they are split, and only
+    words with one of the beginnings are stemmed. All words count as places, stop words too.
+    """
+    if not terms:
+        return F.lit(None).cast("array<struct<at:int,term:int>>")
+    low, starts = F.lower(text), [common_start(t) for t in terms]
+    likely = F.lit(True)
+    for start in starts:
+        likely = likely & F.contains(low, F.lit(start))
+
+    def number(word: Column) -> Column:
+        near = F.lit(False)
+        for start in dict.fromkeys(starts):
+            near = near | word.startswith(start)
+        of_stem = lambda s: reduce(lambda out, t: out.when(s == t[1], t[0]), enumerate(terms), F.when(F.lit(False), 0)).otherwise(-1)
+        return F.when(near, F.transform(F.array(stem(word)), of_stem)[0]).otherwise(-1)
+
+    words = F.split(low, r"[^\p{L}\p{N}]+")
+    marked = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), number(w).alias("term"))), lambda x: x["term"] >= 0)
+    places = F.when(likely, marked)
+    return F.transform(F.array(places), lambda p: F.when(F.size(F.array_distinct(F.transform(p, lambda x: x["term"]))) == len(terms), p))[0]
+
+
+def text_rank(places: Column, terms: Sequence[str]) -> Column:
+    """Cover density: every minimal span that holds all terms adds 1 / its length in words; 0 without places.
+
+    One pass over the places of the terms keeps the last place of each; a span is minimal when its
     start moved since the span before.
     """
-    start = F.struct(
-        F.array(*(F.lit(-1) for _ in terms)).alias("last"), F.lit(-1).alias("from"), F.lit(-1).alias("at"), F.lit(0.0).alias("score")
-    )
+    if not terms:
+        return F.lit(0.0)
+    start = F.struct(F.array(*(F.lit(-1) for _ in terms)).alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("score"))
+
+    def step(state: Column, place: Column) -> Column:
+        last = F.transform(state["last"], lambda old, i: F.when(place["term"] == i, place["at"]).otherwise(old))
 
-    def step(state: Column, word: Column) -> Column:
-        at = state["at"] + 1
-        last = F.array(*(F.when(word == t, at).otherwise(state["last"][i]) for i, t in enumerate(terms)))
-        first = F.array_min(last)
-        found = word.isin(*terms) & (first > state["from"])
-        return F.struct(
-            last.alias("last"), F.when(found, first).otherwise(state["from"]).alias("from"), at.alias("at"),
-            F.when(found, state["score"] + 1.0 / (at - first + 1)).otherwise(state["score"]).alias("score"),
-        )
+        def moved(it: Column) -> Column:
+            first = F.array_min(it)
+            found = first > state["from"]
+            return F.struct(
+                it.alias("last"), F.when(found, first).otherwise(state["from"]).alias("from"),
+                F.when(found, state["score"] + 1.0 / (place["at"] - first + 1)).otherwise(state["score"]).alias("score"),
+            )
 
-    return F.when(text_match(words, terms), F.aggregate(words, start, step, lambda s: s["score"])).otherwise(F.lit(0.0))
+        return F.transform(F.array(last), moved)[0]
+
+    return F.coalesce(F.aggregate(places, start, step, lambda s: s["score"]), F.lit(0.0))
 
 
 def hybrid(
@@ -124,23 +133,22 @@ def hybrid(
 ) -> DataFrame:
     """Weighted sum of text rank and similarity. Both scores belong to the same chunk, so one scan
     replaces the outer join of two searches."""
-    terms = query_terms(text)
-    rows = for_org(chunks, org_id).withColumn("_words", words_of(F.col("chunk_text"), terms))
-    rows = rows.withColumns(
+    terms = query_terms(chunks.sparkSession, text)
+    rows = for_org(chunks, org_id).withColumns(
         {
-            "text_rank": text_rank(F.col("_words"), terms) if terms else F.lit(0.0),
+            "text_rank": text_rank(term_places(F.col("chunk_text"), terms), terms),
             "vector_similarity": F.coalesce(cosine(F.col("embedding"), query), F.lit(0.0)),
         }
-    ).drop("_words")
+    )
     rows = rows.withColumn("combined_score", F.lit(text_weight) * F.col("text_rank") + F.lit(vector_weight) * F.col("vector_similarity"))
     return rows.filter(F.col("combined_score") > threshold).orderBy(F.desc("combined_score"), "id").limit(k)
 
 
 def search_text(df: DataFrame, column: str, text: str, k: int | None = None) -> DataFrame:
-    """Rows whose text holds all query terms, best rank first."""
-    terms = query_terms(text)
-    rows = df.withColumn("_words", words_of(F.col(column), terms)).filter(text_match(F.col("_words"), terms))
-    rows = rows.withColumn("text_rank", text_rank(F.col("_words"), terms) if terms else F.lit(0.0)).drop("_words").orderBy(F.desc("text_rank"), "id")
+    """Rows whose text holds a form of every query term, best rank first; a query without terms matches nothing."""
+    terms = query_terms(df.sparkSession, text)
+    rows = df.withColumn("_places", term_places(F.col(column), terms)).filter(F.col("_places").isNotNull())
+    rows = rows.withColumn("text_rank", text_rank(F.col("_places"), terms)).drop("_places").orderBy(F.desc("text_rank"), "id")
     return rows if k is None else rows.limit(k)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ledgerlark.operators import quality as Q
 from ledgerlark.operators import search as S
 from ledgerlark.plans.registry import query
+from ledgerlark.plans.stem_sql import ranks
 from ledgerlark.sources import io
 
 
@@ -150,28 +151,36 @@ def _content(t):
     return S.content(t.chunks, _query_vector(t), 0.1, 10).select("id", "url", "content", F.round("similarity", 6).alias("similarity"))
 
 
-# spans of two terms: neighbours among their occurrences that differ
-_RANK = """w AS (SELECT id, list_filter(string_split_regex(lower(chunk_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ws FROM chunks),
-occ AS (SELECT id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
-hit AS (SELECT id, word, pos, lag(word) OVER p AS before, lag(pos) OVER p AS before_pos FROM occ WHERE word IN ('thon', 'thth') WINDOW p AS (PARTITION BY id ORDER BY pos)),
-rank AS (SELECT id, coalesce(sum(1.0::DOUBLE / (pos - before_pos + 1)) FILTER (WHERE before <> word), 0) AS r FROM hit GROUP BY 1 HAVING count(DISTINCT word) = 2)"""
-
-
-@query("search_text", f"WITH {_RANK} SELECT id, round(r, 6) AS text_rank FROM rank")
+@query("search_text", f"WITH {ranks('chunks', 'chunk_text', 'The thon, THTH')} SELECT id, round(r, 6) AS text_rank FROM rank")
 def _text(t):
     return S.search_text(t.chunks, "chunk_text", "The thon, THTH").select("id", F.round("text_rank", 6).alias("text_rank"))
 
 
-@query(
-    "search_hybrid",
-    f"""WITH {_Q}, {_RANK}, s AS (SELECT c.id, coalesce(r, 0) AS tr, coalesce({_SIM}, 0) AS vs FROM chunks c CROSS JOIN q LEFT JOIN rank ON rank.id = c.id)
-    SELECT id, round(tr, 6) AS text_rank, round(vs, 6) AS vector_similarity, round(0.3::DOUBLE * tr + 0.7::DOUBLE * vs, 6) AS combined_score FROM s WHERE 0.3::DOUBLE * tr + 0.7::DOUBLE * vs > 0.1 ORDER BY 0.3::DOUBLE * tr + 0.7::DOUBLE * vs DESC, id LIMIT 20""",
-)
-def _hybrid(t):
-    rows = S.hybrid(t.chunks, "the thon thth", _query_vector(t), threshold=0.1, k=20)
+@query("search_text_forms", f"WITH {ranks('chunks', 'chunk_text', 'Having Ones, the tioned areing')} SELECT id, round(r, 6) AS text_rank FROM rank")
+def _text_forms(t):
+    return S.search_text(t.chunks, "chunk_text", "Having Ones, the tioned areing").select("id", F.round("text_rank", 6).alias("text_rank"))
+
+
+def _hybrid_sql(text):
+    return f"""WITH {_Q}, {ranks('chunks', 'chunk_text', text)}, s AS (SELECT c.id, coalesce(r, 0) AS tr, coalesce({_SIM}, 0) AS vs FROM chunks c CROSS JOIN q LEFT JOIN rank ON rank.id = c.id)
+    SELECT id, round(tr, 6) AS text_rank, round(vs, 6) AS vector_similarity, round(0.3::DOUBLE * tr + 0.7::DOUBLE * vs, 6) AS combined_score FROM s WHERE 0.3::DOUBLE * tr + 0.7::DOUBLE * vs > 0.1 ORDER BY 0.3::DOUBLE * tr + 0.7::DOUBLE * vs DESC, id LIMIT 20"""
+
+
+def _hybrid_rows(t, text):
+    rows = S.hybrid(t.chunks, text, _query_vector(t), threshold=0.1, k=20)
     return rows.select("id", *(F.round(c, 6).alias(c) for c in ("text_rank", "vector_similarity", "combined_score")))
 
 
+@query("search_hybrid", _hybrid_sql("the thon thth"))
+def _hybrid(t):
+    return _hybrid_rows(t, "the thon thth")
+
+
+@query("search_hybrid_forms", _hybrid_sql("being Oning, Tions"))
+def _hybrid_forms(t):
+    return _hybrid_rows(t, "being Oning, Tions")
+
+
 @query("search_names", "SELECT id, name FROM contacts WHERE name ILIKE '%VAN last2%'")
 def _names(t):
     return S.search_names(t.contacts, "name", "VAN last2").select("id", "name")
