@@ -229,19 +229,32 @@ def _whole(col: Column) -> Column:
     return F.round(col).cast("bigint")
 
 
+#: columns of `facts`: the ledger's own values, NULL where they are missing, and what its metadata tells
+FACT_DIMENSIONS = (
+    "organization_id", "category", "campaign_id", "user_id", "task_label", "model_label", "model_name",
+    "service_name", "operation_name", "company_id", "run_id", "metadata_research_run_id",
+)
+
+
+def facts(usage: DataFrame) -> DataFrame:
+    """The dated usage rows with their metadata read once into typed columns: `id`, `created_at`, dimensions and measures. No shuffle."""
+    return _measured(_classified(usage)).select("id", "created_at", *FACT_DIMENSIONS, *MEASURES)
+
+
+def contribution_of(facts: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Contributions (see `contribution`) of facts; nothing is parsed."""
+    names = dict(zip(FACT_DIMENSIONS, DIMENSIONS, strict=True))
+    whole = ("organization_id", "category", "task_label")
+    dims = [(F.col(c) if c in whole else F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in names.items()]
+    return facts.select(
+        F.col("id").alias("usage_id"), F.col("created_at").alias("occurred_at"), *dims, *COUNTERS[:4],
+        _whole(F.col("grounding_queries")).alias("grounding_queries"), *(F.col(m).cast(MONEY).alias(m) for m in FOUND + COSTS), *carry,
+    )
+
+
 def contribution(usage: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One normalised row per dated usage row: 12 dimensions (NULL -> '') and 12 measures, and the columns in carry. No shuffle."""
-    rows = _measured(_classified(usage)).withColumn("raw_model_name", F.col("model_name"))
-    dims = [F.coalesce(F.col(d), F.lit("")).alias(d) if d not in ("organization_id", "category", "task_label") else F.col(d) for d in DIMENSIONS]
-    return rows.select(
-        F.col("id").alias("usage_id"),
-        F.col("created_at").alias("occurred_at"),
-        *dims,
-        *(F.col(m) for m in COUNTERS[:4]),
-        _whole(F.col("grounding_queries")).alias("grounding_queries"),
-        *(F.col(m).cast(MONEY).alias(m) for m in FOUND + COSTS),
-        *carry,
-    )
+    return contribution_of(_measured(_classified(usage)), carry)
 
 
 def _bucket(col: Column, bucket: str, start) -> Column:
@@ -298,6 +311,13 @@ def rollup(usage: DataFrame, start, end, bucket: str = "day", org_id: str | None
     return _rolled_up(_measured(rows), _bucket(F.col("created_at"), bucket, start), org_id is not None)
 
 
+def rollup_facts(facts: DataFrame, start, end, bucket: str = "day", org_id: str | None = None, **filters) -> DataFrame:
+    """`rollup` over `facts`: all filters are on stored columns, so they reach the scan, and no metadata is parsed."""
+    _check_bucket(bucket)
+    rows = for_org(facts, org_id).filter(F.col("created_at").between(moment(start), moment(end)))
+    return _rolled_up(_scope_filters(rows, "model_name", **filters), _bucket(F.col("created_at"), bucket, start), org_id is not None)
+
+
 # ---- projection ---------------------------------------------------------------------------
 
 
