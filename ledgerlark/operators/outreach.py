@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ledgerlark.functions.dates import moment
 from ledgerlark.functions.json import json_set
 from ledgerlark.functions.text import non_blank, non_empty
 from ledgerlark.operators.common import count_where, for_org, stored
+from ledgerlark.operators.components import components
 
 ORG = "organization_id"
 
@@ -180,17 +184,25 @@ def filter_companies(companies: DataFrame, candidates: DataFrame) -> DataFrame:
     return match_companies(companies, candidates).withColumn("is_already_used", F.coalesce("company_used", F.lit(False))).drop("company_used")
 
 
+#: rounds in which candidates that are first under all of their keys settle their neighbours; what is left then are chains
+SETTLING_ROUNDS = 3
+
+
 def _creators(unknown: DataFrame) -> DataFrame:
     """Of candidates that no company matches, those that create one: taken in order of their ids,
     a candidate creates a company unless an earlier creator has one of its keys.
 
-    In each round the candidates that are first under all of their keys create, and the others
-    that have one of these keys are settled with them.
+    A few rounds settle nearly all: candidates that are first under all of their keys create, and the others
+    that have one of these keys are settled with them, so a key that many share is done with at once. Chains
+    of candidates, each waiting for the one before, are left. They fall into components without a key in
+    common, and each component is settled in the order of its ids, in one pass over its sorted rows.
     """
     keyed = stored(unknown.select(ORG, "candidate_id", "keys"), "unknown")
     made = stored(keyed.filter(F.size("keys") == 0).select(ORG, "candidate_id"), "created")
     left = stored(keyed.select(ORG, "candidate_id", F.explode("keys").alias("key")), "undecided")
-    while not left.isEmpty():
+    for _ in range(SETTLING_ROUNDS):
+        if left.isEmpty():
+            return made
         first = left.groupBy(ORG, "key").agg(F.min("candidate_id").alias("first"))
         own = left.join(first, [ORG, "key"]).groupBy(ORG, "candidate_id").agg(F.bool_and(F.col("first") == F.col("candidate_id")).alias("sure"))
         sure = stored(own.filter("sure").select(ORG, "candidate_id"), "created")
@@ -198,7 +210,44 @@ def _creators(unknown: DataFrame) -> DataFrame:
         settled = left.join(taken, [ORG, "key"], "left_semi").select(ORG, "candidate_id").distinct()
         left = stored(left.join(settled, [ORG, "candidate_id"], "left_anti"), "undecided")
         made = made.union(sure)
-    return made
+    return made if left.isEmpty() else made.union(_settled_chains(left))
+
+
+def _settled_chains(left: DataFrame) -> DataFrame:
+    """The creators among candidates with their keys (one row for each), component by component."""
+    # nodes are hashes: two that meet by chance only make two components one, which changes no choice
+    node = F.xxhash64(ORG, "candidate_id")
+    first = left.groupBy(ORG, "key").agg(F.min(F.struct("candidate_id")).alias("first")).select(ORG, "key", F.xxhash64(ORG, "first.candidate_id").alias("b"))
+    found, _ = components(left.join(first, [ORG, "key"]).select(node.alias("a"), "b"))
+    rows = left.withColumn("node", node).join(found, "node").select("component", ORG, "candidate_id", "key")
+    schema = left.select(ORG, "candidate_id").schema
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by component and candidate; of a component only the keys of its creators are held
+        here, taken, candidate, keys = None, set(), None, []
+
+        def decided() -> bool:
+            free = candidate is not None and not any((candidate[0], k) in taken for k in keys)
+            if free:
+                taken.update((candidate[0], k) for k in keys)
+            return free
+
+        for batch in batches:
+            out = []
+            for component, org, name, key in zip(*(batch.column(c).to_pylist() for c in ("component", ORG, "candidate_id", "key")), strict=True):
+                if (org, name) != candidate or component != here:
+                    if decided():
+                        out.append(candidate)
+                    if component != here:
+                        here, taken = component, set()
+                    candidate, keys = (org, name), []
+                keys.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in out], pa.string()) for i in (0, 1)], [ORG, "candidate_id"])
+        if decided():
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in candidate], [ORG, "candidate_id"])
+
+    ordered = rows.repartition("component").sortWithinPartitions("component", ORG, "candidate_id")
+    return stored(ordered.mapInArrow(choose, schema), "created")
 
 
 def mark_companies(companies: DataFrame, candidates: DataFrame, campaign_name: str, as_of) -> tuple[DataFrame, DataFrame]:
