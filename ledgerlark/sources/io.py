@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlark.functions.text import non_blank
+from ledgerlark.sources.records import read_csv
 
 # fixed values: column names (lower case, separators removed) that tell a record's type
 PERSON_COLUMNS = ("email", "firstname", "lastname")
@@ -42,11 +43,14 @@ def raw_records(df: DataFrame, list_id: str) -> DataFrame:
     )
 
 
-def import_csv_records(spark: SparkSession, path: str, list_id: str, multi_line: bool = False) -> DataFrame:
+def import_csv_records(spark: SparkSession, path: str, list_id: str, multi_line: bool = True, whole_files: bool = False) -> DataFrame:
     """CSV rows -> raw records; every column stays text.
 
-    Files are split over tasks; with `multi_line`, quoted fields may hold line breaks and a task reads a whole file.
+    Files are split over tasks, also where quoted fields hold line breaks. Without `multi_line` the caller
+    says that they hold none, which saves a pass; with `whole_files` a task reads a whole file.
     """
+    if multi_line and not whole_files:
+        return raw_records(read_csv(spark, path), list_id)
     rows = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return raw_records(rows, list_id)
 
