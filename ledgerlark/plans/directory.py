@@ -10,6 +10,9 @@ from ledgerlark.operators import icp as I
 from ledgerlark.operators import query as Q
 from ledgerlark.operators import settings as S
 from ledgerlark.plans.registry import query
+from ledgerlark.session import work_dir
+from ledgerlark.sources import io
+from ledgerlark.sources.records import read_csv
 
 # ---------------------------------------------------------------- query surface
 
@@ -110,21 +113,36 @@ def _domains(t):
     return D.domain_distribution(t.contacts, t.company_contacts, t.companies)
 
 
-@query(
-    "contacts_export_template",
-    """WITH b AS (SELECT l.organization_id, l.contact_id, f.name, f.website, f.profile_url, f.location, f.phone, f.specialities FROM company_contacts l LEFT JOIN companies f ON f.id = l.company_id AND f.organization_id = l.organization_id
+_EXPORT = """WITH b AS (SELECT l.organization_id, l.contact_id, f.name, f.website, f.profile_url, f.location, f.phone, f.specialities FROM company_contacts l LEFT JOIN companies f ON f.id = l.company_id AND f.organization_id = l.organization_id
       QUALIFY row_number() OVER (PARTITION BY l.organization_id, l.contact_id ORDER BY CASE WHEN f.id IS NULL THEN 1 ELSE 0 END, CASE WHEN f.name <> '' THEN 0 ELSE 1 END, l.created_at DESC NULLS LAST, l.company_id) = 1)
     SELECT c.id, c.organization_id, coalesce(first_name, split_part(c.name, ' ', 1), '') AS first_name, coalesce(last_name, array_to_string(string_split(c.name, ' ')[2:], ' '), '') AS last_name, coalesce(job_title, '') AS title,
       coalesce(b.name, '') AS company_name, coalesce(b.website, '') AS company_website, coalesce(c.profile_url, '') AS personal_profile, coalesce(b.profile_url, '') AS company_profile, '' AS company_email, coalesce(email, '') AS personal_email,
       coalesce(c.phone, '') AS mobile_number, coalesce(b.phone, '') AS company_number,
       coalesce(TRY_CAST(c.location AS JSON) ->> '$.city', TRY_CAST(c.location AS JSON) ->> '$.default', TRY_CAST(c.location AS JSON) ->> '$.country', '') AS person_location, coalesce(b.location, '') AS company_location, coalesce(pipeline_stage, 'PROSPECT') AS stage,
       coalesce(array_to_string(from_json(skills, '["VARCHAR"]'), ', '), array_to_string(from_json(b.specialities, '["VARCHAR"]'), ', '), '') AS technologies
-    FROM contacts c LEFT JOIN b ON b.contact_id = c.id AND b.organization_id = c.organization_id""",
-)
+    FROM contacts c LEFT JOIN b ON b.contact_id = c.id AND b.organization_id = c.organization_id"""
+
+
+@query("contacts_export_template", _EXPORT)
 def _export(t):
     return D.export_template(t.contacts, t.company_contacts, t.companies)
 
 
+_SENT = ("first_name", "last_name", "title", "company_name", "personal_email", "stage", "technologies")
+
+
+@query(
+    "contacts_csv_round_trip",
+    f"SELECT id, {', '.join(f"nullif({c}, '') AS {c}" for c in _SENT)}, 'of ' || id || chr(10) || 'says \"' || first_name || '\",' AS note FROM ({_EXPORT})",
+)
+def _round_trip(t):
+    """The export written as CSV, with line breaks and quotes in a note, and read again."""
+    rows = _export(t).select("id", *_SENT, F.concat(F.lit("of "), "id", F.lit('\nsays "'), "first_name", F.lit('",')).alias("note"))
+    folder = work_dir(t.spark, "export")
+    io.write_contact_export(rows, folder)
+    return read_csv(t.spark, folder)
+
+
 # ---------------------------------------------------------------- ICP
 
 

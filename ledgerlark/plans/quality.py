@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from ledgerlark.operators import quality as Q
 from ledgerlark.operators import search as S
+from ledgerlark.operators.names import NameIndex
 from ledgerlark.plans.registry import query
 from ledgerlark.plans.stem_sql import ranks
+from ledgerlark.session import work_dir
 from ledgerlark.sources import io
 
 
@@ -54,6 +56,22 @@ def _contract(t):
     return Q.table_contract({n: getattr(t, n) for n in names}, {"usage": ["id"], "deals": ["id"]}).select("table_name", "has_primary_key", "rows")
 
 
+_KIND = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' END"
+_CHECKED = ("nation", "customer", "part", "supplier", "documents", "embeddings", "labels")
+
+
+@query(
+    "quality_table_contract_hash",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, (SELECT md5(string_agg(column_name || ':' || {_KIND} || ':false', '|')) FROM (DESCRIBE {n})) AS column_contract_hash, "
+        f"(SELECT CAST(count(*) AS INT) FROM (DESCRIBE {n})) AS columns, (SELECT count(*) FROM {n}) AS rows"
+        for n in _CHECKED
+    ),
+)
+def _contract_hash(t):
+    return Q.table_contract({n: getattr(t, n) for n in _CHECKED}).drop("has_primary_key")
+
+
 _FP = "version AS v, coalesce(size, 0) AS s, nullif(etag, '') AS e, nullif(mimetype, '') AS m, nullif(cache_control, '') AS c, coalesce(user_metadata, '{}') AS u"
 
 
@@ -184,3 +202,41 @@ def _hybrid_forms(t):
 @query("search_names", "SELECT id, name FROM contacts WHERE name ILIKE '%VAN last2%'")
 def _names(t):
     return S.search_names(t.contacts, "name", "VAN last2").select("id", "name")
+
+
+_INDEXES: dict[str, str] = {}
+
+
+def _name_index(t):
+    """The trigram table of the contacts' names, written once for each folder of driver tables."""
+    if t.folder not in _INDEXES:
+        folder = work_dir(t.spark, "names")
+        NameIndex(t.spark, folder).build(t.contacts)
+        _INDEXES[t.folder] = folder
+    return NameIndex(t.spark, _INDEXES[t.folder])
+
+
+@query("search_names_indexed", "SELECT id, name FROM contacts WHERE name ILIKE '%VAN last2%'")
+def _names_indexed(t):
+    return _name_index(t).containing(t.contacts, "VAN last2").select("id", "name")
+
+
+def _trigrams_sql(text: str) -> str:
+    words = f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+# every fiftieth contact is looked for by a misspelt name
+_ASKED = "CAST(substr(id, 3) AS INT) % 50 = 0"
+
+
+@query(
+    "search_names_similar",
+    f"""WITH n AS (SELECT id, {_trigrams_sql('name')} AS t FROM contacts), q AS (SELECT id AS query, {_trigrams_sql("replace(replace(name, 'rst', 'rts'), 'van', 'vam')")} AS t FROM contacts WHERE {_ASKED}),
+    s AS (SELECT query, id, len(list_intersect(q.t, n.t)) AS k, len(q.t) AS a, len(n.t) AS b FROM q, n)
+    SELECT query, id, round(k / (a + b - k), 6) AS similarity FROM s WHERE k > 0 AND k / (a + b - k) >= 0.45""",
+)
+def _names_similar(t):
+    text = F.replace(F.replace(F.col("name"), F.lit("rst"), F.lit("rts")), F.lit("van"), F.lit("vam"))
+    asked = t.contacts.filter(F.expr(_ASKED)).select(F.col("id").alias("query"), text.alias("text"))
+    return _name_index(t).similar(t.contacts, asked, 0.45).withColumn("similarity", F.round("similarity", 6))

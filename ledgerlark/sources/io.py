@@ -16,8 +16,9 @@ COMPANY_COLUMNS = ("company", "companyname", "website", "companywebsite", "domai
 
 
 def write_contact_export(df: DataFrame, path: str) -> None:
-    """CSV with a header; one file per task, so any size is written in parallel."""
-    df.write.mode("error").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; one file per task, so any size is written in parallel. Blanks at the ends of values stay."""
+    writer = df.write.mode("error").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def _columns(df: DataFrame, names: tuple[str, ...]) -> list[Column]:

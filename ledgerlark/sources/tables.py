@@ -5,31 +5,15 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlark.session import prepare
 from ledgerlark.sources.adapters import ADAPTERS, BASE_TABLES, dependencies
+from ledgerlark.sources.layouts import SCHEMAS
 
-# declared layouts of the core facts, for callers that read their own files
-SCHEMAS = {
-    "usage": (
-        "id string, organization_id string, session_id string, provider string, model_name string, api_calls int,"
-        " input_tokens int, output_tokens int, total_tokens int, run_id string, usage_context string,"
-        " campaign_id string, user_id string, invoice_id string, list_cost decimal(12,6), billed_cost decimal(12,6),"
-        " metadata string, created_at timestamp"
-    ),
-    "email_reply_events": (
-        "organization_id string, dedup_key string, email_id string, account_id string, thread_id string,"
-        " contact_id string, campaign_id string, received_at timestamp, classification string, relevance string"
-    ),
-    "provider_event_log": (
-        "id string, organization_id string, dedup_key string, provider string, event_type string,"
-        " raw_payload string, occurred_at timestamp, received_at timestamp"
-    ),
-    "linkedin_action_log": (
-        "id string, organization_id string, account_id string, action_type string, success boolean,"
-        " campaign_id string, payload string, created_at timestamp"
-    ),
-}
+#: a stored type may be narrower than the declared one
+_WIDER = {("int", "bigint"), ("float", "double"), ("int", "double"), ("date", "timestamp")}
 
 
 def read_tables(spark: SparkSession, folder: str, names=None) -> dict[str, DataFrame]:
@@ -39,10 +23,37 @@ def read_tables(spark: SparkSession, folder: str, names=None) -> dict[str, DataF
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    reader = prepare(spark).read
-    if name in SCHEMAS:
-        reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(os.path.join(folder, f"{name}.parquet"))
+    """A Parquet scan. A table with a declared layout must have its columns; others that it has are left out."""
+    rows = prepare(spark).read.parquet(os.path.join(folder, f"{name}.parquet"))
+    return conform(rows, name) if name in SCHEMAS else rows
+
+
+def layout_faults(found: T.StructType, name: str) -> list[str]:
+    """What keeps a table from its declared layout: missing columns and types that hold less."""
+    have, faults = {f.name: f.dataType for f in found}, []
+    for f in T.StructType.fromDDL(SCHEMAS[name]):
+        if f.name not in have:
+            faults.append(f"{f.name} is missing")
+        elif not _fits(have[f.name], f.dataType):
+            faults.append(f"{f.name} is {have[f.name].simpleString()}, not {f.dataType.simpleString()}")
+    return faults
+
+
+def _fits(stored: T.DataType, declared: T.DataType) -> bool:
+    if isinstance(stored, T.ArrayType) and isinstance(declared, T.ArrayType):
+        return _fits(stored.elementType, declared.elementType)
+    if isinstance(stored, T.DecimalType) and isinstance(declared, T.DecimalType):
+        return stored.scale <= declared.scale and stored.precision - stored.scale <= declared.precision - declared.scale
+    return stored == declared or (stored.simpleString(), declared.simpleString()) in _WIDER
+
+
+def conform(rows: DataFrame, name: str) -> DataFrame:
+    """The columns of the declared layout, in its order and types; raises if the table does not hold them."""
+    faults = layout_faults(rows.schema, name)
+    if faults:
+        raise ValueError(f"table {name}: " + "; ".join(faults))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return rows.select(*[F.col(f.name) if kinds[f.name] == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(SCHEMAS[name])])
 
 
 class Tables:
