@@ -103,43 +103,43 @@ def project(
         ORG, "company_id", "first", "top", "campaign", "company_name", "new_owner"
     )
 
-    columns = deals.columns
-    now = moment(as_of)
-    grown = _open(deals).join(per_company, [ORG, "company_id"], "left")
-    raised = F.coalesce(F.col("top.level") > deal_stage_level(F.col("stage")), F.lit(False))
-    filled = F.col("owner_user_id").isNull() & F.col("new_owner").isNotNull()
-    grown = grown.withColumn("_raised", raised).withColumn("_touched", F.col("_raised") | filled).withColumns(
-        {
-            "stage": F.when(F.col("_raised"), F.col("top.deal_stage")).otherwise(F.col("stage")),
-            "stage_contact_id": F.when(F.col("_raised"), F.col("top.contact")).otherwise(F.col("stage_contact_id")),
-            "stage_updated_at": F.when(F.col("_raised"), now).otherwise(F.col("stage_updated_at")),
-            "owner_user_id": F.coalesce("owner_user_id", "new_owner"),
-            "source_campaign_id": F.when(F.col("_touched"), F.coalesce("source_campaign_id", "campaign")).otherwise(F.col("source_campaign_id")),
-        }
-    )
-    missing = per_company.join(_open(deals).select(ORG, "company_id"), [ORG, "company_id"], "left_anti").join(
-        settings.select(ORG, "default_deal_amount", F.coalesce("default_deal_currency", F.lit("USD")).alias("default_currency")), ORG, "left"
-    ).withColumn("default_currency", F.coalesce("default_currency", F.lit("USD")))
+    columns, now, nothing = deals.columns, moment(as_of), F.lit(None).cast("timestamp")
+    currencies = settings.select(ORG, "default_deal_amount", F.coalesce("default_deal_currency", F.lit("USD")).alias("default_currency"))
+    # open deals and companies meet once: a row with a deal grows it, a row without one is a new deal or a failure
+    met = _open(deals).withColumn("_known", F.lit(True)).join(per_company, [ORG, "company_id"], "full_outer").join(currencies, ORG, "left")
     broken = (
         F.when(non_blank(F.col("company_name")).isNull(), "deal name is blank")
         .when(F.col("default_deal_amount") < 0, "amount is negative")
         .when(~F.col("default_currency").isin(*CURRENCIES), "currency is not allowed")
     )
-    missing = missing.withColumn("error_message", broken)
-    nothing = F.lit(None).cast("timestamp")
-    created = missing.filter(F.col("error_message").isNull()).select(
-        F.concat(F.lit("new:"), F.col("company_id")).alias("id"), ORG, "company_id", F.col("first.contact").alias("primary_contact_id"),
-        F.col("top.contact").alias("stage_contact_id"), F.col("campaign").alias("source_campaign_id"), F.col("new_owner").alias("owner_user_id"),
-        F.col("company_name").alias("name"), F.col("top.deal_stage").alias("stage"), F.col("default_deal_amount").cast("decimal(14,2)").alias("amount"),
-        F.col("default_currency").alias("currency"), F.lit("automatic").alias("creation_source"), F.lit(True).alias("nurture_enabled"),
-        nothing.alias("snoozed_until"), now.alias("stage_updated_at"), F.coalesce(F.col("first.seen_at"), now).alias("last_activity_at"),
-        nothing.alias("closed_at"), now.alias("created_at"),
+    raised = F.coalesce(F.col("top.level") > deal_stage_level(F.col("stage")), F.lit(False))
+    filled = F.col("owner_user_id").isNull() & F.col("new_owner").isNotNull()
+    met = met.withColumn("default_currency", F.coalesce("default_currency", F.lit("USD"))).withColumns(
+        {"_known": F.coalesce("_known", F.lit(False)), "_raised": raised, "_touched": raised | filled, "error_message": broken}
     )
+    grown = {
+        "stage": F.when(F.col("_raised"), F.col("top.deal_stage")).otherwise(F.col("stage")),
+        "stage_contact_id": F.when(F.col("_raised"), F.col("top.contact")).otherwise(F.col("stage_contact_id")),
+        "stage_updated_at": F.when(F.col("_raised"), now).otherwise(F.col("stage_updated_at")),
+        "owner_user_id": F.coalesce("owner_user_id", "new_owner"),
+        "source_campaign_id": F.when(F.col("_touched"), F.coalesce("source_campaign_id", "campaign")).otherwise(F.col("source_campaign_id")),
+    }
+    created = {
+        "id": F.concat(F.lit("new:"), F.col("company_id")), "primary_contact_id": F.col("first.contact"), "stage_contact_id": F.col("top.contact"),
+        "source_campaign_id": F.col("campaign"), "owner_user_id": F.col("new_owner"), "name": F.col("company_name"), "stage": F.col("top.deal_stage"),
+        "amount": F.col("default_deal_amount").cast("decimal(14,2)"), "currency": F.col("default_currency"), "creation_source": F.lit("automatic"),
+        "nurture_enabled": F.lit(True), "snoozed_until": nothing, "stage_updated_at": now, "last_activity_at": F.coalesce(F.col("first.seen_at"), now),
+        "closed_at": nothing, "created_at": now,
+    }
+    either = lambda c: F.when(F.col("_known"), grown.get(c, F.col(c))).otherwise(created[c]).alias(c) if c in created else F.col(c)
+    after = met.filter(F.col("_known") | F.col("error_message").isNull()).select(*[either(c) for c in columns])
+    missing = per_company.join(_open(deals).select(ORG, "company_id"), [ORG, "company_id"], "left_anti").join(currencies, ORG, "left")
+    missing = missing.withColumn("default_currency", F.coalesce("default_currency", F.lit("USD"))).withColumn("error_message", broken)
     failures = people.join(missing.filter(F.col("error_message").isNotNull()).select(ORG, "company_id", "error_message"), [ORG, "company_id"]).select(
         ORG, F.col("id").alias("contact_id"), F.col("pipeline_stage").alias("contact_stage"), "error_message"
     )
     closed = deals.filter(F.col("closed_at").isNotNull())
-    return closed.unionByName(grown.select(*columns)).unionByName(created.select(*columns)), failures
+    return closed.unionByName(after), failures
 
 
 def projection_failures(*args, **kwargs) -> DataFrame:
