@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from ledgerlark.operators.common import stored
 
 #: a longer anchor is shared by chance less often, a shorter one stands for more windows
 SIZE, ANCHOR = 50, 20
+#: an anchor's hash has 64 bits less these, a text's name 64 bits and these; by chance texts of one name are not to be met below 10**11 texts
+NAME_BITS = 16
 #: texts that share an anchor, above which its windows go one by one
 HOT = 20_000
 #: bytes of segments in a block, one anchor at least
@@ -174,30 +178,25 @@ class Block:
         return order
 
 
-def owners(pieces: list[bytes], docs: np.ndarray, anchors: np.ndarray, key: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
-    """For each segment, whether each of its windows also stands in a segment of a smaller document.
+def owners(pieces: list[bytes], docs: np.ndarray, anchors: np.ndarray, key: np.ndarray, may: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of distinct segments, the least document that has it; and where each segment's windows begin.
 
-    anchors: where the anchor begins in the segment; key: the anchor's hash. Equal segments are
-    taken once, under their least document.
+    docs: the least document of each segment; anchors: where the anchor begins in it; key: a number
+    for the anchor; may: whether another segment can have a window of it.
     """
-    seen: dict[tuple[int, int, bytes], int] = {}
-    member = np.array([seen.setdefault((k, a, p), len(seen)) for k, a, p in zip(key.tolist(), anchors.tolist(), pieces, strict=True)], np.int64)
-    distinct = [p for _, _, p in seen]
-    least = np.full(len(distinct), LAST)
-    np.minimum.at(least, member, docs)
-    block = Block(distinct)
-    counts = np.array([len(p) - size + 1 for p in distinct], np.int64)
-    of = np.repeat(np.arange(len(distinct)), counts)
-    inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    block = Block(pieces)
+    counts = np.array([len(p) - size + 1 for p in pieces], np.int64)
+    offset = np.cumsum(counts) - counts
+    of = np.repeat(np.arange(len(pieces)), counts)
+    inside = np.arange(len(of)) - offset[of]
     at = block.starts[of] + inside
-    keys = np.array([k for k, _, _ in seen], np.int64)[of]
-    distance = np.array([a for _, a, _ in seen], np.int64)[of] - inside
-    lay = np.lexsort((distance, keys))
-    fresh = np.concatenate([[True], (keys[lay][1:] != keys[lay][:-1]) | (distance[lay][1:] != distance[lay][:-1])])
-    group = np.cumsum(fresh) - 1
+    keys, distance = key[of], anchors[of] - inside
+    open_ = np.flatnonzero(may[of])
+    lay = open_[np.lexsort((distance[open_], keys[open_]))]
+    group = np.cumsum((np.diff(keys[lay], prepend=-1) != 0) | (np.diff(distance[lay], prepend=-1) != 0)) - 1
     many = np.bincount(group)[group] > 1  # a window alone in its group has no equal
     lay, group = lay[many], group[many]
-    first = least[of]
+    first = docs[of]
     at, of_lay = at[lay], of[lay]
     order = block.sort(at, group, size)
     at, of_lay, group = at[order], of_lay[order], group[order]
@@ -213,10 +212,24 @@ def owners(pieces: list[bytes], docs: np.ndarray, anchors: np.ndarray, key: np.n
     new[alike + 1] = False
     head = np.flatnonzero(new)
     if len(head):
-        owner = np.minimum.reduceat(least[of_lay], head)
+        owner = np.minimum.reduceat(docs[of_lay], head)
         first[lay[order]] = np.repeat(owner, np.diff(np.append(head, len(at))))
-    offset = np.cumsum(counts) - counts
-    return [first[offset[m] : offset[m] + counts[m]] < d for m, d in zip(member.tolist(), docs.tolist(), strict=True)]
+    return first, np.append(offset, len(of))
+
+
+def later_runs(first: np.ndarray, offset: np.ndarray, member: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that a smaller document has: the row, the first window of the run in the row's segment, and their number.
+
+    first, offset: from `owners`; member: the segment of each row; docs: the document of each row.
+    """
+    counts = offset[member + 1] - offset[member]
+    begin = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(len(member)), counts)
+    gone = first[np.arange(len(row)) + (offset[member] - begin)[row]] < docs[row]
+    edge = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else gone
+    starts = np.flatnonzero(gone & (edge | ~np.concatenate([[False], gone[:-1]])))
+    ends = np.flatnonzero(gone & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([gone[1:], [False]])))
+    return row[starts], starts - begin[row[starts]], ends - starts + 1
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,28 +245,30 @@ def _shared(anchors: DataFrame, hot: int) -> DataFrame:
     """
 
     def out(rows: np.ndarray, over) -> pa.RecordBatch:
-        short = [(rows[:, i] & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for i in (2, 0)]
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), *map(pa.array, short), pa.array(np.broadcast_to(over, len(rows)))], ["_t1", "_t2", "anchor", "hot"])
+        low = (rows[:, 0] >> NAME_BITS & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+        name = (rows[:, 0] & (1 << NAME_BITS) - 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(name), pa.array(low), pa.array(np.broadcast_to(over, len(rows)))], ["_t1", "_t2", "anchor", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, over = np.empty((0, 3), np.int64), None  # the group at hand; its anchor, once it is hot
+        held, over = np.empty((0, 2), np.int64), None  # the group at hand; its anchor, once it is hot
         for batch in batches:
-            rows = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in ("anchor", "_t1", "_t2")])])
+            rows = np.concatenate([held, np.column_stack([batch.column(c).to_numpy() for c in ("anchor", "_t1")])])
+            anchor = rows[:, 0] >> NAME_BITS
             if over is not None:
-                more = int(np.searchsorted(rows[:, 0] != over, True))
+                more = int(np.searchsorted(anchor != over, True))
                 yield out(rows[:more], True)
-                rows = rows[more:]
+                rows, anchor = rows[more:], anchor[more:]
             if not len(rows):
                 continue
             over = None
-            first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
             sizes = np.repeat(np.diff(first), np.diff(first))
             many = sizes > 1
             yield out(rows[: first[-1]][many], sizes[many] > hot)
             held = rows[first[-1] :]
             if len(held) > hot:
                 yield out(held, True)
-                held, over = held[:0], held[0, 0]
+                held, over = held[:0], anchor[-1]
         if len(held) > 1:
             yield out(held, False)
 
@@ -267,30 +282,64 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 
 
 def _name_of(text, size: int) -> tuple:
-    """_t1, _t2: 96 hash bits of a text."""
-    return F.xxhash64(text).alias("_t1"), F.shiftright(F.xxhash64(F.lit(size), text), 32).cast("int").alias("_t2")
+    """_t1, _t2: 64 and NAME_BITS hash bits of a text."""
+    return F.xxhash64(text).alias("_t1"), F.shiftrightunsigned(F.xxhash64(F.lit(size), text), 64 - NAME_BITS).cast("int").alias("_t2")
 
 
-def _bundle(place: int, piece: bytes, name: bytes, at: list[int], anchor: int) -> bytes:
-    """A segment as one value: anchor, its place, length of the segment, its other bytes, name of the text, first windows.
+def _segment(head: bytes, anchor: int) -> tuple[int, bytes]:
+    """Place of the anchor in a segment, and the segment, of its head: anchor, its place, length of the segment, its other bytes."""
+    place, body = head[anchor], head[anchor + 2 :]
+    return place, body[:place] + head[:anchor] + body[place:]
 
-    A lone window (place -1) stands whole at the beginning.
-    """
-    tail = name + struct.pack(f"<{len(at)}i", *at)
-    if place < 0:
-        return piece + tail
-    return piece[place : place + anchor] + bytes((place, len(piece))) + piece[:place] + piece[place + anchor :] + tail
 
+def repeatable(heads: Iterable[bytes], hot: list[bool], size: int, anchor: int) -> np.ndarray:
+    """Whether a window of each distinct segment can stand in another one.
 
-def _unbundle(row: bytes, hot: bool, size: int, anchor: int) -> tuple[int, bytes, tuple[int, int], tuple[int, ...]]:
-    """Place of the anchor, bytes, name of the text and first windows."""
-    if hot:
-        place, piece, end = 0, row[:size], size
-    else:
-        place, length = row[anchor], row[anchor + 1]
-        body, end = row[anchor + 2 : length + 2], length + 2
-        piece = body[:place] + row[:anchor] + body[place:]
-    return place, piece, struct.unpack_from("<qi", row, end), struct.unpack_from(f"<{(len(row) - end - 12) // 4}i", row, end + 12)
+    A window reaches half of its length without the anchor beyond the anchor on one side at least, so the other
+    segment must have the same anchor with the same bytes beside it there. Lone windows have no equals.
+    """
+    side, body = (size - anchor + 1) // 2, anchor + 2
+    left = [b"" if h or x[anchor] < side else x[:anchor] + x[body + x[anchor] - side : body + x[anchor]] for x, h in zip(heads, hot, strict=True)]
+    right = [b"" if h or len(x) - body - x[anchor] < side else x[:anchor] + x[body + x[anchor] : body + x[anchor] + side] for x, h in zip(heads, hot, strict=True)]
+    out = np.zeros(len(hot), bool)
+    for keys in (left, right):
+        seen = Counter(keys)
+        out |= np.fromiter((k != b"" and seen[k] > 1 for k in keys), bool, len(keys))
+    return out
+
+
+@dataclass
+class Rows:
+    """Segments of a block as they were sent, each followed by the name of its text and its first windows there."""
+
+    heads: list[bytes]
+    hot: np.ndarray
+    docs: np.ndarray
+    t1: np.ndarray
+    t2: np.ndarray
+    many: np.ndarray  # first windows of each row
+    at: np.ndarray  # the first windows, row by row
+
+    @classmethod
+    def of(cls, table: pa.Table, size: int, anchor: int) -> Rows:
+        table = table.combine_chunks()
+        values = table.column("row").chunk(0) if table.column("row").num_chunks else pa.array([], pa.binary())
+        offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+        data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+        hot = table.column("hot").to_numpy()
+        lengths = np.full(len(values), size)
+        cold = np.flatnonzero(~hot)
+        lengths[cold] = data[offsets[:-1][cold] + anchor + 1].astype(np.int64) + 2
+        tail = offsets[:-1] + lengths
+
+        def numbers(at: np.ndarray, kind: type) -> np.ndarray:
+            return data[at[:, None] + np.arange(np.dtype(kind).itemsize)].view(kind).ravel()
+
+        many = (offsets[1:] - tail - 10) // 4
+        inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        raw = data.tobytes() if len(values) else b""
+        heads = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), tail.tolist(), strict=True)]
+        return cls(heads, hot, table.column("doc").to_numpy(), numbers(tail, np.int64), numbers(tail + 8, np.uint16).astype(np.int32), many, numbers(np.repeat(tail + 10, many) + 4 * inside, np.int32).astype(np.int64))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -309,7 +358,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     rows = rows.select(*_name_of(F.col("_text"), size), "_doc", "_text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             at = batch.schema.get_field_index("_text")
             yield batch.set_column(at, "_text", pa.array([squeeze(t.as_py()) for t in batch.column(at)], pa.binary()))
@@ -319,31 +368,34 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [np.unique(segments(unpacked(t.as_py()), size, anchor)[3]) for t in batch.column("_text")]
+            found = [np.unique(segments(unpacked(t.as_py()), size, anchor)[3] >> np.uint64(NAME_BITS)) for t in batch.column("_text")]
             many = np.array([len(x) for x in found])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate(found))), *(pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("_t1", "_t2"))],
-                ["anchor", "_t1", "_t2"],
-            )
+            # anchor and the end of the name as one number: rows of two, which a shuffle writes shorter
+            names = np.repeat(batch.column("_t2").to_numpy().astype(np.uint64), many)
+            both = _signed(np.concatenate(found) << np.uint64(NAME_BITS) | names)
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.repeat(batch.column("_t1").to_numpy(), many))], ["anchor", "_t1"])
 
-    sent = texts.mapInArrow(send, "anchor long, _t1 long, _t2 int").repartition("anchor").sortWithinPartitions("anchor", "_t1", "_t2")
+    sent = texts.mapInArrow(send, "anchor long, _t1 long").repartition(F.shiftright("anchor", NAME_BITS)).sortWithinPartitions("anchor", "_t1")
     shared = _shared(sent, hot).groupBy("_t1", "_t2").agg(F.collect_list("anchor").alias("_anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("_hot"))
 
-    def cut_text(data: bytes, wanted: np.ndarray, hot: np.ndarray) -> dict[tuple[int, bytes], list[int]]:
-        """The distinct segments whose anchor is wanted, as (anchor's place, bytes), and their first windows.
-
-        A hot anchor's windows go one by one, with the place -1.
-        """
+    def cut_text(data: bytes, wanted: np.ndarray, hot: np.ndarray) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
+        """The distinct segments whose anchor is wanted, as heads, and their first windows; the windows of hot anchors one by one."""
         first, count, place, hashes = segments(data, size, anchor)
-        low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-        warm, found = np.isin(low, hot), {}
-        for f, c, p, lone in zip(*(x[np.isin(low, wanted)].tolist() for x in (first, count, place, warm)), strict=True):
-            if lone:
-                for at in range(f, f + c):
-                    found.setdefault((-1, data[at : at + size]), []).append(at)
-            else:
-                found.setdefault((p - f, data[f : f + c + size - 1]), []).append(f)
-        return found
+        low = (hashes >> np.uint64(NAME_BITS) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        take = np.isin(low, wanted)
+        lone = take & np.isin(low, hot)
+        take &= ~lone
+        whole, single = {}, {}
+        begins = first[take]
+        where = begins.astype(np.int32).tobytes()
+        for i, (f, end, p) in enumerate(zip(begins.tolist(), (begins + count[take] + size - 1).tolist(), place[take].tolist(), strict=True)):
+            head = data[p : p + anchor] + bytes((p - f, end - f)) + data[f:p] + data[p + anchor : end]
+            whole[head] = whole.get(head, b"") + where[4 * i : 4 * i + 4]
+        for f, c in zip(first[lone].tolist(), count[lone].tolist(), strict=True):
+            for at in range(f, f + c):
+                head = data[at : at + size]
+                single[head] = single.get(head, b"") + struct.pack("<i", at)
+        return whole, single
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -351,34 +403,51 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
                 cut_text(unpacked(t.as_py()), a.values.to_numpy(), h.values.to_numpy(zero_copy_only=False))
                 for t, a, h in zip(*(batch.column(c) for c in ("_text", "_anchors", "_hot")), strict=True)
             ]
-            many = [len(x) for x in found]
-            names = [struct.pack("<qi", *x) for x in zip(*(batch.column(c).to_pylist() for c in ("_t1", "_t2")), strict=True)]
-            rows = [_bundle(p, piece, name, at, anchor) for f, name in zip(found, names, strict=True) for (p, piece), at in f.items()]
-            hot = [p < 0 for f in found for p, _ in f]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("_doc").to_numpy(), many)), pa.array(hot, pa.bool_()), pa.array(rows, pa.binary())], ["doc", "hot", "row"])
+            names = [struct.pack("<qH", *x) for x in zip(*(batch.column(c).to_pylist() for c in ("_t1", "_t2")), strict=True)]
+            rows = [head + name + at for f, name in zip(found, names, strict=True) for kind in f for head, at in kind.items()]
+            docs = np.repeat(batch.column("_doc").to_numpy(), [len(whole) + len(single) for whole, single in found])
+            hot = np.tile([False, True], len(found)).repeat([len(kind) for f in found for kind in f])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(hot, pa.bool_()), pa.array(rows, pa.binary())], ["doc", "hot", "row"])
 
     marked = texts.join(shared, ["_t1", "_t2"]).select("_t1", "_t2", "_doc", "_text", "_anchors", "_hot")
     # the key is the anchor's bytes or else the window, with which the value begins
     key = F.substring(F.col("row"), F.lit(1), F.when(F.col("hot"), F.lit(size)).otherwise(F.lit(anchor)))
     pieces = marked.mapInArrow(cut, "doc long, hot boolean, row binary").repartition(key).sortWithinPartitions(key, "doc")
 
-    def keys_of(rows: pa.Table) -> np.ndarray:
-        """Numbers of the keys, equal for equal keys."""
+    def keys_of(table: pa.Table) -> np.ndarray:
+        """Numbers of the keys, which lie side by side."""
+        rows = table.column("row").combine_chunks()
+        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+        begin = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows)].astype(np.int64)
+        data, hot = np.frombuffer(rows.buffers()[2], np.uint8), table.column("hot").to_numpy()
+        new = np.append(True, hot[1:] != hot[:-1])
+        for cold, length in ((True, anchor), (False, size)):
+            at = np.flatnonzero(hot ^ cold)
+            names = data[begin[at][:, None] + np.arange(length)]
+            new[at[1:]] |= (names[1:] != names[:-1]).any(1)
+        return np.cumsum(new) - 1
+
+    def settle(table: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+        rows = Rows.of(table, size, anchor)
+        # equal segments are taken once, under their least document; a head names anchor, place and bytes
         seen: dict[bytes, int] = {}
-        pairs = zip(rows.column("hot").to_pylist(), rows.column("row").to_pylist(), strict=True)
-        return np.array([seen.setdefault(x[: size if h else anchor], len(seen)) for h, x in pairs], np.int64)
-
-    def settle(rows: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
-        parts = [_unbundle(x, h, size, anchor) for h, x in zip(rows.column("hot").to_pylist(), rows.column("row").to_pylist(), strict=True)]
-        flags = owners([x[1] for x in parts], rows.column("doc").to_numpy(), np.array([x[0] for x in parts], np.int64), keys, size)
-        t1, t2, runs = [], [], []
-        for (_, _, name, at), f in zip(parts, flags, strict=True):
-            if f.any():
-                for s, e in zip(*runs_of(f), strict=True):
-                    runs += [(first + int(s)) << 8 | int(e - s) for first in at]
-                    t1 += [name[0]] * len(at)
-                    t2 += [name[1]] * len(at)
-        return pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int32()), pa.array(runs, pa.int64())], ["_t1", "_t2", "run"])
+        member = np.array([seen.setdefault(x, len(seen)) for x in rows.heads], np.int64)
+        some = np.zeros(len(seen), np.int64)
+        some[member] = np.arange(len(member))
+        least = np.full(len(seen), LAST)
+        np.minimum.at(least, member, rows.docs)
+        hot = rows.hot[some].tolist()
+        parts = [(0, x) if h else _segment(x, anchor) for x, h in zip(seen, hot, strict=True)]
+        may = repeatable(seen, hot, size, anchor)
+        first, offset = owners([x for _, x in parts], least, np.array([p for p, _ in parts], np.int64), keys[some], may, size)
+        row, start, many = later_runs(first, offset, member, rows.docs)
+        # once for each place at which the text has the segment
+        times = rows.many[row]
+        run = np.repeat(np.arange(len(row)), times)
+        spot = (np.cumsum(rows.many) - rows.many)[row[run]] + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows.t1[row[run]]), pa.array(rows.t2[row[run]]), pa.array((rows.at[spot] + start[run]) << 8 | many[run])], ["_t1", "_t2", "run"]
+        )
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -397,9 +466,9 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
             if rest.nbytes > block:
                 # rows come by rising document: what comes later only needs the first of equal segments
                 yield settle(rest, keys[last:])
-                firsts: dict = {}
-                for i, (h, x) in enumerate(zip(rest.column("hot").to_pylist(), rest.column("row").to_pylist(), strict=True)):
-                    firsts.setdefault(_unbundle(x, h, size, anchor)[:2], i)
+                firsts: dict[bytes, int] = {}
+                for i, head in enumerate(Rows.of(rest, size, anchor).heads):
+                    firsts.setdefault(head, i)
                 rest = rest.take(list(firsts.values()))
             held, amount = [rest], 0
         if held and (rows := pa.concat_tables(held)).num_rows:
