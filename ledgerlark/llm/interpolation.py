@@ -46,7 +46,7 @@ ROUNDS = 15
 BUCKETS = 24
 SMOOTH = 0.1
 #: bytes of text in a chunk, one text at least; entries of a cell, as a power of two, that are aimed at
-CHUNK, CELL_BITS = 12 << 20, 18
+CHUNK, CELL_BITS = 8 << 20, 18
 LEAST_CELL_BITS, MOST_CELL_BITS, SHORT_BITS = 6, 30, 38
 IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -156,7 +156,7 @@ class Grams:
 
 
 def grams_of(words: bytes, tokens: bytes, order: int, bits: int) -> Grams:
-    vocabulary, at = risen(words), unpacked(tokens, np.int32).astype(np.int64)
+    vocabulary, at = risen(words), unpacked(tokens, np.int32)
     hashes = vocabulary[at]
     ends = np.flatnonzero(hashes == END)
     firsts = np.append(0, ends[:-1] + 1)
@@ -168,7 +168,7 @@ def grams_of(words: bytes, tokens: bytes, order: int, bits: int) -> Grams:
         short = gram_hashes(wide, k)[spot - k + 1] >> np.uint64(max(0, 64 - SHORT_BITS - bits))
         found, place = np.unique(short, return_inverse=True)
         keys.append(found)
-        places.append(place)
+        places.append(place.astype(np.int32))
     return Grams(ends, keys, places)
 
 
@@ -270,51 +270,44 @@ class Sizes:
 
 @dataclass
 class Found:
-    """For each token of a chunk: its n-gram's count and its context's count, by order."""
+    """For each token of a chunk: the single token's count, and for each order the maximum-likelihood estimate and the bucket of its context."""
 
     ends: np.ndarray
-    counts: list[np.ndarray]
-    contexts: list[np.ndarray]
+    counts: np.ndarray
+    estimates: list[tuple[np.ndarray, np.ndarray]]
+
+
+def bucket_of(contexts: np.ndarray) -> np.ndarray:
+    """0 for an unknown context, 1 for one seen once, 2 for two or three times, and so on."""
+    return np.minimum(np.frexp(contexts.astype(np.float64))[1], BUCKETS - 1).astype(np.int8)
 
 
 def found(row: dict, replies: pa.Table, order: int, bits: int, sizes: Sizes, deduct: bool) -> Found:
-    """Counts of a chunk from its answers; deduct: without the texts kept apart."""
+    """Counts of a chunk from its answers; deduct: without the texts kept apart. Single tokens share one bucket."""
     grams = grams_of(row["words"], row["tokens"], order, bits)
-    by: dict[int, list[tuple[int, dict]]] = {}
+    by: dict[int, list[tuple[int, bytes, bytes]]] = {}
     for reply in replies.select(["n", "cell", "totals", "deducted"]).to_pylist():
-        by.setdefault(reply["n"], []).append((reply["cell"], reply))
-    counts, contexts = [], []
+        by.setdefault(reply["n"], []).append((reply["cell"], reply["totals"], reply["deducted"]))
     firsts = np.append(0, grams.ends[:-1] + 1)
     docs = sizes.docs - (sizes.apart_docs if deduct else 0)
     tokens = sizes.tokens - (sizes.apart_tokens if deduct else 0)
+    single, count, out = None, None, []
     for k, place in enumerate(grams.places, 1):
-        parts = [r for _, r in sorted(by[k], key=lambda x: x[0])]
-        total = np.concatenate([unpacked(r["totals"], np.int64) for r in parts])
+        parts = sorted(by[k], key=lambda x: x[0])
+        total = np.concatenate([unpacked(x, np.int64) for _, x, _ in parts])
         if deduct:
-            total = total - np.concatenate([unpacked(r["deducted"], np.int64) for r in parts])
+            total = total - np.concatenate([unpacked(x, np.int64) for _, _, x in parts])
         if k == 1:
             context = np.full(len(place), tokens)
         else:
             # the n-gram without its last token is the shorter n-gram of the token before; at first tokens it is made of starts
-            context = np.append(docs, counts[-1][:-1])
+            context = np.append(docs, count[:-1])
             context[firsts] = docs
-        counts.append(total[place])
-        contexts.append(context)
-    return Found(grams.ends, counts, contexts)
-
-
-def bucket_of(contexts: np.ndarray) -> np.ndarray:
-    """0 for an unknown context, 1 for one seen once, 2 for two or three times, and so on."""
-    return np.minimum(np.frexp(contexts.astype(np.float64))[1], BUCKETS - 1)
-
-
-def estimates(at: Found) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order the maximum-likelihood estimates and the buckets; those of single tokens share one bucket."""
-    out = []
-    for k, (count, context) in enumerate(zip(at.counts, at.contexts, strict=True)):
+        count = total[place]
+        single = count if k == 1 else single
         share = np.divide(count, context, out=np.zeros(len(count)), where=context > 0)
-        out.append((share, bucket_of(context) if k else (context > 0).astype(np.int32)))
-    return out
+        out.append((share, bucket_of(context) if k > 1 else (context > 0).astype(np.int8)))
+    return Found(grams.ends, single, out)
 
 
 def mixed(parts: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, known: int) -> np.ndarray:
@@ -412,8 +405,8 @@ def score(
     sizes = Sizes(row["tokens"] or 0, row["docs"] or 0, known, row["apart_tokens"] or 0, row["apart_docs"] or 0)
 
     def list_events(pack: dict, its: pa.Table) -> pa.Table:
-        parts = estimates(found(pack, its, order, bits, sizes, True))
-        columns = {f"f{k}": f.astype(np.float32) for k, (f, _) in enumerate(parts, 1)} | {f"b{k}": b.astype(np.int8) for k, (_, b) in enumerate(parts, 1)}
+        parts = found(pack, its, order, bits, sizes, True).estimates
+        columns = {f"f{k}": f.astype(np.float32) for k, (f, _) in enumerate(parts, 1)} | {f"b{k}": b for k, (_, b) in enumerate(parts, 1)}
         return pa.table(columns)
 
     kinds = ", ".join([f"f{k} float" for k in range(1, order + 1)] + [f"b{k} tinyint" for k in range(1, order + 1)])
@@ -425,9 +418,9 @@ def score(
     def list_scores(pack: dict, its: pa.Table) -> pa.Table:
         at = found(pack, its, order, bits, sizes, False)
         text = np.repeat(np.arange(len(at.ends)), np.diff(at.ends, prepend=-1))
-        count = at.counts[0]
+        count = at.counts
         base = np.log10((count + SMOOTH) / (sizes.tokens + SMOOTH * (known + 1)))
-        model = np.log10(mixed(estimates(at), weights, known))
+        model = np.log10(mixed(at.estimates, weights, known))
         total = lambda x: np.bincount(text, x, len(at.ends))
         return pa.table({
             "doc_id": pa.array(pack["ids"], pa.int64()), "n_tokens": np.bincount(text, minlength=len(at.ends)), "n_known": total(count > 0).astype(np.int64),
