@@ -5,9 +5,8 @@ from pyspark.sql import functions as F
 from ledgerlark.operators import quality as Q
 from ledgerlark.operators import search as S
 from ledgerlark.operators.names import NameIndex
-from ledgerlark.plans.registry import query
+from ledgerlark.plans.registry import query, written_once
 from ledgerlark.plans.stem_sql import ranks
-from ledgerlark.session import work_dir
 from ledgerlark.sources import io
 
 
@@ -204,16 +203,9 @@ def _names(t):
     return S.search_names(t.contacts, "name", "VAN last2").select("id", "name")
 
 
-_INDEXES: dict[str, str] = {}
-
-
 def _name_index(t):
-    """The trigram table of the contacts' names, written once for each folder of driver tables."""
-    if t.folder not in _INDEXES:
-        folder = work_dir(t.spark, "names")
-        NameIndex(t.spark, folder).build(t.contacts)
-        _INDEXES[t.folder] = folder
-    return NameIndex(t.spark, _INDEXES[t.folder])
+    """The trigram table of the contacts' names."""
+    return NameIndex(t.spark, written_once(t, "names", lambda folder: NameIndex(t.spark, folder).build(t.contacts)))
 
 
 @query("search_names_indexed", "SELECT id, name FROM contacts WHERE name ILIKE '%VAN last2%'")

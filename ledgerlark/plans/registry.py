@@ -7,9 +7,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlark import session
 from ledgerlark.sources.adapters import ADAPTERS, cte_chain
 from ledgerlark.sources.tables import Tables
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def written_once(t: Tables, label: str, write: Callable[[str], None]) -> str:
+    """The folder of a table that queries share, written once for each folder of driver tables, until work folders are released."""
+    key = (label, t.folder, t.spark.sparkContext.applicationId, session.releases)
+    if key not in _WRITTEN:
+        folder = session.work_dir(t.spark, label)
+        write(folder)
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -27,6 +27,8 @@ SETTINGS = {
 
 #: where a local session without a checkpoint folder keeps its own
 OWN_FOLDER = "spark.ledgerlark.workFolder"
+#: how often work folders were removed; who remembers a folder asks whether it is still there
+releases = 0
 
 
 def build_session(app: str = "ledgerlark", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,13 +53,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder for checkpoints and written tables.
-
-    It lies under the folder the cluster names in `spark.checkpoint.dir`. Only a local
-    session without that setting gets a temporary folder of its own, which goes when the
-    process ends, since executors on other machines could not read it.
-    """
+def _base(spark: SparkSession) -> str:
+    """The folder of this application's work."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if base is None:
         if not spark.conf.get("spark.master", "").startswith("local"):
@@ -65,7 +62,28 @@ def work_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="ledgerlark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set(OWN_FOLDER, base)
-    return os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(base, f"ledgerlark-{spark.sparkContext.applicationId}")
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder for checkpoints and written tables.
+
+    It lies under the folder the cluster names in `spark.checkpoint.dir`, with all others of the
+    application; `release` removes them. Only a local session without that setting gets a temporary folder of
+    its own, which goes when the process ends, since executors on other machines could not read it.
+    """
+    return os.path.join(_base(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the work folders of this application.
+
+    For callers that have written their results: DataFrames that operators returned before can
+    no longer be computed afterwards. Streams that go on later keep a store of their own.
+    """
+    global releases
+    releases += 1
+    drop_folder(spark, _base(spark))
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
