@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is made of a bounded sample of labelled texts.
+For each language a zstandard raw-content dictionary is made of a bounded sample of pieces of labelled texts.
 A text is cut into chunks, each is encoded with every dictionary, and the language whose chunks
 take the fewest bytes together is the answer. A narrow margin rejects it.
 """
@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: the sample: at most so many texts a language, of each at most so many characters
-SAMPLE_TEXTS, SAMPLE_CHARS = 64, 4000
+#: the sample: at most so many distinct pieces a language, from any place in any of its texts, of so many characters
+SAMPLE_PIECES, PIECE_CHARS = 192, 1000
 CHUNK = 2048
 LEVEL = 5
 #: second smallest size over smallest, less 1, under which the answer is rejected
@@ -31,23 +33,39 @@ def plain(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
-def sample(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, list[str]]:
-    """Labelled texts by language, shorter ones first and then by a hash of the id.
+def sample(rows: DataFrame, text: str = "text", lang: str = "lang", pieces: int = SAMPLE_PIECES, size: int = PIECE_CHARS) -> dict[str, list[str]]:
+    """Pieces of labelled texts by language: those with the least hashes of all distinct pieces of all its texts.
 
-    The rank is pruned in each task before the shuffle, so a language with most rows is no burden.
+    So a piece may stand anywhere in a text, and copies count once. Each task keeps the least it has seen and
+    sends no more than `pieces` of a language, so a language with most rows is no burden.
     """
-    rows = rows.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("long", "place", "text")
-    picked = (
-        rows.select(
-            F.col(lang).cast("string").alias("lang"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text"),
-            (F.length(text) > SAMPLE_CHARS).alias("long"), F.xxhash64(F.col(doc_id)).alias("place"),
-        )
-        .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS)
-    )
+    rows = rows.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, dict[int, str]] = {}
+        bound: dict[str, int] = {}
+        for batch in batches:
+            for name, value in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                held, value = least.setdefault(name, {}), value.as_py()
+                for at in range(0, len(value), size):
+                    piece = value[at : at + size]
+                    place = xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass")) >> 1
+                    if place < bound.get(name, 1 << 63) and _LETTER.search(piece):
+                        held[place] = piece
+                        if len(held) >= 2 * pieces:
+                            kept = nsmallest(pieces, held)
+                            least[name] = held = {p: held[p] for p in kept}
+                            bound[name] = kept[-1]
+        found = [(name, p, held[p]) for name, held in least.items() for p in nsmallest(pieces, held)]
+        columns = list(zip(*found, strict=True)) if found else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["lang", "place", "piece"])
+
+    order = Window.partitionBy("lang").orderBy("place")
+    picked = rows.mapInArrow(run, "lang string, place long, piece string").groupBy("lang", "place").agg(F.min("piece").alias("piece"))
+    picked = picked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= pieces)
     found: dict[str, list[str]] = {}
-    for row in picked.select("lang", "n", "text").orderBy("lang", "n").collect():  # at most SAMPLE_TEXTS a language
-        found.setdefault(row["lang"], []).append(row["text"])
+    for row in picked.select("lang", "n", "piece").orderBy("lang", "n").collect():  # at most `pieces` a language
+        found.setdefault(row["lang"], []).append(row["piece"])
     return found
 
 
@@ -80,7 +98,7 @@ def identify(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text:
     if nothing can be learned. Ties go to the first language by code point. Texts are encoded
     whole, repeated rows get equal answers, an empty table gives an empty result.
     """
-    texts = sample(labelled, text, lang, doc_id)
+    texts = sample(labelled, text, lang)
     made: list[Classifier] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

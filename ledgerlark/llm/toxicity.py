@@ -1,6 +1,6 @@
 """Toxicity: noisy-channel restoration of disguised words, then scores of the restored text.
 
-A character model (three letters and the next) is counted over all texts. Pieces of text that
+A character model (two letters and the next, a table of fixed size) is counted over all texts. Pieces of text that
 look disguised, with digits or signs beside letters, three spaced letters or a letter three times or
 more, become lattices of what each character may stand for; Viterbi decoding finds the most likely
 letters under the channel and the character model. The score of the restored text comes from
