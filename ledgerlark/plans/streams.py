@@ -29,11 +29,11 @@ def _late_stream(t, name, at, key):
 
 
 def _stream(t, name):
-    """A derived table over the stream of its driver table."""
+    """A derived table over the stream of its driver table, which is a file or a folder of files."""
     text = ADAPTERS[name]
     sources = {}
     for d in dependencies(text):
-        sources[d] = _stream(t, d) if d in ADAPTERS else S.read_events(t.spark, t.folder, getattr(t, d).schema, glob=f"{d}.parquet")
+        sources[d] = _stream(t, d) if d in ADAPTERS else S.read_table_events(t.spark, t.folder, f"{d}.parquet", getattr(t, d).schema)
     return t.spark.sql(text, **sources)
 
 

@@ -30,6 +30,14 @@ def read_events(spark: SparkSession, folder: str, schema, file_format: str = "pa
     return reader.load(folder)
 
 
+def read_table_events(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
+    """The events of a Parquet table that is a file in the folder or a folder of files there. Streams are of folders only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, table))
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return read_events(spark, os.path.join(folder, table), schema)
+    return read_events(spark, folder, schema, glob=table)
+
+
 # ---- running a stream to the end of its input -----------------------------------------------
 
 

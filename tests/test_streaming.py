@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from ledgerlark.operators import inbox, projection_store, usage
 from ledgerlark.operators.projection_store import ProjectionStore
+from ledgerlark.plans import load
 from ledgerlark.sources.tables import SCHEMAS
 from ledgerlark.streaming import keyed
 from ledgerlark.streaming import stream as S
@@ -173,3 +174,16 @@ def test_only_touched_chats_are_handled(spark, tmp_path):
     assert rows_of(job.changed(), "batch", "chat_id", "unread_count") == [(0, "a", 2), (0, "b", 0), (1, "a", 1), (2, "b", 2)]
     want = inbox.thread_summary(spark.createDataFrame([r for b in batches for r in b], schema))
     assert rows_of(job.state().select(want.columns)) == rows_of(want)
+
+
+def test_driver_tables_are_files_or_folders_of_files(spark, tables, tmp_path):
+    messages = tables.conversations
+    messages.repartition(3).write.parquet(str(tmp_path / "many" / "conversations.parquet"))
+    (tmp_path / "one").mkdir()
+    part = tmp_path / "file"
+    messages.coalesce(1).write.parquet(str(part))
+    next(part.glob("*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
+    want = inbox.thread_summary(tables.linkedin_messages)
+    for layout in ("many", "one"):
+        got = load().QUERIES["stream_thread_summary"](spark, str(tmp_path / layout))
+        assert rows_of(got.select(want.columns)) == rows_of(want)
