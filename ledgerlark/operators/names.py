@@ -87,24 +87,36 @@ class NameIndex:
         """query, id, similarity: for each row of queries the names that are at least that similar, itself included.
 
         Of sets of a and b trigrams with that similarity, the first a - ceil(t * a) + 1 of one and b - ceil(t * b) + 1 of
-        the other, rarest first, have one in common; sizes outside t * a to a / t cannot reach it. A pair is
-        compared once, whatever number of trigrams brings it up. Queries without trigrams find nothing.
+        the other, rarest first, have one in common; sizes outside t * a to a / t cannot reach it. Names, and queries,
+        with the same trigrams are compared as one, and a pair once, whatever number of trigrams brings it up; only the
+        answer has a row for each of them. Queries without trigrams find nothing.
         """
         if not 0 < threshold <= 1:
             raise ValueError("the threshold is above 0 and at most 1")
         t = F.lit(threshold)
         first = lambda size: size - F.ceil(t * size - 1e-9) + 1
-        asked = queries.select(F.col(query).alias("query"), trigrams(F.col(text)).alias("q")).filter(F.size("q") > 0)
-        parts = asked.select("query", F.size("q").alias("a"), F.explode("q").alias("trigram")).join(self._counts(), "trigram", "left")
-        order = Window.partitionBy("query").orderBy(F.coalesce("n", F.lit(0)), "trigram")
-        prefix = parts.withColumn("at", F.row_number().over(order) - 1).filter(F.col("at") < first(F.col("a")))
+        asked, asked_sets = _by_sets(queries, query, text, "query", "a")
+        known, known_sets = _by_sets(names, id, name, "id", "b")
+        parts = asked_sets.select("a", F.size("a_grams").alias("a_size"), F.explode("a_grams").alias("trigram")).join(self._counts(), "trigram", "left")
+        order = Window.partitionBy("a").orderBy(F.coalesce("n", F.lit(0)), "trigram")
+        prefix = parts.withColumn("at", F.row_number().over(order) - 1).filter(F.col("at") < first(F.col("a_size")))
         rows = self._rows(names.schema[id].dataType.simpleString()).filter(F.col("place") < first(F.col("size")))
-        fits = (F.col("size") >= t * F.col("a") - 1e-9) & (F.col("size") * t <= F.col("a") + 1e-9)
+        rows = rows.join(known, "id").select("trigram", "b", "size", "place").distinct()
+        fits = (F.col("size") >= t * F.col("a_size") - 1e-9) & (F.col("size") * t <= F.col("a_size") + 1e-9)
         # what can still be shared from here on must be enough
-        rest = F.least(F.col("a") - F.col("at"), F.col("size") - F.col("place"))
-        enough = rest + F.least("at", "place") >= t / (1 + t) * (F.col("a") + F.col("size")) - 1e-9
-        pairs = prefix.join(rows, "trigram").filter(fits & enough).select("query", "id").distinct()
-        known = names.select(F.col(id).alias("id"), trigrams(F.col(name)).alias("n"))
-        scored = pairs.join(asked, "query").join(known, "id").withColumn("similarity", similarity(F.col("q"), F.col("n")))
-        return scored.filter(F.col("similarity") >= threshold - 1e-12).select("query", "id", "similarity")
-
+        rest = F.least(F.col("a_size") - F.col("at"), F.col("size") - F.col("place"))
+        enough = rest + F.least("at", "place") >= t / (1 + t) * (F.col("a_size") + F.col("size")) - 1e-9
+        pairs = prefix.join(rows, "trigram").filter(fits & enough).select("a", "b").distinct()
+        scored = pairs.join(asked_sets, "a").join(known_sets, "b").withColumn("similarity", similarity(F.col("a_grams"), F.col("b_grams")))
+        alike = scored.filter(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+        # the answer is large where names are repeated: the ids are spread over all tasks before each meets its queries
+        spread = alike.join(known, "b").select("a", "id", "similarity").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return spread.join(asked, "a").select("query", "id", "similarity")
+
+
+def _by_sets(rows: DataFrame, id: str, text: str, id_name: str, set_name: str) -> tuple[DataFrame, DataFrame]:
+    """The ids of texts with the number of their set of trigrams, and the sets by number; rows without id or without trigrams are left out."""
+    grams = f"{set_name}_grams"
+    each = rows.select(F.col(id).alias(id_name), F.array_sort(trigrams(F.col(text))).alias(grams)).filter((F.size(grams) > 0) & F.col(id_name).isNotNull())
+    sets = stored(each.select(grams).distinct().withColumn(set_name, F.monotonically_increasing_id()), "sets")
+    return stored(each.join(sets, grams).select(id_name, set_name), "members"), sets

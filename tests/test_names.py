@@ -72,3 +72,20 @@ def test_only_asked_row_groups_are_read(index):
     index, names = index
     plan = names.sparkSession._jvm.PythonSQLUtils.explainString(index.containing(names, "mueller")._jdf.queryExecution(), "formatted")
     assert "In(trigram," in plan
+
+
+def test_repeated_names_are_compared_once(spark, tmp_path):
+    names = spark.createDataFrame([(i, f"Anna Smith{i % 3}") for i in range(600)], "id long, name string")
+    queries = spark.createDataFrame([(q, "Anna Smith1") for q in range(40)], "query long, text string")
+    index = NameIndex(spark, str(tmp_path / "index"))
+    index.build(names)
+    rows = index.similar(names, queries, 0.5)
+    got = {(r.query, r.id): r.similarity for r in rows.collect()}
+    assert got == pytest.approx({(q, i): alike("Anna Smith1", f"Anna Smith{i % 3}") for q in range(40) for i in range(600)})
+    # one set of trigrams asks, three are asked for: the comparison has them and no ids
+    compared = [len(part) for part in ("a_grams", "b_grams") for part in [spark.read.parquet(*_sets_with(rows, part)).collect()]]
+    assert compared == [1, 3]
+
+
+def _sets_with(rows, column):
+    return [f for f in rows.inputFiles() if "/sets-" in f and column in rows.sparkSession.read.parquet(f).columns]
