@@ -60,6 +60,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame, *columns: str, rows: int = 1 << 18) -> DataFrame:
+    """The rows over so many tasks that each has about `rows`, by columns with many values.
+
+    For rows that take little room where they lie and much in the next step: a split of a compressed file may
+    hold millions. Counting reads no columns of a file unless the rows are filtered.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *columns)
+
+
 def number_rows(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Dense 1-based numbers per group in a total order, without a one-task window.
 

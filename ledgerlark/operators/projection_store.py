@@ -75,8 +75,8 @@ class ProjectionStore:
         rows = placed.select(*_COLUMNS)
         past = self._all()
         if past is not None:
-            rows = self._newest(self._touched(past, marks), batch).filter("usage_row_count > 0").select(*_COLUMNS).unionByName(rows)
-        kept = usage.merge_deltas(rows).withColumns(_place())
+            rows = usage.sum_deltas(self._newest(self._touched(past, marks), batch).filter("usage_row_count > 0").select(*_COLUMNS).unionByName(rows))
+        kept = usage.checked_sums(rows).withColumns(_place())
         # a row without content in each touched partition, so that one without groups has a new version, too
         empty = marks.select(*(F.lit(0 if c == "usage_row_count" else None).cast(kept.schema[c].dataType).alias(c) for c in _COLUMNS), *PLACE)
         out = kept.unionByName(empty).withColumn("version", F.lit(batch).cast("bigint"))

@@ -335,10 +335,23 @@ def build_projection(contributions: DataFrame) -> DataFrame:
     A contribution is computed once, then counted for both grains in one aggregation: one scan
     and one shuffle of partial sums.
     """
+    return _projection_sums(_grains(contributions), F.count("*"))
+
+
+def _grains(contributions: DataFrame) -> DataFrame:
+    """Each contribution once for the hour and once for the day."""
     grain = F.col("bucket_granularity")
     rows = contributions.withColumn("bucket_granularity", F.explode(F.array(F.lit("hour"), F.lit("day"))))
     start = F.when(grain == "hour", F.date_trunc("hour", "occurred_at")).otherwise(F.date_trunc("day", "occurred_at"))
-    return _projection_sums(rows.withColumn("bucket_start", start), F.count("*"))
+    return rows.withColumn("bucket_start", start)
+
+
+def signed_rows(contributions: DataFrame, sign: int) -> DataFrame:
+    """Hour and day deltas of contributions, one row each, not yet summed."""
+    rows = _grains(contributions).withColumn("usage_row_count", F.lit(1).cast("bigint"))
+    return rows.select(
+        *PROJECTION_KEY, *((F.col(m) * sign).cast(MONEY if m in FOUND + COSTS else "bigint").alias(m) for m in (*MEASURES, "usage_row_count"))
+    )
 
 
 def _as_utc(value) -> datetime:
@@ -471,7 +484,11 @@ def sum_deltas(deltas: DataFrame) -> DataFrame:
 
 def merge_deltas(deltas: DataFrame) -> DataFrame:
     """Sum signed rows per group; empty groups vanish and a negative one fails the job."""
-    merged = sum_deltas(deltas)
+    return checked_sums(sum_deltas(deltas))
+
+
+def checked_sums(merged: DataFrame) -> DataFrame:
+    """Sums without empty groups; a negative one fails the job."""
     count = F.col("usage_row_count")
     fail = F.raise_error(F.lit("usage projection subtraction has no matching aggregate")).cast("boolean")
     return merged.filter(F.when(count < 0, fail).otherwise(count > 0))

@@ -171,3 +171,28 @@ def test_filters_blank_and_all_mean_none(tables):
     every = U.rollup(tables.usage, "2024-01-01", "2024-02-01", "total")
     same = U.rollup(tables.usage, "2024-01-01", "2024-02-01", "total", campaign_id="all", model_name="", user_id=None)
     assert rows_of(every) == rows_of(same)
+
+
+def test_tasks_of_a_table_are_bounded(spark):
+    from ledgerlark.operators.common import spread
+
+    parts = spread(spark.range(10000).coalesce(1), "id", rows=500)
+    sizes = [len(p) for p in parts.rdd.glom().collect()]
+    assert sum(sizes) == 10000 and max(sizes) < 1000
+
+
+def test_changes_are_read_once_for_both_runs(spark, monkeypatch):
+    import conftest
+    from ledgerlark.operators.projection_store import ProjectionStore
+    from ledgerlark.plans import load
+
+    seen, apply = {}, ProjectionStore.apply
+
+    def watched(self, deltas, batch):
+        seen.setdefault(batch, []).append(deltas.inputFiles())
+        apply(self, deltas, batch)
+
+    monkeypatch.setattr(ProjectionStore, "apply", watched)
+    load().QUERIES["usage_projection_store"](spark, conftest.SF_DIR)
+    assert len(seen[1]) == 2 and all("/changes-" in f for files in seen[1] for f in files)
+    assert all("/contributions-" in f for f in seen[0][0])
