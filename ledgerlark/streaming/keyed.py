@@ -26,43 +26,6 @@ def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame
     return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load()
 
 
-# ---- last versions of rows -----------------------------------------------------------------
-
-
-class LastVersion(StatefulProcessor):
-    """Keeps the payload of a key and says how a batch changed it; a payload is a text, none for rows that are gone.
-
-    Of several changes of a key in a batch the one with the highest `seq` counts, the last of equal ones.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "payload string")
-
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        best, new = None, None
-        for frame in rows:
-            for seq, payload in zip(frame["seq"], frame["payload"], strict=True):
-                if best is None or seq >= best:
-                    best, new = seq, None if pd.isna(payload) else payload
-        held = self.last.get()
-        old = held[0] if held is not None else None
-        if new == old:
-            return
-        if new is None:
-            self.last.clear()
-        else:
-            self.last.update((new,))
-        yield pd.DataFrame({"key": [key[0]], "old": [old], "new": [new]}, dtype=object)
-
-    def close(self) -> None:
-        pass
-
-
-def changed_versions(changes: DataFrame) -> DataFrame:
-    """key, seq, payload -> key, old, new: one row for each key whose payload a batch changed."""
-    return changes.groupBy("key").transformWithStateInPandas(LastVersion(), "key string, old string, new string", "Update", "None")
-
-
 # ---- chats ---------------------------------------------------------------------------------
 
 

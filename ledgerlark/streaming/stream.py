@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import usage
+from ledgerlark.operators.common import first_per_key, spread, stored
 from ledgerlark.operators.dashboard import _reply_candidates
 from ledgerlark.operators.projection_store import ProjectionStore
-from ledgerlark.session import drop_folder, prepare, work_dir
+from ledgerlark.session import prepare, work_dir
 from ledgerlark.streaming import keyed
 
 ORG = "organization_id"
@@ -141,57 +142,71 @@ def daily_action_counts(log: DataFrame, lateness: str | None = None) -> DataFram
 class UsageChanges:
     """Exact contributions and projection from a stream of usage changes, without a lateness bound.
 
-    The last contribution of each usage row is keyed state, so a batch looks up and replaces those of its own
-    rows; the differences go to the stored projection, of which a batch rewrites the partitions it touches.
-    Both take a batch that is run again from what was there before it.
+    Each batch leaves the contributions it changed, as they were and as they are, in buckets of their ids. The last one
+    of a usage row is the newest it has there, so a batch reads the buckets of its own rows. The differences
+    go to the stored projection, of which a batch rewrites the partitions it touches. Both take a batch that is
+    run again from what was there before it.
     """
 
+    #: a batch that has rows in few buckets reads these only; the number is part of the store
+    BUCKETS = 64
+
     def __init__(self, spark: SparkSession, store: str):
         self.spark, self.checkpoint = spark, os.path.join(store, "_checkpoint")
         self.changes = os.path.join(store, "changes")
         self.table = ProjectionStore(spark, os.path.join(store, "projection"))
 
     @staticmethod
-    def _payload(contributions: DataFrame) -> Column:
-        """A contribution as text; times in microseconds, so that it reads back as it was."""
-        columns = [F.unix_micros(c).alias(c) if c == "occurred_at" else F.col(c) for c in contributions.columns if c != "seq"]
-        return F.to_json(F.struct(*columns))
-
-    @staticmethod
-    def _read_back(payload: Column) -> list[Column]:
-        kinds = {"usage_id": "string", "occurred_at": "bigint", **dict.fromkeys(usage.DIMENSIONS, "string"), **dict.fromkeys(usage.COUNTERS, "bigint")}
+    def _shape() -> str:
+        kinds = {"usage_id": "string", "occurred_at": "timestamp", **dict.fromkeys(usage.DIMENSIONS, "string"), **dict.fromkeys(usage.COUNTERS, "bigint")}
         kinds |= dict.fromkeys(usage.FOUND + usage.COSTS, usage.MONEY)
-        row = F.from_json(payload, ", ".join(f"{c} {t}" for c, t in kinds.items()))
-        return [F.timestamp_micros(row[c]).alias(c) if c == "occurred_at" else row[c].alias(c) for c in kinds]
+        return ", ".join(f"{c}: {t}" for c, t in kinds.items())
+
+    def _read(self, path: str) -> DataFrame:
+        row = f"struct<{self._shape()}>"
+        return self.spark.read.schema(f"key string, old {row}, new {row}, batch bigint, bucket int").option("basePath", self.changes).parquet(path)
+
+    def _newest(self, below: int | None = None) -> DataFrame:
+        """key, bucket, held: the last contribution of each usage row, NULL if it is gone."""
+        rows = self._read(self.changes).select("key", "bucket", "batch", "new")
+        rows = rows if below is None else rows.filter(F.col("batch") < below)
+        return rows.groupBy("bucket", "key").agg(F.max_by("new", "batch").alias("held"))
 
     def versions(self, changes: DataFrame) -> DataFrame:
-        """key, old, new for the stream of usage rows with `op` and `seq`; deleted and undated rows have no contribution."""
+        """key, bucket, new for usage rows with `op` and `seq`: the last change of each; deleted and undated rows have no contribution."""
+        last = first_per_key(changes, ["id"], [F.desc("seq")])
         live = (F.col("op") != "delete") & F.col("created_at").isNotNull()
-        new = usage.contribution(changes.filter(live), carry=("seq",))
-        new = new.select(F.col("usage_id").alias("key"), F.col("seq").cast("bigint").alias("seq"), self._payload(new).alias("payload"))
-        gone = changes.filter(~live).select(F.col("id").alias("key"), F.col("seq").cast("bigint").alias("seq"), F.lit(None).cast("string").alias("payload"))
-        return keyed.changed_versions(new.unionByName(gone))
+        there = usage.contribution(last.filter(live)).select(F.col("usage_id").alias("key"), F.struct("*").cast(f"struct<{self._shape()}>").alias("new"))
+        gone = last.filter(~live).select(F.col("id").alias("key"), F.lit(None).cast(f"struct<{self._shape()}>").alias("new"))
+        return there.unionByName(gone).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.BUCKETS)).cast("int"))
 
-    def fold(self, versions: DataFrame, batch_id: int) -> None:
-        """Add the differences of a batch to the stored projection."""
+    def fold(self, batch: DataFrame, batch_id: int) -> None:
+        """Add the differences that a batch makes to the stored projection."""
         path = _batch_path(self.changes, batch_id)
-        versions.write.mode("overwrite").parquet(path)  # read twice below, computed once
-        rows = self.spark.read.schema("key string, old string, new string").parquet(path)
-        signed = [usage.build_signed(rows.filter(F.col(c).isNotNull()).select(*self._read_back(F.col(c))), sign) for c, sign in (("old", -1), ("new", 1))]
-        self.table.apply(signed[0].unionByName(signed[1]), batch_id)
+        rows = stored(self.versions(batch), "versions")  # the metadata is read once
         if batch_id:
-            drop_folder(self.spark, _batch_path(self.changes, batch_id - 1))
+            asked = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+            held = self._newest(batch_id).filter(F.col("bucket").isin(asked)).withColumnsRenamed({"key": "_key", "bucket": "_bucket"})
+            same = (F.col("bucket") == F.col("_bucket")) & F.col("key").eqNullSafe(F.col("_key"))
+            rows = rows.join(held, same, "left").select("key", F.col("held").alias("old"), "new", "bucket")
+        else:
+            rows = rows.select("key", F.lit(None).cast(rows.schema["new"].dataType).alias("old"), "new", "bucket")
+        changed = rows.filter(~F.col("old").eqNullSafe(F.col("new")))
+        changed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)  # read twice below, computed once
+        rows = self._read(path)
+        signed = [usage.signed_rows(spread(rows.filter(F.col(c).isNotNull()).select(f"{c}.*"), "usage_id", "occurred_at"), sign) for c, sign in (("old", -1), ("new", 1))]
+        self.table.apply(signed[0].unionByName(signed[1]), batch_id)
 
     def run(self, changes: DataFrame) -> None:
         """Process all input there is and stop; run again, it goes on where it stopped."""
-        stream = self.versions(changes).writeStream.outputMode("update").option("checkpointLocation", self.checkpoint)
+        stream = changes.writeStream.outputMode("append").option("checkpointLocation", self.checkpoint)
         stream.trigger(availableNow=True).foreachBatch(self.fold).start().awaitTermination()
 
     def projection(self) -> DataFrame:
         return self.table.read()
 
     def contributions(self) -> DataFrame:
-        return keyed.read_state(self.spark, self.checkpoint, "last").select(*self._read_back(F.col("value.payload")))
+        return self._newest().filter(F.col("held").isNotNull()).select("held.*")
 
 
 class ThreadSummary:

@@ -187,3 +187,10 @@ def test_driver_tables_are_files_or_folders_of_files(spark, tables, tmp_path):
     for layout in ("many", "one"):
         got = load().QUERIES["stream_thread_summary"](spark, str(tmp_path / layout))
         assert rows_of(got.select(want.columns)) == rows_of(want)
+
+
+def test_usage_changes_keep_no_python_state(spark, tables, tmp_path):
+    rows = tables.usage.limit(50).withColumns({"op": F.lit("insert"), "seq": F.lit(0)})
+    versions = S.UsageChanges(spark, str(tmp_path / "store")).versions(rows)
+    plan = versions._jdf.queryExecution().toString()
+    assert "TransformWithState" not in plan and "bucket" in versions.columns
