@@ -47,6 +47,8 @@ BUCKETS = 24
 SMOOTH = 0.1
 #: bytes of text in a chunk, one text at least; entries of a cell, as a power of two, that are aimed at
 CHUNK, CELL_BITS = 8 << 20, 18
+#: tokens, as a power of two, whose entries a task settles
+TASK_BITS = 19
 LEAST_CELL_BITS, MOST_CELL_BITS, SHORT_BITS = 6, 30, 38
 IN_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -207,11 +209,12 @@ def entries(packs: DataFrame, order: int, bits: int) -> DataFrame:
     return packs.select("chunk", "apart", "kinds", "words", "tokens").mapInArrow(run, "n int, cell int, chunk long, apart boolean, keys binary, counts binary")
 
 
-def answers(sent: DataFrame) -> DataFrame:
+def answers(sent: DataFrame, tasks: int | None = None) -> DataFrame:
     """n, cell, chunk, totals, deducted: for the entries of a chunk in a cell, how often all training texts and those kept apart have them.
 
     `deducted` is for chunks of texts kept apart only. One more row of each cell, without a chunk, has the
-    number of its n-grams that training texts have in `known`.
+    number of its n-grams that training texts have in `known`. A task sends its rows to Python in batches as large as
+    itself, so it should have few cells: `tasks` says over how many they are spread.
     """
 
     def settle(rows: list[dict]) -> pa.RecordBatch:
@@ -250,7 +253,7 @@ def answers(sent: DataFrame) -> DataFrame:
         if held:
             yield settle(held)
 
-    rows = sent.repartition("n", "cell").sortWithinPartitions("n", "cell", "chunk")
+    rows = sent.repartition(*([tasks] if tasks else []), "n", "cell").sortWithinPartitions("n", "cell", "chunk")
     return rows.mapInArrow(run, "n int, cell int, chunk long, totals binary, deducted binary, known long")
 
 
@@ -399,7 +402,7 @@ def score(
         F.sum(F.when(apart, F.col("train_tokens"))).alias("apart_tokens"), F.sum(F.when(apart, F.col("train_docs"))).alias("apart_docs"),
     ).first()
     bits = min(max(math.ceil(math.log2(max(row["all"] or 0, 2))) - cell_bits, LEAST_CELL_BITS), MOST_CELL_BITS)
-    replies = stored(answers(entries(packs, order, bits)), "totals")
+    replies = stored(answers(entries(packs, order, bits), max(1, (row["all"] or 0) >> TASK_BITS)), "totals")
     known = replies.filter((F.col("n") == 1) & F.col("chunk").isNull()).agg(F.sum("known").alias("n")).first()["n"] or 0
     replies = replies.filter(F.col("chunk").isNotNull())
     sizes = Sizes(row["tokens"] or 0, row["docs"] or 0, known, row["apart_tokens"] or 0, row["apart_docs"] or 0)

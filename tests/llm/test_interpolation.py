@@ -189,3 +189,9 @@ def test_held_out_texts_are_likelier_than_by_single_tokens(spark):
     out = [r for r in rows if r.held_out]
     assert 50 < len(out) < 200 and sum(r.score for r in out) > sum(r.base_score for r in out)
     assert all(r.score < 0 and r.base_score < 0 and 0 < r.n_known <= r.n_tokens for r in out)
+
+
+def test_entries_are_settled_over_the_tasks_asked_for(spark):
+    sent = spark.createDataFrame([], "n int, cell int, chunk long, apart boolean, keys binary, counts binary")
+    plan = lm.answers(sent, 7)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"RepartitionByExpression \[n#\d+, cell#\d+\], 7", plan)
