@@ -338,6 +338,12 @@ def build_projection(contributions: DataFrame) -> DataFrame:
     return _projection_sums(_grains(contributions), F.count("*"))
 
 
+def bucket_sums(contributions: DataFrame, grain: str) -> DataFrame:
+    """Hour or day aggregates alone."""
+    rows = contributions.withColumns({"bucket_granularity": F.lit(grain), "bucket_start": F.date_trunc(grain, "occurred_at")})
+    return _projection_sums(rows, F.count("*"))
+
+
 def _grains(contributions: DataFrame) -> DataFrame:
     """Each contribution once for the hour and once for the day."""
     grain = F.col("bucket_granularity")

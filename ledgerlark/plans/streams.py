@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerlark.operators import usage as U
+from ledgerlark.operators.common import spread
 from ledgerlark.plans import usage as usage_plans
 from ledgerlark.plans.dashboard import REPLY_LOG
 from ledgerlark.plans.onboarding import THREADS
@@ -12,17 +12,20 @@ from ledgerlark.sources.adapters import ADAPTERS, dependencies
 from ledgerlark.streaming import stream as S
 
 
-def _late_stream(t, name, at, key):
-    """The derived table in four slices, latest rows first, so that most rows come months late; the last slice repeats rows under `key`."""
+def _late_stream(t, name, at, key, twice=False):
+    """The derived table in slices, latest rows first, so that most rows come months late; with `twice` a last slice repeats a fifth of the keys.
+
+    Each slice is written by as many tasks as it fills, so that a batch of the stream is read by as many.
+    """
     folder = work_dir(t.spark, name)
     rows = getattr(t, name)
     old, new = rows.agg(F.min(F.unix_seconds(at)), F.max(F.unix_seconds(at))).first()
     part = F.least(F.lit(2), F.floor((new - F.unix_seconds(at)) * 3 / (new - old + 1)))
-    # the fifth of the keys that the source sends twice
-    repeats = rows.filter(F.crc32(key) % 5 == 0) if key else rows.limit(0)
-    for n in range(3):
-        rows.filter(F.coalesce(part, F.lit(2)) == n).write.mode("append").parquet(folder)
-    repeats.write.mode("append").parquet(folder)
+    slices = [rows.filter(F.coalesce(part, F.lit(2)) == n) for n in range(3)]
+    if twice:
+        slices.append(rows.filter(F.crc32(key) % 5 == 0))
+    for some in slices:
+        spread(some, key, at).write.mode("append").parquet(folder)
     files = len(t.spark.read.parquet(folder).inputFiles())
     # files are taken by their time of writing, so about a slice at once
     return S.read_events(t.spark, folder, rows.schema, max_files=max(1, files // 4))
@@ -42,13 +45,14 @@ def _stream(t, name):
     usage_plans._PROJECTION.replace("(VALUES ('hour'), ('day')) g(bucket_granularity)", "(VALUES ('hour')) g(bucket_granularity)"),
 )
 def _buckets(t):
-    rows = S.run_and_read(S.usage_buckets(_late_stream(t, "usage", "created_at", None)), "usage-buckets", "update")
-    return S.latest_rows(rows, list(U.PROJECTION_KEY))
+    job = S.UsageBuckets(t.spark, work_dir(t.spark, "usage-buckets"))
+    job.run(_late_stream(t, "usage", "created_at", "id"))
+    return job.totals()
 
 
 @query("stream_dedup_events", "SELECT DISTINCT organization_id, dedup_key FROM email_reply_events")
 def _dedup(t):
-    rows = S.run_and_read(S.dedup_events(_late_stream(t, "email_reply_events", "received_at", "dedup_key")), "reply-events", "append")
+    rows = S.run_and_read(S.dedup_events(_late_stream(t, "email_reply_events", "received_at", "dedup_key", twice=True)), "reply-events", "append")
     return rows.select("organization_id", "dedup_key")
 
 
@@ -81,7 +85,7 @@ def _state(t):
     "SELECT organization_id, account_id, action_type, CAST(created_at AS DATE) AS day, count(*) AS actions, count(*) FILTER (WHERE NOT success) AS failures FROM linkedin_action_log GROUP BY 1, 2, 3, 4",
 )
 def _actions(t):
-    rows = S.run_and_read(S.daily_action_counts(_late_stream(t, "linkedin_action_log", "created_at", None)), "action-counts", "update")
+    rows = S.run_and_read(S.daily_action_counts(_late_stream(t, "linkedin_action_log", "created_at", "id")), "action-counts", "update")
     return S.latest_rows(rows, ["organization_id", "account_id", "action_type", "day"])
 
 

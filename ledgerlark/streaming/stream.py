@@ -46,11 +46,11 @@ def _batch_path(store: str, batch_id: int) -> str:
     return os.path.join(store, f"batch={batch_id}")
 
 
-def run_to_store(stream: DataFrame, store: str, output_mode: str) -> None:
-    """Process all input there is and stop. Batch n is written to `batch=n`, replaced when retried."""
+def run_to_store(stream: DataFrame, store: str, output_mode: str, made=lambda batch: batch) -> None:
+    """Process all input there is and stop. What is `made` of batch n is written to `batch=n`, replaced when retried."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(store, batch_id))
+        made(batch).write.mode("overwrite").parquet(_batch_path(store, batch_id))
 
     job = (
         stream.writeStream.outputMode(output_mode)
@@ -93,6 +93,7 @@ def usage_buckets(events: DataFrame, grain: str = "hour", lateness: str | None =
     """Hour or day aggregates of the usage stream over the full dimension key, in update mode.
 
     The state is as large as the aggregates; rows count however late they come, unless `lateness` is given.
+    Without it, `UsageBuckets` keeps the same aggregates and no state.
     """
     rows = _bounded(usage.contribution(events), "occurred_at", lateness)
     return (
@@ -139,6 +140,24 @@ def daily_action_counts(log: DataFrame, lateness: str | None = None) -> DataFram
     )
 
 
+class UsageBuckets:
+    """The aggregates of `usage_buckets` without a lateness bound and without state of keys.
+
+    Sums add up: a batch leaves the sums of its own rows and looks up no earlier ones, and the batches are summed
+    when they are read. A batch that is run again replaces its own sums.
+    """
+
+    def __init__(self, spark: SparkSession, store: str, grain: str = "hour"):
+        self.spark, self.store, self.grain = spark, store, grain
+
+    def run(self, events: DataFrame) -> None:
+        """Process all input there is and stop; run again, it goes on where it stopped."""
+        run_to_store(usage.contribution(events), self.store, "append", lambda batch: usage.bucket_sums(batch, self.grain))
+
+    def totals(self) -> DataFrame:
+        return usage.sum_deltas(read_store(self.spark, self.store))
+
+
 class UsageChanges:
     """Exact contributions and projection from a stream of usage changes, without a lateness bound.
 

@@ -1,5 +1,6 @@
 """Streams over several files equal the batch answer; retried batches change nothing."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -30,6 +31,29 @@ def test_usage_buckets(spark, tables, ledger_files):
     assert rows_of(got.select(want.columns)) == rows_of(want)
 
 
+def test_usage_buckets_keep_no_state_and_restart(spark, tables, ledger_files, tmp_path):
+    job = S.UsageBuckets(spark, str(tmp_path / "store"))
+    run = lambda: job.run(S.read_events(spark, ledger_files, SCHEMAS["usage"], max_files=1))
+    run()
+    want = usage.build_projection(usage.contribution(tables.usage)).filter("bucket_granularity = 'hour'")
+    for _ in range(2):
+        assert S.read_store(spark, job.store).select("batch").distinct().count() >= 5
+        assert rows_of(job.totals().select(want.columns)) == rows_of(want)
+        undo_last_batch(tmp_path / "store" / "_checkpoint")
+        run()  # the last batch once more
+
+
+def test_the_usage_bucket_query_looks_up_no_keys_and_spreads_its_slices(spark, monkeypatch):
+    import conftest
+
+    stores, folders, run, read = [], [], S.run_to_store, S.read_events
+    monkeypatch.setattr(S, "run_to_store", lambda stream, store, *rest: (stores.append(store), run(stream, store, *rest)))
+    monkeypatch.setattr(S, "read_events", lambda spark, folder, *rest, **more: (folders.append(folder), read(spark, folder, *rest, **more))[1])
+    load().QUERIES["stream_usage_buckets"](spark, conftest.SF_DIR)
+    assert len(stores) == 1 and "state" not in os.listdir(os.path.join(stores[0], "_checkpoint"))
+    assert len(spark.read.parquet(folders[0]).inputFiles()) > 6  # three slices
+
+
 def test_dedup_over_batches(spark, tmp_path):
     schema = "organization_id string, dedup_key string, received_at timestamp"
     at = datetime(2026, 7, 30, 13)
