@@ -66,7 +66,12 @@ def spread(df: DataFrame, *columns: str, rows: int = 1 << 18) -> DataFrame:
     For rows that take little room where they lie and much in the next step: a split of a compressed file may
     hold millions. Counting reads no columns of a file unless the rows are filtered.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)), *columns)
+    return df.repartition(tasks_for(df, rows), *columns)
+
+
+def tasks_for(df: DataFrame, rows: int = 1 << 18) -> int:
+    """So many tasks that each has about `rows`, and none of the cores is idle."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
 
 
 def number_rows(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:

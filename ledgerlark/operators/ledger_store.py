@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.dates import moment
 from ledgerlark.operators import usage as U
+from ledgerlark.operators.common import tasks_for
 
 SORTED_BY = ("organization_id", "service_name", "operation_name", "company_id", "created_at")
 _KINDS = {"id": "string", "created_at": "timestamp", **dict.fromkeys(U.COUNTERS, "bigint"), "grounding_queries": U.MONEY, **dict.fromkeys(U.FOUND + U.COSTS, U.MONEY)}
@@ -21,11 +22,12 @@ SCHEMA = ", ".join(f"{c} {_KINDS.get(c, 'string')}" for c in ("id", "created_at"
 def write(usage: DataFrame, folder: str) -> None:
     """Store the facts of usage rows. The months that the rows belong to are replaced, others stay as they are.
 
-    Undated rows have no facts. The ranges are found on the ledger's own columns, before the metadata is read.
+    Undated rows have no facts. The ranges are found on the ledger's own columns, before the metadata is read. Their
+    number goes by rows, not bytes: reading the metadata takes far longer than moving it, so a range by size is a long task.
     """
     dated = usage.filter(F.col("created_at").isNotNull())
     # a workspace of any size is spread over as many ranges as it fills
-    ranged = dated.withColumn("month", F.date_format("created_at", "yyyy-MM")).repartitionByRange("month", "organization_id", "created_at").drop("month")
+    ranged = dated.withColumn("month", F.date_format("created_at", "yyyy-MM")).repartitionByRange(tasks_for(dated), "month", "organization_id", "created_at").drop("month")
     rows = U.facts(ranged).withColumn("month", F.date_format("created_at", "yyyy-MM")).sortWithinPartitions("month", *SORTED_BY)
     rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("month").parquet(folder)
 

@@ -14,9 +14,17 @@ from ledgerlark.sources.tables import Tables
 _WRITTEN: dict[tuple, str] = {}
 
 
+def _written_key(t: Tables, label: str) -> tuple:
+    return label, t.folder, t.spark.sparkContext.applicationId, session.releases
+
+
+def is_written(t: Tables, label: str) -> bool:
+    return _written_key(t, label) in _WRITTEN
+
+
 def written_once(t: Tables, label: str, write: Callable[[str], None]) -> str:
     """The folder of a table that queries share, written once for each folder of driver tables, until work folders are released."""
-    key = (label, t.folder, t.spark.sparkContext.applicationId, session.releases)
+    key = _written_key(t, label)
     if key not in _WRITTEN:
         folder = session.work_dir(t.spark, label)
         write(folder)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from ledgerlark.operators import ledger_store
 from ledgerlark.operators import usage as U
+from ledgerlark.operators.common import tasks_for
 
 START, END = "2024-01-03 05:30:00", "2024-01-25 17:45:30"
 
@@ -67,3 +68,26 @@ def test_files_are_sorted_for_skipping(stored):
         rows = pq.read_table(file, columns=["organization_id", "service_name"]).to_pylist()
         keys = [(r["organization_id"] is not None, r["organization_id"] or "", r["service_name"] or "") for r in rows]
         assert keys == sorted(keys)
+
+
+def test_ranges_go_by_rows(spark, tables, tmp_path, monkeypatch):
+    ledger_store.write(tables.usage, str(tmp_path / "few"))
+    assert len(list((tmp_path / "few").rglob("*.parquet"))) >= spark.sparkContext.defaultParallelism // 2  # however few bytes
+    monkeypatch.setattr(ledger_store, "tasks_for", lambda df: tasks_for(df, rows=50))
+    ledger_store.write(tables.usage, str(tmp_path / "many"))
+    sizes = [spark.read.parquet(str(p)).count() for p in (tmp_path / "many").rglob("*.parquet")]
+    assert sum(sizes) == tables.usage.filter("created_at IS NOT NULL").count() and max(sizes) < 150
+
+
+def test_a_rollup_of_one_workspace_stores_its_rows_only(spark, monkeypatch):
+    import conftest
+    from ledgerlark.plans import load, registry
+
+    seen, write = [], ledger_store.write
+    monkeypatch.setattr(registry, "_WRITTEN", {})
+    monkeypatch.setattr(ledger_store, "write", lambda rows, folder: (seen.append({r[0] for r in rows.select("organization_id").distinct().collect()}), write(rows, folder)))
+    run = lambda name: rows_of(load().QUERIES[name](spark, conftest.SF_DIR))
+    first = run("usage_rollup_filtered")
+    assert first and seen == [{"org_1"}]
+    run("usage_rollup_day")
+    assert run("usage_rollup_filtered") == first and len(seen) == 2 and len(seen[1]) > 1  # all are stored by now
